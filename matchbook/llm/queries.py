@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchbook.llm.exact_dedup import exact_dedup
+from matchbook.llm.mixing import Mixture
 from matchbook.llm.near_dedup import near_duplicates
 from matchbook.session import load
 
@@ -15,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = Mixture(load(spark, sf_dir, "documents"))
+    taken = mixture.rows().groupBy("doc_id").agg(F.sum("size").alias("taken"))
+    return mixture.documents.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -27,9 +35,47 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+#: Water-filling in closed form; blocks, their order and the cut are the same md5 draws.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS total FROM s),
+o AS (
+  SELECT *, coalesce(sum(2e0 * source_size) OVER before, 0) AS gone, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER before, 0) AS weights_left,
+         row_number() OVER (ORDER BY 2e0 * source_size / weight, rank) AS nth FROM w
+  WINDOW before AS (ORDER BY 2e0 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT min(nth) AS nth FROM o WHERE (total - gone) * weight <= 2e0 * source_size * weights_left),
+t AS (
+  SELECT o.source, o.source_size, o.rank,
+         CASE WHEN f.nth IS NULL OR o.nth < f.nth THEN 2e0 * o.source_size ELSE (p.total - p.gone) * o.weight / p.weights_left END AS target
+  FROM o CROSS JOIN f LEFT JOIN o p ON p.nth = f.nth),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes,
+         source_size // 200000 + 1 AS n_blocks FROM t),
+b AS (
+  SELECT d.doc_id, d.k, d.size, p.*, target - passes * source_size AS rest,
+         ('0x' || substr(md5('7:block:' || k), 1, 15))::BIGINT % n_blocks AS block
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+blocks AS (
+  SELECT rank, block, sum(size) AS words, ('0x' || substr(md5('7:order:' || rank || ':' || block), 1, 15))::BIGINT AS ord FROM b GROUP BY rank, block),
+placed AS (
+  SELECT rank, block, words, sum(words) OVER (PARTITION BY rank ORDER BY ord, block) - words AS before FROM blocks),
+c AS (
+  SELECT b.*, before, words, sum(size) OVER (PARTITION BY b.rank, b.block ORDER BY ('0x' || substr(md5('7:cut:' || k), 1, 15))::BIGINT, k) AS upto
+  FROM b JOIN placed ON b.rank = placed.rank AND b.block = placed.block)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (passes + CASE WHEN before >= rest THEN 0 WHEN before + words <= rest THEN 1 WHEN upto - size / 2e0 <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op5_mix_sources": op5_mix_sources, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_mix_sources": OP5_SQL}
