@@ -39,3 +39,36 @@ def near(rows: list[tuple[int, str | None]], n: int, percent: int) -> dict[int,
             a, b = sorted((find(a), find(b)))
             root[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int]]:
+    import re
+
+    out = []
+    for kind, pattern in _KINDS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = "".join(c for c in m[0] if c in "0123456789")
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and _luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
