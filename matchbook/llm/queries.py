@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm.chat import chat_digest, format_chats
 from matchbook.llm.exact_dedup import exact_dedup
+from matchbook.llm.language_id import identify, sample_windows, train
 from matchbook.llm.mixing import Mixture
 from matchbook.llm.near_dedup import near_duplicates
 from matchbook.llm.pii import pii_digest
@@ -32,6 +33,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.documents.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = train(sample_windows(docs.where(~held_out()).select("doc_id", "text", "lang")))
+    return identify(docs, model, carry=["doc_id", held_out().alias("held_out")])
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(load(spark, sf_dir, "documents"))
 
@@ -102,7 +113,7 @@ FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_chat_format": op4_chat_format, "op5_mix_sources": op5_mix_sources, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_chat_format": op4_chat_format, "op5_mix_sources": op5_mix_sources, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
