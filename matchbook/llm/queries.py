@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchbook.llm.ann import search
 from matchbook.llm.chat import chat_digest, format_chats
 from matchbook.llm.exact_dedup import exact_dedup
 from matchbook.llm.language_id import identify, sample_windows, train
@@ -33,6 +34,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.documents.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20, measure="ip")
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
@@ -113,7 +119,7 @@ FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_chat_format": op4_chat_format, "op5_mix_sources": op5_mix_sources, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_chat_format": op4_chat_format, "op5_mix_sources": op5_mix_sources, "op6_additive_quantisation": op6_additive_quantisation, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
