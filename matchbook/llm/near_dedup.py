@@ -3,15 +3,17 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes). Documents
    with the same set form a class; only its smallest id goes on, so that thousands
    of copies cost what one does.
-2. A class keeps, of its minima, the low b bits, packed into four longs, and one
-   key a band of `rows` minima.
-3. In each band bucket all classes are paired with the bucket's centre (a star, not
-   all pairs). Bit counts of the packed signatures give a similarity estimate,
-   corrected for chance collisions; what is clearly below the threshold goes.
+2. A class keeps, of its minima, the low b bits, packed into longs, and one key a
+   band of ROWS minima.
+3. A band bucket is dealt into slots of about SLOT classes by a hash, and the classes
+   of a slot are paired with its first (small stars, not all pairs). Bit counts of the
+   packed signatures give a similarity estimate, corrected for chance collisions; what
+   is clearly below the threshold goes.
 4. What remains is confirmed on the full sets, linked, and joined to components.
-   Buckets whose classes are then in more than one component get another centre,
-   and at last every pair of classes from different components, so that no link
-   that shares a bucket is lost.
+   Buckets whose classes are then in more than one component are dealt anew, and at
+   last every pair of classes from different components is tried, so that no link that
+   shares a bucket is lost. As most classes of a large group are joined by then, these
+   pairs are few.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from matchbook.llm.common import small_side, whole_text
 from matchbook.llm.components import connected_components
 from matchbook.session import stage_table
 
-MINIMA, ROWS, BITS = 64, 3, 4
-BANDS = MINIMA // ROWS
-#: An estimate has a standard error of 0.053 at a similarity of 0.8; pairs are dropped six errors below it.
-SLACK = 0.32
-STAR_ROUNDS = 3
+MINIMA, ROWS, BITS, BANDS = 128, 3, 4, 21
+#: Longs of a packed signature.
+LONGS = MINIMA * BITS // 64
+#: An estimate has a standard error of 0.037 at a similarity of 0.8; pairs are dropped five errors below it.
+SLACK = 0.19
+SLOT, STAR_ROUNDS = 4, 2
+SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: Bytes of text hashed at once.
 CHUNK = 1 << 22
 
@@ -124,9 +128,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             for k in range(MINIMA):
                 minima[k, some] = np.minimum.reduceat(joined * _MUL[k] + _ADD[k], starts)
         mixed = _mix(minima)
-        low = (mixed & np.uint64((1 << BITS) - 1)).reshape(4, MINIMA // 4, -1)
-        packed = np.zeros((4, len(sets)), np.uint64)
-        for j in range(MINIMA // 4):
+        low = (mixed & np.uint64((1 << BITS) - 1)).reshape(LONGS, MINIMA // LONGS, -1)
+        packed = np.zeros((LONGS, len(sets)), np.uint64)
+        for j in range(MINIMA // LONGS):
             packed |= low[:, j] << np.uint64(BITS * j)
         keys = np.zeros((BANDS, len(sets)), np.uint64)
         for band in range(BANDS):
@@ -136,8 +140,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
         flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, BANDS, dtype=np.int32)), flat)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.string()), *[pa.array(packed[i].view(np.int64)) for i in range(4)], bands],
-            names=["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands"],
+            [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.string()), *[pa.array(packed[i].view(np.int64)) for i in range(LONGS)], bands],
+            names=["doc_id", "n_shingles", "digest", *SIGNATURE, "bands"],
         )
 
 
@@ -171,8 +175,8 @@ def _estimate(a: str, b: str) -> F.Column:
     """Similarity from packed signatures: the share of equal b-bit values, less what
     chance gives, 2**-b."""
     unequal = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+    for c in SIGNATURE:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
         unequal = unequal + F.bit_count(x)
@@ -188,18 +192,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     Null, empty and blank texts have no shingles, link with nothing, and are kept.
     Texts without enough words have one shingle of all their words. If one id has
     several texts, each is tested and links of any hold for the id; a null id stays
-    alone. Bands of 3 of 63 minima miss a link at 0.8 with a chance of 3e-7.
+    alone. 21 bands of 3 minima miss a link at 0.8 with a chance of 3e-7.
     """
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    schema = "doc_id long, n_shingles long, digest string, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+    schema = "doc_id long, n_shingles long, digest string, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>"
     signed = stage_table(body.mapInArrow(lambda it: _signatures(it, words), schema), "near-signed")
     known = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    signature = [F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands")]
+    signature = [F.first(c).alias(c) for c in (*SIGNATURE, "bands")]
     classes = stage_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), *signature), "near-classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     banded = stage_table(banded.join(shared, "key"), "near-banded")
-    sigs = classes.select("rep", "s0", "s1", "s2", "s3")
+    sigs = classes.select("rep", *SIGNATURE)
 
     links, component, tried = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -210,12 +214,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         if placed.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            # another centre each time: of the bucket's components, one class drawn by hash
-            drawn = F.struct("rep", "component") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "component")
-            centre = placed.groupBy("key").agg(F.min(drawn).alias("c"))
-            pairs = placed.join(centre, "key").where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+            slots = placed.groupBy("key").agg(F.greatest(F.floor(F.count("*") / SLOT), F.lit(1)).alias("slots"))
+            dealt = placed.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("slots")))
+            first = dealt.groupBy("key", "slot").agg(F.min(F.struct("rep", "component")).alias("c"))
+            pairs = dealt.join(first, ["key", "slot"]).where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
         else:
-            x = placed.join(sigs, "rep").select(F.col("rep").alias("r"), "key", F.col("component").alias("k"), "s0", "s1", "s2", "s3")
+            x = placed.join(sigs, "rep").select(F.col("rep").alias("r"), "key", F.col("component").alias("k"), *SIGNATURE)
             # every pair of classes of different components; what the bit counts rule out is never emitted
             pairs = x.alias("p").join(x.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.r") < F.col("q.r")) & (F.col("p.k") != F.col("q.k")) & (_estimate("p", "q") >= percent / 100 - SLACK)).select(F.col("p.r").alias("a"), F.col("q.r").alias("b"))
         pairs = pairs.distinct()
