@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,16 +12,42 @@ from matchbook.llm.ann import search
 from matchbook.llm.chat import chat_digest, format_chats
 from matchbook.llm.exact_dedup import exact_dedup
 from matchbook.llm.language_id import identify, sample_windows, train
+from matchbook.llm.line_dedup import dedup_lines
 from matchbook.llm.mixing import Mixture
 from matchbook.llm.near_dedup import near_duplicates
+from matchbook.llm.pieces import decode, encode
 from matchbook.llm.pii import pii_digest
-from matchbook.session import load, stage_table
+from matchbook.llm.token_files import read_tokens, write_tokens
+from matchbook.session import load, shared_dir, stage_table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; a cluster has the package on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/matchbook/tokens-{uuid.uuid4().hex}"
+    write_tokens(load(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path, with_ids=False)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as decimal numbers, comma-joined), the digest
+    of the decoded text, and whether it is the text again."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+    coded = decode(encode(docs, model, carry=["doc_id", "text_sha256"]), model)
+    digest = F.sha2("decoded", 256)
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("piece_ids", ",")).alias("ids_crc32"), digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("round_trip"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,6 +76,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, carry=["doc_id", held_out().alias("held_out")])
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the digest of the text that is left."""
+    return dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(load(spark, sf_dir, "documents"))
 
@@ -119,7 +151,8 @@ FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_chat_format": op4_chat_format, "op5_mix_sources": op5_mix_sources, "op6_additive_quantisation": op6_additive_quantisation, "op7_language_id": op7_language_id, "op9_pii": op9_pii, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    ops = (op1_exact_dedup, op2_token_files, op3_sentencepiece, op4_chat_format, op5_mix_sources, op6_additive_quantisation, op7_language_id, op8_line_dedup, op9_pii, op10_minhash_near_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
