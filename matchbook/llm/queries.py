@@ -150,8 +150,14 @@ FROM c
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_dedup, op2_token_files, op3_sentencepiece, op4_chat_format, op5_mix_sources, op6_additive_quantisation, op7_language_id, op8_line_dedup, op9_pii, op10_minhash_near_dedup)
+    ops = (op1_exact_dedup, op2_token_files, op3_sentencepiece, op4_chat_format, op5_mix_sources, op6_additive_quantisation, op7_language_id, op8_line_dedup, op9_pii, op10_minhash_near_dedup, pipeline)
     return {f.__name__: f for f in ops}
 
 
