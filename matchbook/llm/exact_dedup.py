@@ -134,7 +134,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", kee
     rows = rows.withColumn("__sha", F.sha2(F.col("__text"), 256)).withColumn("__lead", F.substring("__text", 1, LEAD))
     order = [F.asc("__lead"), F.asc("__sha"), F.asc_nulls_first("__id") if keep == "smallest" else F.desc_nulls_last("__id")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__lead")
-    fields = [f for f in rows.schema.fields if f.name in names]
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in names]
     if share_text:
         fields.append(T.StructField("__text", T.StringType()))
     added = "part int, run long, head_id long, is_head boolean, size long, first_text string, last_text string, first_head long, first_size long, last_run long, last_head long, last_size long"
