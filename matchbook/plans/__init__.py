@@ -1 +1,6 @@
-"""matchbook.plans"""
+"""matchbook.plans: the registered queries, by what they read."""
+
+from matchbook.plans import events, places
+from matchbook.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "events", "places"]
