@@ -10,10 +10,10 @@
    packed signatures give a similarity estimate, corrected for chance collisions; what
    is clearly below the threshold goes.
 4. What remains is confirmed on the full sets, linked, and joined to components.
-   Buckets whose classes are then in more than one component are dealt anew, and at
-   last every pair of classes from different components is tried, so that no link that
-   shares a bucket is lost. As most classes of a large group are joined by then, these
-   pairs are few.
+   Buckets whose classes are then in more than one component are dealt anew. At last
+   every pair of classes from different components that shares a bucket is compared, so
+   that no link is lost: a bucket is cut into blocks, blocks meet two by two in tasks of
+   their own, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import small_side, whole_text
-from matchbook.llm.components import connected_components
+from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
 MINIMA, ROWS, BITS, BANDS = 128, 3, 4, 21
@@ -37,6 +37,8 @@ LONGS = MINIMA * BITS // 64
 #: An estimate has a standard error of 0.037 at a similarity of 0.8; pairs are dropped five errors below it.
 SLACK = 0.19
 SLOT, STAR_ROUNDS = 4, 2
+#: Classes of a bucket that one task compares with as many others at the end.
+PAIR_BLOCK = 256
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: Bytes of text hashed at once.
 CHUNK = 1 << 22
@@ -171,6 +173,66 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links between classes of different components in each meeting of two blocks of a
+    bucket (rows sorted by meeting). A pair is compared in the first bucket that it shares,
+    and not at all if bit counts rule it out or the block has already joined the two."""
+    meeting: list[tuple] = []
+    at = None
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        reps, own = [r[0] for r in meeting], np.array([r[5] for r in meeting])
+        first, second = (at[1], at[2]) if at else (0, 0)
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        root = {r[2]: r[2] for r in meeting}
+        if len(root) < 2 or not len(left) or not len(right):
+            return
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        part = np.array([r[2] for r in meeting])
+        sig = np.array([r[7 : 7 + LONGS] for r in meeting], np.int64).view(np.uint64)
+        unequal = np.zeros((len(left), len(right)), np.int64)
+        for k in range(LONGS):
+            x = sig[left, k][:, None] ^ sig[right, k][None, :]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            unequal += np.bitwise_count(x & np.uint64(0x1111111111111111))
+        chance = 2.0**-BITS
+        near = ((1 - unequal / MINIMA) - chance) / (1 - chance) >= least
+        near &= part[left][:, None] != part[right][None, :]
+        sets: dict[int, np.ndarray] = {}
+        found: list[tuple[int, int]] = []
+        for x, y in zip(*(side[k].tolist() for side, k in zip((left, right), np.nonzero(near), strict=True)), strict=True):
+            if (first == second and x >= y) or find(part[x]) == find(part[y]):
+                continue
+            if any(k < at[0] for k in meeting[x][6] if k in meeting[y][6]):
+                continue
+            for i in (x, y):
+                if i not in sets:
+                    sets[i] = shingle_sets([meeting[i][7 + LONGS].encode()], words)[0]
+            p, q = sets[x], sets[y]
+            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                continue
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * both >= percent * (len(p) + len(q) - both):
+                found.append((reps[x], reps[y]))
+                root[find(part[x])] = find(part[y])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "key", "component", "i", "j", "own", "keys", *SIGNATURE, "text")), strict=True):
+            if at != (row[1], row[3], row[4]):
+                yield from solve()
+                meeting, at = [], (row[1], row[3], row[4])
+            meeting.append(row)
+    yield from solve()
+
+
 def _estimate(a: str, b: str) -> F.Column:
     """Similarity from packed signatures: the share of equal b-bit values, less what
     chance gives, 2**-b."""
@@ -205,39 +267,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     banded = stage_table(banded.join(shared, "key"), "near-banded")
     sigs = classes.select("rep", *SIGNATURE)
 
+    def placed_in(component: DataFrame | None) -> DataFrame:
+        """Band rows with their components; of later rounds only buckets with several."""
+        if component is None:
+            return banded.select("rep", "key", F.col("rep").alias("component"))
+        rows = banded.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+        open_keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        return stage_table(rows.join(open_keys, "key"), "near-open")
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        needed = stage_table(reps.distinct().toDF("doc_id"), "near-needed")
+        return stage_table(body.join(small_side(needed, needed.count()), "doc_id", "left_semi").distinct(), "near-texts")
+
     links, component, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = banded.select("rep", "key", F.col("rep").alias("component")) if component is None else banded.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
-        if turn:
-            open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            placed = stage_table(placed.join(open_keys, "key"), "near-open")
-        if placed.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            slots = placed.groupBy("key").agg(F.greatest(F.floor(F.count("*") / SLOT), F.lit(1)).alias("slots"))
-            dealt = placed.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("slots")))
-            first = dealt.groupBy("key", "slot").agg(F.min(F.struct("rep", "component")).alias("c"))
-            pairs = dealt.join(first, ["key", "slot"]).where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-        else:
-            x = placed.join(sigs, "rep").select(F.col("rep").alias("r"), "key", F.col("component").alias("k"), *SIGNATURE)
-            # every pair of classes of different components; what the bit counts rule out is never emitted
-            pairs = x.alias("p").join(x.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.r") < F.col("q.r")) & (F.col("p.k") != F.col("q.k")) & (_estimate("p", "q") >= percent / 100 - SLACK)).select(F.col("p.r").alias("a"), F.col("q.r").alias("b"))
-        pairs = pairs.distinct()
+    least = percent / 100 - SLACK
+    for turn in range(STAR_ROUNDS):
+        placed = placed_in(component)
+        slots = placed.groupBy("key").agg(F.greatest(F.floor(F.count("*") / SLOT), F.lit(1)).alias("slots"))
+        dealt = placed.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("slots")))
+        first = dealt.groupBy("key", "slot").agg(F.min(F.struct("rep", "component")).alias("c"))
+        pairs = dealt.join(first, ["key", "slot"]).where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < STAR_ROUNDS:
-            p, q = sigs.alias("p"), sigs.alias("q")
-            pairs = pairs.join(p, F.col("a") == F.col("p.rep")).join(q, F.col("b") == F.col("q.rep")).where(_estimate("p", "q") >= percent / 100 - SLACK).select("a", "b")
+        p, q = sigs.alias("p"), sigs.alias("q")
+        pairs = pairs.join(p, F.col("a") == F.col("p.rep")).join(q, F.col("b") == F.col("q.rep")).where(_estimate("p", "q") >= least).select("a", "b")
         pairs = stage_table(pairs, "near-pairs")
         if pairs.isEmpty():
-            continue
+            break
         tried = pairs if tried is None else tried.union(pairs)
-        needed = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-needed")
-        texts = stage_table(body.join(small_side(needed, needed.count()), "doc_id", "left_semi").distinct(), "near-texts")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b"))))
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         new = stage_table(both.mapInArrow(lambda it: _confirmed(it, words, percent), "a long, b long"), "near-links")
         links = new if links is None else links.union(new)
         component = connected_components(links)
+    if tried is not None:
+        placed = placed_in(component)
+        keys = placed.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+        dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        dealt = dealt.select("rep", "key", "component", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select("rep", "key", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+        full = dealt.join(keys, "rep").join(sigs, "rep").join(texts_of(placed.select("rep")).toDF("rep", "text"), "rep")
+        meeting = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        new = stage_table(meeting.mapInArrow(lambda it: _met(it, words, percent, least), "a long, b long"), "near-links")
+        links = links.union(new)
+        component = connected_components(links)
     of_class = classes.select("digest", F.col("rep").alias("node"))
     if component is not None:
         of_class = of_class.join(component, "node", "left")
