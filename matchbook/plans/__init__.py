@@ -1,6 +1,6 @@
 """matchbook.plans: the registered queries, by what they read."""
 
-from matchbook.plans import events, places, tables
+from matchbook.plans import analytics, events, imagery, places, tables
 from matchbook.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "events", "places", "tables"]
+__all__ = ["QUERIES", "SQL", "analytics", "events", "imagery", "places", "tables"]
