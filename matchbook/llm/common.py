@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +28,14 @@ def word_count(name: str = "text") -> Column:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Marks df for broadcast only if it was counted and found within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most `most` bytes of a text column (a row at least), so that
+    a worker's memory depends on its longest text and not on how many rows Arrow sends."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b

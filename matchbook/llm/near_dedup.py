@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import small_side, whole_text
+from matchbook.llm.common import slices, small_side, whole_text
 from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
@@ -116,7 +116,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b, "text")):
         texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
         sets = shingle_sets(texts, words)
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -160,7 +160,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
                 memo.popitem(last=False)
         return memo[key, text]
 
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b, "text_a")):
         linked = []
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
             p, q = shingles(a, x), shingles(b, y)
@@ -224,7 +224,7 @@ def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: flo
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b, "text")):
         for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "key", "component", "i", "j", "own", "keys", *SIGNATURE, "text")), strict=True):
             if at != (row[1], row[3], row[4]):
                 yield from solve()

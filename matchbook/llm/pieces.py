@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchbook.llm.common import whole_text
+from matchbook.llm.common import slices, whole_text
 
 BLANK = "▁"
 #: Characters of distinct units indexed at once; longer units are merged one by one.
-INDEX, LONG_UNIT = 1 << 21, 64
+INDEX, LONG_UNIT = 1 << 19, 64
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -126,9 +127,10 @@ def _edges(codes: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     keys = [k[suffixes] for k in keys]
     first, end = _bound(keys, v.low, False), _bound(keys, v.high, True)
     found = end - first
-    rank = np.repeat(np.arange(len(found)), found)
-    at = np.arange(len(rank)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(first, found)
-    start = suffixes[at]
+    rank = np.repeat(np.arange(len(found), dtype=np.int32), found)
+    at = np.repeat(first - (np.cumsum(found) - found), found)
+    at += np.arange(len(rank))
+    start = suffixes[at].astype(np.int32)
     order = np.argsort(start)
     return start[order], rank[order]
 
@@ -137,7 +139,7 @@ def _merged(codes: np.ndarray, unit: np.ndarray, v: Pieces) -> tuple[np.ndarray,
     """Relaxes the edges of all units side by side. Gives the starts of the symbols that
     remain and the id of each (-1 where a character is no piece)."""
     start, rank = _edges(codes, v)
-    end = start + v.lengths[rank]
+    end = start + v.lengths[rank].astype(np.int32)
     symbol = v.single[codes]
     nxt = np.arange(1, len(codes) + 2)
     alive = np.ones(len(codes) + 1, bool)
@@ -151,7 +153,7 @@ def _merged(codes: np.ndarray, unit: np.ndarray, v: Pieces) -> tuple[np.ndarray,
             break
         of = unit[start[ready]]
         begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        best = np.minimum.reduceat(rank[ready] << 32 | np.arange(len(ready)), begins) & 0xFFFFFFFF
+        best = np.minimum.reduceat(rank[ready].astype(np.int64) << 32 | np.arange(len(ready)), begins) & 0xFFFFFFFF
         chosen = ready[best]
         s = start[chosen]
         alive[middle[chosen]] = False
@@ -221,34 +223,55 @@ def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(unit[left], minlength=len(units))
 
 
+class Encoder:
+    """Encodes texts and remembers units; forgets all when it knows more than `memory`."""
+
+    def __init__(self, v: Pieces, memory: int = 400_000):
+        self.v, self.memory = v, memory
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.first = np.zeros(1, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        ids, counts, a = [self.ids], [], 0
+        while a < len(units):
+            b, size = a, 0
+            while b < len(units) and (b == a or size < INDEX):
+                size += len(units[b]) + 1
+                b += 1
+            i, c = _encode_units(units[a:b], self.v)
+            ids.append(i.astype(np.int32))
+            counts.append(c)
+            a = b
+        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has. An empty text has none."""
+        if len(self.place) > self.memory:
+            self.forget()
+        place, known = self.place, len(self.place)
+        per_text, seen = [], []
+        for t in texts:
+            units = _UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else []
+            per_text.append(len(units))
+            seen.append(np.fromiter((place.setdefault(u, len(place)) for u in units), np.int32, len(units)))
+        if len(place) > known:
+            self._learn(list(islice(place, known, None)))
+        order = np.concatenate(seen) if seen else np.zeros(0, np.int32)
+        begin = self.first[order]
+        n = self.first[order + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin - ends[:-1], n)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])
+
+
 def encode_texts(texts: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and how many each has. An empty text has none."""
-    place: dict[str, int] = {}
-    seen: list[int] = []
-    per_text = []
-    for t in texts:
-        units = _UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else []
-        per_text.append(len(units))
-        seen += [place.setdefault(u, len(place)) for u in units]
-    units, ids, counts = list(place), [], []
-    a = 0
-    while a < len(units):
-        b, size = a, 0
-        while b < len(units) and (b == a or size < INDEX):
-            size += len(units[b]) + 1
-            b += 1
-        i, c = _encode_units(units[a:b], v)
-        ids.append(i)
-        counts.append(c)
-        a = b
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    first = np.cumsum(count) - count
-    order = np.array(seen, np.int64)
-    n = count[order] if len(order) else np.zeros(0, np.int64)
-    at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(order) else np.zeros(0, np.int64)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return flat[at].astype(np.int32), np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+    return Encoder(v)(texts)
 
 
 def decode_ids(ids: list[int], v: Pieces) -> str:
@@ -259,8 +282,9 @@ def decode_ids(ids: list[int], v: Pieces) -> str:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, counts = encode_texts(batch.column("__text").to_pylist(), v)
+    encoder = Encoder(v)
+    for batch in (s for b in batches for s in slices(b, "__text")):
+        ids, counts = encoder(batch.column("__text").to_pylist())
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
         yield pa.RecordBatch.from_arrays([lists if f.name == "piece_ids" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -281,7 +305,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | No
 
 
 def _decode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
         texts = pa.array([decode_ids(i or [], v) for i in batch.column("__ids").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([texts if f.name == "decoded" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
