@@ -2,7 +2,7 @@
 
 A vector is coded as a sum of one entry from each of LEVELS codebooks, all of full
 dimension. Codebooks are learned on a bounded sample: k-means of residuals level by
-level, then one least-squares fit of all books at once. Encoding is a beam search
+level, then sweeps that fit each book to what the others leave. Encoding is a beam search
 over the levels. Queries are scored against the codes by table lookup (a table of
 inner products a level), the best are scored again on the original vectors.
 
@@ -27,7 +27,7 @@ from matchbook.session import stage_table
 LEVELS, WORDS, BEAM = 24, 256, 4
 #: Vectors the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 8192
-ROUNDS = 4
+ROUNDS, SWEEPS = 4, 4
 BLOCK, QUERIES, FAN = 16384, 512, 64
 
 
@@ -54,25 +54,26 @@ class Quantiser:
                 book[count > 0] = total[count > 0] / count[count > 0, None]
             rest -= book[_nearest(rest, book)]
         self = cls(books)
-        codes = self.encode(x).astype(np.int64) + np.arange(LEVELS) * WORDS
-        # all books at once: ridge regression of the vectors on the chosen words
-        together = np.zeros((LEVELS * WORDS, LEVELS * WORDS), np.float32)
-        for i in range(LEVELS):
-            for j in range(LEVELS):
-                np.add.at(together, (codes[:, i], codes[:, j]), 1)
-        onto = np.zeros((LEVELS * WORDS, x.shape[1]), np.float32)
-        for i in range(LEVELS):
-            np.add.at(onto, codes[:, i], x - self.decode(codes - np.arange(LEVELS) * WORDS))
-        together[np.diag_indices_from(together)] += 1
-        self.books = books + np.linalg.solve(together, onto).reshape(books.shape).astype(np.float32)
+        # all books again, each to the mean of what the others leave of its vectors
+        codes = self.encode(x)
+        left = x - self.decode(codes)
+        for _ in range(SWEEPS):
+            for level, book in enumerate(books):
+                of = codes[:, level]
+                count = np.bincount(of, minlength=WORDS)
+                total = np.zeros_like(book)
+                np.add.at(total, of, left)
+                step = total / np.maximum(count, 1)[:, None]
+                book += step
+                left -= step[of]
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes (n, levels), by beam search: the BEAM best sums so far are carried on."""
         out = np.empty((len(x), LEVELS), np.uint8)
         norms = (self.books**2).sum(axis=2)
-        for a in range(0, len(x), 1024):
-            part = x[a : a + 1024]
+        for a in range(0, len(x), 512):
+            part = x[a : a + 512]
             n = len(part)
             rest, cost, codes = part[:, None, :], (part**2).sum(axis=1)[:, None], np.zeros((n, 1, 0), np.uint8)
             for level, book in enumerate(self.books):
