@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,3 +40,42 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
         yield batch.slice(a, b - a)
         a = b
+
+
+class UnitMemory:
+    """Encodes texts that fall into units whose ids do not depend on their neighbours: each
+    distinct unit is encoded once and remembered; all are forgotten beyond `memory` units.
+
+    split gives a text's units, learn the ids of new units, one after the other, and how
+    many each has."""
+
+    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], memory: int = 400_000):
+        self.split, self.learn, self.memory = split, learn, memory
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.first = np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has. An empty text has none."""
+        if len(self.place) > self.memory:
+            self.forget()
+        place, known = self.place, len(self.place)
+        per_text, seen = [], []
+        for t in texts:
+            units = self.split(t) if t else []
+            per_text.append(len(units))
+            seen.append(np.fromiter((place.setdefault(u, len(place)) for u in units), np.int32, len(units)))
+        if len(place) > known:
+            ids, counts = self.learn(list(islice(place, known, None)))
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        order = np.concatenate(seen) if seen else np.zeros(0, np.int32)
+        begin = self.first[order]
+        n = self.first[order + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin - ends[:-1], n)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])

@@ -17,7 +17,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchbook.llm.common import slices, whole_text
+from matchbook.llm.common import UnitMemory, slices, whole_text
 
 BLANK = "▁"
 #: Characters of distinct units indexed at once; longer units are merged one by one.
@@ -223,55 +222,29 @@ def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(unit[left], minlength=len(units))
 
 
-class Encoder:
-    """Encodes texts and remembers units; forgets all when it knows more than `memory`."""
+def _split(text: str) -> list[str]:
+    return _UNIT.findall(BLANK + text.replace(" ", BLANK))
 
-    def __init__(self, v: Pieces, memory: int = 400_000):
-        self.v, self.memory = v, memory
-        self.forget()
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        ids, counts, a = [self.ids], [], 0
+def encoder(v: Pieces) -> UnitMemory:
+    def learn(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts, a = [], [], 0
         while a < len(units):
             b, size = a, 0
             while b < len(units) and (b == a or size < INDEX):
                 size += len(units[b]) + 1
                 b += 1
-            i, c = _encode_units(units[a:b], self.v)
-            ids.append(i.astype(np.int32))
+            i, c = _encode_units(units[a:b], v)
+            ids.append(i)
             counts.append(c)
             a = b
-        self.ids = np.concatenate(ids)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has. An empty text has none."""
-        if len(self.place) > self.memory:
-            self.forget()
-        place, known = self.place, len(self.place)
-        per_text, seen = [], []
-        for t in texts:
-            units = _UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else []
-            per_text.append(len(units))
-            seen.append(np.fromiter((place.setdefault(u, len(place)) for u in units), np.int32, len(units)))
-        if len(place) > known:
-            self._learn(list(islice(place, known, None)))
-        order = np.concatenate(seen) if seen else np.zeros(0, np.int32)
-        begin = self.first[order]
-        n = self.first[order + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin - ends[:-1], n)
-        at += np.arange(len(at))
-        return self.ids[at], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    return UnitMemory(_split, learn)
 
 
 def encode_texts(texts: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    return Encoder(v)(texts)
+    return encoder(v)(texts)
 
 
 def decode_ids(ids: list[int], v: Pieces) -> str:
@@ -282,9 +255,9 @@ def decode_ids(ids: list[int], v: Pieces) -> str:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(v)
+    encode_all = encoder(v)
     for batch in (s for b in batches for s in slices(b, "__text")):
-        ids, counts = encoder(batch.column("__text").to_pylist())
+        ids, counts = encode_all(batch.column("__text").to_pylist())
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
         yield pa.RecordBatch.from_arrays([lists if f.name == "piece_ids" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)

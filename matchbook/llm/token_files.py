@@ -18,10 +18,12 @@ against lost executors and any store Spark can write to will do.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,64 +31,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import whole_text
+from matchbook.llm.common import UnitMemory, slices, whole_text
 
 MAGIC = b"IDS1"
 #: Ids of a block, ids after which a segment closes, lanes coded at once.
-BLOCK, SEGMENT, LANES = 4096, 1 << 20, 512
-_ORDER1, _ORDER2 = 10, 12  # bits of the prediction tables
-_SYMBOLS, _HITS = 20, 3
-_ADD, _LIMIT = 24, 4000
+BLOCK, SEGMENT, LANES = 2048, 1 << 22, 2048
+_ORDER1, _ORDER2 = 10, 11  # bits of the prediction tables
+#: Three hits and the literal classes: ids of at most _LOW binary digits, then one more each.
+_SYMBOLS, _HITS, _LOW = 16, 3, 5
+#: Counts grow by _ADD and are halved every _AGE ids.
+_ADD, _AGE = 24, 128
 _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
 
 
 class _Lanes:
-    """State of the model for many blocks at once."""
+    """State of the model for many blocks at once; all tables are flat, a lane after the other."""
 
     def __init__(self, lanes: int):
-        self.at = np.arange(lanes)
-        self.one = np.zeros((lanes, 1 << _ORDER1), np.uint32)  # id << 2 | confidence
-        self.two = np.zeros((lanes, 1 << _ORDER2), np.uint32)
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.one = np.zeros(lanes << _ORDER1, np.uint32)  # id << 2 | confidence
+        self.two = np.zeros(lanes << _ORDER2, np.uint32)
         self.vote, self.votes = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
-        start = np.ones(_SYMBOLS, np.uint32)
-        start[_HITS:] += np.arange(_SYMBOLS - _HITS, dtype=np.uint32)
-        self.by_two, self.by_one = (np.tile(start, (lanes, 5, 1)) for _ in range(2))
-        self.alone = np.tile(start, (lanes, 1))
+        start = np.full(_SYMBOLS, 2, np.uint16)
+        start[_HITS:] += np.arange(_SYMBOLS - _HITS, dtype=np.uint16)
+        # counts under the confidence of order 2 (5 rows a lane), of order 1 (5), without context (1)
+        self.counts = np.tile(start, (lanes * 11, 1))
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The three predicted ids (3, lanes) and the cumulated mixed frequencies (lanes, symbols)."""
-        n = len(self.at)
-        self.h1 = (self.last * np.uint32(0x9E3779B1)) >> np.uint32(32 - _ORDER1)
-        self.h2 = (self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ORDER2)
-        self.e1, self.e2 = self.one[self.at, self.h1], self.two[self.at, self.h2]
-        self.c1, self.c2 = (self.e1 & 3) + (self.e1 > 0), (self.e2 & 3) + (self.e2 > 0)
-        self.f1, self.f2 = self.by_one[self.at, self.c1], self.by_two[self.at, self.c2]
-        mixed = self.f2 * np.uint32(2)
-        mixed += self.f1
-        mixed += self.alone[:n]
-        return np.stack([self.e2 >> 2, self.e1 >> 2, self.vote]), np.cumsum(mixed, axis=1, dtype=np.uint32)
+        self.step = 0
+        self.base = self.lane * _SYMBOLS
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids predicted by order 2 and 1, and the cumulated mixed frequencies, flat."""
+        if self.step % _AGE == _AGE - 1:
+            self.counts >>= 1
+            self.counts += 1
+        self.step += 1
+        self.h1 = ((self.last * np.uint32(0x9E3779B1)) >> np.uint32(32 - _ORDER1)) + (self.lane << _ORDER1)
+        self.h2 = ((self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ORDER2)) + (self.lane << _ORDER2)
+        self.e1, self.e2 = self.one.take(self.h1), self.two.take(self.h2)
+        row = self.lane * 11
+        self.r2 = row + (self.e2 & np.uint32(3)) + (self.e2 > 0)
+        self.r1 = row + 5 + (self.e1 & np.uint32(3)) + (self.e1 > 0)
+        self.r0 = row + 10
+        mixed = self.counts.take(self.r2, axis=0)
+        mixed <<= 1
+        mixed += self.counts.take(self.r1, axis=0)
+        mixed += self.counts.take(self.r0, axis=0)
+        self.p2, self.p1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
+        return self.p2, self.p1, np.cumsum(mixed, axis=1, dtype=np.uint32)
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        for counts, row, context in ((self.by_two, self.f2, self.c2), (self.by_one, self.f1, self.c1), (self.alone, self.alone, None)):
-            if context is None:
-                counts[self.at, symbol] += _ADD
-                heavy = np.flatnonzero(counts[self.at, symbol] > _LIMIT)
-                if len(heavy):
-                    counts[heavy] = (counts[heavy] >> 1) + 1
-            else:
-                counts[self.at, context, symbol] += _ADD
-                heavy = np.flatnonzero(counts[self.at, context, symbol] > _LIMIT)
-                if len(heavy):
-                    counts[heavy, context[heavy]] = (row[heavy] >> 1) + 1
-        for table, entry, h in ((self.one, self.e1, self.h1), (self.two, self.e2, self.h2)):
-            right, sure = (entry >> 2) == ids, entry & 3
-            kept = np.where(right, entry + (sure < 3), entry - 1)
-            table[self.at, h] = np.where(right | (sure > 0), kept, ids << 2)
+        flat = self.counts.reshape(-1)
+        for r in (self.r2, self.r1, self.r0):
+            at = r * _SYMBOLS + symbol
+            flat[at] = flat.take(at) + np.uint16(_ADD)
+        fresh = ids << np.uint32(2)
+        for table, entry, guess, h in ((self.one, self.e1, self.p1, self.h1), (self.two, self.e2, self.p2, self.h2)):
+            right, sure = guess == ids, entry & np.uint32(3)
+            kept = entry + ((sure < 3) & right)
+            kept -= ~right
+            table[h] = np.where(right | (sure > 0), kept, fresh)
         agree = self.vote == ids
-        self.votes += np.where(agree, 1, -1).astype(np.int32)
+        self.votes += agree
+        self.votes -= ~agree
         lost = self.votes < 0
         self.vote = np.where(lost, ids, self.vote)
         self.votes[lost] = 1
@@ -94,13 +103,15 @@ class _Lanes:
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
-        for name in ("at", "one", "two", "vote", "votes", "by_two", "by_one", "alone", "last", "before"):
+        self.counts = self.counts[: n * 11]
+        self.one, self.two = self.one[: n << _ORDER1], self.two[: n << _ORDER2]
+        for name in ("lane", "vote", "votes", "last", "before", "base"):
             setattr(self, name, getattr(self, name)[:n])
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """Size class: the number of binary digits."""
-    return np.frexp(ids.astype(np.float64))[1].astype(np.uint32)
+def _digits(ids: np.ndarray) -> np.ndarray:
+    """Binary digits of each id."""
+    return np.frexp(ids.astype(np.float32))[1]
 
 
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -117,16 +128,17 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             live = now
             model.shrink(live)
         x = ids[t, :live]
-        guess, upto = model.predict()
-        digits = _bits(x)
-        symbol = np.where(guess[0] == x, 0, np.where(guess[1] == x, 1, np.where(guess[2] == x, 2, digits + _HITS))).astype(np.int64)
-        high = upto[model.at, symbol].astype(_U)
-        begin = np.where(symbol > 0, upto[model.at, symbol - 1], 0).astype(_U)
+        two, one, upto = model.predict()
+        digits = np.maximum(_digits(x), _LOW)
+        symbol = np.where(two == x, 0, np.where(one == x, 1, np.where(model.vote == x, 2, digits + (_HITS - _LOW)))).astype(np.int64)
+        flat, at = upto.reshape(-1), model.base + symbol
+        high = flat.take(at).astype(_U)
+        begin = (flat.take(np.maximum(at - 1, 0)) * (symbol > 0)).astype(_U)
         lo, sp = low[:live], span[:live]
         sp //= upto[:, -1].astype(_U)
         lo += begin * sp
         sp *= high - begin
-        extra = np.where(symbol >= _HITS, np.maximum(digits, 1) - 1, 0).astype(_U)
+        extra = np.where(symbol >= _HITS, digits - (digits > _LOW), 0).astype(_U)
         sp >>= extra
         lo += (x.astype(_U) & ((_U(1) << extra) - _U(1))) * sp
         _shift(lo, sp, room, used, live)
@@ -181,22 +193,24 @@ def _decode_lanes(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
         if now < live:
             live = now
             model.shrink(live)
-        guess, upto = model.predict()
+        two, one, upto = model.predict()
         lo, sp, co = low[:live], span[:live], code[:live]
-        sp //= upto[:, -1].astype(_U)
-        value = np.minimum((co - lo) // sp, upto[:, -1].astype(_U) - _U(1)).astype(np.uint32)
+        total = upto[:, -1].astype(_U)
+        sp //= total
+        value = np.minimum((co - lo) // sp, total - _U(1)).astype(np.uint32)
         symbol = (upto <= value[:, None]).sum(axis=1)
-        high = upto[model.at, symbol].astype(_U)
-        begin = np.where(symbol > 0, upto[model.at, symbol - 1], 0).astype(_U)
+        flat, at = upto.reshape(-1), model.base + symbol
+        high = flat.take(at).astype(_U)
+        begin = (flat.take(np.maximum(at - 1, 0)) * (symbol > 0)).astype(_U)
         lo += begin * sp
         sp *= high - begin
-        digits = np.maximum(symbol - _HITS, 0).astype(_U)
-        extra = np.maximum(digits, _U(1)) - _U(1)
+        digits = symbol - _HITS + _LOW
+        extra = np.where(symbol >= _HITS, digits - (digits > _LOW), 0).astype(_U)
         sp >>= extra
         rest = np.minimum((co - lo) // sp, (_U(1) << extra) - _U(1))
         lo += rest * sp
-        literal = np.where(digits > 0, (_U(1) << extra) | rest, _U(0)).astype(np.uint32)
-        x = np.where(symbol == 0, guess[0], np.where(symbol == 1, guess[1], np.where(symbol == 2, guess[2], literal)))
+        literal = np.where(digits > _LOW, (_U(1) << extra) | rest, rest).astype(np.uint32)
+        x = np.where(symbol == 0, two, np.where(symbol == 1, one, np.where(symbol == 2, model.vote, literal)))
         out[t, :live] = x
         _shift(lo, sp, room, used, live, co)
         model.learn(x, symbol)
@@ -204,10 +218,11 @@ def _decode_lanes(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """All blocks of a run of ids, each below 2**16: number of ids, then a size and two
+    """All blocks of a run of ids, each below 2**17: number of ids, then a size and two
     checksums a block, then the coded blocks."""
-    if len(ids) and int(ids.max()) >> (_SYMBOLS - _HITS - 1):
-        raise ValueError(f"ids must be below {1 << (_SYMBOLS - _HITS - 1)}")
+    top = 1 << (_SYMBOLS - _HITS - 1 + _LOW)
+    if len(ids) and int(ids.max()) >= top:
+        raise ValueError(f"ids must be below {top}")
     n = -(-len(ids) // BLOCK)
     sizes = np.full(n, BLOCK)
     if n:
@@ -250,42 +265,30 @@ def unpack(data: bytes) -> np.ndarray:
 _PIECE = re.compile(r"\s*\S+|\s+")
 
 
-def word_encoder(path: str, memory: int = 1_000_000) -> Callable[[list[str]], Iterator[list[list[int]]]]:
+def word_encoder(path: str) -> UnitMemory:
     """Encodes as the tokenizers library does, a word at a time with a memory of words.
 
     The vocabulary's own split never joins a non-blank to a following blank, so a text's
     ids are those of its pieces (blanks, then non-blanks). Texts with the four separators
-    that Python calls blank and the library doesn't are encoded whole. Strings of special
+    that Python calls blank and the library doesn't are one piece. Strings of special
     tokens in a text are ordinary text.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known: dict[str, list[int]] = {}
-
-    def encode(texts: list[str]) -> Iterator[list[list[int]]]:
-        for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                yield [tokenizer.encode(text, add_special_tokens=False).ids]
-                continue
-            pieces = _PIECE.findall(text)
-            new = list({p for p in pieces if p not in known})
-            if new:
-                if len(known) + len(new) > memory:
-                    known.clear()
-                    new = list(set(pieces))
-                for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = e.ids
-            yield [known[p] for p in pieces]
-
-    return encode
 
+    def split(text: str) -> list[str]:
+        return [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else _PIECE.findall(text)
 
-def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    import os
-    from itertools import chain
+    def learn(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for a in range(0, len(pieces), 4096) for e in tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    return UnitMemory(split, learn)
 
+
+def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encode = word_encoder(vocabulary)
     shard, nth = TaskContext.get().partitionId(), 0
@@ -300,17 +303,17 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
             names=["shard", "segment", "n_tokens", "doc_ids", "lengths", "data"],
         )
 
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for doc, pieces in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-            ids = np.fromiter(chain.from_iterable([*pieces, [end_id]]), np.uint32)
-            docs.append(doc)
-            lengths.append(len(ids))
-            parts.append(ids)
-            size += len(ids)
-            if size >= SEGMENT:
-                yield close()
-                docs, lengths, parts, size, nth = [], [], [], 0, nth + 1
+    for batch in (s for b in batches for s in slices(b, "text")):
+        ids, counts = encode(batch.column("text").to_pylist())
+        ends = np.cumsum(counts)
+        closed = np.insert(ids, ends, end_id).astype(np.uint32)  # an end after each document
+        docs += batch.column("doc_id").to_pylist()
+        lengths += (counts + 1).tolist()
+        parts.append(closed)
+        size += len(closed)
+        if size >= SEGMENT:
+            yield close()
+            docs, lengths, parts, size, nth = [], [], [], 0, nth + 1
     if docs:
         yield close()
 
@@ -320,7 +323,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, t
     place in the segment), each document closed by end_id.
 
     Null texts count as empty: their only id is end_id. Null ids come first; repeated ids
-    stay together. A document of more than SEGMENT ids has a segment to itself. An empty
+    stay together. A segment closes at the first slice of texts
+    after SEGMENT ids. An empty
     table writes an empty dataset.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"))
