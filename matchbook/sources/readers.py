@@ -38,12 +38,11 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_json_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines; where those give nothing but corrupt rows, one JSON array or object."""
+    """JSON lines; where the first line is no whole object, one JSON array or object a file."""
     r = spark.read if schema is None else spark.read.schema(schema)
-    lines = r.option("mode", "PERMISSIVE").json(path)
-    if lines.columns == ["_corrupt_record"] or (schema is not None and lines.where(" OR ".join(f"`{c}` IS NOT NULL" for c in lines.columns)).isEmpty()):
-        return r.option("multiLine", True).json(path)
-    return lines
+    line = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    first = line[0][0].strip() if line else "{}"
+    return r.option("multiLine", not (first.startswith("{") and first.endswith("}"))).json(path)
 
 
 def read_catalog(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
