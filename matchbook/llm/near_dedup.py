@@ -38,7 +38,7 @@ LONGS = MINIMA * BITS // 64
 SLACK = 0.19
 SLOT, STAR_ROUNDS = 4, 2
 #: Classes of a bucket that one task compares with as many others at the end.
-PAIR_BLOCK = 256
+PAIR_BLOCK = 512
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: Bytes of text hashed at once.
 CHUNK = 1 << 22
