@@ -1,0 +1,382 @@
+"""The operators against SQL, brute force, round trips and held-out accuracy, and their
+edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+from brute import base_spans, near, shingles  # noqa: E402
+
+from matchbook.llm import ann, chat, line_dedup, mixing, pii, token_files  # noqa: E402
+from matchbook.llm.exact_dedup import exact_dedup  # noqa: E402
+from matchbook.llm.language_id import Model, PAD, identify, sample_windows, train  # noqa: E402
+from matchbook.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets  # noqa: E402
+from matchbook.llm.pieces import Pieces, decode, decode_ids, encode, encode_texts  # noqa: E402
+from matchbook.llm.queries import oracle_sql, queries, tokenizer_file  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " ", "x", "\t\n", "Ä b", "word " * 9, "a" * 70000, "日本 𝒳 ﬁ", "it's  3.14\x1c!", "\0"]
+
+
+def documents(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids or range(len(texts)), texts, strict=True)], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_matches_sql(spark, name):
+    from compare import connection, same_rows
+
+    same_rows(queries()[name](spark, SMALL), connection(SMALL), oracle_sql()[name])
+
+
+# --- 1: exact dedup
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_dedup_over_many_partitions(spark, keep):
+    texts = ["hot"] * 300 + [f"t{i % 7}" for i in range(50)] + [None, "", "y" * 5000, "y" * 5000]
+    df = documents(spark, texts).repartition(5)
+    got = {r["doc_id"]: r for r in exact_dedup(df, keep=keep).collect()}
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault(t or "", []).append(i)
+    for t, ids in by.items():
+        stays = max(ids) if keep == "largest" else min(ids)
+        for i in ids:
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (stays, len(ids), i == stays)
+            assert got[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    left = exact_dedup(df, keep=keep, carry=df.columns)
+    assert left.columns == df.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(max(v) if keep == "largest" else min(v) for v in by.values())
+
+
+def test_exact_dedup_of_little(spark):
+    assert exact_dedup(documents(spark, ["a"]).limit(0)).count() == 0
+    assert exact_dedup(documents(spark, ["a"]).limit(0), carry=["doc_id", "text"]).count() == 0
+    twice = documents(spark, ["a", "a"], [4, 4])
+    assert exact_dedup(twice, carry=["doc_id"]).count() == 1
+    nulls = documents(spark, [None, ""], [1, None]).withColumn("run", F.lit(1)).withColumn("size", F.lit(2)).withColumn("part", F.lit(3))
+    got = exact_dedup(nulls, keep="largest", carry=nulls.columns).collect()
+    assert [(r["doc_id"], r["text"], r["run"], r["size"], r["part"]) for r in got] == [(1, None, 1, 2, 3)]
+
+
+def test_exact_dedup_normalised(spark):
+    df = documents(spark, ["A b", "a B", "c"])
+    assert exact_dedup(df, normalise=F.lower("text")).where("kept").count() == 2
+
+
+# --- 2: token files
+
+
+@pytest.mark.parametrize("ids", [[], [0], [131071, 0, 5, 31, 32, 33, 63, 64], [7] * 5000, list(np.random.default_rng(1).integers(0, 65536, 9000))])
+def test_range_coder_round_trip(ids):
+    ids = np.array(ids, np.uint32)
+    data = token_files.pack(ids)
+    assert (token_files.unpack(data) == ids).all()
+    if len(ids) > 100:
+        broken = bytearray(data)
+        broken[-3] ^= 1
+        with pytest.raises(ValueError, match="checksum"):
+            token_files.unpack(bytes(broken))
+
+
+def test_range_coder_refuses_large_ids():
+    with pytest.raises(ValueError, match="below"):
+        token_files.pack(np.array([1 << 17], np.uint32))
+
+
+def test_token_files(spark, small, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()] + [(1000 + i, x) for i, x in enumerate([*ODD, "<|endoftext|> a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_files.write_tokens(df, f"file://{tmp_path}/t", tokenizer_file("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in token_files.read_tokens(spark, f"file://{tmp_path}/t").collect()}
+    start = 0
+    for i, x in sorted(rows):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"], got[i]["ids"]) == want
+        start += len(ids)
+    token_files.write_tokens(df.limit(0), f"file://{tmp_path}/e", tokenizer_file("byte_bpe_50k.json"))
+    assert token_files.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+
+
+# --- 3: SentencePiece
+
+
+def test_pieces_equal_the_library(spark, small):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), Pieces.load(path)
+    texts = [r["text"] for r in small.collect()] + [t or "" for t in ODD] + ["hello  world", "  a ", "x" * 300 + "日本" * 50, " " * 70 + "x"]
+    ids, counts = encode_texts(texts, v)
+    ends = np.cumsum(counts)
+    for t, n, e in zip(texts, counts, ends, strict=True):
+        mine = ids[e - n : e].tolist()
+        assert mine == sp.encode(t)
+        assert decode_ids(mine, v) == sp.decode(mine) == t
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "piece_ids int, text string")
+    coded = encode(df, path)
+    assert coded.columns == ["text", "piece_ids"]
+    assert sorted(r["decoded"] for r in decode(coded, path).collect()) == sorted(t or "" for t in ODD)
+    assert encode(df.limit(0), path).count() == 0
+
+
+# --- 4: chats
+
+
+def test_chats_round_trip(spark):
+    bad = "<|im_end|> <\\| <\\\\|im_start|>\n"
+    rows = [(1, 0, "user", bad), (1, 1, "assistant", bad), (2, 1, "assistant", "x"), (2, 0, "user", None), (3, None, "odd\\ro\nle<|", None), (None, 0, "system", "s"), (None, 1, "user", "u"), (4, 0, "user", "a"), (4, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    f = {r["conv_id"]: r for r in chat.parse_chats(chat.format_chats(df)).collect()}
+    assert [(t["role"], t["text"]) for t in f[1]["turns"]] == [("user", bad), ("assistant", bad)]
+    assert [(t["role"], t["text"]) for t in f[2]["turns"]] == [("user", ""), ("assistant", "x")]
+    assert [(t["role"], t["text"]) for t in f[3]["turns"]] == [("odd\\ro\nle<|", "")]
+    assert (f[1]["valid"], f[2]["valid"], f[3]["valid"], f[4]["first_bad"], f[None]["valid"]) == (True, True, False, 1, True)
+    loss = [f[1]["formatted"][s["start"] : s["start"] + s["length"]] for s in f[1]["segments"] if s["loss"]]
+    assert len(loss) == 1 and "<|" not in loss[0]
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# --- 5: mixing
+
+
+def test_water_filling():
+    sizes, weights = [100, 1000, 10, 500], [5, 2, 1, 5]
+    t = mixing.water_fill(sizes, weights, 1.5 * sum(sizes), 2.0)
+    assert sum(t) == pytest.approx(2415) and all(a <= 2 * s for a, s in zip(t, sizes, strict=True))
+    free = [a / w for a, w, s in zip(t, weights, sizes, strict=True) if a < 2 * s]
+    assert max(free) - min(free) < 1e-9
+    assert mixing.water_fill([0, 0], [1, 1], 0.0, 2.0) == [0, 0]
+
+
+def test_hypergeometric_tree_is_exact():
+    quotas = np.array([1000, 37, 0, 5])
+    leaves = [mixing._split(quotas, s, 13, 7) for s in range(13)]
+    assert (sum(n for _, n in leaves) == quotas).all()
+    at = np.zeros(4, int)
+    for first, n in leaves:
+        assert (first == at).all()
+        at = at + n
+    totals = [int(n.sum()) for _, n in leaves]
+    assert max(totals) - min(totals) <= 2
+
+
+def test_mix_meets_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))) if i % 11 else None, [None, "b", "a", "ü"][int(i % 7 % 4)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("kept?"))
+    m = mixing.Mixture(df)
+    got = m.rows()
+    assert set(got.columns) == {"doc_id", "text", "source", "size", "mix_shard", "mix_pass", "mix_order"}
+    taken = {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum("size").alias("t")).collect()}
+    for r in m.sources.collect():
+        assert abs(taken.get(r["source"], 0) - r["target"]) <= 60
+    assert got.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, mixing.Mixture(df.repartition(7)).rows().select(*got.columns).collect()), key=str)
+    assert mixing.Mixture(df.limit(0)).rows().count() == 0
+    assert mixing.dealt(got).count() == got.count()
+
+
+# --- 6: nearest neighbours
+
+
+def test_search_finds_most_and_scores_exactly(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 16))
+    x[5] = x[6] = x[7]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (920, [0.0] * 16, 0), (940, [float("nan")] * 16, 0), (960, [1.0], 0), (980, [None] * 16, 0), (20, x[20].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20).collect()
+    asked = sorted({r["query_id"] for r in got})
+    assert asked == list(range(0, 600, 20))
+    hit = 0
+    for q in asked:
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        s = x @ x[q]
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert all(abs(a - s[i]) < 1e-9 for _, i, a in mine) and q not in [i for _, i, _ in mine]
+        best = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
+        hit += len(set(best) & {i for _, i, _ in mine})
+    assert hit / (20 * len(asked)) >= 0.9
+    few = df.where("vec_id in (0, 1, 2)")
+    assert ann.search(few, few.where("vec_id = 0"), measure="l2").count() == 2
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_merging_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "FAN", 3)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    x = np.random.default_rng(1).standard_normal((500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 50 = 0"), k=5, keep=500).collect()
+    for q in range(0, 500, 50):
+        s = x @ x[q]
+        s[q] = -9e9
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
+
+
+# --- 7: language
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    m = Model.fresh(["a", "b", "c"], rng)
+    ids = rng.integers(0, 5, (6, 4)).astype(np.int16)
+    ids[4:, 1] = PAD
+    label = np.array([0, 1, 2, 1])
+
+    def loss():
+        p, real = m.probabilities(ids), ids != PAD
+        return -(np.log(p[:, label, np.arange(4)]) * real).sum() / real.sum()
+
+    for w, g in zip(m.weights(), m.gradients(ids, label), strict=True):
+        k = np.unravel_index(np.abs(g).argmax(), g.shape)
+        at, sides = w[k], []
+        for step in (1e-2, -1e-2):
+            w[k] = at + step
+            sides.append(loss())
+        w[k] = at
+        assert g[k] == pytest.approx((sides[0] - sides[1]) / 2e-2, rel=0.02, abs=1e-4)
+
+
+def test_language_of_held_out_documents(spark):
+    r = queries()["op7_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = r.where("held_out AND lang IS NOT NULL").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right >= 0.97
+    assert r.where("score < 0 OR score > 1").isEmpty()
+
+
+def test_language_of_odd_texts(spark, small):
+    model = train(sample_windows(small.limit(60)))
+    df = documents(spark, ODD).withColumn("score", F.lit("old"))
+    got = {r["doc_id"]: r for r in identify(df, model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(len(ODD))] == [not any(c.isalpha() for c in t or "") for t in ODD]
+    assert {r["lang_pred"] for r in identify(df, train([])).collect()} == {"und"}
+    assert identify(df.limit(0), model).count() == 0
+
+
+# --- 8: lines
+
+
+def line_sets(lines):
+    norm = [" ".join(x.lower().split()) for x in lines]
+    return [{x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} if len(x) >= line_dedup.MIN_CHARS else None for x in norm]
+
+
+def test_lines_against_brute_force(spark):
+    base = "The quick brown fox jumps over the lazy dog while a very patient owl looks on from the old oak tree nearby tonight"
+    texts = [base + "\nshort\n" + base.upper(), "other line with nothing in common to the first\n" + base.replace("tonight", "tonite") + "\nshort", None, "", "x" * 30 + "\n" + "x" * 30]
+    df = documents(spark, texts)
+    lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    sets = line_sets([x for _, _, x in lines])
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(lines)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = {lines[i][:2]: lines[find(i)][:2] for i in range(len(lines)) if sets[i]}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in line_dedup.line_components(df).collect()}
+    assert got == want
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[0]["text"] == base + "\nshort" and out[1]["n_dropped"] == 1 and out[4]["text"] == "x" * 30 and out[2]["text"] == ""
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+# --- 9: personal data
+
+
+def test_pii_base_spans(spark, small):
+    odd = [*ODD, "a@b.c_d@e.f x@y a@@b.c 1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.255", "4111 1111 1111 1111 é+49 (30) 1234-5678", "1" * 5000 + "@" + ".b" * 3000, "x@y.z " * 700]
+    texts = [r["text"] for r in small.collect()] + odd
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in got[i] if s["kind"] in {k.name for k in pii.BASE}] == base_spans(t)
+
+
+def test_pii_added_kinds_and_redaction(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 ok, GB82WEST12345698765432; GB82WEST12345698765431", "ssn 123-45-6789", "123-45-6789", "mail a@b.cd now"]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(documents(spark, texts)).collect()}
+    assert got == {0: [("iban", 5, 32), ("iban", 37, 59)], 1: [("ssn", 4, 15)], 2: [], 3: [("email", 5, 11)]}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, texts)).collect()}
+    assert out[3] == "mail [EMAIL] now" and out[2] == "123-45-6789"
+
+
+# --- 10: near duplicates
+
+
+def test_shingle_sets_like_plain_python():
+    texts = ["A b c d e", "a B C D E", "a b", "", " \t\n", "a b c d a b c d", "x" * 9000 + " y", "é b c d"]
+    mine = shingle_sets([t.encode() for t in texts], 4)
+    assert [len(s) for s in mine] == [len(shingles(t, 4)) for t in texts]
+    assert (mine[0] == mine[1]).all() and not np.intersect1d(mine[0], mine[7]).size
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates_against_brute_force(spark, words):
+    rng = np.random.default_rng(words)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.integers(400)}" for _ in range(80)]
+        for _ in range(int(rng.integers(1, 25))):
+            t = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                t[int(rng.integers(80))] = f"n{rng.integers(1000)}"
+            texts.append(" ".join(t))
+    texts += [texts[0]] * 20 + [None, "", " ", "one", "One", "two words"]
+    df = documents(spark, texts).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, words, 80).collect()}
+    assert got == near(list(enumerate(texts)), words, 80)
+    left = drop_near_duplicates(df, words, 80)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, (_, c) in got.items() if i == c)
+    assert near_duplicates(df.limit(0), words).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns = docs.columns
+    seen = {}
+    for name, stage in p.STAGES:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect() or [], stage(spark, docs, SMALL).schema)
+        seen[name] = (before, docs)
+        if name != p.STAGES[-1][0]:
+            assert docs.columns == columns
+    before, after = seen["exact dedup"]
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r[0] for r in before.groupBy("text").agg(F.max("doc_id")).select("max(doc_id)").collect())
+    before, after = seen["MinHash near-dedup"]
+    want = near([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    before, after = seen["SentencePiece"]
+    assert before.count() == after.count()
