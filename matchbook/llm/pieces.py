@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -243,6 +244,12 @@ def encoder(v: Pieces) -> UnitMemory:
     return UnitMemory(_split, learn)
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> UnitMemory:
+    """One for all tasks that a Python worker runs with a model."""
+    return encoder(Pieces.load(path))
+
+
 def encode_texts(texts: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return encoder(v)(texts)
 
@@ -254,8 +261,8 @@ def decode_ids(ids: list[int], v: Pieces) -> str:
     return text.removeprefix(" ") if ids and v.text[ids[0]].startswith(BLANK) else text
 
 
-def _encode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encode_all = encoder(v)
+def _encode(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    encode_all = worker_encoder(path)
     for batch in (s for b in batches for s in slices(b, "__text")):
         ids, counts = encode_all(batch.column("__text").to_pylist())
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -269,12 +276,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | No
     Null and empty texts have no ids. A column piece_ids that the table has is replaced.
     Characters that are no piece are spelled in bytes. Repeated rows are each answered.
     """
-    v = Pieces.load(path)
     kept = [c for c in docs.columns if c != "piece_ids"] if carry is None else carry
     rows = docs.select(*kept)
     out = T.StructType([*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
     schema = to_arrow_schema(out)
-    return docs.select(*kept, whole_text(text).alias("__text")).mapInArrow(lambda it: _encode(it, v, schema), out)
+    return docs.select(*kept, whole_text(text).alias("__text")).mapInArrow(lambda it: _encode(it, path, schema), out)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

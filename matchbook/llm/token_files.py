@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -265,8 +266,10 @@ def unpack(data: bytes) -> np.ndarray:
 _PIECE = re.compile(r"\s*\S+|\s+")
 
 
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> UnitMemory:
-    """Encodes as the tokenizers library does, a word at a time with a memory of words.
+    """Encodes as the tokenizers library does, a word at a time with a memory of words that
+    lasts as long as the Python worker, over all tasks that it runs.
 
     The vocabulary's own split never joins a non-blank to a following blank, so a text's
     ids are those of its pieces (blanks, then non-blanks). Texts with the four separators
