@@ -94,6 +94,18 @@ def group_split(rows: DataFrame, group: str, share: float, seed: int = 0) -> Dat
     return rows.withColumn("split", F.when(u < int(share * 1_000_000), "test").otherwise("train"))
 
 
+def stratified_split(sites: DataFrame, id_col: str, stratum: str, share: float, least: int, seed: int = 0) -> DataFrame:
+    """sites (a row a group, not a row an observation) with split: of each stratum the share
+    that comes first by a hash, rounded up, goes to test. Strata of fewer than `least` rows
+    become one, 'other'. Null strata are a stratum."""
+    counts = sites.groupBy(stratum).agg(F.count("*").alias("__n"))
+    whole = sites.withColumnRenamed(stratum, "__s").join(counts.withColumnRenamed(stratum, "__s"), "__s", "left")
+    named = whole.withColumn(stratum, F.when(F.col("__n") < least, "other").otherwise(F.col("__s"))).drop("__s", "__n")
+    by = Window.partitionBy(stratum)
+    at = F.row_number().over(by.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col))
+    return named.withColumn("split", F.when(at <= F.ceil(share * F.count("*").over(by)), "test").otherwise("train"))
+
+
 def balanced_folds(rows: DataFrame, group: str, folds: int = 2, label: str | None = None) -> DataFrame:
     """group, n, fold: groups by size, largest first, dealt forth and back over the folds, for
     each class mix apart if a label is given, so that folds differ by at most a group."""
