@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,15 +56,33 @@ def spread_picks(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k:
 
 def leave_one_out(groups: DataFrame, by: Sequence[str], id_col: str, value: str) -> DataFrame:
     """For each row the median and the scaled median absolute deviation of the other rows of
-    its group, the difference from that median and its robust z. Groups are matched sets of
-    a few rows; null values have no peers' part. Alone in a group: nulls."""
-    peers = groups.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(id_col).alias("i"))))).alias("all"))
-    rows = groups.join(peers, list(by))
-    others = F.transform(F.filter("all", lambda p: p["i"] != F.col(id_col)), lambda p: p["v"])
-    rows = rows.withColumn("others", others).withColumn("peer_median", median_of("others"))
-    away = F.array_sort(F.transform("others", lambda v: F.abs(v - F.col("peer_median"))))
-    rows = rows.withColumn("away", away).withColumn("peer_scale", 1.4826 * median_of("away"))
-    return rows.withColumn("delta", F.col(value) - F.col("peer_median")).withColumn("z", F.col("delta") / F.nullif(F.col("peer_scale"), F.lit(0.0))).drop("all", "others", "away")
+    its group, the difference from that median and its robust z. Null values have no peers'
+    part. Alone in a group: nulls.
+
+    A row's peers' median depends only on whether it lies below, at or above the middle, so
+    a group has at most three of them (and that of all, for null values). Its rows are ranked
+    by their distance from each; the middle of a ranking without one row is again one of three."""
+    usual = [F.col(c).isNotNull() for c in by]
+    rows = groups.where(reduce(lambda x, y: x & y, usual)) if usual else groups
+    group, v, n, k = Window.partitionBy(*by), F.col(value), F.col("__n"), F.col("__k")
+    q = F.floor(n / 2)
+
+    def placed(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+        """df with its rank __k (nulls last) and the values around the middle, __p0 to __p2."""
+        ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(x), id_col)) - 1)
+        return ranked.withColumns({f"__p{i}": F.max(F.when(k == q + (i - 1), F.col(x))).over(Window.partitionBy(*keys)) for i in range(3)})
+
+    p0, p1, p2 = (F.col(f"__p{i}") for i in range(3))
+    below, at, above, whole = F.when(n % 2 == 0, p1).otherwise((p1 + p2) / 2), (p0 + p2) / 2, F.when(n % 2 == 0, p0).otherwise((p0 + p1) / 2), F.when(n % 2 == 0, (p0 + p1) / 2).otherwise(p1)
+    case = F.when(v.isNull(), 3).when(k < q, 0).when((k == q) & (n % 2 == 1), 1).otherwise(2)
+    pick = F.when(case == 3, whole).when(case == 0, below).when(case == 1, at).otherwise(above)
+
+    rows = rows.withColumn("__n", F.count(value).over(group)).withColumn("__nulls", F.count("*").over(group) > n)
+    first = placed(rows, by, value).withColumn("__case", case).withColumn("__of", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), m.cast("double").alias("m")) for i, m in enumerate((below, at, above, whole))])))
+    first = first.withColumns({"__c": F.col("__of.c"), "peer_median": F.col("__of.m")}).drop("__k", "__p0", "__p1", "__p2", "__of").where("__c < 3 OR __nulls")
+    away = placed(first.withColumn("__away", F.abs(v - F.col("peer_median"))), [*by, "__c"], "__away").where("__c = __case")
+    out = away.withColumn("peer_scale", 1.4826 * pick).withColumn("delta", v - F.col("peer_median")).withColumn("z", F.col("delta") / F.nullif(F.col("peer_scale"), F.lit(0.0)))
+    return out.select(*groups.columns, "peer_median", "peer_scale", "delta", "z")
 
 
 def median_of(sorted_array: str) -> Column:

@@ -1,5 +1,6 @@
 """Edge cases: nulls, ties, closed ends, empty tables, one class."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,31 @@ def test_components_are_transitive(spark):
     assert rows(connected_components(chain).groupBy("component").count()) == [(0, 201)]
 
 
+def test_leave_one_out_of_all_rows(spark):
+    from statistics import median
+
+    from matchbook.plans import QUERIES
+
+    rng = np.random.default_rng(2)
+    data = [(g, 100 * g + i, None if rng.random() < 0.1 else float(rng.integers(9))) for g in range(1, 13) for i in range(g if g < 12 else 60)]
+    df = spark.createDataFrame(data, "g int, id int, v double")
+    got = {r["id"]: (r["peer_median"], r["peer_scale"]) for r in windows.leave_one_out(df, ["g"], "id", "v").collect()}
+    for g, i, _ in data:
+        others = [v for h, j, v in data if h == g and j != i and v is not None]
+        m = median(others) if others else None
+        assert got[i] == (m, pytest.approx(1.4826 * median(abs(v - m) for v in others)) if others else None)
+    plan = windows.leave_one_out(df, ["g"], "id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    small = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    assert QUERIES["loo_robust_z_all"](spark, small).count() == orders.count()
+    pairs = orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderdate").alias("f")).join(orders.where("o_orderstatus = 'O'"), "o_custkey").where("abs(datediff(f, o_orderdate)) <= 1500")
+    from matchbook.plans.analytics import _slot_costs
+
+    assert _slot_costs(spark, small).count() == pairs.count()
+    assert _slot_costs(spark, "/root/testdata/sf0.01").where("o_custkey >= 200").count() > 0
+
+
 def test_optimal_assignment(spark):
     cost = [("s", "a", 1, 4.0), ("s", "a", 2, 1.0), ("s", "b", 1, 2.0), ("s", "b", 2, 0.5), ("t", "c", 9, 1.0)]
     got = assignment.optimal(spark.createDataFrame(cost, "site string, slot string, candidate int, cost double"), "site")
