@@ -72,7 +72,16 @@ g AS (SELECT vec_id, r, c, min(node) AS region FROM w GROUP BY ALL), s AS (SELEC
 SELECT vec_id, count(*) AS n_regions, max(n) AS largest, round(min(dist), 6) AS nearest FROM s GROUP BY 1""")
 def mask_regions(spark: SparkSession, d: str) -> DataFrame:
     """Eight-connected regions of the pixels above a threshold."""
-    hot = _px(spark, d).where("v > 0.1 AND vec_id < 60")
+    return _regions(_px(spark, d).where("v > 0.1 AND vec_id < 60"))
+
+
+@query()
+def mask_regions_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all patches, which is too slow in SQL."""
+    return _regions(_px(spark, d).where("v > 0.1"))
+
+
+def _regions(hot: DataFrame) -> DataFrame:
     g = patches.regions(hot, "vec_id", SIZE, SIZE)
     return g.groupBy("vec_id").agg(F.count("*").alias("n_regions"), F.max("n").alias("largest"), r6(F.min("distance")).alias("nearest"))
 

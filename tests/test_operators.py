@@ -149,6 +149,29 @@ def test_leave_one_out_of_all_rows(spark):
     assert _slot_costs(spark, "/root/testdata/sf0.01").where("o_custkey >= 200").count() > 0
 
 
+def test_mask_regions_of_all_patches(spark, tmp_path):
+    from matchbook.plans import QUERIES
+
+    rng = np.random.default_rng(4)
+    masks = {i: rng.random((8, 8)) < 0.35 for i in (0, 59, 60, 999)}
+    spark.createDataFrame([(i, m.astype(float).ravel().tolist(), 0) for i, m in masks.items()], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["n_regions"], r["largest"], r["nearest"]) for r in QUERIES["mask_regions_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(masks)
+    for i, m in masks.items():
+        left, found = {tuple(map(int, x)) for x in np.argwhere(m)}, []
+        while left:
+            todo, region = [left.pop()], []
+            while todo:
+                r, c = todo.pop()
+                region.append((r, c))
+                near = {(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            found.append(region)
+        nearest = min(np.hypot(*(np.mean(x, axis=0) - 3.5)) for x in found)
+        assert got[i] == (len(found), max(map(len, found)), pytest.approx(nearest, abs=1e-6))
+
+
 def test_optimal_assignment(spark):
     cost = [("s", "a", 1, 4.0), ("s", "a", 2, 1.0), ("s", "b", 1, 2.0), ("s", "b", 2, 0.5), ("t", "c", 9, 1.0)]
     got = assignment.optimal(spark.createDataFrame(cost, "site string, slot string, candidate int, cost double"), "site")
