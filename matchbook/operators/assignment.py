@@ -1,8 +1,8 @@
 """Choosing controls: optimal assignment, greedy matching, splits of groups.
 
-Optimal and sequential choices are made block by block (a site, a stratum): Spark
-deals the blocks, a task solves one. A block is a matching problem of its own, a few
-hundred rows; MAX_BLOCK guards against one that is not.
+Optimal choices are made in the connected components of a block's (a site's, a stratum's)
+allowed pairs, which are matching problems of their own: Spark deals the components, a task
+solves one. MAX_BLOCK guards against a component that no task can hold.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
 MAX_BLOCK = 4096
@@ -60,7 +61,7 @@ def optimal(costs: DataFrame, block: str) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s, c = np.unique(pdf["slot"], return_inverse=True), np.unique(pdf["candidate"], return_inverse=True)
         if max(len(s[0]), len(c[0])) > MAX_BLOCK:
-            raise ValueError(f"block {pdf[block].iloc[0]} has more than {MAX_BLOCK} slots or candidates")
+            raise ValueError(f"a component of block {pdf[block].iloc[0]} has more than {MAX_BLOCK} slots or candidates")
         high = (float(pdf["cost"].abs().max()) + 1) * (len(s[0]) + 1) * 4
         grid = np.full((len(s[0]), len(c[0]) + len(s[0])), high)  # a spare column a slot
         grid[s[1], c[1]] = pdf["cost"]
@@ -69,7 +70,15 @@ def optimal(costs: DataFrame, block: str) -> DataFrame:
         return pd.DataFrame(rows, columns=[block, "slot", "candidate", "cost"])
 
     kinds = dict(costs.dtypes)
-    return costs.select(block, "slot", "candidate", F.col("cost").cast("double").alias("cost")).groupBy(block).applyInPandas(solve, f"{block} {kinds[block]}, slot {kinds['slot']}, candidate {kinds['candidate']}, cost double")
+    pairs = stage_table(costs.select(block, "slot", "candidate", F.col("cost").cast("double").alias("cost")), "optimal-pairs")
+    # structs with null fields are equal, so null blocks are a block
+    sides = {side: F.struct(block, side) for side in ("slot", "candidate")}
+    for side, key in sides.items():
+        nodes = stage_table(pairs.select(key.alias(f"{side}_key")).distinct().withColumn(f"{side}_node", F.monotonically_increasing_id() * 2 + int(side == "slot")), "optimal-nodes")
+        pairs = pairs.withColumn(f"{side}_key", key).join(nodes, f"{side}_key").drop(f"{side}_key")
+    pairs = stage_table(pairs, "optimal-pairs")
+    found = connected_components(pairs, "slot_node", "candidate_node").withColumnRenamed("node", "slot_node")
+    return pairs.join(found, "slot_node").select(block, "slot", "candidate", "cost", "component").groupBy("component").applyInPandas(solve, f"{block} {kinds[block]}, slot {kinds['slot']}, candidate {kinds['candidate']}, cost double")
 
 
 def greedy(pairs: DataFrame, order: Sequence[Column], a: str = "a", b: str = "b") -> DataFrame:

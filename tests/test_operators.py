@@ -172,6 +172,15 @@ def test_mask_regions_of_all_patches(spark, tmp_path):
         assert got[i] == (len(found), max(map(len, found)), pytest.approx(nearest, abs=1e-6))
 
 
+def test_optimal_solves_the_components_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(assignment, "MAX_BLOCK", 2)
+    data = [(b, 10 * g + s, 10 * g + c, float((s * 3 + c * 5 + g) % 7)) for b in ("x", None) for g in range(5) for s in (0, 1) for c in (0, 1)]
+    got = rows(assignment.optimal(spark.createDataFrame(data, "site string, slot int, candidate int, cost double"), "site").groupBy("site").agg(F.count("*"), F.sum("cost")))
+    cost = {x[1:3]: x[3] for x in data}
+    best = sum(min(cost[10 * g, 10 * g] + cost[10 * g + 1, 10 * g + 1], cost[10 * g, 10 * g + 1] + cost[10 * g + 1, 10 * g]) for g in range(5))
+    assert got == sorted([("x", 10, best), (None, 10, best)], key=str)
+
+
 def test_optimal_assignment(spark):
     cost = [("s", "a", 1, 4.0), ("s", "a", 2, 1.0), ("s", "b", 1, 2.0), ("s", "b", 2, 0.5), ("t", "c", 9, 1.0)]
     got = assignment.optimal(spark.createDataFrame(cost, "site string, slot string, candidate int, cost double"), "site")
