@@ -301,5 +301,7 @@ def logo_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Leave one group out: a balanced logistic model on the rest, scores of the held-out group."""
     from matchbook.operators.models import leave_one_group_out
 
-    e = load(spark, d, "embeddings").where("label < 4").select("vec_id", (F.col("label") % 2).alias("y"), F.floor(F.col("vec_id") % 4).alias("site"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    return leave_one_group_out(e, "site", "vec_id", [f"x{i}" for i in range(8)], "y")
+    rows = load(spark, d, "embeddings").where("label IS NOT NULL")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = rows.select("vec_id", (F.col("label") % 2).alias("y"), F.floor(F.col("vec_id") % 4).alias("site"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)])
+    return leave_one_group_out(e, "site", "vec_id", [f"x{i}" for i in range(width)], "y")

@@ -172,6 +172,15 @@ def test_mask_regions_of_all_patches(spark, tmp_path):
         assert got[i] == (len(found), max(map(len, found)), pytest.approx(nearest, abs=1e-6))
 
 
+def test_logistic_scores_every_label(spark):
+    from matchbook.plans import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    got = QUERIES["logo_logistic"](spark, small)
+    want = spark.read.parquet(f"{small}/embeddings.parquet").where("label IS NOT NULL").select("vec_id", F.col("label") % 2)
+    assert rows(got.select("vec_id", "y")) == rows(want)
+
+
 def test_optimal_solves_the_components_of_a_block(spark, monkeypatch):
     monkeypatch.setattr(assignment, "MAX_BLOCK", 2)
     data = [(b, 10 * g + s, 10 * g + c, float((s * 3 + c * 5 + g) % 7)) for b in ("x", None) for g in range(5) for s in (0, 1) for c in (0, 1)]
