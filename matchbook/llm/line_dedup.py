@@ -1,14 +1,14 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-Every line of every document becomes its set of character shingles. One pass hashes
-each shingle once, keeps the least hash of each of BINS bins (one-permutation
-MinHash) and two sums that tell lines with different shingles apart, so that copies
-of a line collapse to one class before anything is joined. Three bins are a band key;
-buckets are dealt into small slots by a hash and each slot is paired with its first
-class; what the share of equal bins rules out goes; pairs are confirmed by the exact
-Jaccard similarity of their shingle sets; links are joined to components; the first
-line of a component stays. Shingles are long enough that lines which merely share a
-language have next to none in common, so that buckets stay selective.
+Every line of every document becomes its sorted set of hashed character shingles; a
+line shorter than a shingle is one shingle. Two hashes of the set and its size name a
+class, so that copies of a line collapse before anything is joined. The least hash of
+each of BINS bins (one-permutation MinHash) is taken, and ROWS bins in a row are a band
+key; buckets are dealt into small slots by a hash and each slot is paired with its first
+class; pairs whose sizes rule a link out go; the others are confirmed by the exact Jaccard
+similarity of their shingle sets; links are joined to components; the first line of a
+component stays. Five bins a band keep buckets selective, as lines of one language share
+many short shingles.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from matchbook.llm.common import small_side, whole_text
 from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
-SHINGLE, BINS, BANDS, ROWS = 10, 32, 10, 3
-#: Pairs with a smaller share of equal bins are dropped: four standard errors below 0.8.
-LEAST_EQUAL = 0.5
-MINIMA = [f"m{j}" for j in range(BINS)]
-#: Shorter lines (after normalisation) are never dropped.
+SHINGLE, BANDS, ROWS = 5, 18, 5
+BINS = BANDS * ROWS
+#: Hashes are below 2^63; a bin is this wide.
+WIDTH = (1 << 63) // BINS + 1
+#: Default of least_chars: shorter lines (after normalisation) take no part. The query takes 1.
 MIN_CHARS = 20
 SLOT, ROUNDS = 4, 2
 
@@ -35,48 +35,46 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return split.withColumn("line", F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " ")))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, s1, s2, n (which name the class), m0... (bin minima). Rows are
-    partitioned by document, so the shingles are grouped where they arise."""
-    chars = lines.where(F.length("line") >= MIN_CHARS).select("doc_id", "line_no", F.encode("line", "UTF-32").alias("u"), F.length("line").alias("n"))
-    each = chars.select("doc_id", "line_no", "u", F.explode(F.expr(f"sequence(0, n - {SHINGLE})")).alias("i"))
-    hashed = each.select("doc_id", "line_no", F.xxhash64(F.expr(f"substring(u, 4 * i + 1, {4 * SHINGLE})")).alias("h"))
-    low = [F.min(F.when(F.col("h").bitwiseAND(BINS - 1) == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
-    return hashed.groupBy("doc_id", "line_no").agg(F.sum(F.col("h").bitwiseAND((1 << 40) - 1)).alias("s1"), F.sum(F.shiftrightunsigned("h", 24)).alias("s2"), F.count("*").alias("n"), *low)
+def _shingles(line: str) -> str:
+    """SQL of the sorted set of hashed shingles. The encoded line is bound by a lambda: named
+    inside the inner one it would be encoded again for every shingle."""
+    each = f"transform(sequence(0, greatest(length(u) div 4 - {SHINGLE}, 0)), i -> shiftrightunsigned(xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})), 1))"
+    return f"transform(array(encode({line}, 'UTF-32')), u -> sort_array(array_distinct({each})))[0]"
+
+
+def _signed(lines: DataFrame, least_chars: int) -> DataFrame:
+    """doc_id, line_no, s1, s2, n (which name the class), keys (of its bands)."""
+    sets = lines.where(F.length("line") >= least_chars).select("doc_id", "line_no", F.expr(_shingles("line")).alias("h"))
+    named = sets.select("doc_id", "line_no", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), F.size("h").alias("n"), F.expr(f"filter(h, (x, i) -> i = 0 OR x div {WIDTH} <> get(h, i - 1) div {WIDTH})").alias("m"))
+    begun = named.withColumn("at", F.expr(f"filter(sequence(0, size(m) - 1), i -> i = 0 OR get(m, i) div {ROWS * WIDTH} <> get(m, i - 1) div {ROWS * WIDTH})"))
+    return begun.select("doc_id", "line_no", "s1", "s2", "n", F.expr("transform(at, (a, j) -> xxhash64(slice(m, a + 1, coalesce(get(at, j + 1), size(m)) - a)))").alias("keys"))
 
 
 def _similar(percent: int) -> F.Column:
     """Whether lines x and y have a similarity of percent/100, each set built once."""
-    sets = [f"array_distinct(transform(sequence(0, length({c}) - {SHINGLE}), i -> xxhash64(substring(encode({c}, 'UTF-32'), 4 * i + 1, {4 * SHINGLE}))))" for c in "xy"]
-    sizes = f"transform(array(named_struct('p', {sets[0]}, 'q', {sets[1]})), z -> named_struct('p', size(z.p), 'q', size(z.q), 'both', size(array_intersect(z.p, z.q))))"
+    sizes = f"transform(array(named_struct('p', {_shingles('x')}, 'q', {_shingles('y')})), z -> named_struct('p', size(z.p), 'q', size(z.q), 'both', size(array_intersect(z.p, z.q))))"
     return F.expr(f"exists({sizes}, z -> 100 * z.both >= {percent} * (z.p + z.q - z.both))")
 
 
-def _equal_bins(a: str, b: str) -> F.Column:
-    """The share of equal bins among those that are not empty in both."""
-    equal = sum((F.when(F.col(f"{a}.{m}") == F.col(f"{b}.{m}"), 1).otherwise(0) for m in MINIMA), F.lit(0))
-    used = sum((F.when(F.coalesce(F.col(f"{a}.{m}"), F.col(f"{b}.{m}")).isNotNull(), 1).otherwise(0) for m in MINIMA), F.lit(0))
-    return equal / F.greatest(used, F.lit(1))
+def _sizes_allow(percent: int) -> F.Column:
+    """Whether sets of the sizes of p and q can have that similarity at all."""
+    return 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
 
 
-def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, line_no, first_doc, first_line: every line of MIN_CHARS characters or more
+def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, line_no, first_doc, first_line: every line of least_chars (1 or more) characters
     with the place of the first line of its component (least document, then line).
 
     Lines are linked if the Jaccard similarity of their sets of SHINGLE-character shingles
-    is percent/100 or more. Ten bands of three bins miss a link at 0.8 with a chance of 8e-4. Null and empty texts have one empty line, which takes no part.
+    is percent/100 or more. 18 bands of five bins miss a link at 0.8 with a chance of 8e-4. Null and empty texts have one empty line, which takes no part.
     Repeated ids must have the same text (repeated rows are fine and count as one).
     """
     by_doc = by_doc_text(docs, text, id_col).where("doc_id IS NOT NULL").repartition("doc_id")
-    signed = stage_table(_signed(lines_of(by_doc)), "line-signed")
+    signed = stage_table(_signed(lines_of(by_doc), max(least_chars, 1)), "line-signed")
     name = ["s1", "s2", "n"]
-    classes = signed.groupBy(*name).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(m).alias(m) for m in MINIMA])
-    keys = []
-    for b in range(BANDS):
-        some = [F.col(m) for m in MINIMA[ROWS * b : ROWS * b + ROWS]]
-        keys.append(F.when(F.coalesce(*some).isNotNull(), F.xxhash64(*some, F.lit(b))))
+    classes = signed.groupBy(*name).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("keys").alias("keys"))
     # the numbers are fixed once the table is written
-    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("id"), *name, "first", *MINIMA, F.array_compact(F.array(*keys)).alias("keys")), "line-classes")
+    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("id"), *name, "first", "keys"), "line-classes")
     banded = classes.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     banded = stage_table(banded.join(shared, "key"), "line-banded")
@@ -94,15 +92,15 @@ def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_c
             head = dealt.groupBy("key", "slot").agg(F.min(F.struct("id", "component")).alias("c"))
             pairs = dealt.join(head, ["key", "slot"]).where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
         else:
-            x = placed.join(classes.select("id", *MINIMA), "id")
+            x = placed.join(classes.select("id", "n"), "id")
             p, q = x.alias("p"), x.alias("q")
-            pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & (_equal_bins("p", "q") >= LEAST_EQUAL)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+            pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & _sizes_allow(percent)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < ROUNDS:
-            p, q = classes.alias("p"), classes.alias("q")
-            pairs = pairs.join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(_equal_bins("p", "q") >= LEAST_EQUAL).select("a", "b")
+            p, q = classes.select("id", "n").alias("p"), classes.select("id", "n").alias("q")
+            pairs = pairs.join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(_sizes_allow(percent)).select("a", "b")
         pairs = stage_table(pairs, "line-pairs")
         if pairs.isEmpty():
             continue
@@ -125,13 +123,13 @@ def by_doc_text(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text without the lines that repeat a line before them, n_lines, n_dropped.
 
     Of each component of like lines the first in the corpus stays. Documents with a null
     id or text, and repeated rows, come back as they are but for the same dropped lines.
     """
-    found = line_components(docs, percent, text, id_col)
+    found = line_components(docs, percent, text, id_col, least_chars)
     gone = found.where("NOT (doc_id = first_doc AND line_no = first_line)").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     rows = by_doc_text(docs, text, id_col).join(stage_table(gone, "line-gone"), "doc_id", "left")
     split = F.split(whole_text("text"), "\n")

@@ -309,6 +309,37 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def every_line(spark, texts):
+    """The components of all lines, and by brute force over five-character shingles."""
+    lines = [((i, k), " ".join(x.lower().split())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    lines = [(at, {x[i : i + 5] for i in range(max(1, len(x) - 4))}) for at, x in lines if x]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(lines)):
+        for a in range(b):
+            x, y = lines[a][1], lines[b][1]
+            if 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = {lines[i][0]: lines[find(i)][0] for i in range(len(lines))}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in line_dedup.line_components(documents(spark, texts), least_chars=1).collect()}
+    return got, want
+
+
+def test_lines_with_a_changed_character(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(20)]
+    texts = ["\n".join(made), "\n".join(x[:30] + "." + x[31:] for x in made)]
+    got, want = every_line(spark, texts)
+    assert got == want and want[1, 7] == (0, 7)
+    assert line_dedup.line_components(documents(spark, texts)).where("first_doc = 0").count() == 40
+
+
 # --- 9: personal data
 
 
