@@ -331,6 +331,14 @@ def every_line(spark, texts):
     return got, want
 
 
+def test_short_lines_are_lines_too(spark):
+    texts = ["short\nab\n\nabcd\nlike lines", "Short\nAB\nabc\nlike line", "x\nshort \n y\nabcd\nlike lime", "y"] + ["hot\nab"] * 40
+    got, want = every_line(spark, texts)
+    assert got == want and want[2, 1] == (0, 0) and want[1, 3] == (0, 4)
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(documents(spark, texts), least_chars=1).collect()}
+    assert out[1] == ("abc", 3) and out[0][1] == 0 and out[43] == ("", 2)
+
+
 def test_lines_with_a_changed_character(spark):
     rng = np.random.default_rng(8)
     made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(20)]
@@ -340,6 +348,12 @@ def test_lines_with_a_changed_character(spark):
     assert line_dedup.line_components(documents(spark, texts)).where("first_doc = 0").count() == 40
 
 
+def test_op8_takes_short_lines(spark, tmp_path):
+    documents(spark, ["short\nab", "ab\nother\nshort"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0), 1: (3, 2)}
+
+
 # --- 9: personal data
 
 
