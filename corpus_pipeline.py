@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchbook.llm.exact_dedup import exact_dedup
 from matchbook.llm.language_id import UNKNOWN, identify, sample_windows, train
-from matchbook.llm.mixing import Mixture
+from matchbook.llm.mixing import Mixture, dealt
 from matchbook.llm.near_dedup import drop_near_duplicates
 from matchbook.llm.pieces import encode
 from matchbook.llm.queries import held_out, tokenizer_file
@@ -41,8 +41,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at target weights; a document appears once for each time it is taken."""
-    return Mixture(docs).rows().select(*docs.columns)
+    """Sources at target weights; a document appears once for each time it is taken. Rows
+    are dealt by shard and shuffled within it."""
+    return dealt(Mixture(docs).rows()).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

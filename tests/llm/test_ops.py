@@ -196,6 +196,24 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert mixing.dealt(got).count() == got.count()
 
 
+def test_pipeline_mix_is_shuffled_by_shard(spark, small, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    want = {}
+    for r in mixing.Mixture(small).rows().orderBy("mix_shard", "mix_order").select("mix_shard", "doc_id").collect():
+        want.setdefault(r[0], []).append(r[1])
+    assert len(want) > 1
+    parts = corpus_pipeline.mix(spark, small, SMALL).select("doc_id").rdd.glom().collect()
+    shards = list(want.values())
+    for part in ([r[0] for r in p] for p in parts):
+        while part:
+            first = next(s for s in shards if part[: len(s)] == s)
+            shards.remove(first)
+            part = part[len(first) :]
+    assert not shards
+
+
 # --- 6: nearest neighbours
 
 
