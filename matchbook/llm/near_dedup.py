@@ -5,15 +5,17 @@
    of copies cost what one does.
 2. A class keeps, of its minima, the low b bits, packed into longs, and one key a
    band of ROWS minima.
-3. A band bucket is dealt into slots of about SLOT classes by a hash, and the classes
-   of a slot are paired with its first (small stars, not all pairs). Bit counts of the
-   packed signatures give a similarity estimate, corrected for chance collisions; what
-   is clearly below the threshold goes.
+3. A band bucket is dealt into slots of about SLOT classes by the low bits of one hash, and
+   the classes of a slot are paired with its first (small stars, not all pairs). As slots
+   are a power of two and the hash knows no band, classes that share many buckets meet in
+   the same pair, which counts once. Bit counts of the packed signatures give a similarity
+   estimate, corrected for chance collisions; what is clearly below the threshold goes.
 4. What remains is confirmed on the full sets, linked, and joined to components.
    Buckets whose classes are then in more than one component are dealt anew. At last
    every pair of classes from different components that shares a bucket is compared, so
-   that no link is lost: a bucket is cut into blocks, blocks meet two by two in tasks of
-   their own, and only links leave a task.
+   that no link is lost: a bucket is cut into blocks, and blocks meet two by two in tasks of
+   their own. They meet twice: first with signatures alone, which leaves the classes with
+   a pair that may be a link, then these with their texts, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchbook.llm.common import slices, small_side, whole_text
 from matchbook.operators.graph import connected_components
@@ -173,10 +176,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: float) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: float, likely: pa.Schema | None = None) -> Iterator[pa.RecordBatch]:
     """Links between classes of different components in each meeting of two blocks of a
     bucket (rows sorted by meeting). A pair is compared in the first bucket that it shares,
-    and not at all if bit counts rule it out or the block has already joined the two."""
+    and not at all if bit counts rule it out or the block has already joined the two.
+    With the schema `likely` no texts are read: the rows of a pair that counts allow come back."""
     meeting: list[tuple] = []
     at = None
 
@@ -204,6 +208,11 @@ def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: flo
         chance = 2.0**-BITS
         near = ((1 - unequal / MINIMA) - chance) / (1 - chance) >= least
         near &= part[left][:, None] != part[right][None, :]
+        if likely is not None:
+            some = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([meeting[x][k] for x in some.tolist()], f.type) for k, f in enumerate(likely)], schema=likely)
+            return
         sets: dict[int, np.ndarray] = {}
         found: list[tuple[int, int]] = []
         for x, y in zip(*(side[k].tolist() for side, k in zip((left, right), np.nonzero(near), strict=True)), strict=True):
@@ -224,8 +233,9 @@ def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: flo
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    for batch in (s for b in batches for s in slices(b, "text")):
-        for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "key", "component", "i", "j", "own", "keys", *SIGNATURE, "text")), strict=True):
+    texts = [] if likely is not None else ["text"]
+    for batch in (s for b in batches for s in (slices(b, "text") if texts else [b])):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "key", "component", "i", "j", "own", "keys", *SIGNATURE, *texts)), strict=True):
             if at != (row[1], row[3], row[4]):
                 yield from solve()
                 meeting, at = [], (row[1], row[3], row[4])
@@ -283,8 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     least = percent / 100 - SLACK
     for turn in range(STAR_ROUNDS):
         placed = placed_in(component)
-        slots = placed.groupBy("key").agg(F.greatest(F.floor(F.count("*") / SLOT), F.lit(1)).alias("slots"))
-        dealt = placed.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("slots")))
+        slots = placed.groupBy("key").agg(F.expr(f"shiftleft(1L, cast(floor(log2(greatest(count(*) / {SLOT}, 1))) AS int)) - 1").alias("mask"))
+        dealt = placed.join(slots, "key").withColumn("slot", F.xxhash64("rep", F.lit(turn)).bitwiseAND(F.col("mask")))
         first = dealt.groupBy("key", "slot").agg(F.min(F.struct("rep", "component")).alias("c"))
         pairs = dealt.join(first, ["key", "slot"]).where("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         if tried is not None:
@@ -306,9 +316,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
         dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         dealt = dealt.select("rep", "key", "component", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select("rep", "key", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-        full = dealt.join(keys, "rep").join(sigs, "rep").join(texts_of(placed.select("rep")).toDF("rep", "text"), "rep")
-        meeting = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-        new = stage_table(meeting.mapInArrow(lambda it: _met(it, words, percent, least), "a long, b long"), "near-links")
+
+        def meet(rows: DataFrame) -> DataFrame:
+            return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+        narrow = dealt.join(keys, "rep").join(sigs, "rep").select("rep", "key", "component", "i", "j", "own", "keys", *SIGNATURE)
+        schema = to_arrow_schema(narrow.schema)
+        likely = stage_table(meet(narrow).mapInArrow(lambda it: _met(it, words, percent, least, schema), narrow.schema), "near-likely")
+        full = likely.join(texts_of(likely.select("rep")).toDF("rep", "text"), "rep")
+        new = stage_table(meet(full).mapInArrow(lambda it: _met(it, words, percent, least), "a long, b long"), "near-links")
         links = links.union(new)
         component = connected_components(links)
     of_class = classes.select("digest", F.col("rep").alias("node"))
