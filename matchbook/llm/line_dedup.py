@@ -1,137 +1,167 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-Every line of every document becomes its sorted set of hashed character shingles; a
-line shorter than a shingle is one shingle. Two hashes of the set and its size name a
-class, so that copies of a line collapse before anything is joined. The least hash of
-each of BINS bins (one-permutation MinHash) is taken, and ROWS bins in a row are a band
-key; buckets are dealt into small slots by a hash and each slot is paired with its first
-class; pairs whose sizes rule a link out go; the others are confirmed by the exact Jaccard
-similarity of their shingle sets; links are joined to components; the first line of a
-component stays. Five bins a band keep buckets selective, as lines of one language share
-many short shingles.
+1. Every line of every document becomes its sorted set of hashed character shingles; a
+   line shorter than a shingle is one shingle. The MINIMA least hashes are its signature.
+2. ROWS hashes that follow each other in the signature are a band. Two signatures of a
+   similarity of 0.8 have at least ROWS equal ones in a row between two unequal ones (a
+   short line's signature is closed to a ring for that), and of a line's bands about BANDS,
+   chosen by their first hash, become keys. Equal lines are one class from here on.
+3. Classes that share a key with another are the only ones that go on. Buckets are dealt
+   into small slots by the low bits of one hash, each slot is paired with its first class,
+   pairs are confirmed by the exact Jaccard similarity of their shingle sets, links are
+   joined to components. At last buckets that still hold several components are cut into
+   blocks, and blocks meet two by two in a join whose condition is the exact similarity, so
+   that only links leave it and no bucket is one task's work.
+4. Of each component the first line in the corpus stays.
+
+With a similarity of just 0.8 about one link in a hundred has no key in common, with 0.9
+one in many thousand; the tests measure it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import small_side, whole_text
 from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
-SHINGLE, BANDS, ROWS = 5, 18, 5
-BINS = BANDS * ROWS
-#: Hashes are below 2^63; a bin is this wide.
-WIDTH = (1 << 63) // BINS + 1
-#: Default of least_chars: shorter lines (after normalisation) take no part. The query takes 1.
-MIN_CHARS = 20
+SHINGLE, MINIMA, ROWS, BANDS = 5, 64, 4, 12
 SLOT, ROUNDS = 4, 2
+#: Classes of a bucket that meet as many others in one task at the end.
+PAIR_BLOCK = 256
 
 
-def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, line_no (from 0), raw, line (lower case, blanks collapsed)."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(whole_text(text), "\n")).alias("line_no", "raw"))
-    return split.withColumn("line", F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " ")))
+def raw_lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """doc_id, line_no (from 0), raw."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(whole_text(text), "\n")).alias("line_no", "raw"))
 
 
-def _shingles(line: str) -> str:
-    """SQL of the sorted set of hashed shingles. The encoded line is bound by a lambda: named
-    inside the inner one it would be encoded again for every shingle."""
-    each = f"transform(sequence(0, greatest(length(u) div 4 - {SHINGLE}, 0)), i -> shiftrightunsigned(xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE})), 1))"
-    return f"transform(array(encode({line}, 'UTF-32')), u -> sort_array(array_distinct({each})))[0]"
-
-
-def _signed(lines: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, line_no, s1, s2, n (which name the class), keys (of its bands)."""
-    sets = lines.where(F.length("line") >= least_chars).select("doc_id", "line_no", F.expr(_shingles("line")).alias("h"))
-    named = sets.select("doc_id", "line_no", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), F.size("h").alias("n"), F.expr(f"filter(h, (x, i) -> i = 0 OR x div {WIDTH} <> get(h, i - 1) div {WIDTH})").alias("m"))
-    begun = named.withColumn("at", F.expr(f"filter(sequence(0, size(m) - 1), i -> i = 0 OR get(m, i) div {ROWS * WIDTH} <> get(m, i - 1) div {ROWS * WIDTH})"))
-    return begun.select("doc_id", "line_no", "s1", "s2", "n", F.expr("transform(at, (a, j) -> xxhash64(slice(m, a + 1, coalesce(get(at, j + 1), size(m)) - a)))").alias("keys"))
-
-
-def _similar(percent: int) -> F.Column:
-    """Whether lines x and y have a similarity of percent/100, each set built once."""
-    sizes = f"transform(array(named_struct('p', {_shingles('x')}, 'q', {_shingles('y')})), z -> named_struct('p', size(z.p), 'q', size(z.q), 'both', size(array_intersect(z.p, z.q))))"
-    return F.expr(f"exists({sizes}, z -> 100 * z.both >= {percent} * (z.p + z.q - z.both))")
-
-
-def _sizes_allow(percent: int) -> F.Column:
-    """Whether sets of the sizes of p and q can have that similarity at all."""
-    return 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
-
+def normal(raw: str = "raw") -> Column:
+    """Lower case, runs of blanks as one."""
+    return F.trim(F.regexp_replace(F.lower(raw), r"\s{2,}|[\t\x0B\f\r]", " "))
 
-def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, first_doc, first_line: every line of least_chars (1 or more) characters
-    with the place of the first line of its component (least document, then line).
 
-    Lines are linked if the Jaccard similarity of their sets of SHINGLE-character shingles
-    is percent/100 or more. 18 bands of five bins miss a link at 0.8 with a chance of 8e-4. Null and empty texts have one empty line, which takes no part.
-    Repeated ids must have the same text (repeated rows are fine and count as one).
-    """
-    by_doc = by_doc_text(docs, text, id_col).where("doc_id IS NOT NULL").repartition("doc_id")
-    signed = stage_table(_signed(lines_of(by_doc), max(least_chars, 1)), "line-signed")
-    name = ["s1", "s2", "n"]
-    classes = signed.groupBy(*name).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("keys").alias("keys"))
+def _shingles(line: str) -> str:
+    """SQL of the hashed shingles. The encoded line is bound by a lambda: as a column it would
+    be copied for every shingle."""
+    return f"transform(array(encode({line}, 'UTF-32')), u -> transform(sequence(1, greatest(length(u) - {4 * SHINGLE - 1}, 1), 4), i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]"
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, s1, s2 (two hashes of the line, its class), keys (of its bands)."""
+    head = 3 * MINIMA // 2  # nearly always holds MINIMA distinct hashes
+    own = ["doc_id", "line_no", "s1", "s2"]
+    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), F.sort_array(F.expr(_shingles("line"))).alias("h"))
+    rows = rows.withColumn("d", F.array_distinct(F.slice("h", 1, head)))
+    rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) <= {MINIMA} AND size(h) > {head} THEN array_distinct(h) ELSE d END")).drop("h")
+    rows = rows.withColumn("m", F.least(F.size("d"), F.lit(MINIMA)))
+    rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) > {MINIMA} THEN slice(d, 1, {MINIMA}) WHEN m >= {ROWS} THEN concat(d, slice(d, 1, {ROWS - 1})) ELSE d END"))
+    chosen = f"filter(sequence(1, size(d) - {ROWS - 1}), i -> (get(d, i - 1) & 1023) * m < {1024 * BANDS})"
+    return rows.select(*own, F.expr(f"CASE WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE transform({chosen}, i -> xxhash64(slice(d, i, {ROWS}))) END").alias("keys"))
+
+
+def _similar(p: str, q: str, percent: int) -> str:
+    """SQL: whether two shingle sets have a similarity of percent/100; sizes are looked at first."""
+    both = f"size(array_intersect({p}, {q}))"
+    return f"(100 * least(size({p}), size({q})) >= {percent} * greatest(size({p}), size({q})) AND 100 * {both} >= {percent} * (size({p}) + size({q}) - {both}))"
+
+
+def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, s1, s2, doc_id, line_no: its first place) and open rows (key, id): the
+    classes that share a band with another class, and those bands."""
+    # outer: the filter on the array that a plain explode brings would compute it several times
+    banded = signed.select("s1", "s2", F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
+    shared = stage_table(banded.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("key"), "line-shared")
+    rows = stage_table(banded.join(small_side(shared, shared.count()), "key").distinct(), "line-banded")
     # the numbers are fixed once the table is written
-    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("id"), *name, "first", "keys"), "line-classes")
-    banded = classes.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    banded = stage_table(banded.join(shared, "key"), "line-banded")
+    numbered = stage_table(rows.select("s1", "s2").distinct().select(F.monotonically_increasing_id().alias("id"), "s1", "s2"), "line-numbered")
+    n = numbered.count()
+    placed = signed.select("s1", "s2", "doc_id", "line_no").join(small_side(numbered, n), ["s1", "s2"])
+    first = placed.groupBy("id", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("id", "s1", "s2", "at.*")
+    return stage_table(first, "line-nodes"), stage_table(rows.join(small_side(numbered, n), ["s1", "s2"]).select("key", "id"), "line-open")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int, text: str, id_col: str) -> DataFrame | None:
+    """(node, component) of the classes with a link."""
+    n = nodes.count()
+    if not n:
+        return None
+    at = small_side(nodes.select("id", "doc_id", "line_no"), n)
+    texts = raw_lines(docs, text, id_col).join(at, ["doc_id", "line_no"]).select("id", normal().alias("line")).distinct()
+    texts = stage_table(texts, "line-texts")
+    sets = texts.select("id", F.array_distinct(F.expr(_shingles("line"))).alias("h"))
     links, component, tried = None, None, None
     for turn in range(ROUNDS + 1):
-        placed = banded.withColumn("component", F.col("id")) if component is None else banded.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-        if turn:
+        placed = opened.withColumn("component", F.col("id"))
+        if component is not None:
+            placed = opened.join(component.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
             still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
             placed = stage_table(placed.join(still, "key"), "line-open")
         if placed.isEmpty():
             break
         if turn < ROUNDS:
-            slots = placed.groupBy("key").agg(F.greatest(F.floor(F.count("*") / SLOT), F.lit(1)).alias("slots"))
-            dealt = placed.join(slots, "key").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("slots")))
+            slots = placed.groupBy("key").agg(F.expr(f"shiftleft(1L, cast(floor(log2(greatest(count(*) / {SLOT}, 1))) AS int)) - 1").alias("mask"))
+            dealt = placed.join(slots, "key").withColumn("slot", F.xxhash64("id", F.lit(turn)).bitwiseAND(F.col("mask")))
             head = dealt.groupBy("key", "slot").agg(F.min(F.struct("id", "component")).alias("c"))
-            pairs = dealt.join(head, ["key", "slot"]).where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+            pairs = dealt.join(head, ["key", "slot"]).where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stage_table(pairs, "line-pairs")
+            tried = pairs if tried is None else tried.union(pairs)
+            both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
+            new = both.where(_similar("p", "q", percent)).select("a", "b")
         else:
-            x = placed.join(classes.select("id", "n"), "id")
-            p, q = x.alias("p"), x.alias("q")
-            pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & _sizes_allow(percent)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < ROUNDS:
-            p, q = classes.select("id", "n").alias("p"), classes.select("id", "n").alias("q")
-            pairs = pairs.join(p, F.col("a") == F.col("p.id")).join(q, F.col("b") == F.col("q.id")).where(_sizes_allow(percent)).select("a", "b")
-        pairs = stage_table(pairs, "line-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        needed = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "first"), "id").select("id", "first.doc_id", "first.line_no"), "line-needed")
-        rows = needed.count()
-        some = by_doc_text(docs, text, id_col).join(small_side(needed.select("doc_id").distinct(), rows), "doc_id", "left_semi").distinct()
-        texts = stage_table(lines_of(some).select("doc_id", "line_no", "line").join(small_side(needed, rows), ["doc_id", "line_no"]).select("id", "line"), "line-texts")
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-        new = stage_table(both.where(_similar(percent)).select("a", "b"), "line-links")
+            keys = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))
+            blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+            dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(keys, "id").join(sets, "id")
+            dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            dealt = stage_table(dealt.select("key", "i", "j", "own", "id", "component", "keys", "h"), "line-blocks")
+            x, y = dealt.where("own = i").alias("x"), dealt.where("own = j").alias("y")
+            # a pair counts in the first bucket that it shares
+            meets = "(x.i < x.j OR x.id < y.id) AND x.component <> y.component AND array_min(array_intersect(x.keys, y.keys)) = x.key AND "
+            new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & F.expr(meets + _similar("x.h", "y.h", percent))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        new = stage_table(new, "line-links")
         links = new if links is None else links.union(new)
         component = connected_components(links)
-    placed = classes.select("id", *name, "first")
-    placed = placed.withColumn("component", F.col("id")) if component is None else placed.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    firsts = placed.groupBy("component").agg(F.min("first").alias("lead"))
-    return signed.join(placed.join(firsts, "component").select(*name, "lead"), name).select("doc_id", "line_no", F.col("lead.doc_id").alias("first_doc"), F.col("lead.line_no").alias("first_line"))
+    return component
 
 
-def by_doc_text(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = 1) -> DataFrame:
+    """doc_id, line_no, first_doc, first_line: every line with the place of the first line
+    of its component (least document, then line).
 
-
-def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text without the lines that repeat a line before them, n_lines, n_dropped.
+    Lines are linked if the Jaccard similarity of their sets of SHINGLE-character shingles
+    is percent/100 or more; bands are made for 80 and more. Lines that are empty, or shorter
+    than least_chars characters, take no part (0 and 1 are the same). Null and empty texts
+    have one empty line. Rows without an id take no part. Repeated ids must have the same
+    text (repeated rows count as one). No rows give none.
+    """
+    lines = raw_lines(docs, text, id_col).where("doc_id IS NOT NULL").select("doc_id", "line_no", normal().alias("line"))
+    signed = stage_table(_signed(lines.where(F.length("line") >= max(least_chars, 1))), "line-signed")
+    nodes, opened = _open(signed)
+    component = _linked(docs, nodes, opened, percent, text, id_col)
+    leads = signed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("lead"))
+    if component is not None:
+        of = nodes.join(component.withColumnRenamed("node", "id"), "id").select("s1", "s2", "component", F.struct("doc_id", "line_no").alias("at"))
+        joined = of.join(of.groupBy("component").agg(F.min("at").alias("first")), "component").select("s1", "s2", "first")
+        leads = leads.join(stage_table(joined, "line-joined"), ["s1", "s2"], "left").select("s1", "s2", F.coalesce("first", "lead").alias("lead"))
+    leads = stage_table(leads, "line-leads")
+    return signed.select("doc_id", "line_no", "s1", "s2").join(leads, ["s1", "s2"]).select("doc_id", "line_no", F.col("lead.doc_id").alias("first_doc"), F.col("lead.line_no").alias("first_line"))
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = 1) -> DataFrame:
+    """id, text without the lines that repeat a line before them, n_lines, n_dropped.
 
     Of each component of like lines the first in the corpus stays. Documents with a null
     id or text, and repeated rows, come back as they are but for the same dropped lines.
+    Other columns are left out, whatever their names.
     """
     found = line_components(docs, percent, text, id_col, least_chars)
-    gone = found.where("NOT (doc_id = first_doc AND line_no = first_line)").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    rows = by_doc_text(docs, text, id_col).join(stage_table(gone, "line-gone"), "doc_id", "left")
-    split = F.split(whole_text("text"), "\n")
-    kept = rows.withColumn("lines", split).withColumn("keep", F.expr("filter(lines, (x, i) -> gone IS NULL OR NOT array_contains(gone, i))"))
+    dropped = stage_table(found.where("NOT (doc_id = first_doc AND line_no = first_line)").select("doc_id", "line_no"), "line-dropped")
+    gone = dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    rows = rows.join(small_side(gone, dropped.count()), "doc_id", "left")
+    kept = rows.withColumn("lines", F.split("text", "\n")).withColumn("keep", F.expr("filter(lines, (x, i) -> gone IS NULL OR NOT array_contains(gone, i))"))
     return kept.select(F.col("doc_id").alias(id_col), F.array_join("keep", "\n").alias(text), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("keep")).cast("long").alias("n_dropped"))

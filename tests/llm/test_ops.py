@@ -298,7 +298,7 @@ def test_language_of_odd_texts(spark, small):
 
 def line_sets(lines):
     norm = [" ".join(x.lower().split()) for x in lines]
-    return [{x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} if len(x) >= line_dedup.MIN_CHARS else None for x in norm]
+    return [{x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} if len(x) >= 20 else None for x in norm]
 
 
 def test_lines_against_brute_force(spark):
@@ -320,9 +320,9 @@ def test_lines_against_brute_force(spark):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     want = {lines[i][:2]: lines[find(i)][:2] for i in range(len(lines)) if sets[i]}
-    got = {(r[0], r[1]): (r[2], r[3]) for r in line_dedup.line_components(df).collect()}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in line_dedup.line_components(df, least_chars=20).collect()}
     assert got == want
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, least_chars=20).collect()}
     assert out[0]["text"] == base + "\nshort" and out[1]["n_dropped"] == 1 and out[4]["text"] == "x" * 30 and out[2]["text"] == ""
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
@@ -366,6 +366,41 @@ def test_lines_with_a_changed_character(spark):
     assert line_dedup.line_components(documents(spark, texts)).where("first_doc = 0").count() == 40
 
 
+def test_lines_of_odd_tables(spark, monkeypatch):
+    """Repeated rows, clashing columns, ties, astral characters, very long lines, many blocks."""
+    monkeypatch.setattr(line_dedup, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 0)
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefgh 𝒳ü"), 60000))
+    family = [" ".join(["the same start of every line here"] + [f"w{rng.integers(60)}" for _ in range(4)]) for _ in range(60)]
+    texts = ["\n".join(family), long + "\nend", long[:30000] + "!" + long[30001:] + "\nend", "𝒳" * 40 + "\n\n \t\n", "aaaaaa\naaaaaaaaaa"]
+    got, want = every_line(spark, texts)
+    assert got == want and want[2, 0] == (1, 0) and want[4, 1] == (4, 0)
+    odd = documents(spark, [*texts[3:], texts[4], None], [3, 4, 4, None]).withColumns({c: F.lit("x") for c in ("line", "raw", "line_no", "key", "id", "lead")})
+    out = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(odd).collect())
+    assert out == [("3", 4, 0), ("4", 2, 1), ("4", 2, 1), ("None", 1, 0)]
+
+
+def test_lines_at_the_threshold(spark):
+    """The share of links found between pairs of a similarity of just 0.8 or a little more."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(400):
+        line = list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 30 + k))
+        other = list(line)
+        at = 0
+        while True:  # spoil characters as long as the similarity stays at 0.8
+            tried = list(other)
+            tried[at] = "#"
+            x, y = ({"".join(s[i : i + 5]) for i in range(len(s) - 4)} for s in (line, tried))
+            if 100 * len(x & y) < 80 * len(x | y):
+                break
+            other, at = tried, at + 1 if at < 2 else at + 7
+        texts += ["".join(line), "".join(other)]
+    found = line_dedup.line_components(documents(spark, texts)).where("first_doc <> doc_id").count()
+    assert found >= 0.97 * 400
+
+
 def test_op8_takes_short_lines(spark, tmp_path):
     documents(spark, ["short\nab", "ab\nother\nshort"]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
