@@ -44,38 +44,48 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
 
 class UnitMemory:
     """Encodes texts that fall into units whose ids do not depend on their neighbours: each
-    distinct unit is encoded once and remembered; all are forgotten beyond `memory` units.
+    distinct unit is encoded once and remembered; all are forgotten beyond `memory` bytes.
 
-    split gives a text's units, learn the ids of new units, one after the other, and how
-    many each has."""
+    cuts says of the texts' bytes, one after the other, and their starts where a unit begins;
+    learn gives the ids of new units, one after the other, and how many each has."""
 
-    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], memory: int = 400_000):
-        self.split, self.learn, self.memory = split, learn, memory
+    def __init__(self, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], memory: int = 48 << 20):
+        self.cuts, self.learn, self.memory = cuts, learn, memory
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.held = 0
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. An empty text has none."""
-        if len(self.place) > self.memory:
+        if self.held > self.memory:
             self.forget()
+        texts = texts.cast(pa.binary())
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends = (offsets - offsets[0]).astype(np.int64)
+        starts = ends[:-1][ends[:-1] < len(raw)]
+        begin = self.cuts(raw, starts)
+        begin[starts] = True
+        at = np.flatnonzero(begin)
+        units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         place, known = self.place, len(self.place)
-        per_text, seen = [], []
-        for t in texts:
-            units = self.split(t) if t else []
-            per_text.append(len(units))
-            seen.append(np.fromiter((place.setdefault(u, len(place)) for u in units), np.int32, len(units)))
+        of = np.fromiter((place.setdefault(u, len(place)) for u in units.dictionary.to_pylist()), np.int64, len(units.dictionary))
         if len(place) > known:
-            ids, counts = self.learn(list(islice(place, known, None)))
+            new = list(islice(place, known, None))
+            ids, counts = self.learn(new)
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-        order = np.concatenate(seen) if seen else np.zeros(0, np.int32)
-        begin = self.first[order]
-        n = self.first[order + 1] - begin
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin - ends[:-1], n)
-        at += np.arange(len(at))
-        return self.ids[at], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])
+            self.held += sum(map(len, new)) + 120 * len(new) + 4 * len(ids)
+        order = of[units.indices.to_numpy()]
+        begins = self.first[order]
+        n = self.first[order + 1] - begins
+        upto = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(begins - upto[:-1], n)
+        where += np.arange(len(where))
+        return self.ids[where], np.diff(upto[np.searchsorted(at, ends)])

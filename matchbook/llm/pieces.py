@@ -3,24 +3,27 @@
 The vocabulary is a SentencePiece BPE model whose pieces never cross from a
 non-blank to a blank, so a text falls into units (blanks, then non-blanks), and equal
 units of a batch are encoded once. The batch's distinct units are concatenated and
-their suffixes sorted (as far as the longest piece); every piece is looked up by
+their suffixes sorted (as far as the longest piece), INDEX characters at a time, a longer
+unit in windows that overlap by the longest piece; every piece is looked up by
 binary search, which gives all places where it occurs as one range. The occurrences
 are edges over the text, sorted by position. They are then relaxed in the model's own
 order: again and again the edge with the best score (leftmost on ties) that spans
-exactly two current symbols of its unit joins them. A shortest path by score would
-differ from the model, so that order is kept; the ids equal the library's.
+exactly two current symbols of its unit joins them: in many units side by side, in a
+unit of more than LONG_UNIT characters (texts without blanks) by a queue over the same
+edges, as there one unit has as many joins as all others together. A shortest path by
+score would differ from the model, so that order is kept; the ids equal the library's.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from matchbook.llm.common import UnitMemory, slices, whole_text
 
 BLANK = "▁"
-#: Characters of distinct units indexed at once; longer units are merged one by one.
-INDEX, LONG_UNIT = 1 << 19, 64
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Characters indexed at once, and of units that are relaxed side by side.
+INDEX, LONG_UNIT = 1 << 17, 64
 
 
 @dataclass
@@ -80,10 +82,11 @@ class Pieces:
         for r, n in enumerate(self.lengths):
             rows[r, n:] = 0xFFFF
         self.high = _pack_rows(rows, self.width)
-        self.rank_of = {self.text[i]: r for r, i in enumerate(joined)}
-        self.raw = [b"" if i in self.silent else b" \xe2\x81\x87 " if i == self.unknown else self.text[i].replace(BLANK, " ").encode() for i in range(len(self.text))]
+        raw = [b"" if i in self.silent else b" \xe2\x81\x87 " if i == self.unknown else self.text[i].replace(BLANK, " ").encode() for i in range(len(self.text))]
         for b, i in enumerate(self.byte_id):
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        # once more as the first piece of a text: without the blank that encoding put before it
+        self.raw = pa.array(raw + [r.removeprefix(b" ") if t.startswith(BLANK) else r for r, t in zip(raw, self.text, strict=True)], pa.binary())
 
 
 def _pack_rows(rows: np.ndarray, width: int) -> list[np.ndarray]:
@@ -108,6 +111,14 @@ def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.
 
 def _edges(codes: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(start, rank) of every occurrence of every piece of two or more characters, by start."""
+    if len(codes) <= INDEX:
+        return _window_edges(codes, v)
+    found = [(a, _window_edges(codes[a : a + INDEX + 4 * v.width], v)) for a in range(0, len(codes), INDEX)]
+    kept = [(start[start < INDEX] + np.int32(a), rank[start < INDEX]) for a, (start, rank) in found]
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
+def _window_edges(codes: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([codes, np.zeros(4 * v.width + 4, np.uint16)]).astype(np.uint64)
     n = len(codes)
     four = padded[:-3] << np.uint64(48) | padded[1:-2] << np.uint64(32) | padded[2:-1] << np.uint64(16) | padded[3:]
@@ -135,14 +146,21 @@ def _edges(codes: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return start[order], rank[order]
 
 
-def _merged(codes: np.ndarray, unit: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Relaxes the edges of all units side by side. Gives the starts of the symbols that
-    remain and the id of each (-1 where a character is no piece)."""
+def _merged(codes: np.ndarray, unit: np.ndarray, long: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Relaxes the edges of all units. long: the starts and ends of the long ones. Gives the
+    starts of the symbols that remain and the id of each (-1 where a character is no piece)."""
     start, rank = _edges(codes, v)
     end = start + v.lengths[rank].astype(np.int32)
     symbol = v.single[codes]
     nxt = np.arange(1, len(codes) + 2)
     alive = np.ones(len(codes) + 1, bool)
+    if len(long):
+        of_long = np.zeros(len(start), bool)
+        for a, b in long.tolist():
+            i, j = np.searchsorted(start, [a, b])
+            of_long[i:j] = True
+            _relaxed_alone(start[i:j] - a, end[i:j] - a, rank[i:j], v, nxt[a:b], alive[a:b], symbol[a:b], a)
+        start, end, rank = start[~of_long], end[~of_long], rank[~of_long]
     while len(start):
         middle = nxt[start]
         # an edge whose end or start is no boundary any more, or that is joined, is over
@@ -163,32 +181,33 @@ def _merged(codes: np.ndarray, unit: np.ndarray, v: Pieces) -> tuple[np.ndarray,
     return left, symbol[left]
 
 
-def _merged_alone(text: str, v: Pieces) -> list[tuple[int, int]]:
-    """The same for one long unit, with a queue: (start, id) of the remaining symbols."""
-    n = len(text)
-    nxt, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    symbol = [int(v.single[v.code[ord(c)]]) for c in text]
+def _relaxed_alone(start: np.ndarray, end: np.ndarray, rank: np.ndarray, v: Pieces, nxt: np.ndarray, alive: np.ndarray, symbol: np.ndarray, base: int) -> None:
+    """The edges of one long unit, the best first by a queue. Sets its parts of nxt, alive and symbol."""
+    n = len(nxt)
+    edge = dict(zip(zip(start.tolist(), end.tolist(), strict=True), rank.tolist(), strict=True))
+    after, before, there = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     queue: list[tuple[int, int, int, int]] = []
 
     def offer(i: int) -> None:
-        j = nxt[i]
-        if j < n and (r := v.rank_of.get(text[i : nxt[j]])) is not None:
-            heapq.heappush(queue, (r, i, j, nxt[j]))
+        j = after[i]
+        if j < n and (r := edge.get((i, after[j]))) is not None:
+            heapq.heappush(queue, (r, i, j, after[j]))
 
     for i in range(n):
         offer(i)
     while queue:
         r, i, j, e = heapq.heappop(queue)
-        if alive[i] and alive[j] and nxt[i] == j and nxt[j] == e:
-            alive[j] = False
-            nxt[i] = e
+        if there[i] and there[j] and after[i] == j and after[j] == e:
+            there[j] = False
+            after[i] = e
             if e < n:
-                prev[e] = i
-            symbol[i] = int(v.ids[r])
-            if prev[i] >= 0:
-                offer(prev[i])
+                before[e] = i
+            symbol[i] = v.ids[r]
+            if before[i] >= 0:
+                offer(before[i])
             offer(i)
-    return [(i, symbol[i]) for i in range(n) if alive[i]]
+    nxt[:] = np.array(after) + base
+    alive[:] = there
 
 
 def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -197,21 +216,11 @@ def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
     codes = v.code[points]
-    codes[np.cumsum(sizes) - 1] = 0
-    unit = np.repeat(np.arange(len(units)), sizes)
-    long = np.flatnonzero(sizes > LONG_UNIT + 1)
-    begins = np.cumsum(sizes) - sizes
-    masked = codes
-    if len(long):  # hidden from the index, then merged alone
-        masked = codes.copy()
-        for u in long.tolist():
-            masked[begins[u] : begins[u] + sizes[u]] = 0
-    left, ids = _merged(masked, unit, v)
-    if len(long):
-        pairs = [(begins[u] + i, s) for u in long.tolist() for i, s in _merged_alone(units[u], v)]
-        left, ids = np.concatenate([left, [p[0] for p in pairs]]), np.concatenate([ids, [p[1] for p in pairs]])
-        order = np.argsort(left, kind="stable")
-        left, ids = left[order], ids[order]
+    ends = np.cumsum(sizes) - 1
+    codes[ends] = 0
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+    long = sizes > LONG_UNIT + 1
+    left, ids = _merged(codes, unit, np.stack([ends - sizes + 1, ends], axis=1)[long], v)
     unknown = np.flatnonzero(ids < 0)
     if len(unknown):
         spelled = [[v.byte_id[b] for b in chr(points[left[k]]).encode()] for k in unknown.tolist()]
@@ -223,48 +232,72 @@ def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(unit[left], minlength=len(units))
 
 
-def _split(text: str) -> list[str]:
-    return _UNIT.findall(BLANK + text.replace(" ", BLANK))
+def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A unit begins at a blank behind a non-blank."""
+    begin = np.zeros(len(raw), bool)
+    begin[1:] = (raw[1:] == 32) & (raw[:-1] != 32)
+    return begin
 
 
-def encoder(v: Pieces) -> UnitMemory:
-    def learn(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encoder(v: Pieces) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    def learn(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts, a = [], [], 0
         while a < len(units):
-            b, size = a, 0
-            while b < len(units) and (b == a or size < INDEX):
-                size += len(units[b]) + 1
-                b += 1
-            i, c = _encode_units(units[a:b], v)
-            ids.append(i)
+            some, size = [], 0
+            while a < len(units) and (not some or size < INDEX):
+                some.append(units[a].decode().replace(" ", BLANK))
+                size += len(some[-1]) + 1
+                a += 1
+            i, c = _encode_units(some, v)
+            ids.append(i.astype(np.int32))
             counts.append(c)
-            a = b
         return np.concatenate(ids), np.concatenate(counts)
 
-    return UnitMemory(_split, learn)
+    memory = UnitMemory(_cuts, learn)
+
+    def encode_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The model puts a blank before a text, and has one sign for U+2581 and a blank."""
+        plain = pc.replace_substring(texts.cast(pa.string()), BLANK, " ")
+        return memory(pc.if_else(pc.equal(pc.binary_length(plain), 0), "", pc.binary_join_element_wise("", plain, " ")))
+
+    return encode_all
 
 
 @lru_cache(maxsize=1)
-def worker_encoder(path: str) -> UnitMemory:
-    """One for all tasks that a Python worker runs with a model."""
-    return encoder(Pieces.load(path))
+def worker_pieces(path: str) -> tuple[Pieces, Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]:
+    """One model and memory for all tasks that a Python worker runs with a model."""
+    v = Pieces.load(path)
+    return v, encoder(v)
 
 
 def encode_texts(texts: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    return encoder(v)(texts)
+    return encoder(v)(pa.array(texts, pa.string()))
+
+
+def decode_lists(ids: pa.Array, v: Pieces) -> pa.Array:
+    """The texts of lists of ids: bytes are put together, broken ones shown as U+FFFD, and
+    the blank that encoding put before a text is taken off again."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat[ends[:-1][sizes > 0]] += len(v.text)
+    raw = v.raw.take(pa.array(flat))
+    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+    texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(at[ends])), raw.buffers()[2] or pa.py_buffer(b"")])
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 def decode_ids(ids: list[int], v: Pieces) -> str:
-    """The text of ids: bytes are put together, broken ones shown as U+FFFD, and the
-    blank that encoding put before the text is taken off again."""
-    text = b"".join([v.raw[i] for i in ids]).decode("utf-8", "replace")
-    return text.removeprefix(" ") if ids and v.text[ids[0]].startswith(BLANK) else text
+    return decode_lists(pa.array([ids], pa.list_(pa.int32())), v)[0].as_py()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encode_all = worker_encoder(path)
-    for batch in (s for b in batches for s in slices(b, "__text")):
-        ids, counts = encode_all(batch.column("__text").to_pylist())
+    _, encode_all = worker_pieces(path)
+    for batch in (s for b in batches for s in slices(b, "__text", 1 << 21)):
+        ids, counts = encode_all(batch.column("__text"))
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
         yield pa.RecordBatch.from_arrays([lists if f.name == "piece_ids" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -283,9 +316,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | No
     return docs.select(*kept, whole_text(text).alias("__text")).mapInArrow(lambda it: _encode(it, path, schema), out)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], v: Pieces, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
-        texts = pa.array([decode_ids(i or [], v) for i in batch.column("__ids").to_pylist()], pa.string())
+def _decode(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    v, _ = worker_pieces(path)
+    for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+        texts = decode_lists(batch.column("__ids"), v)
         yield pa.RecordBatch.from_arrays([texts if f.name == "decoded" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
@@ -293,8 +327,7 @@ def decode(rows: DataFrame, path: str, ids: str = "piece_ids", carry: list[str]
     """The columns `carry` (default: all) and decoded, the text of the ids; null and empty
     lists give the empty text. A literal U+2581 in a text comes back as a blank, as the
     model has one sign for both."""
-    v = Pieces.load(path)
     kept = [c for c in rows.columns if c != "decoded"] if carry is None else carry
     out = T.StructType([*rows.select(*kept).schema.fields, T.StructField("decoded", T.StringType())])
     schema = to_arrow_schema(out)
-    return rows.select(*kept, F.col(ids).alias("__ids")).mapInArrow(lambda it: _decode(it, v, schema), out)
+    return rows.select(*kept, F.col(ids).alias("__ids")).mapInArrow(lambda it: _decode(it, path, schema), out)

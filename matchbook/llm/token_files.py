@@ -5,7 +5,7 @@ and blocks of BLOCK ids. Each block starts from fresh state, has its own length
 crc32 of its coded bytes and of its ids, and can be decoded alone.
 
 The model of a block predicts an id from its last two ids (order 2), from its last
-(order 1) and from all before (order 0: a majority vote). What comes is one of 16
+(order 1) and from all before (order 0: a majority vote). What comes is one of eight
 symbols: a hit of order 2, 1 or 0, or the size class of a literal. Their frequencies
 are mixed from three adaptive counts: one under the confidence of order 2, one under
 that of order 1, one without context. A literal's remaining bits follow as they are.
@@ -34,91 +34,126 @@ from pyspark.sql import functions as F
 
 from matchbook.llm.common import UnitMemory, slices, whole_text
 
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
 #: Ids of a block, ids after which a segment closes, lanes coded at once.
 BLOCK, SEGMENT, LANES = 2048, 1 << 22, 2048
 _ORDER1, _ORDER2 = 10, 11  # bits of the prediction tables
-#: Three hits and the literal classes: ids of at most _LOW binary digits, then one more each.
-_SYMBOLS, _HITS, _LOW = 16, 3, 5
-#: Counts grow by _ADD and are halved every _AGE ids.
+#: Symbols: hits of order 2, 1 and 0, then five classes of literals, with their first ids and
+#: binary digits. The last class has as many digits as the segment's largest id needs.
+_HITS, _FIRST, _DIGITS = 3, (0, 256, 1280, 5376, 21760), (8, 10, 12, 14)
+_MOST = 1 << 17
+#: Counts grow by _ADD and are halved every _AGE ids, so mixed totals stay below 2**15.
 _ADD, _AGE = 24, 128
 _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
+#: Four 16-bit numbers lie in a word: ones, and the top bit of each.
+_ONES, _TOPS = _U(0x0001000100010001), _U(0x8000800080008000)
+_FIELD = _U(0xFFFF)
 
 
 class _Lanes:
-    """State of the model for many blocks at once; all tables are flat, a lane after the other."""
+    """State of the model for many blocks at once; all tables are flat, a lane after the other.
+    A context's eight counts are two words of four 16-bit numbers, summed up by a multiplication."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype=np.int64)
         self.one = np.zeros(lanes << _ORDER1, np.uint32)  # id << 2 | confidence
         self.two = np.zeros(lanes << _ORDER2, np.uint32)
         self.vote, self.votes = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
-        start = np.full(_SYMBOLS, 2, np.uint16)
-        start[_HITS:] += np.arange(_SYMBOLS - _HITS, dtype=np.uint16)
-        # counts under the confidence of order 2 (5 rows a lane), of order 1 (5), without context (1)
-        self.counts = np.tile(start, (lanes * 11, 1))
+        # counts under the confidence of order 2 (5 contexts a lane), of order 1 (5), and without context
+        self.counts = np.full(lanes * 20, _ONES * _U(4), _U)
+        self.any_low, self.any_high = np.full(lanes, _ONES * _U(4), _U), np.full(lanes, _ONES * _U(4), _U)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.step = 0
-        self.base = self.lane * _SYMBOLS
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids predicted by order 2 and 1, and the cumulated mixed frequencies, flat."""
+    def predict(self) -> None:
+        """Sets the ids predicted by order 2 and 1 (p2, p1), the mixed frequencies (low, high),
+        their running sums (sums_low, sums_high) and total."""
         if self.step % _AGE == _AGE - 1:
-            self.counts >>= 1
-            self.counts += 1
+            for c in (self.counts, self.any_low, self.any_high):
+                c >>= _U(1)
+                c &= ~_TOPS
+                c += _ONES
         self.step += 1
         self.h1 = ((self.last * np.uint32(0x9E3779B1)) >> np.uint32(32 - _ORDER1)) + (self.lane << _ORDER1)
         self.h2 = ((self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _ORDER2)) + (self.lane << _ORDER2)
         self.e1, self.e2 = self.one.take(self.h1), self.two.take(self.h2)
-        row = self.lane * 11
-        self.r2 = row + (self.e2 & np.uint32(3)) + (self.e2 > 0)
-        self.r1 = row + 5 + (self.e1 & np.uint32(3)) + (self.e1 > 0)
-        self.r0 = row + 10
-        mixed = self.counts.take(self.r2, axis=0)
-        mixed <<= 1
-        mixed += self.counts.take(self.r1, axis=0)
-        mixed += self.counts.take(self.r0, axis=0)
+        row = self.lane * 20
+        self.r2 = row + (((self.e2 & np.uint32(3)) + (self.e2 > 0)) << np.uint32(1))
+        self.r1 = row + (((self.e1 & np.uint32(3)) + (self.e1 > 0)) << np.uint32(1))
+        self.r1 += 10
+        take = self.counts.take
+        self.low = take(self.r2) << _U(1)
+        self.low += take(self.r1)
+        self.low += self.any_low
+        self.high = take(self.r2 + 1) << _U(1)
+        self.high += take(self.r1 + 1)
+        self.high += self.any_high
+        self.sums_low = self.low * _ONES
+        self.sums_high = (self.high + (self.sums_low >> _U(48))) * _ONES
+        self.total = self.sums_high >> _U(48)
         self.p2, self.p1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
-        return self.p2, self.p1, np.cumsum(mixed, axis=1, dtype=np.uint32)
 
-    def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        flat = self.counts.reshape(-1)
-        for r in (self.r2, self.r1, self.r0):
-            at = r * _SYMBOLS + symbol
-            flat[at] = flat.take(at) + np.uint16(_ADD)
+    def range_of(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a symbol's share of the total begins, and its size."""
+        self.upper = symbol > 3
+        self.at = ((symbol & 3) << 4).astype(_U)
+        size = np.where(self.upper, self.high, self.low)
+        size >>= self.at
+        size &= _FIELD
+        end = np.where(self.upper, self.sums_high, self.sums_low)
+        end >>= self.at
+        end &= _FIELD
+        return end - size, size
+
+    def symbol_at(self, value: np.ndarray) -> np.ndarray:
+        """The symbol whose share of the total holds the value."""
+        all_four = value * _ONES | _TOPS
+        return (np.bitwise_count(all_four - self.sums_low & _TOPS) + np.bitwise_count(all_four - self.sums_high & _TOPS)).astype(np.int64)
+
+    def learn(self, ids: np.ndarray) -> None:
+        more = _U(_ADD) << self.at
+        for r in (self.r2, self.r1):
+            r += self.upper
+            self.counts[r] = self.counts.take(r) + more
+        above = more * self.upper
+        self.any_high += above
+        self.any_low += more - above
         fresh = ids << np.uint32(2)
         for table, entry, guess, h in ((self.one, self.e1, self.p1, self.h1), (self.two, self.e2, self.p2, self.h2)):
-            right, sure = guess == ids, entry & np.uint32(3)
-            kept = entry + ((sure < 3) & right)
-            kept -= ~right
-            table[h] = np.where(right | (sure > 0), kept, fresh)
-        agree = self.vote == ids
-        self.votes += agree
-        self.votes -= ~agree
-        lost = self.votes < 0
-        self.vote = np.where(lost, ids, self.vote)
-        self.votes[lost] = 1
+            # a right guess gains confidence, up to 3; a wrong one is replaced
+            table[h] = np.where(guess == ids, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), fresh)
+        self.votes += np.where(self.vote == ids, np.int32(1), np.int32(-1))
+        self.vote = np.where(self.votes < 0, ids, self.vote)
+        np.abs(self.votes, out=self.votes)
         self.before, self.last = self.last, ids
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
-        self.counts = self.counts[: n * 11]
+        self.counts = self.counts[: n * 20]
         self.one, self.two = self.one[: n << _ORDER1], self.two[: n << _ORDER2]
-        for name in ("lane", "vote", "votes", "last", "before", "base"):
+        for name in ("lane", "vote", "votes", "last", "before", "any_low", "any_high"):
             setattr(self, name, getattr(self, name)[:n])
 
 
-def _digits(ids: np.ndarray) -> np.ndarray:
-    """Binary digits of each id."""
-    return np.frexp(ids.astype(np.float32))[1]
+def _share(span: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The range of one count: span // total but for the last bits, by exact division of floats
+    (numbers below 2**52), which is faster than that of 64-bit integers."""
+    return ((span >> _U(12)).astype(np.float64) / total).astype(_U) << _U(12)
 
 
-def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def _classes(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol: the first id of a literal class, and its binary digits (top: of the last)."""
+    return np.array([0] * _HITS + list(_FIRST), np.uint32), np.array([0] * _HITS + [*_DIGITS, top], _U)
+
+
+def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, top: int) -> list[bytes]:
     """ids (steps, lanes) with sizes falling from lane to lane."""
     n = len(sizes)
     model = _Lanes(n)
+    first, digits = _classes(top)
+    literal = (np.searchsorted(first[_HITS:], ids, side="right") + (_HITS - 1)).astype(np.int8)
     low, span = np.zeros(n, _U), np.full(n, _ALL)
     room = np.empty((ids.shape[0] * 3 + 8, n), np.uint16)
     used = np.zeros(n, np.int64)
@@ -129,21 +164,21 @@ def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             live = now
             model.shrink(live)
         x = ids[t, :live]
-        two, one, upto = model.predict()
-        digits = np.maximum(_digits(x), _LOW)
-        symbol = np.where(two == x, 0, np.where(one == x, 1, np.where(model.vote == x, 2, digits + (_HITS - _LOW)))).astype(np.int64)
-        flat, at = upto.reshape(-1), model.base + symbol
-        high = flat.take(at).astype(_U)
-        begin = (flat.take(np.maximum(at - 1, 0)) * (symbol > 0)).astype(_U)
+        model.predict()
+        symbol = literal[t, :live].astype(np.int64)
+        symbol[model.vote == x] = 2
+        symbol[model.p1 == x] = 1
+        symbol[model.p2 == x] = 0
+        begin, size = model.range_of(symbol)
         lo, sp = low[:live], span[:live]
-        sp //= upto[:, -1].astype(_U)
-        lo += begin * sp
-        sp *= high - begin
-        extra = np.where(symbol >= _HITS, digits - (digits > _LOW), 0).astype(_U)
-        sp >>= extra
-        lo += (x.astype(_U) & ((_U(1) << extra) - _U(1))) * sp
+        sp[:] = _share(sp, model.total)
+        begin *= sp
+        lo += begin
+        sp *= size
+        sp >>= digits.take(symbol)
+        lo += ((x - first.take(symbol)) * (symbol >= _HITS)).astype(_U) * sp
         _shift(lo, sp, room, used, live)
-        model.learn(x, symbol)
+        model.learn(x)
     for _ in range(4):
         room[used, np.arange(n)] = (low >> _U(48)).astype(np.uint16)
         used += 1
@@ -176,13 +211,14 @@ def _shift(lo: np.ndarray, sp: np.ndarray, room: np.ndarray | None, used: np.nda
         some = idx
 
 
-def _decode_lanes(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _decode_lanes(coded: list[bytes], sizes: np.ndarray, top: int) -> np.ndarray:
     n = len(sizes)
     units = [np.frombuffer(c, ">u2") for c in coded]
     room = np.zeros((max(map(len, units)) + 8, n), np.uint16)
     for i, u in enumerate(units):
         room[: len(u), i] = u
     model = _Lanes(n)
+    first, digits = _classes(top)
     low, span, code = np.zeros(n, _U), np.full(n, _ALL), np.zeros(n, _U)
     used = np.full(n, 4)
     for k in range(4):
@@ -194,36 +230,34 @@ def _decode_lanes(coded: list[bytes], sizes: np.ndarray) -> np.ndarray:
         if now < live:
             live = now
             model.shrink(live)
-        two, one, upto = model.predict()
+        model.predict()
         lo, sp, co = low[:live], span[:live], code[:live]
-        total = upto[:, -1].astype(_U)
-        sp //= total
-        value = np.minimum((co - lo) // sp, total - _U(1)).astype(np.uint32)
-        symbol = (upto <= value[:, None]).sum(axis=1)
-        flat, at = upto.reshape(-1), model.base + symbol
-        high = flat.take(at).astype(_U)
-        begin = (flat.take(np.maximum(at - 1, 0)) * (symbol > 0)).astype(_U)
-        lo += begin * sp
-        sp *= high - begin
-        digits = symbol - _HITS + _LOW
-        extra = np.where(symbol >= _HITS, digits - (digits > _LOW), 0).astype(_U)
+        sp[:] = _share(sp, model.total)
+        symbol = model.symbol_at(np.minimum((co - lo) // sp, model.total - _U(1)))
+        begin, size = model.range_of(symbol)
+        begin *= sp
+        lo += begin
+        sp *= size
+        extra = digits.take(symbol)
         sp >>= extra
-        rest = np.minimum((co - lo) // sp, (_U(1) << extra) - _U(1))
-        lo += rest * sp
-        literal = np.where(digits > _LOW, (_U(1) << extra) | rest, rest).astype(np.uint32)
-        x = np.where(symbol == 0, two, np.where(symbol == 1, one, np.where(symbol == 2, model.vote, literal)))
+        x = np.where(symbol == 0, model.p2, np.where(symbol == 1, model.p1, model.vote))
+        some = np.flatnonzero(symbol >= _HITS)
+        if len(some):
+            rest = np.minimum((co[some] - lo[some]) // sp[some], (_U(1) << extra[some]) - _U(1))
+            lo[some] += rest * sp[some]
+            x[some] = first.take(symbol[some]) + rest.astype(np.uint32)
         out[t, :live] = x
         _shift(lo, sp, room, used, live, co)
-        model.learn(x, symbol)
+        model.learn(x)
     return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """All blocks of a run of ids, each below 2**17: number of ids, then a size and two
-    checksums a block, then the coded blocks."""
-    top = 1 << (_SYMBOLS - _HITS - 1 + _LOW)
-    if len(ids) and int(ids.max()) >= top:
-        raise ValueError(f"ids must be below {top}")
+    """All blocks of a run of ids, each below 2**17: number of ids and digits of the last
+    class, then a size and two checksums a block, then the coded blocks."""
+    if len(ids) and int(ids.max()) >= _MOST:
+        raise ValueError(f"ids must be below {_MOST}")
+    top = max(int(ids.max(initial=0)) - _FIRST[-1], 0).bit_length()
     n = -(-len(ids) // BLOCK)
     sizes = np.full(n, BLOCK)
     if n:
@@ -232,22 +266,22 @@ def pack(ids: np.ndarray) -> bytes:
     lanes.ravel()[: len(ids)] = ids
     coded: list[bytes] = []
     for a in range(0, n, LANES):
-        coded += _encode_lanes(np.ascontiguousarray(lanes[a : a + LANES, : sizes[a]].T), sizes[a : a + LANES])
+        coded += _encode_lanes(np.ascontiguousarray(lanes[a : a + LANES, : sizes[a]].T), sizes[a : a + LANES], top)
     heads = b"".join(struct.pack("<III", len(c), zlib.crc32(c), zlib.crc32(lanes[i, : sizes[i]].astype("<u4").tobytes())) for i, c in enumerate(coded))
-    return MAGIC + struct.pack("<Q", len(ids)) + heads + b"".join(coded)
+    return MAGIC + struct.pack("<QI", len(ids), top) + heads + b"".join(coded)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids again; ValueError if a checksum is wrong."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    (total,) = struct.unpack_from("<Q", data, 4)
+    total, top = struct.unpack_from("<QI", data, 4)
     n = -(-total // BLOCK)
-    heads = [struct.unpack_from("<III", data, 12 + 12 * i) for i in range(n)]
+    heads = [struct.unpack_from("<III", data, 16 + 12 * i) for i in range(n)]
     sizes = np.full(n, BLOCK)
     if n:
         sizes[-1] = total - (n - 1) * BLOCK
-    at, coded = 12 + 12 * n, []
+    at, coded = 16 + 12 * n, []
     for size, check, _ in heads:
         coded.append(data[at : at + size])
         at += size
@@ -255,7 +289,7 @@ def unpack(data: bytes) -> np.ndarray:
             raise ValueError("a block's bytes do not match their checksum")
     out = np.zeros((n, BLOCK), np.uint32)
     for a in range(0, n, LANES):
-        ids = _decode_lanes(coded[a : a + LANES], sizes[a : a + LANES])
+        ids = _decode_lanes(coded[a : a + LANES], sizes[a : a + LANES], top)
         out[a : a + ids.shape[1], : ids.shape[0]] = ids.T
     for i, (_, _, check) in enumerate(heads):
         if zlib.crc32(out[i, : sizes[i]].astype("<u4").tobytes()) != check:
@@ -263,32 +297,62 @@ def unpack(data: bytes) -> np.ndarray:
     return out.ravel()[:total]
 
 
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: Kinds of bytes: ASCII letters, digits, blanks, other signs, the apostrophe, bytes of longer characters.
+_LETTER, _DIGIT, _BLANK, _SIGN, _QUOTE, _LONG = range(1, 7)
+_KIND = np.full(256, _LONG, np.uint8)
+_KIND[:128] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[32, *range(9, 14)]] = _BLANK
+_KIND[39] = _QUOTE
+#: _CUT[a, b]: whether a unit may begin at a byte of kind b behind one of kind a.
+_CUT = np.ones((7, 7), bool)
+_CUT[range(7), range(7)] = False
+_CUT[_BLANK] = _CUT[_LONG] = _CUT[:, _LONG] = False
+_CUT[_SIGN, _QUOTE] = _CUT[_QUOTE, _SIGN] = _CUT[_QUOTE, _LETTER] = False
+#: Last and last but one bytes that blanks of several bytes have.
+_WIDE = np.zeros((2, 256), bool)
+_WIDE[0, [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_WIDE[1, [0x80, 0x81, 0x9A, 0xC2]] = True
 
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> UnitMemory:
-    """Encodes as the tokenizers library does, a word at a time with a memory of words that
-    lasts as long as the Python worker, over all tasks that it runs.
+    """Encodes as the tokenizers library does by default, a unit at a time with a memory of
+    units that lasts as long as the Python worker, over all tasks that it runs.
 
-    The vocabulary's own split never joins a non-blank to a following blank, so a text's
-    ids are those of its pieces (blanks, then non-blanks). Texts with the four separators
-    that Python calls blank and the library doesn't are one piece. Strings of special
-    tokens in a text are ordinary text.
+    The vocabulary's own split ends a run of letters, digits or other signs where another
+    kind follows, and joins one blank to what comes after it; a text is cut at such places
+    where both sides are ASCII, and before a blank that no other blank precedes. Strings of
+    added tokens are units of their own, as in the library.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def split(text: str) -> list[str]:
-        return [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else _PIECE.findall(text)
-
-    def learn(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for a in range(0, len(pieces), 4096) for e in tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False)]
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or (t.normalized and not t.special) for t in added):
+        raise ValueError("an added token of this vocabulary takes in what is beside it")
+    special = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+
+    def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        kind = _KIND[raw]
+        begin = np.zeros(len(raw), bool)
+        begin[1:] = _CUT.ravel()[kind[:-1] * np.uint8(7) + kind[1:]]
+        wide = np.flatnonzero((kind[1:] == _BLANK) & (kind[:-1] == _LONG)) + 1
+        begin[wide] = ~(_WIDE[0, raw[wide - 1]] & _WIDE[1, raw[wide - 2]])
+        for m in special.finditer(raw) if special else ():
+            a, b = m.span()
+            if np.searchsorted(starts, a, side="right") == np.searchsorted(starts, b - 1, side="right"):  # in one text
+                begin[a] = True
+                begin[a + 1 : b] = False
+                begin[b : b + 1] = True
+        return begin
+
+    def learn(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for a in range(0, len(units), 4096) for e in tokenizer.encode_batch_fast([u.decode() for u in units[a : a + 4096]], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    return UnitMemory(split, learn)
+    return UnitMemory(cuts, learn, memory=200 << 20)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -307,7 +371,7 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
         )
 
     for batch in (s for b in batches for s in slices(b, "text")):
-        ids, counts = encode(batch.column("text").to_pylist())
+        ids, counts = encode(batch.column("text"))
         ends = np.cumsum(counts)
         closed = np.insert(ids, ends, end_id).astype(np.uint32)  # an end after each document
         docs += batch.column("doc_id").to_pylist()

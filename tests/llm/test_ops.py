@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from brute import base_spans, near, shingles  # noqa: E402
 
-from matchbook.llm import ann, chat, line_dedup, mixing, pii, token_files  # noqa: E402
+from matchbook.llm import ann, chat, line_dedup, mixing, pieces, pii, token_files  # noqa: E402
 from matchbook.llm.exact_dedup import exact_dedup  # noqa: E402
 from matchbook.llm.language_id import Model, PAD, identify, sample_windows, train  # noqa: E402
 from matchbook.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets  # noqa: E402
@@ -101,8 +101,7 @@ def test_token_files(spark, small, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = [(r["doc_id"], r["text"]) for r in small.collect()] + [(1000 + i, x) for i, x in enumerate([*ODD, "<|endoftext|> a"])]
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()] + [(1000 + i, x) for i, x in enumerate([*ODD, "<|endoftext|> a", "a <|endoftext|>  <|endof", "text|>b", "n\u00a0 o\u3000 p\x85 q it's I'LL '90s"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     token_files.write_tokens(df, f"file://{tmp_path}/t", tokenizer_file("byte_bpe_50k.json"))
     got = {r["doc_id"]: r for r in token_files.read_tokens(spark, f"file://{tmp_path}/t").collect()}
@@ -116,18 +115,37 @@ def test_token_files(spark, small, tmp_path):
     assert token_files.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_units_of_random_texts():
+    """Cuts between units change no id: the plain library on whole texts is the measure."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    t, encode_all = Tokenizer.from_file(path), token_files.word_encoder(path)
+    rng = np.random.default_rng(2)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'", "'s", "!", "?-", "12", "é", "日本", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "<|endoftext|>", "<|endof", "text|>", "_", "𝒳", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(4000)]
+    ids, counts = encode_all(pa.array(texts))
+    ends = np.cumsum(counts)
+    for x, n, e in zip(texts, counts, ends, strict=True):
+        assert ids[e - n : e].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 # --- 3: SentencePiece
 
 
-def test_pieces_equal_the_library(spark, small):
+def test_pieces_equal_the_library(spark, small, monkeypatch):
     import sentencepiece
 
     path = tokenizer_file("piece_bpe_32k.model")
     sp, v = sentencepiece.SentencePieceProcessor(model_file=path), Pieces.load(path)
     texts = [r["text"] for r in small.collect()] + [t or "" for t in ODD] + ["hello  world", "  a ", "x" * 300 + "日本" * 50, " " * 70 + "x"]
+    texts += ["".join(chr(c) for c in np.random.default_rng(k).integers(0x3040, 0x4F00, 700)) for k in range(3)] + ["これは空白のない長い文章です。" * 40, "x▁ y▁▁z"]
+    monkeypatch.setattr(pieces, "INDEX", 300)  # long units in many windows
     ids, counts = encode_texts(texts, v)
     ends = np.cumsum(counts)
     for t, n, e in zip(texts, counts, ends, strict=True):
+        t = t.replace("▁", " ")
         mine = ids[e - n : e].tolist()
         assert mine == sp.encode(t)
         assert decode_ids(mine, v) == sp.decode(mine) == t
