@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 NA_WORDS = ("", "nan", "none", "<na>", "null", "nat")
 TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "t", "pass", "passed", "usable")
 FALSE_WORDS = ("false", "0", "0.0", "no", "n", "f", "fail", "failed", "unusable")
-POSITIVE_WORDS = ("1", "1.0", "positive", "plume", "tp", "release_on", "true", "yes")
-NEGATIVE_WORDS = ("0", "0.0", "negative", "no_plume", "tn", "release_off", "false", "no")
-STOP_TOKENS = ("the", "site", "facility", "station", "test", "field", "controlled", "release", "campaign", "area", "location")
+POSITIVE_WORDS = ("1", "1.0", "positive", "tp", "plume", "release", "release_on", "yes", "true")
+NEGATIVE_WORDS = ("0", "0.0", "negative", "tn", "no plume", "no_plume", "no_release", "release_off", "no", "false")
+STOP_TOKENS = ("release", "releases", "stack", "stacks", "site", "facility", "controlled", "methane", "source", "test", "station")
 
 
 def clean_text(c: Column) -> Column:
@@ -55,9 +55,10 @@ def label(c: Column) -> Column:
 
 
 def token_key(c: Column, stop: Sequence[str] = STOP_TOKENS) -> Column:
-    """Lower-case tokens of letters and digits without the stop tokens, joined by blanks."""
-    tokens = F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " +")
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*stop)), " ")
+    """Lower-case tokens of letters and digits without the stop tokens, joined by blanks; empty
+    for texts that mean "no value"."""
+    tokens = F.split(F.trim(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", " ")), " +")
+    return F.coalesce(F.array_join(F.filter(tokens, lambda t: ~t.isin(*stop)), " "), F.lit(""))
 
 
 def synonym(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -121,3 +122,15 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
     """Whether the text holds any of the words, in any case."""
     escaped = ["".join(x if x.isalnum() or x == " " else "\\" + x for x in w) for w in words]
     return c.rlike("(?i)" + "|".join(escaped))
+
+
+def coordinate_key(lat: Column, lon: Column, places: int = 3) -> Column:
+    """geo_<lat>_<lon> at so many decimals, the key of places given by coordinates alone; null
+    if either is null."""
+    side = lambda c: F.format_string(f"%.{places}f", F.round(c, places) + 0.0)
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("geo_"), side(lat), F.lit("_"), side(lon)))
+
+
+def ordered_distinct(c: Column) -> Column:
+    """The array's values, each once, in the order of their first places; nulls and blanks go."""
+    return F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (F.trim(x) != "")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.geo import safe_ratio
@@ -43,7 +43,9 @@ def robust_scale(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def describe(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact count, mean, sd, minimum, quartiles and maximum."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), *[F.expr(f"percentile({value}, {p})").alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)], F.max(value).alias("max"))
+    # one map of distinct values for all three quartiles
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"), F.max(value).alias("max"))
+    return out.select(*by, "n", "mean", "sd", "min", *[F.col("q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -84,3 +86,29 @@ def consensus(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     the spreads of both ends, and whether they overlap by more than a touch."""
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("i_start").alias("shared_start"), F.min("i_end").alias("shared_end"), F.min("i_start").alias("union_start"), F.max("i_end").alias("union_end"))
     return out.withColumn("start_spread", F.col("shared_start") - F.col("union_start")).withColumn("end_spread", F.col("union_end") - F.col("shared_end")).withColumn("overlaps", F.col("shared_end") > F.col("shared_start"))
+
+
+def combine_first(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """All keys of two tables with unique keys; each column from a where it is there and not
+    null, else from b. Columns are those of a, then what b alone has. Null keys don't meet."""
+    columns = [*a.columns, *[c for c in b.columns if c not in a.columns]]
+    x, y = a.select(F.struct("*").alias("x"), F.col(key).alias("k")), b.select(F.struct("*").alias("y"), F.col(key).alias("k"))
+
+    def pick(c: str) -> Column:
+        sides = [F.col(f"{s}.{c}") for s, t in (("x", a), ("y", b)) if c in t.columns]
+        return F.coalesce(*sides).alias(c)
+
+    return x.join(y, "k", "full").select(*map(pick, columns))
+
+
+def seeded_sample(rows: DataFrame, by: Sequence[str], id_col: str, n: int | Column, seed: int = 0) -> DataFrame:
+    """At most n rows of each group (n may be a column over the groups), drawn by the md5 of seed
+    and id: reruns, other partitionings and SQL engines draw the same. Null ids come first."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("draw", id_col))
+    return rows.withColumn("draw", draw).withColumn("place", place).where(F.col("place") <= n).drop("draw", "place")
+
+
+def label_conflicts(rows: DataFrame, by: Sequence[str], label: str) -> DataFrame:
+    """Groups that hold both labels, with how many of each: a gate, empty when all is well."""
+    return rows.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative")).where("n_positive > 0 AND n_negative > 0")

@@ -57,7 +57,7 @@ def bootstrap(rows: DataFrame, id_col: str, value: str, replicates: int, seed: i
     """strata, mean, mean_lo, mean_hi, median_lo, median_hi: percentile intervals of 95 %.
 
     Every row draws, in every replicate, how often it is taken, from its id, the replicate
-    and the seed alone (a Poisson count of mean 1), so that no row has to meet another and
+    and the seed alone (a Poisson count of mean 1, cut at 8: a chance of 1e-6), so that no row has to meet another and
     reruns agree. Whole pairs are drawn if rows are pairs; strata are drawn apart."""
     draw = (F.pmod(F.xxhash64(F.col(id_col), F.col("rep"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     limits, total, term = [], 0.0, 2.718281828459045**-1
