@@ -44,10 +44,15 @@ BASE = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "text RLIKE r'[0-9][ -]?[0-9]'", "length(regexp_replace(x.m, '[ -]', '')) BETWEEN 16 AND 19 AND luhn_check(regexp_replace(x.m, '[ -]', ''))", 0.7, r"card|visa|master|credit|debit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "text RLIKE r'\\+[0-9]'", "length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 8 AND 15", 0.6, r"phone|tel|call|mobile|fax"),
 )
+#: Characters that differ in a secret, at least; words that stand before one.
+DISTINCT, _SECRET = 8, r"token|secret|passw|api[ _-]?key|bearer|credential"
 #: Kinds that the method adds; they need a checksum or context to reach `least`.
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "text RLIKE '[A-Z][A-Z][0-9][0-9]'", f"length(regexp_replace(x.m, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97} = 1", 0.8, r"iban|bank|account|konto|cuenta|compte", 0.7),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "text RLIKE '[0-9]-[0-9]'", "true", 0.4, r"\bssn\b|social security|social insurance", 0.7),
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,200}+|xox[abprs]-[A-Za-z0-9-]{10,200}+|sk-[A-Za-z0-9_-]{20,200}+|eyJ[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,2000}+)(?![A-Za-z0-9_-])", "text RLIKE 'AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ'", f"size(array_distinct(split(x.m, ''))) >= {DISTINCT}", 0.9, _SECRET),
+    Kind("private_key", r"-----BEGIN (?:[A-Z0-9]{2,12}\x20){0,3}PRIVATE KEY-----", "contains(text, 'PRIVATE KEY-----')", "true", 1.0, _SECRET),
+    Kind("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,200}+={0,2}+(?![A-Za-z0-9_+/=-])", f"lower(text) RLIKE r'{_SECRET}'", f"x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]' AND size(array_distinct(split(x.m, ''))) >= {DISTINCT}", 0.4, _SECRET, 0.7),
 )
 CONTEXT_CHARS, CONTEXT_BONUS, GROUP = 40, 0.3, 256
 
@@ -101,7 +106,8 @@ def redact(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: f
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """A row a document: counts of the base kinds, a digest of their spans, all spans."""
+    """A row a document: counts of the base kinds, a digest of their spans, all spans, and how
+    many of them are secrets and how many there are."""
     found = find_pii(docs)
     names = ", ".join(f"'{k.name}'" for k in BASE)
     said = "x -> concat(x.kind, ':', x.start, ':', x.end)"
@@ -110,4 +116,6 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         *[F.expr(f"cast(size(filter(spans, x -> x.kind = '{k.name}')) AS long)").alias(f"n_{k.name}") for k in BASE],
         F.sha2(F.expr(f"array_join(transform(filter(spans, x -> x.kind IN ({names})), {said}), ',')"), 256).alias("base_sha256"),
         F.expr(f"array_join(transform(spans, {said}), ',')").alias("spans"),
+        F.expr("cast(size(filter(spans, x -> x.kind IN ('key', 'private_key', 'secret'))) AS long)").alias("n_secret"),
+        F.expr("cast(size(spans) AS long)").alias("n_spans"),
     )
