@@ -28,7 +28,7 @@ from matchbook.session import stage_table
 #: Words of a block (hash buckets, so about that many).
 BLOCK_WORDS = 200_000
 #: Words of an output shard.
-SHARD_WORDS = 20_000_000
+SHARD_WORDS = 4_000_000
 
 
 def draw(*parts: Column | str) -> Column:
