@@ -169,18 +169,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = 500,
     parts = -(-n // BLOCK)
     codes = stage_table(base.repartition(parts, "id").mapInPandas(lambda it: _packed(it, quantiser), "ids binary, codes binary, norms binary").withColumn("part", F.spark_partition_id()), "ann-codes")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in range(0, len(b), QUERIES):
-                part = b.iloc[a : a + QUERIES]
-                yield pd.DataFrame({"q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vectors": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
-
-    blocks = stage_table(asked.repartition(-(-n // (20 * QUERIES)), "id").mapInPandas(pack, "q_ids binary, q_vectors binary").withColumn("q_block", F.monotonically_increasing_id()), "ann-queries")
-    # a number for 512 queries
-    listed = [r["q_block"] for r in blocks.select("q_block").collect()]
-    if not listed:
+    n_blocks = -(-asked.count() // QUERIES)
+    if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    meetings = codes.withColumn("q_block", F.explode(F.array(*[F.lit(x) for x in listed]))).repartition("q_block", "part").join(blocks, "q_block")
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        part = block.sort_values("id")
+        return pd.DataFrame({"q_block": block["q_block"].iloc[:1].to_numpy(), "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vectors": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
+
+    # about QUERIES queries a block, by a hash
+    numbered = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    blocks = stage_table(numbered.groupBy("q_block").applyInPandas(pack, "q_block long, q_ids binary, q_vectors binary"), "ann-queries")
+    meetings = codes.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition("q_block", "part").join(blocks, "q_block")
     found = meetings.mapInPandas(lambda it: _meet(it, quantiser, keep, measure), "query_id long, part int, ids array<long>, far array<float>")
     lists = found.select("query_id", "part", F.arrays_zip("far", "ids").alias("near"))
     while True:  # merge FAN lists at a time, the best `keep` of them stay

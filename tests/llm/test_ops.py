@@ -258,6 +258,20 @@ def test_search_finds_most_and_scores_exactly(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_where_few_are_rescored(spark, monkeypatch):
+    """3 % of the vectors are scored exactly, and books are fitted on two fifths of them."""
+    monkeypatch.setattr(ann, "SAMPLE", 2000)
+    x = np.random.default_rng(4).standard_normal((5000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 100 = 0"), k=20, keep=150).groupBy("query_id").agg(F.collect_set("vec_id")).collect()
+    hit = 0
+    for q, found in got:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(found))
+    assert len(got) == 50 and hit / (20 * 50) >= 0.9
+
+
 def test_merging_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 40)
     monkeypatch.setattr(ann, "FAN", 3)
