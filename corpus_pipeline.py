@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs. All but
 the last return the columns of documents.
+
+Null and empty texts have no letter, so the first stage rejects them; stages that are given
+some all the same treat null as empty, keep it in near dedup, take it with size 0 in the mix
+and give it no pieces. Null languages and sources are values like others. Repeated rows are
+copies. An empty table passes through all stages as one.
 """
 
 from __future__ import annotations
