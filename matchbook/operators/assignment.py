@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.operators.graph import connected_components
+from matchbook.operators.prefix import ranged, running_sums
 from matchbook.session import stage_table
 
 MAX_BLOCK = 4096
@@ -139,18 +140,23 @@ def threshold_search(scored: DataFrame, score: str, truth: str, fold: str) -> Da
     their midpoints: by mean balanced accuracy over folds, then the worst fold's, then
     recall, then the smaller threshold. guess is score >= threshold.
 
-    Counts per fold and score are summed from above, so no threshold meets every row."""
-    values = scored.select(F.col(score).alias("t")).distinct()
-    after = values.withColumn("n", F.lead("t").over(Window.orderBy("t")))
+    Counts per fold and score are running sums over range partitions, so no threshold meets
+    every row and no task all scores. Rows without a score are never guessed."""
     ends = scored.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double")
-    candidates = values.union(after.where("n IS NOT NULL").select((F.col("t") + F.col("n")) / 2)).union(ends).distinct()
+    # midpoints lie between neighbours, which a range partition has but for its last value's
+    values = ranged(scored.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("t")).distinct(), ["t"], "thresholds")
+    firsts = values.groupBy(F.col("__part").alias("__of")).agg(F.min("t").alias("first"))
+    firsts = firsts.select("__of", F.lead("first").over(Window.orderBy("__of")).alias("following"))  # a row a partition
+    after = values.join(firsts, F.col("__part") == F.col("__of")).select("t", F.coalesce(F.lead("t").over(Window.partitionBy("__part").orderBy("t")), "following").alias("n"))
+    candidates = values.select("t").union(after.where("n IS NOT NULL").select((F.col("t") + F.col("n")) / 2)).union(ends).distinct()
     folds = scored.groupBy(fold).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    steps = scored.groupBy(fold, F.col(score).alias("t")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("m"))
-    # thresholds and scores on one axis per fold: a running sum from the top answers all
+    steps = scored.where(F.col(score).isNotNull()).groupBy(fold, F.col(score).cast("double").alias("t")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("m"))
+    # thresholds and scores on one axis per fold: what lies below a threshold is not guessed
     marks = candidates.join(F.broadcast(folds.select(fold))).select(fold, "t", F.lit(0).alias("p"), F.lit(0).alias("m"), F.lit(True).alias("is_threshold"))
-    axis = steps.withColumn("is_threshold", F.lit(False)).unionByName(marks)
-    above = Window.partitionBy(fold).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
-    at = axis.select(fold, "t", "is_threshold", F.sum("p").over(above).alias("tp"), F.sum("m").over(above).alias("fp")).where("is_threshold").join(F.broadcast(folds), fold)
+    axis = steps.withColumn("is_threshold", F.lit(False)).unionByName(marks).groupBy(fold, "t").agg(F.sum("p").alias("p"), F.sum("m").alias("m"), F.bool_or("is_threshold").alias("is_threshold"))
+    totals = steps.groupBy(fold).agg(F.sum("p").alias("all_p"), F.sum("m").alias("all_m"))
+    at = running_sums(axis, [fold], "t", ["p", "m"]).where("is_threshold").join(F.broadcast(folds.join(totals, fold)), fold)
+    at = at.select(fold, "t", "pos", "neg", (F.col("all_p") - F.col("before_p")).alias("tp"), (F.col("all_m") - F.col("before_m")).alias("fp"))
     at = at.withColumn("recall", F.col("tp") / F.nullif(F.col("pos"), F.lit(0))).withColumn("ba", (F.col("recall") + 1 - F.col("fp") / F.nullif(F.col("neg"), F.lit(0))) / 2)
     out = at.groupBy(F.col("t").alias("threshold")).agg(F.round(F.avg("ba"), 9).alias("mean_ba"), F.round(F.min("ba"), 9).alias("min_ba"), F.round(F.avg("recall"), 9).alias("recall"))
     return out.orderBy(F.desc("mean_ba"), F.desc("min_ba"), F.desc("recall"), "threshold").limit(1)

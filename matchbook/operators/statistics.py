@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchbook.operators.prefix import ranged, running_sums
+from matchbook.session import stage_table
+
+#: Rows of a part of a bootstrap, which a task holds.
+_PART_ROWS = 100_000
+
 
 def auroc(rows: DataFrame, score: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
     """by, n1, n0, u, auc: the chance that a positive scores above a negative, ties half.
@@ -14,8 +22,8 @@ def auroc(rows: DataFrame, score: str, truth: str, by: Sequence[str] = ()) -> Da
     Rows are counted per score first, so the running count that ranks need works on
     distinct scores; null scores or labels take no part; null with one class alone."""
     counts = rows.where(F.col(score).isNotNull() & F.col(truth).isin(0, 1)).groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("m"))
-    below = F.sum("m").over(Window.partitionBy(*by).orderBy(score)) - F.col("m")
-    sums = counts.withColumn("u", F.col("p") * (below + F.col("m") / 2)).groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("m").alias("n0"), F.sum("u").alias("u"))
+    placed = running_sums(counts, by, score, ["m"])
+    sums = placed.withColumn("u", F.col("p") * (F.col("before_m") + F.col("m") / 2)).groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("m").alias("n0"), F.sum("u").alias("u"))
     return sums.withColumn("auc", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / (F.col("n1") * F.col("n0"))))
 
 
@@ -53,23 +61,91 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
     return s.withColumn("win_fraction", F.col("wins") / F.nullif(F.col("n"), F.lit(0))).withColumn("tie_fraction", F.col("ties") / F.nullif(F.col("n"), F.lit(0))).withColumn("p_sign", sign_test("wins", "losses"))
 
 
-def bootstrap(rows: DataFrame, id_col: str, value: str, replicates: int, seed: int = 1, strata: Sequence[str] = ()) -> DataFrame:
-    """strata, mean, mean_lo, mean_hi, median_lo, median_hi: percentile intervals of 95 %.
-
-    Every row draws, in every replicate, how often it is taken, from its id, the replicate
-    and the seed alone (a Poisson count of mean 1, cut at 8: a chance of 1e-6), so that no row has to meet another and
-    reruns agree. Whole pairs are drawn if rows are pairs; strata are drawn apart."""
-    draw = (F.pmod(F.xxhash64(F.col(id_col), F.col("rep"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    limits, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
+def _taken(hashes: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """How often rows (their hashes) are taken in replicates: Poisson counts of mean 1, a row
+    of the result a replicate."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64)[None, :] + (reps.astype(np.uint64)[:, None] + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    total, limits, term = 0.0, [], np.exp(-1.0)
+    for k in range(20):  # a float's 53 bits hold no rarer count
         total += term
         limits.append(total)
         term /= k + 1
-    times = sum((F.when(draw > x, 1).otherwise(0) for x in limits), F.lit(0))
-    taken = rows.where(F.col(value).isNotNull()).select(*strata, id_col, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("times", times).where("times > 0")
-    reps = taken.groupBy(*strata, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"), F.expr(f"percentile({value}, 0.5, times)").alias("median"))
-    bounds = [F.expr(f"percentile({m}, {p})").alias(f"{m}_{n}") for m in ("mean", "median") for n, p in (("lo", 0.025), ("hi", 0.975))]
-    return reps.groupBy(*strata).agg(F.count("*").alias("n_replicates"), *bounds)
+    return np.searchsorted(np.array(limits), (x >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def bootstrap(rows: DataFrame, id_col: str, value: str, replicates: int, seed: int = 1, strata: Sequence[str] = ()) -> DataFrame:
+    """strata, mean, mean_lo, mean_hi, median_lo, median_hi: percentile intervals of 95 %.
+
+    Every row draws, in every replicate, how often it is taken (a Poisson count of mean 1)
+    from its id, the replicate and the seed alone, so that no row has to meet another and
+    reruns agree. Whole pairs are drawn if rows are pairs; strata are drawn apart.
+
+    Rows are cut into parts by stratum and value. A part gives the replicates' weights and
+    sums; running weights over the parts say which part holds a replicate's middle, and that
+    part finds it. Parts hold about _PART_ROWS rows, however often a value occurs."""
+    kinds = dict(rows.dtypes)
+    own = rows.where(F.col(value).isNotNull()).select(*strata, F.col(value).cast("double").alias("__v"), F.xxhash64(id_col).alias("__h"))
+    own = stage_table(own, "bootstrap")
+    parts = ranged(own, [*strata, "__v", "__h"], "bootstrap-parts", own.count() // _PART_ROWS + 1)
+    keys, named = [*strata, "__part"], "".join(f"{c} {kinds[c]}, " for c in strata) + "__part int, "
+    step = 64
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for a in range(0, replicates, step):
+            reps = np.arange(a, min(a + step, replicates))
+            times = np.zeros((len(reps), 2))
+            for b in range(0, len(pdf), 1 << 14):
+                t = _taken(pdf["__h"].to_numpy()[b : b + (1 << 14)], reps, seed)
+                times += np.stack([t.sum(1), t @ pdf["__v"].to_numpy()[b : b + (1 << 14)]], 1)
+            out.append(pd.DataFrame({"__rep": reps, "__w": times[:, 0].astype(np.int64), "__s": times[:, 1]}))
+        return pd.concat(out).assign(**{k: pdf[k].iloc[0] for k in keys})
+
+    def find(pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(wanted):
+            return pd.DataFrame(columns=[*strata, "__rep", "__v"])
+        pdf = pdf.sort_values(["__v", "__h"])
+        out = []
+        for rep, ranks in wanted.groupby("__rep")["__rank"]:
+            upto = np.cumsum(_taken(pdf["__h"].to_numpy(), np.array([rep]), seed)[0])
+            out.append(pd.DataFrame({"__rep": rep, "__v": pdf["__v"].to_numpy()[np.searchsorted(upto, ranks.to_numpy(), side="right")]}))
+        return pd.concat(out).assign(**{k: pdf[k].iloc[0] for k in strata})
+
+    sums = stage_table(parts.groupBy(*keys).applyInPandas(add_up, named + "__rep int, __w long, __s double"), "bootstrap-sums")
+    means = sums.groupBy(*strata, "__rep").agg((F.sum("__s") / F.nullif(F.sum("__w"), F.lit(0))).alias("mean"))
+    group = Window.partitionBy(*strata, "__rep")
+    placed = sums.withColumn("__n", F.sum("__w").over(group)).withColumn("__before", F.sum("__w").over(group.orderBy("__part")) - F.col("__w"))
+    both = placed.withColumn("__rank", F.explode(F.expr("array((__n - 1) div 2, __n div 2)"))).where("__n > 0 AND __rank >= __before AND __rank < __before + __w")
+    wanted = both.select(*keys, "__rep", (F.col("__rank") - F.col("__before")).alias("__rank"))
+    columns = "".join(f"{c} {kinds[c]}, " for c in strata) + "__rep int, __v double"
+    middles = parts.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(find, columns)
+    medians = middles.groupBy(*strata, "__rep").agg(F.avg("__v").alias("median"))
+
+    def bounds(m: str) -> list[Column]:
+        return [F.expr(f"percentile({m}, {p})").alias(f"{m}_{n}") for n, p in (("lo", 0.025), ("hi", 0.975))]
+
+    a = means.groupBy(*strata).agg(F.count("mean").alias("n_replicates"), *bounds("mean")).alias("a")
+    b = medians.groupBy(*strata).agg(*bounds("median")).alias("b")
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    # a row a stratum on both sides
+    return a.join(F.broadcast(b), same).select(*[f"a.{c}" for c in strata], "n_replicates", "mean_lo", "mean_hi", "median_lo", "median_hi")
+
+
+def signed_rank(rows: DataFrame, diff: str) -> DataFrame:
+    """Wilcoxon's signed-rank statistic of paired differences: n (zeros and nulls left out),
+    w_plus with tied sizes sharing their mean rank, and z, corrected for ties; null for n = 0."""
+    sizes = rows.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).groupBy(F.abs(diff).alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col(diff) > 0).alias("p"))
+    placed = running_sums(sizes, [], "size", ["k"])
+    t = placed.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.sum(F.col("p") * (F.col("before_k") + (F.col("k") + 1) / 2)).alias("w_plus"), F.sum(F.col("k").cast("double") * F.col("k") * F.col("k") - F.col("k")).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return t.select("n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"))
 
 
 def between_group_r2(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.geo import season_distance
-from matchbook.operators import aggregates, assignment, gates, statistics, windows
+from matchbook.operators import aggregates, assignment, gates, prefix, statistics, windows
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
 
@@ -21,23 +21,13 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice AS v FROM orders WHERE o_custkey < 100),
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice AS v FROM orders),
 p AS (SELECT a.o_orderkey, a.v, median(b.v) AS m FROM o a LEFT JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey GROUP BY ALL),
 s AS (SELECT p.o_orderkey, median(abs(b.v - m)) * 1.4826 AS sc FROM p JOIN o a ON a.o_orderkey = p.o_orderkey LEFT JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey GROUP BY ALL)
 SELECT p.o_orderkey, round(m, 6) AS peer_median, round(v - m, 6) AS delta, round((v - m) / nullif(sc, 0), 6) AS z FROM p JOIN s ON p.o_orderkey = s.o_orderkey""")
 def loo_robust_z(spark: SparkSession, d: str) -> DataFrame:
     """Each order against the median and spread of the customer's other orders."""
-    return _loo(_orders(spark, d).where("o_custkey < 100"))
-
-
-@query()
-def loo_robust_z_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the orders of all customers, which is too slow in SQL."""
-    return _loo(_orders(spark, d))
-
-
-def _loo(orders: DataFrame) -> DataFrame:
-    out = windows.leave_one_out(orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("v")), ["o_custkey"], "o_orderkey", "v")
+    out = windows.leave_one_out(_orders(spark, d).select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("v")), ["o_custkey"], "o_orderkey", "v")
     return out.select("o_orderkey", r6("peer_median").alias("peer_median"), r6("delta").alias("delta"), r6("z").alias("z"))
 
 
@@ -131,6 +121,24 @@ def paired_wins(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", "wins", "losses", "ties", r6("mean_diff").alias("mean_diff"), r6("median_diff").alias("median_diff"), r6("win_fraction").alias("win_fraction"))
 
 
+@query(_PAIRS + """, x AS (SELECT pos - neg AS diff FROM p WHERE pos <> neg), r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2e0 AS k, count(*) OVER (PARTITION BY abs(diff)) AS c FROM x),
+t AS (SELECT count(*) AS n, sum(k) FILTER (WHERE diff > 0) AS w, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r)
+SELECT n, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4e0) / sqrt(n * (n + 1e0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM t""")
+def signed_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Wilcoxon's signed ranks of the paired differences."""
+    return statistics.signed_rank(_pairs(spark, d), "diff").select("n", r6("w_plus").alias("w_plus"), r6("z").alias("z"))
+
+
+@query("""WITH s AS (SELECT DISTINCT CAST(s_acctbal AS DOUBLE) AS y FROM supplier), c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS x FROM customer),
+b AS (SELECT c.*, lo.y AS lower FROM c ASOF LEFT JOIN s lo ON c.x >= lo.y), u AS (SELECT b.*, hi.y AS upper FROM b ASOF LEFT JOIN s hi ON b.x <= hi.y)
+SELECT c_custkey, round(CASE WHEN upper IS NULL OR x - lower <= upper - x THEN lower ELSE upper END, 6) AS nearest, round(least(coalesce(x - lower, 1e300), coalesce(upper - x, 1e300)), 6) AS gap FROM u""")
+def nearest_balance(spark: SparkSession, d: str) -> DataFrame:
+    """For each customer the nearest balance that a supplier has, ties to the smaller."""
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("x"))
+    out = prefix.nearest_on_axis(c, "x", load(spark, d, "supplier"), "s_acctbal")
+    return out.select("c_custkey", r6("nearest").alias("nearest"), r6("gap").alias("gap"))
+
+
 @query("""WITH t AS (SELECT o_custkey % 40 AS g, count(*) FILTER (WHERE o_orderstatus = 'F') AS w, count(*) FILTER (WHERE o_orderstatus = 'O') AS l FROM orders GROUP BY 1)
 SELECT g, w, l, round(least(1, 2 * (SELECT sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2))) FROM generate_series(0, least(w, l)) s(i))), 6) AS p FROM t""")
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +249,12 @@ def greedy_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     return assignment.greedy(costs, [F.col("cost"), F.col("slot"), F.col("candidate")], "slot", "candidate")
 
 
+@query()
+def greedy_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Finished orders in turn, each taking the nearest open order that none before it took."""
+    return assignment.greedy(_slot_costs(spark, d), [F.col("slot"), F.col("cost"), F.col("candidate")], "slot", "candidate")
+
+
 @query("SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5('0:' || o_custkey), 1, 12) AS BIGINT) % 1000000 < 200000 THEN 'test' ELSE 'train' END AS split FROM orders")
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     """Whole customers to test or train by a hash."""

@@ -66,23 +66,13 @@ def robust_z_map(spark: SparkSession, d: str) -> DataFrame:
     return z.groupBy("vec_id").agg(F.count_if(F.col("z") > 2).alias("n_hot"), r6(F.max("z")).alias("top"))
 
 
-@query(_PIXELS.replace("WITH p AS", "WITH RECURSIVE p AS") + """, h AS (SELECT vec_id, r, c FROM px WHERE v > 0.1e0 AND vec_id < 60),
+@query(_PIXELS.replace("WITH p AS", "WITH RECURSIVE p AS") + """, h AS (SELECT vec_id, r, c FROM px WHERE v > 0.1e0),
 w AS (SELECT vec_id, r, c, r * 8 + c AS node FROM h UNION SELECT w.vec_id, h.r, h.c, w.node FROM w JOIN h ON w.vec_id = h.vec_id AND abs(w.r - h.r) <= 1 AND abs(w.c - h.c) <= 1),
 g AS (SELECT vec_id, r, c, min(node) AS region FROM w GROUP BY ALL), s AS (SELECT vec_id, region, count(*) AS n, sqrt(pow(avg(r) - 3.5e0, 2) + pow(avg(c) - 3.5e0, 2)) AS dist FROM g GROUP BY ALL)
 SELECT vec_id, count(*) AS n_regions, max(n) AS largest, round(min(dist), 6) AS nearest FROM s GROUP BY 1""")
 def mask_regions(spark: SparkSession, d: str) -> DataFrame:
     """Eight-connected regions of the pixels above a threshold."""
-    return _regions(_px(spark, d).where("v > 0.1 AND vec_id < 60"))
-
-
-@query()
-def mask_regions_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all patches, which is too slow in SQL."""
-    return _regions(_px(spark, d).where("v > 0.1"))
-
-
-def _regions(hot: DataFrame) -> DataFrame:
-    g = patches.regions(hot, "vec_id", SIZE, SIZE)
+    g = patches.regions(_px(spark, d).where("v > 0.1"), "vec_id", SIZE, SIZE)
     return g.groupBy("vec_id").agg(F.count("*").alias("n_regions"), F.max("n").alias("largest"), r6(F.min("distance")).alias("nearest"))
 
 

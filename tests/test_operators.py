@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchbook.functions import geo, text
-from matchbook.operators import aggregates, assignment, canonical, gates, incremental, joins, statistics, windows
+from matchbook.operators import aggregates, assignment, canonical, gates, incremental, joins, prefix, statistics, windows
 from matchbook.operators.graph import connected_components
 from matchbook.sources import readers, sinks
 
@@ -141,7 +141,7 @@ def test_leave_one_out_of_all_rows(spark):
     assert "collect_list" not in plan
     small = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{small}/orders.parquet")
-    assert QUERIES["loo_robust_z_all"](spark, small).count() == orders.count()
+    assert QUERIES["loo_robust_z"](spark, small).count() == orders.count()
     pairs = orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderdate").alias("f")).join(orders.where("o_orderstatus = 'O'"), "o_custkey").where("abs(datediff(f, o_orderdate)) <= 1500")
     from matchbook.plans.analytics import _slot_costs
 
@@ -155,7 +155,7 @@ def test_mask_regions_of_all_patches(spark, tmp_path):
     rng = np.random.default_rng(4)
     masks = {i: rng.random((8, 8)) < 0.35 for i in (0, 59, 60, 999)}
     spark.createDataFrame([(i, m.astype(float).ravel().tolist(), 0) for i, m in masks.items()], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r["vec_id"]: (r["n_regions"], r["largest"], r["nearest"]) for r in QUERIES["mask_regions_all"](spark, str(tmp_path)).collect()}
+    got = {r["vec_id"]: (r["n_regions"], r["largest"], r["nearest"]) for r in QUERIES["mask_regions"](spark, str(tmp_path)).collect()}
     assert set(got) == set(masks)
     for i, m in masks.items():
         left, found = {tuple(map(int, x)) for x in np.argwhere(m)}, []
@@ -240,3 +240,63 @@ def test_files(spark, tmp_path):
     frozen = spark.createDataFrame(before)
     (tmp_path / "a.csv").write_text("id|name\n1|z\n")
     assert rows(sinks.changed_files(sinks.release_manifest(spark, str(tmp_path), "*.csv"), frozen)) == [("a.csv", "changed")]
+
+
+def test_running_sums_over_many_partitions(spark):
+    rng = np.random.default_rng(3)
+    data = [(None if g == 3 else int(g), int(t), int(v)) for g in range(4) for t, v in zip(rng.permutation(300), rng.integers(0, 9, 300), strict=True)]
+    df = spark.createDataFrame(data, "g int, t int, v int")
+    got = {(r["g"], r["t"]): r["before_v"] for r in prefix.running_sums(df, ["g"], "t", ["v"]).collect()}
+    assert got == {(g, t): sum(v for h, u, v in data if h == g and u < t) for g, t, _ in data}
+    assert prefix.running_sums(df.limit(0), ["g"], "t", ["v"]).isEmpty()
+
+
+def test_nearest_on_an_axis(spark):
+    rng = np.random.default_rng(4)
+    marks = [*rng.integers(-500, 500, 80).tolist(), None]
+    points = [*rng.integers(-700, 700, 400).tolist(), None]
+    p = spark.createDataFrame([(i, None if x is None else float(x)) for i, x in enumerate(points)], "i int, x double")
+    a = spark.createDataFrame([(None if y is None else float(y),) for y in marks], "y double")
+    got = {r["i"]: r["nearest"] for r in prefix.nearest_on_axis(p, "x", a, "y", 100).collect()}
+    for i, x in enumerate(points):
+        best = None if x is None else min((abs(x - y), y) for y in marks if y is not None)
+        assert got[i] == (None if best is None or best[0] > 100 else best[1])
+    assert {r["nearest"] for r in prefix.nearest_on_axis(p, "x", a.limit(0), "y").collect()} == {None}
+
+
+def test_bootstrap_against_expanded_rows(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "_PART_ROWS", 40)
+    rng = np.random.default_rng(5)
+    data = [(i, "a" if i % 3 else None, float(v)) for i, v in enumerate(rng.integers(0, 12, 300))] + [(999, "a", None)]
+    df = spark.createDataFrame(data, "id int, s string, v double")
+    got = {r["s"]: r for r in statistics.bootstrap(df, "id", "v", 90, 1, ["s"]).collect()}
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    for s in ("a", None):
+        own = [(hashes[i], v) for i, t, v in data if t == s and v is not None]
+        times = statistics._taken(np.array([h for h, _ in own]), np.arange(90), 1)
+        drawn = [np.repeat([v for _, v in own], t) for t in times]
+        for name, of in (("mean", np.mean), ("median", np.median)):
+            want = np.percentile([of(x) for x in drawn], [2.5, 97.5])
+            assert np.allclose([got[s][f"{name}_lo"], got[s][f"{name}_hi"]], want)
+        assert got[s]["n_replicates"] == 90
+    assert abs(statistics._taken(np.arange(100_000), np.array([0]), 1).mean() - 1) < 0.02
+
+
+def test_signed_rank_of_little(spark):
+    df = spark.createDataFrame([(0.0,), (None,)], "d double")
+    assert tuple(statistics.signed_rank(df, "d").first()) == (0, None, None)
+    df = spark.createDataFrame([(1.0,), (-1.0,), (3.0,)], "d double")
+    assert tuple(statistics.signed_rank(df, "d").first())[:2] == (3, 4.5)
+
+
+def test_greedy_controls_in_turn(spark):
+    from matchbook.plans import QUERIES
+    from matchbook.plans.analytics import _slot_costs
+
+    folder = "/root/testdata/sf0.001"
+    used, want = set(), set()
+    for slot, _, candidate in sorted(tuple(r) for r in _slot_costs(spark, folder).select("slot", "cost", "candidate").collect()):
+        if ("s", slot) not in used and ("c", candidate) not in used:
+            used |= {("s", slot), ("c", candidate)}
+            want.add((slot, candidate))
+    assert {tuple(r) for r in QUERIES["greedy_controls"](spark, folder).select("slot", "candidate").collect()} == want
