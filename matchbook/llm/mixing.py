@@ -118,6 +118,7 @@ class Mixture:
         self.spark = docs.sparkSession
         sizes = stage_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
         self.plans = plan_sources(sizes, weights, share, limit)
+        self.shards = max(1, -(-int(sum(p.target for p in self.plans)) // SHARD_WORDS))
         rows = [(p.source, p.rank, p.size, p.target, p.passes, p.rest, p.blocks) for p in self.plans]
         self.sources = self.spark.createDataFrame(rows, "source string, rank int, source_size long, target double, passes int, rest double, n_blocks long")
         placed = self._placed(sizes.withColumn("key", self._key("id")))
@@ -143,7 +144,7 @@ class Mixture:
         counts = {r["rank"]: r for r in blocks.groupBy("rank").agg(F.count("*").alias("n"), F.count_if(F.expr("before < rest")).alias("more")).collect()}
         n_blocks = np.array([counts[p.rank]["n"] for p in self.plans], np.int64)
         quotas = np.array([counts[p.rank]["n"] * p.passes + counts[p.rank]["more"] for p in self.plans], np.int64)
-        shards = max(1, -(-int(sum(p.target for p in self.plans)) // SHARD_WORDS))
+        shards = self.shards
         seed = int(self.seed)
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,6 +178,7 @@ class Mixture:
 
 
 def dealt(mixed: DataFrame, shards: int | None = None) -> DataFrame:
-    """The mix dealt by shard, each shard in its local order, for writing."""
-    parts = ["mix_shard"] if shards is None else [shards, "mix_shard"]
-    return mixed.repartition(*parts).sortWithinPartitions("mix_shard", "mix_order")
+    """The mix dealt by shard, each shard in its local order, for writing. With the number of
+    shards each is a partition of its own; without, a partition may hold several."""
+    whole = mixed.repartition("mix_shard") if shards is None else mixed.repartitionById(shards, "mix_shard")
+    return whole.sortWithinPartitions("mix_shard", "mix_order")

@@ -212,6 +212,9 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, mixing.Mixture(df.repartition(7)).rows().select(*got.columns).collect()), key=str)
     assert mixing.Mixture(df.limit(0)).rows().count() == 0
     assert mixing.dealt(got).count() == got.count()
+    own = mixing.dealt(got, m.shards).select("mix_shard", "mix_order").rdd.glom().collect()
+    assert m.shards > 1 and len(own) == m.shards
+    assert all({r[0] for r in p} <= {i} and p == sorted(p) for i, p in enumerate(own))
 
 
 def test_pipeline_mix_is_shuffled_by_shard(spark, small, monkeypatch):
