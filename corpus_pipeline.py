@@ -48,7 +48,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at target weights; a document appears once for each time it is taken. Rows
     are dealt by shard and shuffled within it."""
-    return dealt(Mixture(docs).rows()).select(*docs.columns)
+    mixture = Mixture(docs)
+    return dealt(mixture.rows(), mixture.shards).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
