@@ -1,4 +1,8 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions alone.
+"""Fuzzy line dedup by MinHash.
+
+Joins, grouping and thresholds are DataFrame functions; shingles are hashed in Arrow batches,
+as a lambda of a higher-order function costs some 0.1 us a character, which alone takes
+nearly all the time there is (figures in README).
 
 1. Every line of every document becomes its sorted set of hashed character shingles; a
    line shorter than a shingle is one shingle. The MINIMA least hashes are its signature.
@@ -22,10 +26,14 @@ the tests measure it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import small_side, whole_text
+from matchbook.llm.common import mix64, slices, small_side, whole_text
 from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
@@ -35,6 +43,14 @@ FEW = 6
 SLOT, ROUNDS = 4, 2
 #: Classes of a bucket that meet as many others in one task at the end.
 PAIR_BLOCK = 256
+#: Lines hashed together, as many as a byte can number, and bytes of text at once.
+GROUP, CHUNK = 256, 1 << 19
+#: Hashes a line keeps before repeats go; nearly always MINIMA distinct ones are among them.
+HEAD = 112
+
+_STEP = np.random.default_rng(8).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Stands behind the end of a line that is shorter than a shingle; no character has it.
+_PAD = np.uint64(0x110000)
 
 
 def raw_lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -47,23 +63,102 @@ def normal(raw: str = "raw") -> Column:
     return F.trim(F.regexp_replace(F.lower(raw), r"\s{2,}|[\t\x0B\f\r]", " "))
 
 
-def _shingles(line: str) -> str:
-    """SQL of the hashed shingles. The encoded line is bound by a lambda: as a column it would
-    be copied for every shingle."""
-    return f"transform(array(encode({line}, 'UTF-32')), u -> transform(sequence(1, greatest(length(u) - {4 * SHINGLE - 1}, 1), 4), i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]"
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all lines (none empty), one line after the other, and how
+    many each line has; a line shorter than a shingle is one shingle."""
+    n = np.array([len(x) for x in lines], np.int64)
+    begin = np.cumsum(n) - n
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    code = np.concatenate([code, np.zeros(SHINGLE - 1, np.uint32)]).astype(np.uint64)
+    size = len(code) - SHINGLE + 1
+    whole = code[:size] * _STEP[0]
+    for j in range(1, SHINGLE):
+        whole += code[j : j + size] * _STEP[j]
+    short = np.flatnonzero(n < SHINGLE)
+    if len(short):
+        within = np.arange(SHINGLE) < n[short, None]
+        whole[begin[short]] = (np.where(within, code[begin[short, None] + np.arange(SHINGLE) * within], _PAD) * _STEP).sum(axis=1, dtype=np.uint64)
+    inside = np.ones(size, bool)
+    for j in range(1, SHINGLE):
+        inside[(begin + n - j)[n > j]] = False
+    return mix64(whole[inside]), np.maximum(n - SHINGLE + 1, 1)
+
+
+def _distinct(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes (56 bits of them) of each of up to GROUP lines in ascending order,
+    and the line of each."""
+    packed = np.sort((line.astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8)))
+    packed = packed[np.concatenate([np.ones(min(1, len(packed)), bool), packed[1:] != packed[:-1]])]
+    return packed & np.uint64((1 << 56) - 1), (packed >> np.uint64(56)).astype(np.int64)
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the bands of up to GROUP lines, one line after the other, and how many each has."""
+    hashes, counts = shingle_hashes(lines)
+    line = np.repeat(np.arange(len(lines)), counts)
+    bound = np.where(counts > HEAD, float(1 << 56) * HEAD / counts, float(1 << 56)).astype(np.uint64)
+    early = (hashes >> np.uint64(8)) < bound[line]
+    h, of = _distinct(hashes[early], line[early])
+    found = np.bincount(of, minlength=len(lines))
+    thin = (found <= MINIMA) & (counts > HEAD)
+    if thin.any():  # much repeated
+        early |= thin[line]
+        h, of = _distinct(hashes[early], line[early])
+        found = np.bincount(of, minlength=len(lines))
+    first, m = np.cumsum(found) - found, np.minimum(found, MINIMA)
+    pos, size = np.arange(len(h)) - first[of], m[of]
+    closed = found[of] <= MINIMA
+    banded = ((h & np.uint64(1023)).astype(np.int64) * size < 1024 * BANDS) & (pos < np.where(closed, size, MINIMA - ROWS + 1))
+    at = np.flatnonzero(np.where(size < ROWS, pos == 0, banded))
+    of, pos, size = of[at], pos[at], size[at]
+    few = size < ROWS
+    key = np.where(few, size, 0).astype(np.uint64) * _STEP[ROWS]
+    for j in range(ROWS):
+        key += np.where(few & (j >= size), np.uint64(0), h[first[of] + (pos + j) % size]) * _STEP[j]
+    return mix64(key).view(np.int64), np.bincount(of, minlength=len(lines))
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """keys in the place of line; each distinct line of a batch is hashed once."""
+    for batch in (s for b in batches for s in slices(b, "line", CHUNK)):
+        coded = batch.column("line").dictionary_encode()
+        lines = _texts(coded.dictionary)
+        parts = [band_keys(lines[a : a + GROUP]) for a in range(0, len(lines), GROUP)]
+        ends = np.cumsum(np.concatenate([[0], *(n for _, n in parts)]))
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "line_no", "s1", "s2")), keys.take(coded.indices)], ["doc_id", "line_no", "s1", "s2", "keys"])
 
 
 def _signed(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, s1, s2 (two hashes of the line, its class), keys (of its bands)."""
-    head = 3 * MINIMA // 2  # nearly always holds MINIMA distinct hashes
-    own = ["doc_id", "line_no", "s1", "s2"]
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), F.sort_array(F.expr(_shingles("line"))).alias("h"))
-    rows = rows.withColumn("d", F.array_distinct(F.slice("h", 1, head)))
-    rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) <= {MINIMA} AND size(h) > {head} THEN array_distinct(h) ELSE d END")).drop("h")
-    rows = rows.withColumn("m", F.least(F.size("d"), F.lit(MINIMA)))
-    rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) > {MINIMA} THEN slice(d, 1, {MINIMA}) WHEN m >= {ROWS} THEN concat(d, slice(d, 1, {ROWS - 1})) ELSE d END"))
-    chosen = f"filter(sequence(1, size(d) - {ROWS - 1}), i -> (get(d, i - 1) & 1023) * m < {1024 * BANDS})"
-    return rows.select(*own, F.expr(f"CASE WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE transform({chosen}, i -> xxhash64(slice(d, i, {ROWS}))) END").alias("keys"))
+    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), "line")
+    return rows.mapInArrow(_keyed, "doc_id long, line_no int, s1 long, s2 long, keys array<long>")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and the distinct shingle hashes of the line."""
+    for batch in (s for b in batches for s in slices(b, "line", CHUNK)):
+        hashes, counts = shingle_hashes(_texts(batch.column("line")))
+        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+        ends = np.cumsum([0, *map(len, sets)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "h"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose lines x and y have a similarity of percent/100."""
+    for batch in (s for b in batches for t in slices(b, "x", CHUNK) for s in slices(t, "y", CHUNK)):
+        for part in (batch.slice(a, GROUP) for a in range(0, batch.num_rows, GROUP)):
+            n = part.num_rows
+            hashes, counts = shingle_hashes(_texts(part.column("x")) + _texts(part.column("y")))
+            side = np.repeat(np.arange(2 * n), counts)
+            cut = counts[:n].sum()
+            p, q, union = (np.bincount(_distinct(hashes[k], side[k] % n)[1], minlength=n) for k in (slice(0, cut), slice(cut, None), slice(None)))
+            like = 100 * (p + q - union) >= percent * union
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(like))
 
 
 def _similar(p: str, q: str, percent: int) -> str:
@@ -124,9 +219,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             tried = pairs if tried is None else tried.union(pairs)
             texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-            sets = both.select("a", "b", F.array_distinct(F.expr(_shingles("x"))).alias("p"), F.array_distinct(F.expr(_shingles("y"))).alias("q"))
-            # a staged filter: pushed below, it would build the sets again for every use
-            new = sets.withColumn("like", F.expr(_similar("p", "q", percent))).select("a", "b", F.explode(F.array("like")).alias("like")).where("like").select("a", "b")
+            new = both.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, percent), "a long, b long")
         else:
             blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
             dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(keys, "id")
@@ -137,7 +230,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             meets = "x.id <> y.id AND (x.i = x.j OR x.own <> y.own) AND x.component <> y.component AND array_min(array_intersect(x.keys, y.keys)) = x.key AND " + enough("x", "y")
             # first which classes have a partner at all (each comes back once a meeting), then with sets
             likely = stage_table(dealt.alias("x").join(dealt.alias("y"), same & F.expr(meets), "left_semi"), "line-likely")
-            sets = texts_of(likely.select("id")).select("id", F.array_distinct(F.expr(_shingles("line"))).alias("h"))
+            sets = stage_table(texts_of(likely.select("id")).mapInArrow(_sets, "id long, h array<long>"), "line-sets")
             full = likely.join(sets, "id")
             new = full.alias("x").join(full.alias("y"), same & F.expr("x.id < y.id AND " + meets + " AND " + _similar("x.h", "y.h", percent))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         new = stage_table(new, "line-links")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchbook.llm.common import slices, small_side, whole_text
+from matchbook.llm.common import mix64, slices, small_side, whole_text
 from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
@@ -59,12 +59,6 @@ for _upper in range(65, 91):  # A-Z hash as a-z
     _BYTE[_upper] = _BYTE[_upper + 32]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def _powers(n: int, cache: list[np.ndarray] = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
     while len(cache[0]) < n:
         cache[0] = np.concatenate([cache[0], cache[0] * (_BASE ** np.uint64(len(cache[0])))])
@@ -87,7 +81,7 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     longest = int(within.max()) + 1
     values = _BYTE[raw]
     values *= _powers(longest)[within]
-    return _mix(np.add.reduceat(values, begins)), counts
+    return mix64(np.add.reduceat(values, begins)), counts
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -105,13 +99,13 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         whole = np.zeros(n, np.uint64)
         for j in range(words):
             whole += hashes[j : j + n] * _STEP[j]
-        whole = _mix(whole)
+        whole = mix64(whole)
         at = 0
         for m in counts.tolist():
             if m >= words:
                 out.append(np.unique(whole[at : at + m - words + 1]))
             elif m:
-                out.append(_mix((hashes[at : at + m] * _STEP[:m]).sum(keepdims=True) + np.uint64(m)))
+                out.append(mix64((hashes[at : at + m] * _STEP[:m]).sum(keepdims=True) + np.uint64(m)))
             else:
                 out.append(np.zeros(0, np.uint64))
             at += m
@@ -132,7 +126,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
             for k in range(MINIMA):
                 minima[k, some] = np.minimum.reduceat(joined * _MUL[k] + _ADD[k], starts)
-        mixed = _mix(minima)
+        mixed = mix64(minima)
         low = (mixed & np.uint64((1 << BITS) - 1)).reshape(LONGS, MINIMA // LONGS, -1)
         packed = np.zeros((LONGS, len(sets)), np.uint64)
         for j in range(MINIMA // LONGS):
@@ -140,7 +134,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
         keys = np.zeros((BANDS, len(sets)), np.uint64)
         for band in range(BANDS):
             for r in range(ROWS):
-                keys[band] = _mix(keys[band] * _STEP[r] + mixed[band * ROWS + r] + np.uint64(band))
+                keys[band] = mix64(keys[band] * _STEP[r] + mixed[band * ROWS + r] + np.uint64(band))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
         flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, BANDS, dtype=np.int32)), flat)
