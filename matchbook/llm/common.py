@@ -31,13 +31,6 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Scatters 64-bit values, each to one of its own."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most `most` bytes of a text column (a row at least), so that
     a worker's memory depends on its longest text and not on how many rows Arrow sends."""
