@@ -75,6 +75,24 @@ def cone(px: DataFrame, by: Sequence[str], size: int, toward: Column, half_width
     return inside.groupBy(*by).agg(down.alias("downwind"), up.alias("upwind")).withColumn("contrast", F.col("downwind") - F.col("upwind"))
 
 
+def wind_rectangles(px: DataFrame, by: Sequence[str], size: int, wind_from: Column, near: float = 0.05, far: float = 0.45, half_width: float = 0.14) -> DataFrame:
+    """Mean of the rectangle that the wind blows into, of the one that it comes from, and their
+    difference. Distances along (near to far) and across the wind are shares of the size; a null
+    wind gives nulls."""
+    off = F.radians(direction(size) - wind_from - 180)
+    along, across = radius(size) * F.cos(off), F.abs(radius(size) * F.sin(off))
+    inside = px.withColumn("along", F.when(across <= half_width * size, along))
+    down, up = (F.avg(F.when((sign * F.col("along")).between(near * size, far * size), F.col("v"))) for sign in (1, -1))
+    return inside.groupBy(*by).agg(down.alias("downwind"), up.alias("upwind")).withColumn("contrast", F.col("downwind") - F.col("upwind"))
+
+
+def inferred_scale(px: DataFrame, by: Sequence[str], band: str) -> DataFrame:
+    """p99 (the median over bands of the 99th percentile of positive values) and the scale that
+    it speaks for: 10000 above 2, else 1, also where nothing is positive."""
+    bands = px.groupBy(*by, band).agg(F.expr("percentile(CASE WHEN v > 0 THEN v END, 0.99)").alias("q"))
+    return bands.groupBy(*by).agg(F.expr("percentile(q, 0.5)").alias("p99")).withColumn("scale", F.when(F.col("p99") > 2, 10000.0).otherwise(1.0))
+
+
 def robust_z(px: DataFrame, by: Sequence[str], least: int = 20) -> DataFrame:
     """z of each valid pixel against its patch: 1.4826 MAD, else the population sd, as scale;
     null with fewer than `least` valid pixels or no spread."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +113,11 @@ def seeded_sample(rows: DataFrame, by: Sequence[str], id_col: str, n: int | Colu
 def label_conflicts(rows: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     """Groups that hold both labels, with how many of each: a gate, empty when all is well."""
     return rows.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative")).where("n_positive > 0 AND n_negative > 0")
+
+
+def demeaned(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with `name`: the value less the mean of its group (null keys are a group). Means are
+    combined before the shuffle and joined, so no group has to lie in one task."""
+    means = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg(value).alias("_mean"))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return rows.join(means, same).select(*rows.columns, (F.col(value) - F.col("_mean")).alias(name))

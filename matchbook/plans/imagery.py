@@ -138,3 +138,23 @@ def pixel_content_groups(spark: SparkSession, d: str) -> DataFrame:
     """Patches by a digest of their values."""
     e = load(spark, d, "embeddings").select("label", F.sha2(F.to_json("embedding"), 256).alias("k"))
     return e.groupBy(F.col("k").isNotNull().alias("hashed")).agg(F.countDistinct("k").alias("n_contents"), F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+
+
+@query(_PIXELS + """, o AS (SELECT *, CASE WHEN vec_id % 7 <> 0 THEN radians(dir - vec_id % 360 - 180) END AS off FROM px),
+a AS (SELECT vec_id, v, CASE WHEN abs(rad * sin(off)) <= 1.12e0 THEN rad * cos(off) END AS along FROM o)
+SELECT vec_id, round(avg(v) FILTER (WHERE along BETWEEN 0.4e0 AND 3.6e0), 6) AS downwind, round(avg(v) FILTER (WHERE -along BETWEEN 0.4e0 AND 3.6e0), 6) AS upwind,
+  round(avg(v) FILTER (WHERE along BETWEEN 0.4e0 AND 3.6e0) - avg(v) FILTER (WHERE -along BETWEEN 0.4e0 AND 3.6e0), 6) AS contrast FROM a GROUP BY 1""")
+def wind_rectangle_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Down- against upwind rectangle of each patch; its id stands for where the wind comes
+    from, every seventh has none."""
+    wind = F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 360).cast("double"))
+    out = patches.wind_rectangles(_px(spark, d), ["vec_id"], SIZE, wind)
+    return out.select("vec_id", *[r6(c).alias(c) for c in ("downwind", "upwind", "contrast")])
+
+
+@query(_PIXELS + """, b AS (SELECT vec_id, r, quantile_cont(v * CASE WHEN vec_id % 2 = 0 THEN 5000 ELSE 1 END, 0.99) FILTER (WHERE v > 0) AS q FROM px GROUP BY 1, 2)
+SELECT vec_id, round(median(q), 6) AS p99, CASE WHEN median(q) > 2 THEN 10000e0 ELSE 1e0 END AS scale FROM b GROUP BY 1""")
+def inferred_scales(spark: SparkSession, d: str) -> DataFrame:
+    """The scale of each patch's values; its rows stand for bands, every second is enlarged."""
+    px = _px(spark, d).withColumn("v", F.col("v") * F.when(F.col("vec_id") % 2 == 0, 5000).otherwise(1))
+    return patches.inferred_scale(px, ["vec_id"], "row").select("vec_id", r6("p99").alias("p99"), "scale")

@@ -75,3 +75,10 @@ def ordered_words(spark: SparkSession, d: str) -> DataFrame:
 def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Groups in which both labels occur."""
     return aggregates.label_conflicts(load(spark, d, "orders").withColumn("label", F.col("o_orderkey") % 2), ["o_custkey"], "label")
+
+
+@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS above_mean FROM orders")
+def demeaned_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's price less the mean of its customer."""
+    out = aggregates.demeaned(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "above")
+    return out.select("o_orderkey", r6("above").alias("above_mean"))
