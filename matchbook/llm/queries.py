@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm.ann import search
+from matchbook.llm.cap_filters import embedding_links
 from matchbook.llm.chat import chat_digest, format_chats
+from matchbook.llm.conversation_repair import repair
 from matchbook.llm.exact_dedup import exact_dedup
+from matchbook.llm.filter_audit import audit
 from matchbook.llm.language_id import identify, sample_windows, train
 from matchbook.llm.line_dedup import dedup_lines
 from matchbook.llm.mixing import Mixture
@@ -89,6 +92,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(load(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(load(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 OP1_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM (
   SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -150,6 +165,93 @@ FROM c
 """
 
 
+#: By the definition: every document walks through every order.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+p AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+k AS (SELECT unnest(range(1, 6)) AS k),
+o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ord FROM k a, k b, k c, k d, k e
+  WHERE a.k NOT IN (b.k, c.k, d.k, e.k) AND b.k NOT IN (c.k, d.k, e.k) AND c.k NOT IN (d.k, e.k) AND d.k <> e.k),
+s AS (
+  SELECT part, list_aggregate(list_transform(ord, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, k AS step, ord[k] AS filter,
+         fails[ord[k]] AS here, list_bool_or(list_transform(ord[1:k - 1], lambda x: fails[x])) IS TRUE AS before,
+         len(list_filter(fails, lambda x: x)) = 1 AND fails[ord[k]] AS alone, n, good, toxic
+  FROM p, o, k),
+r AS (
+  SELECT part, filter_order, step, any_value(filter) AS filter, sum(CASE WHEN NOT before AND NOT here THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN here AND NOT before THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: Row by row over all conversations at once: for each of four states the least of (cost, audit, lines).
+OP12_SQL = r"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+b AS (
+  SELECT *, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ord(k[i])::BIGINT)),
+    lambda c, v: list_reduce(list_prepend(xor(c, v), range(8)), lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS draw FROM x),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM b, unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'o' END AS fault,
+         substr(role, 1, 1) AS r, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS r0 FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY conv_id),
+ids AS (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+seq AS (SELECT ids.c, judged.* FROM judged JOIN ids ON judged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+dp AS (
+  SELECT c, 0 AS i, {'c': 0, 'a': '', 't': ''} AS z, {'c': 1000000000, 'a': '', 't': ''} AS s, {'c': 3, 'a': 'I', 't': chr(10) || 'user:'} AS u, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM ids
+  UNION ALL
+  SELECT c, i, z, s, list_min([u, {'c': a.c + 3, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}]) AS u, list_min([a, {'c': u.c + 3, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}]) AS a FROM (
+    SELECT c, i, z, s, list_min([u, {'c': z.c + 3, 'a': z.a || 'I', 't': z.t || chr(10) || 'user:'}, {'c': s.c + 3, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'}]) AS u, a FROM (
+      SELECT dp.c, dp.i + 1 AS i,
+        {'c': z.c + 4, 'a': z.a || 'D', 't': z.t} AS z,
+        list_min([{'c': s.c + 4, 'a': s.a || 'D', 't': s.t}, {'c': CASE WHEN r = 's' THEN z.c + keep ELSE 1000000000 END, 'a': z.a || 'K', 't': z.t || own}]) AS s,
+        list_min([{'c': u.c + 4, 'a': u.a || 'D', 't': u.t}]
+          || list_transform([z, s, a], lambda p: {'c': CASE WHEN r = 'u' THEN p.c + keep ELSE 1000000000 END, 'a': p.a || 'K', 't': p.t || own})
+          || list_transform([z, s, a], lambda p: {'c': p.c + keep + 3, 'a': p.a || 'R', 't': p.t || chr(10) || 'user:' || text})) AS u,
+        list_min([{'c': a.c + 4, 'a': a.a || 'D', 't': a.t}, {'c': CASE WHEN r = 'a' THEN u.c + keep ELSE 1000000000 END, 'a': u.a || 'K', 't': u.t || own},
+          {'c': u.c + keep + 3, 'a': u.a || 'R', 't': u.t || chr(10) || 'assistant:' || text}]) AS a
+      FROM dp JOIN (SELECT *, CASE fault WHEN 'o' THEN 0 WHEN 't' THEN 3 ELSE 100000000 END AS keep, chr(10) || role || ':' || text AS own FROM seq) q ON q.c = dp.c AND q.i = dp.i + 1))),
+best AS (SELECT c, list_min([z, a]) AS b FROM dp WHERE (c, i) IN (SELECT ids.c, coalesce(facts.n, 0) FROM ids LEFT JOIN facts ON ids.conv_id IS NOT DISTINCT FROM facts.conv_id))
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(substr(b.t, 2)) AS repaired_sha256
+FROM ids JOIN best USING (c) LEFT JOIN facts ON ids.conv_id IS NOT DISTINCT FROM facts.conv_id
+"""
+
+#: All pairs; enough for tables of some thousand vectors.
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, list_sum(list_transform(e, lambda x: x * x)) AS q FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.95 * sqrt(a.q * b.q)),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = e.vec_id LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) c ON c.x = e.vec_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,9 +259,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_dedup, op2_token_files, op3_sentencepiece, op4_chat_format, op5_mix_sources, op6_additive_quantisation, op7_language_id, op8_line_dedup, op9_pii, op10_minhash_near_dedup, pipeline)
+    ops = (op1_exact_dedup, op2_token_files, op3_sentencepiece, op4_chat_format, op5_mix_sources, op6_additive_quantisation, op7_language_id, op8_line_dedup, op9_pii, op10_minhash_near_dedup, op11_filter_audit, op12_conversation_repair, op13_embedding_near_dedup, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_mix_sources": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL}
