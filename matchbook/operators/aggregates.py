@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.geo import safe_ratio
+from matchbook.operators.quantiles import with_quantiles
+from matchbook.session import stage_table
 
 
 def first_value(c: str, order: Sequence[Column], blank: bool = False) -> Column:
@@ -35,18 +37,21 @@ def ranked_merge(rows: DataFrame, key: str, ranked: Sequence[str], rank: Column,
 def robust_scale(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, median, mad, iqr, sd and scale: 1.4826 MAD, else IQR / 1.349, else the sample
     standard deviation, else 1: the first that is above 0."""
-    base = rows.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"), F.stddev_samp(value).alias("sd"))
-    away = rows.join(base.select(*by, F.col("q")[1].alias("m")), list(by)).groupBy(*by).agg(F.expr(f"percentile(abs({value} - m), 0.5)").alias("mad"))
-    out = base.join(away, list(by)).select(*by, F.col("q")[1].alias("median"), "mad", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "sd")
+    spread = rows.groupBy(*by).agg(F.stddev_samp(value).alias("sd"))
+    base = stage_table(with_quantiles(spread, rows, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}), "robust-scale")
+    middle = base.select(*[F.col(c).alias(f"__m{i}") for i, c in enumerate(by)], F.col("median").alias("__m"))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__m{i}")) for i, c in enumerate(by)))
+    away = rows.join(middle, same).select(*by, F.abs(F.col(value) - F.col("__m")).alias("__away"))
+    out = with_quantiles(base, away, by, "__away", {"mad": 0.5}).select(*by, "median", "mad", (F.col("p75") - F.col("p25")).alias("iqr"), "sd")
     steps = [1.4826 * F.col("mad"), F.col("iqr") / 1.349, F.col("sd")]
     return out.withColumn("scale", F.coalesce(*[F.when(s > 1e-12, s) for s in steps], F.lit(1.0)))
 
 
 def describe(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact count, mean, sd, minimum, quartiles and maximum."""
-    # one map of distinct values for all three quartiles
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"), F.max(value).alias("max"))
-    return out.select(*by, "n", "mean", "sd", "min", *[F.col("q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = with_quantiles(out, rows, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return out.select(*by, "n", "mean", "sd", "min", "p25", "p50", "p75", "max")
 
 
 def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.operators.prefix import ranged, running_sums
+from matchbook.operators.quantiles import quantiles, with_quantiles
 from matchbook.session import stage_table
 
 #: Rows of a part of a bootstrap, which a task holds.
@@ -57,7 +58,8 @@ def paired(rows: DataFrame, pair: str, role: str, value: str, positive: str, con
 
 def paired_summary(pairs: DataFrame) -> DataFrame:
     """n, wins, losses, ties, win and tie fraction, mean and median difference, sign-test p."""
-    s = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("wins"), F.count_if(F.col("diff") < 0).alias("losses"), F.count_if(F.col("diff") == 0).alias("ties"), F.avg("diff").alias("mean_diff"), F.expr("percentile(diff, 0.5)").alias("median_diff"))
+    s = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("wins"), F.count_if(F.col("diff") < 0).alias("losses"), F.count_if(F.col("diff") == 0).alias("ties"), F.avg("diff").alias("mean_diff"))
+    s = with_quantiles(s, pairs, [], "diff", {"median_diff": 0.5})
     return s.withColumn("win_fraction", F.col("wins") / F.nullif(F.col("n"), F.lit(0))).withColumn("tie_fraction", F.col("ties") / F.nullif(F.col("n"), F.lit(0))).withColumn("p_sign", sign_test("wins", "losses"))
 
 
@@ -160,7 +162,8 @@ def between_group_r2(rows: DataFrame, group: str, value: str) -> DataFrame:
 def shift(train: DataFrame, test: DataFrame, value: str) -> DataFrame:
     """How far a feature moved: |difference of medians| / train IQR, and the share of test
     values outside the train's 1st to 99th percentile."""
-    a = train.agg(F.expr(f"percentile({value}, array(0.01, 0.25, 0.5, 0.75, 0.99))").alias("q"))
+    a = stage_table(quantiles(train, [], value, [0.01, 0.25, 0.5, 0.75, 0.99]), "shift")
     # one row
-    b = test.join(F.broadcast(a)).agg(F.expr(f"percentile({value}, 0.5)").alias("m"), F.avg((~F.col(value).between(F.col("q")[0], F.col("q")[4])).cast("double")).alias("outside"), F.first("q").alias("q"))
+    b = test.join(F.broadcast(a), F.lit(True), "left").agg(F.avg((~F.col(value).between(F.col("q")[0], F.col("q")[4])).cast("double")).alias("outside"), F.first("q").alias("q"))
+    b = with_quantiles(b, test, [], value, {"m": 0.5})
     return b.select((F.abs(F.col("m") - F.col("q")[2]) / F.nullif(F.col("q")[3] - F.col("q")[1], F.lit(0.0))).alias("median_shift"), "outside")

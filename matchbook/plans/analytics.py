@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.geo import season_distance
-from matchbook.operators import aggregates, assignment, gates, prefix, statistics, windows
+from matchbook.operators import aggregates, assignment, gates, prefix, quantiles, statistics, windows
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
 
@@ -305,8 +305,8 @@ def threshold_search(spark: SparkSession, d: str) -> DataFrame:
 @query(_SCORED + "SELECT round((median(n_chars) FILTER (WHERE quality = 1) + median(n_chars) FILTER (WHERE quality = 0)) / 2, 6) AS threshold, CASE WHEN median(n_chars) FILTER (WHERE quality = 1) >= median(n_chars) FILTER (WHERE quality = 0) THEN 'above' ELSE 'below' END AS positive FROM s")
 def median_midpoint(spark: SparkSession, d: str) -> DataFrame:
     """Threshold half-way between the classes' medians."""
-    m = [F.expr(f"percentile(CASE WHEN quality = {k} THEN n_chars END, 0.5)").alias(f"m{k}") for k in (1, 0)]
-    t = _labelled(spark, d).agg(*m)
+    q = quantiles.quantiles(_labelled(spark, d), ["quality"], "n_chars", [0.5])
+    t = q.agg(*[F.max(F.when(F.col("quality") == k, F.col("q")[0])).alias(f"m{k}") for k in (1, 0)])
     return t.select(r6((F.col("m1") + F.col("m0")) / 2).alias("threshold"), F.when(F.col("m1") >= F.col("m0"), "above").otherwise("below").alias("positive"))
 
 

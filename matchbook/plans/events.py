@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions.text import tier
-from matchbook.operators import aggregates, joins, windows
+from matchbook.operators import aggregates, joins, quantiles, windows
 from matchbook.operators.joins import HOUR, micros
 from matchbook.plans.registry import query, r6
-from matchbook.session import load
+from matchbook.session import load, stage_table
 
 TIERS = ((1, "le_1h"), (3, "gt_1h_le_3h"), (12, "gt_3h_le_12h"), (24, "gt_12h_le_24h"))
 
@@ -37,8 +37,10 @@ def nearest_tier_summary(spark: SparkSession, d: str) -> DataFrame:
     """For each purchase the nearest view of the user within a day; the gaps by tier."""
     matched = joins.nearest(_side(spark, d, "purchase", "l"), _side(spark, d, "view", "r"), ["user_id"], 24 * HOUR)
     hours = F.abs(F.col("r_t") - F.col("l_t")) / 3.6e9
-    tiered = matched.select("user_id", hours.alias("h")).withColumn("tier", tier(F.col("h"), TIERS, "beyond"))
-    return tiered.groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), r6(F.expr("percentile(h, 0.5)")).alias("median_h"))
+    # read twice: by the counts and by the medians
+    tiered = stage_table(matched.select("user_id", hours.alias("h")).withColumn("tier", tier(F.col("h"), TIERS, "beyond")), "tiers")
+    out = tiered.groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return quantiles.with_quantiles(out, tiered, ["tier"], "h", {"median_h": 0.5}).withColumn("median_h", r6("median_h"))
 
 
 @query(_NEAREST.replace("user_id, epoch_us(ts) AS l_t", "user_id, epoch_us(ts) AS l_t") + """,
@@ -143,9 +145,10 @@ SELECT CAST(session AS BIGINT) AS session, count(*) AS n, min(t) AS start_us, ma
 def sessions_global(spark: SparkSession, d: str) -> DataFrame:
     """Gaps over 10 minutes cut the whole stream; a session's length counts its samples' second."""
     e = load(spark, d, "events").select("event_id", "value", micros("ts").alias("t"))
-    s = windows.sessions_global(e, "t", 600_000_000, "event_id", 24 * HOUR)
+    s = stage_table(windows.sessions_global(e, "t", 600_000_000, "event_id", 24 * HOUR), "sessions")
     seconds = F.expr("(max(t) - min(t)) div 1000000 + 1")
-    return s.groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("start_us"), F.max("t").alias("end_us"), seconds.alias("seconds"), r6(F.avg("value")).alias("mean_value"), r6(F.expr("percentile(value, 0.5)")).alias("median_value"))
+    out = s.groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("start_us"), F.max("t").alias("end_us"), seconds.alias("seconds"), r6(F.avg("value")).alias("mean_value"))
+    return quantiles.with_quantiles(out, s, ["session"], "value", {"median_value": 0.5}).withColumn("median_value", r6("median_value"))
 
 
 @query(_SESSION + "SELECT user_id, event_type, CAST(session AS BIGINT) AS session, count(*) AS n, min(t) AS start_us, max(t) AS end_us FROM s GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions import patches
+from matchbook.operators import quantiles
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
 
@@ -87,7 +88,8 @@ def dilated_mask(spark: SparkSession, d: str) -> DataFrame:
 def radial_profile(spark: SparkSession, d: str) -> DataFrame:
     """Mean and median by whole pixels from the centre, over all patches of a label."""
     px = _px(spark, d, "label").withColumn("ring", F.floor(patches.radius(SIZE)).cast("int"))
-    return px.groupBy("label", "ring").agg(r6(F.avg("v")).alias("mean"), r6(F.expr("percentile(v, 0.5)")).alias("median"), F.count("*").alias("n"))
+    out = px.groupBy("label", "ring").agg(r6(F.avg("v")).alias("mean"), F.count("*").alias("n"))
+    return quantiles.with_quantiles(out, px, ["label", "ring"], "v", {"median": 0.5}).withColumn("median", r6("median"))
 
 
 @query("""WITH h AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings), z AS (SELECT vec_id, unnest(a)::DOUBLE AS x, unnest(b)::DOUBLE AS y FROM h)

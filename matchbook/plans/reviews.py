@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from matchbook.functions import text
 from matchbook.functions.geo import safe_ratio
-from matchbook.operators import aggregates, assignment, gates, incremental, joins, statistics
+from matchbook.operators import aggregates, assignment, gates, incremental, joins, quantiles, statistics
 from matchbook.operators.graph import connected_components
 from matchbook.operators.joins import HOUR, micros
 from matchbook.plans.analytics import _SCORED, _labelled
@@ -41,7 +41,8 @@ def quantification_error(spark: SparkSession, d: str) -> DataFrame:
     x = load(spark, d, "lineitem").where("l_extendedprice > 0 AND l_linestatus = 'F'")
     err = F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_extendedprice")
     e = x.select(F.col("l_returnflag").alias("kind"), err.alias("err"), (100 * F.abs(err) / F.col("l_extendedprice")).alias("pct"))
-    return e.groupBy("kind").agg(F.count("*").alias("n"), r6(F.avg(F.abs("err"))).alias("mae"), r6(F.avg("err")).alias("bias"), r6(F.avg("pct")).alias("mean_percent"), r6(F.expr("percentile(pct, 0.5)")).alias("median_percent"))
+    out = e.groupBy("kind").agg(F.count("*").alias("n"), r6(F.avg(F.abs("err"))).alias("mae"), r6(F.avg("err")).alias("bias"), r6(F.avg("pct")).alias("mean_percent"))
+    return quantiles.with_quantiles(out, e, ["kind"], "pct", {"median_percent": 0.5}).withColumn("median_percent", r6("median_percent"))
 
 
 @query("""
@@ -52,7 +53,11 @@ def source_background_z(spark: SparkSession, d: str) -> DataFrame:
     """A supplier's returned lines against its others: plain and robust z, and percent."""
     src = lambda is_source, c: F.when((F.col("l_returnflag") == "R") if is_source else (F.col("l_returnflag") != "R"), F.col(c))
     x = load(spark, d, "lineitem").select("l_suppkey", src(True, "l_quantity").alias("s"), src(False, "l_quantity").alias("b"))
-    g = x.groupBy("l_suppkey").agg(F.avg("s").alias("sm"), F.expr("percentile(s, 0.5)").alias("sq"), F.avg("b").alias("bm"), F.stddev_samp("b").alias("sd"), F.expr("percentile(b, array(0.25, 0.5, 0.75))").alias("q"))
+    g = x.groupBy("l_suppkey").agg(F.avg("s").alias("sm"), F.avg("b").alias("bm"), F.stddev_samp("b").alias("sd"))
+    # both sides in one pass
+    both = x.select("l_suppkey", F.col("s").isNotNull().alias("is_source"), F.coalesce("s", "b").alias("v"))
+    q = quantiles.quantiles(both, ["l_suppkey", "is_source"], "v", [0.25, 0.5, 0.75]).groupBy("l_suppkey").agg(F.max(F.when(F.col("is_source"), F.col("q")[1])).alias("sq"), F.max(F.when(~F.col("is_source"), F.col("q"))).alias("q"))
+    g = g.join(q, "l_suppkey", "left")
     away = F.col("sm") - F.col("bm")
     return g.select("l_suppkey", r6(safe_ratio(away, F.col("sd"))).alias("z"), r6(safe_ratio(F.col("sq") - F.col("q")[1], (F.col("q")[2] - F.col("q")[0]) / 1.349)).alias("robust_z"), r6(100 * safe_ratio(away, F.col("bm"))).alias("percent"))
 

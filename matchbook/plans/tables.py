@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from matchbook.functions import text
 from matchbook.functions.geo import log_ratio, safe_ratio
-from matchbook.operators import aggregates, canonical, gates, joins, windows
+from matchbook.operators import aggregates, canonical, gates, joins, quantiles, windows
 from matchbook.operators.graph import connected_components
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
@@ -174,16 +174,18 @@ def robust_scale_by_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_shipmode_key, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS median, round(stddev_pop(l_quantity), 6) AS sd, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.9), 6) AS p90, min(l_quantity) AS min, max(l_quantity) AS max FROM (SELECT *, l_linestatus || l_returnflag AS l_shipmode_key FROM lineitem) GROUP BY 1")
 def multi_reducer(spark: SparkSession, d: str) -> DataFrame:
     """Many reducers in one pass."""
-    q = [r6(F.expr(f"percentile(l_quantity, {p})")).alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]
-    rows = load(spark, d, "lineitem").groupBy(F.concat("l_linestatus", "l_returnflag").alias("l_shipmode_key"))
-    return rows.agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("mean"), r6(F.stddev_pop("l_quantity")).alias("sd"), *q, F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"))
+    rows = load(spark, d, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("l_shipmode_key"), "l_quantity")
+    out = rows.groupBy("l_shipmode_key").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("mean"), r6(F.stddev_pop("l_quantity")).alias("sd"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"))
+    q = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    return quantiles.with_quantiles(out, rows, ["l_shipmode_key"], "l_quantity", q).withColumns({c: r6(c) for c in q})
 
 
 @query("SELECT o_custkey, epoch_us(make_timestamp(CAST(median(epoch_us(o_orderdate)) AS BIGINT))) AS median_us, mode_status FROM (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderstatus) AS mode_status FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS c FROM orders)) GROUP BY o_custkey, mode_status")
 def median_time_and_mode(spark: SparkSession, d: str) -> DataFrame:
     """Median of timestamps, and the most common value (ties: the first)."""
     o = load(spark, d, "orders")
-    times = o.groupBy("o_custkey").agg(F.unix_micros(F.timestamp_micros(F.round(F.expr("percentile(unix_micros(cast(o_orderdate AS timestamp)), 0.5)")).cast("long"))).alias("median_us"))
+    times = quantiles.quantiles(o, ["o_custkey"], F.unix_micros(F.col("o_orderdate").cast("timestamp")), [0.5])
+    times = o.select("o_custkey").distinct().join(times, "o_custkey", "left").select("o_custkey", F.round(F.col("q")[0]).cast("long").alias("median_us"))
     common = o.groupBy("o_custkey", "o_orderstatus").count().groupBy("o_custkey").agg(F.min(F.struct((-F.col("count")).alias("c"), "o_orderstatus")).alias("m"))
     return times.join(common.select("o_custkey", F.col("m.o_orderstatus").alias("mode_status")), "o_custkey")
 

@@ -300,3 +300,26 @@ def test_greedy_controls_in_turn(spark):
             used |= {("s", slot), ("c", candidate)}
             want.add((slot, candidate))
     assert {tuple(r) for r in QUERIES["greedy_controls"](spark, folder).select("slot", "candidate").collect()} == want
+
+
+def test_quantiles_of_one_group_of_all_rows(spark):
+    from matchbook.operators.quantiles import quantiles, with_quantiles
+
+    rng = np.random.default_rng(4)
+    hot, few = rng.standard_normal(20000).round(3), [3.0, 1.0, 2.0, 2.0]
+    rows = [("hot", float(v)) for v in hot] + [("few", v) for v in few] + [(None, 5.0), ("one", -1.0), ("none", None), ("nan", float("nan")), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: r["q"] for r in quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == {"hot", "few", None, "one"}
+    for k, own in (("hot", hot), ("few", few), (None, [5.0]), ("one", [-1.0])):
+        assert np.allclose(got[k], np.quantile(own, shares))
+    # the group is dealt over partitions, so that no task holds it
+    from matchbook.operators.prefix import ranged
+
+    assert ranged(df.where("k = 'hot'").groupBy("k", "v").count(), ["k", "v"], "t").select("__part").distinct().count() > 1
+    every = quantiles(df, [], "v", [0.5]).collect()
+    assert np.isclose(every[0]["q"][0], np.median([*hot, *few, 5.0, -1.0]))
+    assert quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+    groups = with_quantiles(df.groupBy("k").count(), df, ["k"], "v", {"m": 0.5}).collect()
+    assert {r["k"]: r["m"] for r in groups}["none"] is None and len(groups) == 6
