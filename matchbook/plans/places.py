@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions import geo
-from matchbook.operators import joins
+from matchbook.operators import joins, places
 from matchbook.operators.graph import connected_components
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
@@ -48,13 +48,23 @@ def epsilon_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_POINTS + ", m AS (SELECT a, min(km) AS km FROM h WHERE b % 10 = 0 GROUP BY a) SELECT s.id, round(km, 6) AS nearest_km FROM s LEFT JOIN m ON s.id = m.a WHERE s.id % 10 <> 0 AND (km IS NULL OR km >= 200)")
 def far_from_positives(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers at least 200 km from every marked one (every tenth), with the distance. Marked
-    places within the limit exclude; the distance itself is the nearest of a coarse search."""
+    """Suppliers at least 200 km from every marked one (every tenth), with the distance of the
+    nearest marked one, however far; null if none is marked."""
     left = _suppliers(spark, d, "l").where("l_id % 10 <> 0")
-    marked = _suppliers(spark, d, "r").where("r_id % 10 = 0")
-    rest = left.join(joins.within_radius(left, marked, 199.999999999).select("l_id").distinct(), "l_id", "left_anti")
-    near = joins.within_radius(rest, marked, 3000.0).groupBy("l_id").agg(F.min("distance").alias("km"))
-    return rest.join(near, "l_id", "left").select(F.col("l_id").alias("id"), r6("km").alias("nearest_km"))
+    found = places.nearest_place(left, _suppliers(spark, d, "r").where("r_id % 10 = 0"))
+    return found.where("distance IS NULL OR distance >= 200").select(F.col("l_id").alias("id"), r6("distance").alias("nearest_km"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS id, 30 + (s_suppkey * 7919 % 1000) / 1e2 AS la, -120 + (s_suppkey * 104729 % 1000) / 1e2 AS lo FROM supplier),
+c AS (SELECT c_custkey AS id, 30 + (c_custkey * 7919 % 1000) / 1e2 + 0.0031 AS la, -120 + (c_custkey * 104729 % 1000) / 1e2 + 0.0017 AS lo FROM customer),
+k AS (SELECT c.id, s.id AS place, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(s.la) - radians(c.la)) / 2), 2) + cos(radians(c.la)) * cos(radians(s.la)) * pow(sin(radians(s.lo - c.lo) / 2), 2)))) AS km FROM c JOIN s ON true)
+SELECT id, arg_min(place, (round(km, 9), place)) AS place, round(min(km), 6) AS km FROM k GROUP BY id""")
+def nearest_place(spark: SparkSession, d: str) -> DataFrame:
+    """For each customer the nearest supplier, without a radius."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("l_id"), *place("c_custkey", "l")).withColumns({"l_lat": F.col("l_lat") + 0.0031, "l_lon": F.col("l_lon") + 0.0017})
+    found = places.nearest_place(c, _suppliers(spark, d, "r"))
+    return found.select(F.col("l_id").alias("id"), F.col("r_id").alias("place"), r6("distance").alias("km"))
 
 
 @query("""

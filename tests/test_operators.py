@@ -314,12 +314,51 @@ def test_quantiles_of_one_group_of_all_rows(spark):
     assert set(got) == {"hot", "few", None, "one"}
     for k, own in (("hot", hot), ("few", few), (None, [5.0]), ("one", [-1.0])):
         assert np.allclose(got[k], np.quantile(own, shares))
-    # the group is dealt over partitions, so that no task holds it
+    # the same with the group dealt over several partitions, so that no task holds it
     from matchbook.operators.prefix import ranged
 
-    assert ranged(df.where("k = 'hot'").groupBy("k", "v").count(), ["k", "v"], "t").select("__part").distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ranged(df.where("k = 'hot'").groupBy("k", "v").count(), ["k", "v"], "t").select("__part").distinct().count() == 4
+        dealt = {r["k"]: r["q"] for r in quantiles(df, ["k"], "v", shares).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt == got
     every = quantiles(df, [], "v", [0.5]).collect()
     assert np.isclose(every[0]["q"][0], np.median([*hot, *few, 5.0, -1.0]))
     assert quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
     groups = with_quantiles(df.groupBy("k").count(), df, ["k"], "v", {"m": 0.5}).collect()
     assert {r["k"]: r["m"] for r in groups}["none"] is None and len(groups) == 6
+
+
+def test_nearest_place_equals_all_pairs(spark, monkeypatch):
+    from matchbook.operators import places
+
+    monkeypatch.setattr(places, "PER_CELL", 4)
+    rng = np.random.default_rng(8)
+    right = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True))]
+    right += [(1000 + i, 10 + float(a), 20 + float(b)) for i, (a, b) in enumerate(rng.normal(0, 0.01, (200, 2)))]  # a dense spot
+    right += [(2000 + i, 50.0, 8.0) for i in range(150)] + [(3000, -50.0, 179.99), (None, 1.0, 1.0), (3001, None, 2.0), (3002, float("nan"), 2.0)]
+    left = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200), strict=True))]
+    left += [(500 + i, 10.001, 20.001) for i in range(100)] + [(700, 50.0, 8.0), (700, 50.0, 8.0), (701, -50.0, -179.99), (702, 90.0, 0.0), (703, -90.0, 5.0), (704, None, 1.0), (705, 1.0, float("inf"))]
+    a = spark.createDataFrame(left, "l_id long, l_lat double, l_lon double").withColumn("spot", F.lit("x"))
+    b = spark.createDataFrame(right, "r_id long, r_lat double, r_lon double").withColumn("cell", F.lit(1))
+    got = places.nearest_place(a, b).collect()
+    assert len(got) == len(left)
+    ok = np.array([r for r in right if r[0] is not None and r[1] is not None and np.isfinite(r[1])], float)
+    for r in got:
+        if r["l_lat"] is None or not np.isfinite(r["l_lon"]):
+            assert (r["r_id"], r["distance"]) == (None, None)
+            continue
+        p, q = np.radians(r["l_lat"]), np.radians(ok[:, 1])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(ok[:, 2] - r["l_lon"]) / 2) ** 2
+        km = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+        assert abs(r["distance"] - km.min()) < 1e-6
+        assert r["r_id"] in ok[km <= km.min() + 1e-6][:, 0]
+        if r["l_id"] == 700:
+            assert r["r_id"] == 2000
+    none = places.nearest_place(a, b.limit(0))
+    assert none.where("r_id IS NOT NULL").isEmpty() and none.count() == len(left)
+    assert places.nearest_place(a.limit(0), b).count() == 0
+    one = places.nearest_place(a, b.where("r_id = 3000")).where("r_id = 3000").count()
+    assert one == len(left) - 2
