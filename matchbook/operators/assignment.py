@@ -7,10 +7,12 @@ solves one. MAX_BLOCK guards against a component that no task can hold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,20 +84,56 @@ def optimal(costs: DataFrame, block: str) -> DataFrame:
     return pairs.join(found, "slot_node").select(block, "slot", "candidate", "cost", "component").groupBy("component").applyInPandas(solve, f"{block} {kinds[block]}, slot {kinds['slot']}, candidate {kinds['candidate']}, cost double")
 
 
-def greedy(pairs: DataFrame, order: Sequence[Column], a: str = "a", b: str = "b") -> DataFrame:
+def _one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by component and order those whose both sides are free when their
+    turn comes. Holds the sides taken in one component."""
+    component, taken_a, taken_b = None, set(), set()
+    for batch in batches:
+        keep = []
+        for k, (c, a, b) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("__component", "__a", "__b")), strict=True)):
+            if c != component:
+                component, taken_a, taken_b = c, set(), set()
+            if a not in taken_a and b not in taken_b:
+                taken_a.add(a)
+                taken_b.add(b)
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def greedy(pairs: DataFrame, order: Sequence[Column], a: str = "a", b: str = "b", most: int = 1 << 20) -> DataFrame:
     """One-to-one matching that takes pairs in `order` (ending in unique ids) whenever both
-    sides are free. In rounds: a pair that is the first of both its sides is taken, its
-    sides leave; this gives what one pass over the sorted pairs would."""
-    ranked = pairs.select(a, b, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"))
-    left = stage_table(ranked, "greedy")
-    taken = None
+    sides are free, as one pass over the sorted pairs would. Null sides are a side like others.
+
+    Pairs of different connected components don't touch each other, so a component is one
+    sorted pass in a task, whatever its depth. One of more than `most` pairs goes through by
+    its leading range partitions: what the first pairs take does not depend on later ones, so
+    they are settled, all pairs of taken sides leave, and the rest, which mostly falls apart,
+    is split into components anew."""
+    orders = [f"__o{i}" for i in range(len(order))]
+    left = stage_table(pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b"), *[o.alias(n) for o, n in zip(order, orders, strict=True)]), "greedy")
+    taken: list[DataFrame] = []
     while not left.isEmpty():
-        firsts_a = left.groupBy(a).agg(F.min("o").alias("fa"))
-        firsts_b = left.groupBy(b).agg(F.min("o").alias("fb"))
-        now = stage_table(left.join(firsts_a, a).join(firsts_b, b).where("o = fa AND o = fb").select(a, b), "greedy-taken")
-        taken = now if taken is None else taken.union(now)
-        left = stage_table(left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti"), "greedy")
-    return left.select(a, b) if taken is None else taken
+        # sides by hash: a collision joins two components, which changes nothing but their task
+        sides = left.withColumns({"__u": F.xxhash64(F.lit(0), "__a"), "__v": F.xxhash64(F.lit(1), "__b")})
+        found = connected_components(sides, "__u", "__v").select(F.col("node").alias("__u"), F.col("component").alias("__component"))
+        placed = ranged(sides.join(found, "__u").drop("__u", "__v"), ["__component", *orders], "greedy-components")
+        parts = placed.groupBy("__component", "__part").count()
+        group = Window.partitionBy("__component")
+        parts = parts.withColumns({"before": F.coalesce(F.sum("count").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+        parts = stage_table(parts.select("__component", "__part", ((F.col("before") + F.col("count") > most) & (F.col("before") > 0)).alias("later")), "greedy-parts")
+        now = placed.join(parts, ["__component", "__part"])
+        first = now.where("NOT later").select("__component", "__a", "__b", *orders).repartition("__component").sortWithinPartitions("__component", *orders)
+        got = stage_table(first.mapInArrow(_one_pass, first.schema).select("__a", "__b"), "greedy-taken")
+        taken.append(got)
+        if parts.where("later").isEmpty():
+            break
+        rest = now.where("later").select("__a", "__b", *orders)
+        for side in ("__a", "__b"):
+            gone = got.select(F.col(side).alias("__gone")).distinct()
+            rest = rest.join(gone, F.col(side).eqNullSafe(F.col("__gone")), "left_anti")
+        left = stage_table(rest, "greedy")
+    out = reduce(DataFrame.union, taken, left.select("__a", "__b").limit(0))
+    return out.select(F.col("__a").alias(a), F.col("__b").alias(b))
 
 
 def group_split(rows: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:

@@ -362,3 +362,29 @@ def test_nearest_place_equals_all_pairs(spark, monkeypatch):
     assert places.nearest_place(a.limit(0), b).count() == 0
     one = places.nearest_place(a, b.where("r_id = 3000")).where("r_id = 3000").count()
     assert one == len(left) - 2
+
+
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_greedy_in_one_pass_per_component(spark, most):
+    """The rounds don't grow with the slots of a block; large components go through in parts."""
+    rng = np.random.default_rng(2)
+    data = [(0, s, c, float(abs(s - c))) for s in range(20) for c in range(20)]  # every slot waits for the one before
+    data += [(1, 100 + int(s), 200 + int(c), float(x)) for s, c, x in zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 5, 300), strict=True)]
+    data = list({(g, s, c): (g, s, c, x) for g, s, c, x in data}.values())
+    df = spark.createDataFrame(data, "g int, s int, c int, x double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order in (("s", "x", "c"), ("x", "s", "c")):
+            got = {tuple(r) for r in assignment.greedy(df, [F.col(o) for o in order], "s", "c", most).collect()}
+            want, a, b = set(), set(), set()
+            for g, s, c, x in sorted(data, key=lambda r: [dict(g=r[0], s=r[1], c=r[2], x=r[3])[o] for o in order]):
+                if s not in a and c not in b:
+                    want.add((s, c))
+                    a.add(s)
+                    b.add(c)
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert assignment.greedy(df.limit(0), [F.col("x"), F.col("s"), F.col("c")], "s", "c").count() == 0
+    null = spark.createDataFrame([(None, 1, 1.0), (None, 2, 0.5), (3, 1, 2.0)], "s int, c int, x double")
+    assert {tuple(r) for r in assignment.greedy(null, [F.col("x"), F.col("s"), F.col("c")], "s", "c").collect()} == {(None, 2), (3, 1)}
