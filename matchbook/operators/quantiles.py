@@ -1,14 +1,13 @@
 """Exact quantiles of groups of any size, without a map of a group's values in one task.
 
 Values are counted per group, range-partitioned by group and value, and written, so that a
-group may spread over many partitions. A row a group and partition tells which of the wanted
-ranks lie in it; only the partitions that hold one are read again, and each finds its ranks
-by a running count.
+group may spread over many partitions. A row a group and partition tells whether wanted ranks
+lie in it; only what holds one is read again, and finds its ranks by a running count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,37 +20,48 @@ def _same(a: Sequence[str], b: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)), F.lit(True))
 
 
-def quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float]) -> DataFrame:
-    """by and q: an array of the quantiles at these shares, by linear interpolation between
-    the two values around a rank. Null values and NaN are left out, groups without others have
-    no row. A null key is a group. Without `by` all rows are one group."""
+def at_ranks(rows: DataFrame, by: Sequence[str], value: str | Column, wanted: Callable[[Column], Sequence[Column]], weight: Column | None = None) -> DataFrame:
+    """by, n and at: of each group the number of its values and an array of those at the
+    wanted ranks (from 0, ascending), null where there is no such rank. wanted gives a few
+    ranks from n. Null values and NaN are no values, groups without others have no row; a null
+    key is a group, and without `by` all rows are one. weight: how often a row counts, if not
+    once."""
     keys = [f"__k{i}" for i in range(len(by))]
     v = F.col(value) if isinstance(value, str) else value
-    given = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.nanvl(v.cast("double"), F.lit(None)).alias("__v"))
-    counts = given.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    placed = ranged(counts, [*keys, "__v"], "quantiles")
+    given = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.nanvl(v.cast("double"), F.lit(None)).alias("__v"), (F.lit(1) if weight is None else weight).cast("long").alias("__w"))
+    counts = given.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.sum("__w").alias("__c"))
+    placed = ranged(counts, [*keys, "__v"], "ranks")
 
     # a row a group and partition
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("here").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = placed.groupBy(*keys, "__part").agg(F.sum("__c").alias("here")).withColumns({"before": before, "n": F.sum("here").over(group)})
-    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
-    wanted = F.array_distinct(F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)]))
-    held = F.filter(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("here")))
-    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("__part").alias("__of"), "before", "n", held.alias("ranks")).where(F.size("ranks") > 0)
+    ranks = [r.cast("long") for r in wanted(F.col("n"))]
+    here = reduce(Column.__or__, ((r >= F.col("before")) & (r < F.col("before") + F.col("here")) for r in ranks))
+    parts = parts.where(here).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("__part").alias("__of"), "before", "n")
 
     inside = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     read = placed.join(parts, (F.col("__part") == F.col("__of")) & _same(keys, [f"_{k}" for k in keys]))
     read = read.withColumn("upto", F.col("before") + F.sum("__c").over(inside))
-    hits = read.withColumn("rank", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("__c")))))
-    # at most two ranks a share
-    found = hits.groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "__v"))).alias("at"))
+    hit = [F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("__c")), F.col("__v"))) for r in ranks]
+    found = read.groupBy(*keys, "n").agg(F.array(*hit).alias("at"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", "at")
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, shares: Sequence[float]) -> DataFrame:
+    """by and q: an array of the quantiles at these shares, by linear interpolation between
+    the two values around a rank. Groups and values as in at_ranks."""
+
+    def places(n: Column) -> list[Column]:
+        return [F.lit(float(p)) * (n - 1) for p in shares]
+
+    found = at_ranks(rows, by, value, lambda n: [f(x) for x in places(n) for f in (F.floor, F.ceil)])
 
-    def between(x: Column) -> Column:
-        low, high = F.col("at")[F.floor(x).cast("long")], F.col("at")[F.ceil(x).cast("long")]
+    def between(i: int, x: Column) -> Column:
+        low, high = F.col("at")[2 * i], F.col("at")[2 * i + 1]
         return low + (high - low) * (x - F.floor(x))
 
-    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], F.array(*map(between, place)).alias("q"))
+    return found.select(*by, F.array(*[between(i, x) for i, x in enumerate(places(F.col("n")))]).alias("q"))
 
 
 def with_quantiles(groups: DataFrame, rows: DataFrame, by: Sequence[str], value: str | Column, shares: Mapping[str, float]) -> DataFrame:

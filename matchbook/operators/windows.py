@@ -8,28 +8,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchbook.operators.prefix import ranged, running_sums
+from matchbook.operators.quantiles import at_ranks
+from matchbook.session import stage_table
+
 
 def sessions(rows: DataFrame, keys: Sequence[str], t: str, gap: int, id_col: str) -> DataFrame:
-    """rows with session (from 1, per key): a row more than `gap` microseconds after the one
-    before starts a new one; exactly `gap` stays. t is in microseconds. Without keys all
-    rows are one sequence: find_sessions_global does that without a single task."""
-    w = Window.partitionBy(*keys).orderBy(t, id_col)
-    starts = F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1)
-    return rows.withColumn("starts", starts).withColumn("session", F.sum("starts").over(w)).drop("starts")
-
-
-def sessions_global(rows: DataFrame, t: str, gap: int, id_col: str, bucket: int) -> DataFrame:
-    """The same over one sequence. Rows are sessionized within time buckets; then one row a
-    bucket, with its first and last time and its number of starts, tells how many sessions
-    begin before each bucket and whether it continues the one before."""
-    cut = rows.withColumn("part", F.floor(F.col(t) / bucket))
-    w = Window.partitionBy("part").orderBy(t, id_col)
-    cut = cut.withColumn("starts", F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1)).withColumn("local", F.sum("starts").over(w))
-    parts = cut.groupBy("part").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.sum("starts").alias("n"))
-    order = Window.orderBy("part")
-    parts = parts.withColumn("goes_on", F.coalesce((F.col("first") - F.lag("last").over(order) <= gap).cast("int"), F.lit(0)))
-    before = F.sum(F.col("n") - F.col("goes_on")).over(order) - F.col("n")
-    return cut.join(parts.select("part", before.alias("base")), "part").withColumn("session", F.col("local") + F.col("base")).drop("part", "starts", "local", "base")
+    """rows with session (from 1, per key; null keys are keys): a row more than `gap`
+    microseconds after the one before starts a new one; exactly `gap` stays. t is in
+    microseconds. Without keys all rows are one sequence.
+
+    A segmented scan: rows lie in range partitions of key and time, so a hot key is spread over
+    many, and are cut within them. Of each key and partition one row tells the first and the
+    last time and the number of starts; from these follows how many sessions begin before a
+    partition and whether it goes on with the last. Only keys that cross into a partition
+    have something to carry: one a partition at most."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    placed = ranged(rows, [*keys, t, id_col], "sessions").withColumns(dict(zip(names, map(F.col, keys), strict=True)))
+    w = Window.partitionBy(*names, "__part").orderBy(t, id_col)
+    cut = placed.withColumn("__starts", F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1)).withColumn("session", F.sum("__starts").over(w))
+    parts = cut.groupBy(*names, "__part").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.sum("__starts").alias("n"))
+    order = Window.partitionBy(*names).orderBy("__part")
+    goes_on = F.coalesce((F.col("first") - F.lag("last").over(order) <= gap).cast("int"), F.lit(0))
+    parts = parts.withColumn("goes_on", goes_on).withColumn("__base", F.sum(F.col("n") - F.col("goes_on")).over(order) - F.col("n"))
+    carried = parts.where("__base <> 0").select(*[F.col(k).alias(f"_{k}") for k in names], F.col("__part").alias("__of"), "__base")
+    same = F.col("__part") == F.col("__of")
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = cut.join(F.broadcast(carried), same, "left")  # a row a partition at most
+    return out.withColumn("session", F.col("session") + F.coalesce("__base", F.lit(0))).select(*rows.columns, "session")
 
 
 def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
@@ -59,30 +66,42 @@ def leave_one_out(groups: DataFrame, by: Sequence[str], id_col: str, value: str)
     its group, the difference from that median and its robust z. Null values have no peers'
     part. Alone in a group: nulls.
 
-    A row's peers' median depends only on whether it lies below, at or above the middle, so
-    a group has at most three of them (and that of all, for null values). Its rows are ranked
-    by their distance from each; the middle of a ranking without one row is again one of three."""
+    A row's peers' median depends only on whether its value lies below, at or above the middle
+    one, so a group has at most three of them (and that of all, for null values); it takes the
+    three values around the middle, found by their ranks over range partitions. The same holds
+    for the distances from each of these medians. So no group is ranked in one task, and rows
+    only meet what is known of their group. NaN counts as null."""
     usual = [F.col(c).isNotNull() for c in by]
     rows = groups.where(reduce(lambda x, y: x & y, usual)) if usual else groups
-    group, v, n, k = Window.partitionBy(*by), F.col(value), F.col("__n"), F.col("__k")
-    q = F.floor(n / 2)
-
-    def placed(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-        """df with its rank __k (nulls last) and the values around the middle, __p0 to __p2."""
-        ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(x), id_col)) - 1)
-        return ranked.withColumns({f"__p{i}": F.max(F.when(k == q + (i - 1), F.col(x))).over(Window.partitionBy(*keys)) for i in range(3)})
-
-    p0, p1, p2 = (F.col(f"__p{i}") for i in range(3))
-    below, at, above, whole = F.when(n % 2 == 0, p1).otherwise((p1 + p2) / 2), (p0 + p2) / 2, F.when(n % 2 == 0, p0).otherwise((p0 + p1) / 2), F.when(n % 2 == 0, (p0 + p1) / 2).otherwise(p1)
-    case = F.when(v.isNull(), 3).when(k < q, 0).when((k == q) & (n % 2 == 1), 1).otherwise(2)
-    pick = F.when(case == 3, whole).when(case == 0, below).when(case == 1, at).otherwise(above)
-
-    rows = rows.withColumn("__n", F.count(value).over(group)).withColumn("__nulls", F.count("*").over(group) > n)
-    first = placed(rows, by, value).withColumn("__case", case).withColumn("__of", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), m.cast("double").alias("m")) for i, m in enumerate((below, at, above, whole))])))
-    first = first.withColumns({"__c": F.col("__of.c"), "peer_median": F.col("__of.m")}).drop("__k", "__p0", "__p1", "__p2", "__of").where("__c < 3 OR __nulls")
-    away = placed(first.withColumn("__away", F.abs(v - F.col("peer_median"))), [*by, "__c"], "__away").where("__c = __case")
-    out = away.withColumn("peer_scale", 1.4826 * pick).withColumn("delta", v - F.col("peer_median")).withColumn("z", F.col("delta") / F.nullif(F.col("peer_scale"), F.lit(0.0)))
-    return out.select(*groups.columns, "peer_median", "peer_scale", "delta", "z")
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+
+    def middle(df: DataFrame, keys: Sequence[str], x: Column, weight: Column) -> DataFrame:
+        """keys, __n, the middle value __p1 and medians: without a value below, at or above
+        the middle one, and of all."""
+        found = at_ranks(df, keys, x, lambda n: [F.floor(n / 2) + d for d in (-1, 0, 1)], weight)
+        even, (p0, p1, p2) = F.col("n") % 2 == 0, (F.col("at")[i] for i in range(3))
+        left_out = (F.when(even, p1).otherwise((p1 + p2) / 2), (p0 + p2) / 2, F.when(even, p0).otherwise((p0 + p1) / 2), F.when(even, (p0 + p1) / 2).otherwise(p1))
+        return found.select(*keys, F.struct(F.col("n").alias("n"), p1.alias("p1"), F.array(*left_out).alias("m")).alias("__of"))
+
+    def case(x: Column, of: str) -> Column:
+        p1, odd = F.col(f"{of}.p1"), F.col(f"{of}.n") % 2 == 1
+        return F.when(x < p1, 0).when((x == p1) & odd, 1).otherwise(2)
+
+    keys = [f"__g{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    counts = stage_table(rows.groupBy(*named, v.alias("__v")).agg(F.count("*").alias("__n")), "peers")
+    medians = stage_table(middle(counts, keys, F.col("__v"), F.col("__n")), "peers-medians")
+    # each distinct value of a group at its distance from each of the group's medians
+    away = counts.join(medians.select(*keys, F.posexplode("__of.m").alias("__c", "__m")), keys).where("__m IS NOT NULL")
+    scales = middle(away, [*keys, "__c"], F.abs(F.col("__v") - F.col("__m")), F.col("__n")).withColumnRenamed("__of", "__scale")
+
+    on = reduce(lambda x, y: x & y, (F.col(c) == F.col(k) for c, k in zip(by, keys, strict=True)), F.lit(True))
+    met = rows.join(medians, on, "left").drop(*keys).withColumn("__case", F.when(v.isNull(), 3).otherwise(case(v, "__of")))
+    met = met.withColumn("peer_median", F.col("__of.m")[F.col("__case")])
+    met = met.join(scales, on & (F.col("__case") == F.col("__c")), "left")
+    own = F.when(F.col("__case") == 3, 3).otherwise(case(F.abs(v - F.col("peer_median")), "__scale"))
+    out = met.withColumn("peer_scale", 1.4826 * F.col("__scale.m")[own]).withColumn("delta", v - F.col("peer_median"))
+    return out.withColumn("z", F.col("delta") / F.nullif(F.col("peer_scale"), F.lit(0.0))).select(*groups.columns, "peer_median", "peer_scale", "delta", "z")
 
 
 def median_of(sorted_array: str) -> Column:
@@ -92,8 +111,20 @@ def median_of(sorted_array: str) -> Column:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str) -> DataFrame:
-    """rows (tests: few) with q: p * n / rank, made monotone from the largest p down, at most 1."""
-    everything = Window.partitionBy()
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(p))).withColumn("raw", F.col(p) * F.count("*").over(everything) / F.col("rank"))
-    down = Window.orderBy(p, "rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(down))).drop("raw", "rank")
+    """rows with q: p * n / rank, made monotone from the largest p down, at most 1. Ties share
+    the best of their ranks' values. Null p and NaN are no tests and have a null q.
+
+    Ranks are running counts over range partitions; the least value from a p up is that of its
+    partition's later rows and of one row a later partition."""
+    x = F.nanvl(F.col(p).cast("double"), F.lit(None))
+    counts = rows.where(x.isNotNull()).groupBy(x.alias("__p")).agg(F.count("*").alias("__c"))
+    ranks = running_sums(counts, [], "__p", ["__c"])
+    n = counts.agg(F.sum("__c").alias("__n"))
+    # the last of equal p has the least value
+    raw = ranks.join(F.broadcast(n)).select("__p", (F.col("__p") * F.col("__n") / (F.col("before___c") + F.col("__c"))).alias("__raw"))
+    placed = ranged(raw, ["__p"], "bh")
+    later = Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)  # a row a partition
+    behind = placed.groupBy("__part").agg(F.min("__raw").alias("low")).select(F.col("__part").alias("__of"), F.min("low").over(later).alias("__behind"))
+    up = F.min("__raw").over(Window.partitionBy("__part").orderBy("__p").rowsBetween(0, Window.unboundedFollowing))
+    found = placed.withColumn("__up", up).join(F.broadcast(behind), F.col("__part") == F.col("__of")).select("__p", F.least(F.lit(1.0), F.col("__up"), F.col("__behind")).alias("q"))
+    return rows.join(found, x == F.col("__p"), "left").drop("__p")

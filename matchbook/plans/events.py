@@ -145,7 +145,7 @@ SELECT CAST(session AS BIGINT) AS session, count(*) AS n, min(t) AS start_us, ma
 def sessions_global(spark: SparkSession, d: str) -> DataFrame:
     """Gaps over 10 minutes cut the whole stream; a session's length counts its samples' second."""
     e = load(spark, d, "events").select("event_id", "value", micros("ts").alias("t"))
-    s = stage_table(windows.sessions_global(e, "t", 600_000_000, "event_id", 24 * HOUR), "sessions")
+    s = stage_table(windows.sessions(e, [], "t", 600_000_000, "event_id"), "sessions")
     seconds = F.expr("(max(t) - min(t)) div 1000000 + 1")
     out = s.groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("start_us"), F.max("t").alias("end_us"), seconds.alias("seconds"), r6(F.avg("value")).alias("mean_value"))
     return quantiles.with_quantiles(out, s, ["session"], "value", {"median_value": 0.5}).withColumn("median_value", r6("median_value"))

@@ -88,7 +88,7 @@ def test_contract_is_checked(spark):
 def test_gap_of_exactly_the_limit_stays(spark):
     df = spark.createDataFrame([(1, "u", 0), (2, "u", 10), (3, "u", 21), (4, "v", 5)], "id int, u string, t long")
     assert rows(windows.sessions(df, ["u"], "t", 10, "id").select("id", "session")) == [(1, 1), (2, 1), (3, 2), (4, 1)]
-    assert rows(windows.sessions_global(df, "t", 10, "id", 7).select("id", "session")) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+    assert rows(windows.sessions(df, [], "t", 10, "id").select("id", "session")) == [(1, 1), (2, 1), (3, 2), (4, 1)]
 
 
 def test_leave_one_out_alone_is_null(spark):
@@ -388,3 +388,43 @@ def test_greedy_in_one_pass_per_component(spark, most):
     assert assignment.greedy(df.limit(0), [F.col("x"), F.col("s"), F.col("c")], "s", "c").count() == 0
     null = spark.createDataFrame([(None, 1, 1.0), (None, 2, 0.5), (3, 1, 2.0)], "s int, c int, x double")
     assert {tuple(r) for r in assignment.greedy(null, [F.col("x"), F.col("s"), F.col("c")], "s", "c").collect()} == {(None, 2), (3, 1)}
+
+
+def test_windows_of_a_hot_key(spark):
+    """A key with a third of all rows is spread over partitions; results are as of one pass."""
+    rng = np.random.default_rng(6)
+    data = [(i, ["hot", "a", None, "b"][int(k)], int(t), float(v)) for i, (k, t, v) in enumerate(zip(np.minimum(rng.integers(0, 9, 3000) // 2, 3), rng.integers(0, 20000, 3000), rng.integers(0, 60, 3000), strict=True))]
+    data += [(9000, "one", 5, 1.0), (9001, "two", 1, 2.0), (9002, "two", 12, None), (9003, "two", 11, float("nan"))]
+    df = spark.createDataFrame(data, "id long, k string, t long, v double").withColumn("n", F.lit(1)).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert prefix.ranged(df.where("k = 'hot'"), ["k", "t", "id"], "t").select("__part").distinct().count() == 4
+        got = {r["id"]: r["session"] for r in windows.sessions(df, ["k"], "t", 10, "id").collect()}
+        peers = {r["id"]: r for r in windows.leave_one_out(df, ["k"], "id", "v").collect()}
+        tests = df.where("v IS NOT NULL AND NOT isnan(v)").select("id", (F.col("v") / 60).alias("p"))
+        q = {r["id"]: r["q"] for r in windows.benjamini_hochberg(tests, "p").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in ("hot", "a", None, "b", "one", "two"):
+        own = sorted((t, i) for i, key, t, _ in data if key == k)
+        session, last = 0, None
+        for t, i in own:
+            session += last is None or t - last > 10
+            last = t
+            assert got[i] == session
+    for i, k, _, v in data[::37] + data[-4:]:
+        if k is None:
+            assert i not in peers
+            continue
+        others = np.array([x for j, key, _, x in data if key == k and j != i and x is not None and not np.isnan(x)])
+        r = peers[i]
+        if not len(others):
+            assert (r["peer_median"], r["peer_scale"]) == (None, None)
+            continue
+        m = np.median(others)
+        assert r["peer_median"] == m and np.isclose(r["peer_scale"], 1.4826 * np.median(np.abs(others - m)))
+    line = sorted((v / 60, i) for i, _, _, v in data if v is not None and not np.isnan(v))
+    low = 1.0
+    for rank in range(len(line), 0, -1):
+        low = min(low, line[rank - 1][0] * len(line) / rank)
+        assert np.isclose(q[line[rank - 1][1]], low)
