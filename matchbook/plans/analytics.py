@@ -129,6 +129,40 @@ def signed_rank(spark: SparkSession, d: str) -> DataFrame:
     return statistics.signed_rank(_pairs(spark, d), "diff").select("n", r6("w_plus").alias("w_plus"), r6("z").alias("z"))
 
 
+#: The chance of a standard normal value beyond z on either side, by Simpson's rule on 2,000 steps.
+_TAILS = "greatest(0e0, 1 - 2 * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000e0) * (z * i / 2000e0) / 2) / sqrt(2 * pi()))))"
+
+
+@query(_PAIRS + f""", x AS (SELECT o_custkey % 10 AS g, pos - neg AS diff FROM p WHERE pos <> neg), r AS (SELECT g, diff, rank() OVER (PARTITION BY g ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY g, abs(diff)) - 1) / 2e0 AS k, count(*) OVER (PARTITION BY g, abs(diff)) AS c FROM x),
+t AS (SELECT g, count(*) AS n, coalesce(sum(k) FILTER (WHERE diff > 0), 0) AS w, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r GROUP BY g), y AS (SELECT g, n, (w - n * (n + 1) / 4e0) / sqrt(n * (n + 1e0) * (2 * n + 1) / 24 - ties / 48) AS z FROM t)
+SELECT g, n, round({_TAILS}, 6) AS p FROM y WHERE n > 25""")
+def signed_rank_p(spark: SparkSession, d: str) -> DataFrame:
+    """Two-sided p of the paired differences in ten groups, those that take the normal tail."""
+    pairs = _pairs(spark, d).withColumn("g", F.col("o_custkey") % 10)
+    return statistics.signed_rank_test(pairs, "diff", ["g"]).where(F.col("n") > statistics.EXACT).select("g", "n", r6("p").alias("p"))
+
+
+@query(_SCORED + f""", r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2e0 AS k, count(*) OVER (PARTITION BY lang, n_chars) AS c FROM s WHERE n_chars IS NOT NULL AND quality IN (0, 1)),
+t AS (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (WHERE quality = 1)::DOUBLE AS n1, sum(k) FILTER (WHERE quality = 1) AS w, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r GROUP BY lang),
+y AS (SELECT lang, n, n1, n - n1 AS n0, w - n1 * (n1 + 1) / 2 AS u, (w - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM t)
+SELECT lang, n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 6) AS u, round({_TAILS}, 6) AS p FROM y WHERE n > 25""")
+def rank_sum_p(spark: SparkSession, d: str) -> DataFrame:
+    """Whether good documents of a language are longer: Mann-Whitney's U and two-sided p."""
+    t = statistics.rank_sum(_labelled(spark, d), "n_chars", "quality", ["lang"])
+    return t.where(F.col("n1") + F.col("n0") > statistics.EXACT).select("lang", "n1", "n0", r6("u").alias("u"), r6("p").alias("p"))
+
+
+@query("""WITH t AS (SELECT l_suppkey AS g, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b FROM lineitem),
+m AS (SELECT y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM t WINDOW w AS (PARTITION BY g)),
+s AS (SELECT sum(y * y) AS yy, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM m),
+c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s)
+SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT g) FROM t) AS n_groups, round(1 - (yy - ca * ay - cb * by_) / (SELECT var_pop(y) * count(*) FROM t), 6) AS r2, round((ca * ay + cb * by_) / yy, 6) AS r2_within, round(ca, 6) AS per_unit FROM c""")
+def absorbed_r2(spark: SparkSession, d: str) -> DataFrame:
+    """How well quantity and discount explain a price beside a level for each supplier."""
+    t = statistics.absorbed_r2(load(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", ["l_quantity", "l_discount"])
+    return t.select("n", "n_groups", r6("r2").alias("r2"), r6("r2_within").alias("r2_within"), r6(F.col("coefficients")[0]).alias("per_unit"))
+
+
 @query("""WITH s AS (SELECT DISTINCT CAST(s_acctbal AS DOUBLE) AS y FROM supplier), c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS x FROM customer),
 b AS (SELECT c.*, lo.y AS lower FROM c ASOF LEFT JOIN s lo ON c.x >= lo.y), u AS (SELECT b.*, hi.y AS upper FROM b ASOF LEFT JOIN s hi ON b.x <= hi.y)
 SELECT c_custkey, round(CASE WHEN upper IS NULL OR x - lower <= upper - x THEN lower ELSE upper END, 6) AS nearest, round(least(coalesce(x - lower, 1e300), coalesce(upper - x, 1e300)), 6) AS gap FROM u""")
@@ -220,6 +254,14 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_replicates", *[r6(c).alias(c) for c in ("mean_lo", "mean_hi", "median_lo", "median_hi")])
 
 
+@query()
+def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
+    """The price as a score for finished orders, with an interval from customers drawn whole."""
+    o = _orders(spark, d).withColumn("finished", (F.col("o_orderstatus") == "F").cast("int"))
+    out = statistics.bootstrap_auc(o, "o_custkey", "o_totalprice", "finished", 500)
+    return out.select("n_replicates", r6("auc").alias("auc"), r6("auc_lo").alias("auc_lo"), r6("auc_hi").alias("auc_hi"))
+
+
 @query()
 def stratified_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """The same within classes: recall of toxicity by quality."""

@@ -428,3 +428,84 @@ def test_windows_of_a_hot_key(spark):
     for rank in range(len(line), 0, -1):
         low = min(low, line[rank - 1][0] * len(line) / rank)
         assert np.isclose(q[line[rank - 1][1]], low)
+
+
+@pytest.mark.parametrize("part", [40, 100_000])
+def test_bootstrap_auc_against_expanded_rows(spark, monkeypatch, part):
+    monkeypatch.setattr(statistics, "_PART_ROWS", part)
+    rng = np.random.default_rng(7)
+    data = [(int(i // 2), float(v), int(y)) for i, (v, y) in enumerate(zip(np.where(rng.random(400) < 0.4, 3, rng.integers(0, 30, 400)), rng.integers(0, 2, 400), strict=True))]
+    df = spark.createDataFrame([*data, (999, None, 1), (998, 1.0, None), (997, 1.0, 5)], "id int, s double, y int").repartition(4)
+    got = statistics.bootstrap_auc(df, "id", "s", "y", 70).first()
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    times = statistics._taken(np.array([hashes[i] for i, _, _ in data]), np.arange(70), 1)
+    s, y = np.array([v for _, v, _ in data]), np.array([t for *_, t in data])
+
+    def area(w):
+        p, m = np.repeat(s, w * y), np.repeat(s, w * (1 - y))
+        return ((p[:, None] > m).sum() + (p[:, None] == m).sum() / 2) / (len(p) * len(m))
+
+    want = np.percentile([area(w) for w in times], [2.5, 97.5])
+    assert np.allclose([got["auc_lo"], got["auc_hi"]], want) and np.isclose(got["auc"], area(np.ones(400, int))) and got["n_replicates"] == 70
+    none = statistics.bootstrap_auc(df.where("y = 1"), "id", "s", "y", 5).first()
+    assert tuple(none) == (0, None, None, None)
+
+
+def test_exact_p_equals_enumeration(spark):
+    from itertools import combinations, product
+
+    rng = np.random.default_rng(12)
+    data, tests = [], {}
+    for g in range(14):
+        values = rng.integers(-6, 7, int(rng.integers(1, 13))).astype(float)
+        tests[g] = values
+        data += [(g, float(v), int(rng.random() < 0.5)) for v in values]
+    df = spark.createDataFrame([*data, (3, None, 1)], "g int, v double, y int").withColumn("z", F.lit(1))
+    got = {r["g"]: r for r in statistics.signed_rank_test(df, "v", ["g"]).collect()}
+
+    def ranks_of(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    for g, values in tests.items():
+        v = values[values != 0]
+        if not len(v):
+            assert g not in got
+            continue
+        k = ranks_of(np.abs(v))
+        w = k[v > 0].sum()
+        every = np.array([sum(r for r, s in zip(k, signs, strict=True) if s) for signs in product((0, 1), repeat=len(k))])
+        p = min(1, 2 * min((every <= w + 1e-9).mean(), (every >= w - 1e-9).mean()))
+        assert got[g]["w_plus"] == w and np.isclose(got[g]["p"], p)
+    got = {r["g"]: r for r in statistics.rank_sum(df, "v", "y", ["g"]).collect()}
+    for g in tests:
+        own = [(v, y) for h, v, y in data if h == g]
+        k, y = ranks_of(np.array([v for v, _ in own])), np.array([y for _, y in own])
+        if y.min() == y.max():
+            assert got[g]["p"] == 1
+            continue
+        w = k[y == 1].sum()
+        every = np.array([sum(k[list(c)]) for c in combinations(range(len(k)), int(y.sum()))])
+        p = min(1, 2 * min((every <= w + 1e-9).mean(), (every >= w - 1e-9).mean()))
+        assert np.isclose(got[g]["p"], p) and np.isclose(got[g]["u"], w - y.sum() * (y.sum() + 1) / 2)
+    none = statistics.signed_rank_test(df.limit(0), "v").first()
+    assert (none["n"], none["p"]) == (0, 1.0)
+    import math
+
+    z = spark.createDataFrame([(x,) for x in (0.0, -0.5, 1.96, 5.9, 6.1, 9.0)], "z double").select("z", statistics.normal_tails(F.col("z")).alias("p")).collect()
+    assert all(math.isclose(r["p"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-6, abs_tol=1e-11) for r in z)
+
+
+def test_absorbed_r2_equals_dummies(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").withColumn("x", F.col("doc_id") % 7).orderBy("doc_id")
+    got = statistics.absorbed_r2(docs, "source", "quality", ["n_chars", "x"]).first()
+    t = docs.select("source", "quality", "n_chars", "x").toPandas().dropna(subset=["quality", "n_chars"])
+    levels = sorted(set(t["source"].fillna("")))
+    x = np.column_stack([t["n_chars"], t["x"], *[(t["source"].fillna("") == s) for s in levels]]).astype(float)
+    y = t["quality"].to_numpy(float)
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    r2 = 1 - ((y - x @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert np.isclose(got["r2"], r2) and np.allclose(got["coefficients"], b[:2]) and got["n_groups"] == len(levels)
+    same = statistics.absorbed_r2(docs.withColumn("c", F.lit(1.0)), "source", "quality", ["n_chars", "x", "c"]).first()
+    assert np.isclose(same["r2"], r2)
+    assert statistics.absorbed_r2(docs.limit(0), "source", "quality", ["x"]).first()["r2"] is None
