@@ -150,3 +150,50 @@ def regions(px: DataFrame, id_col: str, width: int, size: int) -> DataFrame:
     n = F.sum(F.col("b") - F.col("a") + 1)
     out = whole.groupBy(id_col, "component").agg(n.alias("n"), (F.sum(F.col("row") * (F.col("b") - F.col("a") + 1)) / n).alias("cr"), (F.sum((F.col("a") + F.col("b")) / 2 * (F.col("b") - F.col("a") + 1)) / n).alias("cc"))
     return out.select(id_col, F.col("component").alias("region"), "n", F.sqrt(F.pow(F.col("cr") - mid, 2) + F.pow(F.col("cc") - mid, 2)).alias("distance"))
+
+
+def _kernel(size: int, out: int) -> list[tuple[int, int, float]]:
+    """(target, source, weight) along one axis: linear between the sources around a target,
+    first and last on each other; a single target lies on the first source."""
+    table = []
+    for t in range(out):
+        x = t * (size - 1) / (out - 1) if out > 1 else 0.0
+        lo = min(int(x), size - 1)
+        table += [(t, s, w) for s, w in ((lo, 1 - (x - lo)), (lo + 1, x - lo)) if w > 0]
+    return table
+
+
+def resize(px: DataFrame, by: Sequence[str], size: int, out: int) -> DataFrame:
+    """by, row, col, v of patches of size x size brought to out x out by linear interpolation
+    along both axes. Null pixels have no weight: a cell is the weighted mean of the valid ones
+    among the up to four that it lies between, null without any."""
+    axis = lambda name: F.broadcast(px.sparkSession.createDataFrame(_kernel(size, out), f"__{name} int, {name} int, __w{name} double"))
+    # tables of at most two rows a target
+    met = px.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "v").join(axis("row"), "row").join(axis("col"), "col")
+    weight = F.when(F.col("v").isNotNull(), F.col("__wrow") * F.col("__wcol"))
+    cells = met.groupBy(*by, "__row", "__col").agg((F.sum(weight * F.col("v")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("v"))
+    return cells.select(*by, F.col("__row").alias("row"), F.col("__col").alias("col"), "v")
+
+
+def crop(px: DataFrame, size: int, out: int, row: Column | int, col: Column | int) -> DataFrame:
+    """The pixels of an out x out window around (row, col), moved so that it lies within the
+    patch, counted from the window's corner. ValueError if the patch is smaller."""
+    if out > size:
+        raise ValueError(f"a patch of {size} has no window of {out}")
+    start = [F.greatest(F.lit(0), F.least(F.lit(size - out), (F.lit(c) if isinstance(c, int) else c) - out // 2)) for c in (row, col)]
+    marked = px.withColumns({"__top": start[0], "__left": start[1]})
+    inside = (F.col("row") >= F.col("__top")) & (F.col("row") < F.col("__top") + out) & (F.col("col") >= F.col("__left")) & (F.col("col") < F.col("__left") + out)
+    return marked.where(inside).withColumns({"row": (F.col("row") - F.col("__top")).cast("int"), "col": (F.col("col") - F.col("__left")).cast("int")}).drop("__top", "__left")
+
+
+def pad(px: DataFrame, by: Sequence[str], size: int, out: int, fill: float | None = None) -> DataFrame:
+    """by, row, col, v of patches set in the middle of an out x out grid (the smaller margin
+    above and to the left), `fill` around them; patches that are as large stay."""
+    margin = (out - size) // 2
+    moved = px.select(*by, (F.col("row") + margin).cast("int").alias("row"), (F.col("col") + margin).cast("int").alias("col"), "v")
+    border = [(r, c) for r in range(out) for c in range(out) if not (margin <= r < margin + size and margin <= c < margin + size)]
+    if not border:
+        return moved
+    # as many cells as the grid has
+    cells = F.broadcast(px.sparkSession.createDataFrame(border, "row int, col int"))
+    return moved.unionByName(px.select(*by).distinct().crossJoin(cells).withColumn("v", F.lit(fill).cast("double")))

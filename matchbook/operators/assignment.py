@@ -163,6 +163,60 @@ def balanced_folds(rows: DataFrame, group: str, folds: int = 2, label: str | Non
     return sizes.withColumn("fold", F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int")).select(group, "n", "fold")
 
 
+def _placed_by_spread(counts: np.ndarray, folds: int) -> np.ndarray:
+    """A fold for each group (a row of class counts): groups of the most uneven counts first,
+    each to the fold that keeps the classes' shares over the folds most even, then to the
+    fold of the fewest rows, then to the first."""
+    total = np.maximum(counts.sum(0), 1)
+    held, fold = np.zeros((folds, counts.shape[1])), np.zeros(len(counts), int)
+    for g in np.argsort(-counts.std(1), kind="stable"):
+        ways = []
+        for f in range(folds):
+            held[f] += counts[g]
+            ways.append((round(float((held / total).std(0).mean()), 12), held[f].sum(), f))
+            held[f] -= counts[g]
+        fold[g] = min(ways)[2]
+        held[fold[g]] += counts[g]
+    return fold
+
+
+def _nearest_in_rate(counts: np.ndarray, fold: np.ndarray, folds: int) -> int | None:
+    """The fold with both classes whose share of the first is nearest to that of all; the
+    first of equals; None if no fold has both."""
+    rate = counts[:, 0].sum() / counts.sum()
+    ways = [(abs(own[0] / own.sum() - rate), f) for f in range(folds) if (own := counts[fold == f].sum(0)).min() > 0]
+    return min(ways)[1] if ways else None
+
+
+def nested_group_folds(rows: DataFrame, group: str, label: str, outer: int = 5, inner: int = 4) -> DataFrame:
+    """group, n, n_negative, fold, inner_fold, split: whole groups dealt to outer folds by the
+    spread of their class counts (labels 0 and 1; others don't count). The fold nearest in class
+    rate is the test; the other groups are dealt again, and of these inner folds the one
+    nearest in rate is the validation; the rest trains. Equal inputs give equal folds. Where
+    no fold has both classes, ValueError. A null group is a group.
+
+    Placing is one group after the other, so it runs in one task on a row a group; rows only
+    are counted."""
+    kind = dict(rows.dtypes)[group]
+    counts = rows.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n_negative"), F.count_if(F.col(label) == 1).alias("n_positive"))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(group, na_position="first", ignore_index=True)
+        own = pdf[["n_negative", "n_positive"]].to_numpy(float)
+        fold = _placed_by_spread(own, outer)
+        test = _nearest_in_rate(own, fold, outer)
+        if test is None:
+            raise ValueError("no fold has both classes")
+        rest = np.flatnonzero(fold != test)
+        inside = np.full(len(own), -1)
+        inside[rest] = _placed_by_spread(own[rest], inner)
+        validation = _nearest_in_rate(own[rest], inside[rest], inner)
+        split = np.where(fold == test, "test", np.where(inside == validation, "validation", "train"))
+        return pd.DataFrame({group: pdf[group], "n": own.sum(1).astype(np.int64), "n_negative": own[:, 0].astype(np.int64), "fold": fold.astype(np.int32), "inner_fold": pd.array(np.where(inside < 0, None, inside), dtype="Int32"), "split": split})
+
+    return counts.groupBy().applyInPandas(place, f"{group} {kind}, n long, n_negative long, fold int, inner_fold int, split string")
+
+
 def training_weights(rows: DataFrame, site: str, label: str) -> DataFrame:
     """rows with weight: 1 / rows of the site times n / (2 rows of the class), over its mean."""
     by_site = rows.groupBy(site).agg(F.count("*").alias("in_site"))

@@ -297,6 +297,13 @@ def greedy_controls(spark: SparkSession, d: str) -> DataFrame:
     return assignment.greedy(_slot_costs(spark, d), [F.col("slot"), F.col("cost"), F.col("candidate")], "slot", "candidate")
 
 
+@query()
+def nested_group_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Customers dealt whole to test, validation and training with like shares of open orders."""
+    o = _orders(spark, d).withColumn("finished", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0))
+    return assignment.nested_group_folds(o, "o_custkey", "finished")
+
+
 @query("SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5('0:' || o_custkey), 1, 12) AS BIGINT) % 1000000 < 200000 THEN 'test' ELSE 'train' END AS split FROM orders")
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     """Whole customers to test or train by a hash."""

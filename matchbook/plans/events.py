@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchbook.functions import json_walk
 from matchbook.functions.text import tier
 from matchbook.operators import aggregates, joins, quantiles, windows
 from matchbook.operators.joins import HOUR, micros
 from matchbook.plans.registry import query, r6
-from matchbook.session import load, stage_table
+from matchbook.session import load, shared_dir, stage_table
+from matchbook.sources import ordinals
 
 TIERS = ((1, "le_1h"), (3, "gt_1h_le_3h"), (12, "gt_3h_le_12h"), (24, "gt_12h_le_24h"))
 
@@ -265,3 +269,43 @@ def pending_work(spark: SparkSession, d: str) -> DataFrame:
 
     work = load(spark, d, "customer").select("c_custkey")
     return pending(work, load(spark, d, "events").withColumnRenamed("user_id", "c_custkey"), "c_custkey", F.col("event_type") == "purchase")
+
+
+_NESTED = """'{"event":' || props || ',"Tags":["' || event_type || '",{"deep":{"name":"n' || (user_id % 5) || '","none":null}},[]],"plume_source":{"LatMax":' || (event_id % 200 - 100) || ',"lon":"' || (event_id % 360 - 180) || '.5"}}'"""
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    return json_walk.nodes(load(spark, d, "events").select("event_id", F.expr(_NESTED).alias("doc")), "event_id", "doc")
+
+
+@query(f"""
+WITH n AS (SELECT event_id, t.fullkey, t.key, t.type, t.atom FROM (SELECT event_id, {_NESTED} AS doc FROM events) e, json_tree(e.doc) t),
+s AS (SELECT event_id, json_extract_string(atom, '$') AS text FROM n WHERE type = 'VARCHAR' UNION ALL SELECT event_id, key FROM n WHERE key IS NOT NULL AND try_cast(key AS BIGINT) IS NULL)
+SELECT event_id, text, count(*) AS n FROM s GROUP BY ALL""")
+def json_strings(spark: SparkSession, d: str) -> DataFrame:
+    """All strings of nested documents, keys and values, with how often they occur."""
+    return json_walk.all_strings(_nested(spark, d), "event_id").groupBy("event_id", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, '/plume_source/latmax/lon' AS path, CAST(event_id % 200 - 100 AS DOUBLE) AS lat, CAST((event_id % 360 - 180) || '.5' AS DOUBLE) AS lon, 11 AS score FROM events WHERE event_id % 200 - 100 BETWEEN -90 AND 90 AND event_id % 360 - 180.5 > -180.5")
+def json_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a latitude and a longitude anywhere in nested documents, scored by their path."""
+    return json_walk.coordinate_pairs(_nested(spark, d), "event_id")
+
+
+@query("SELECT event_id, epoch_us(ts) AS t, user_id FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 7 = 0) UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_id % 3 = 0 AND event_id % 7 = 0")
+def ordinal_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event lost its time; it is taken by line number from a recovery file, which
+    has blanks of its own, next to what another file says of the same lines."""
+    e = load(spark, d, "events").select("event_id", "user_id", micros("ts").alias("t"))
+    base = f"{shared_dir(spark)}/matchbook/recovery-{uuid.uuid4().hex}"
+    # event ids count the rows; files and lines are in their order
+    lines = e.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    lines.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("t")).alias("t")).write.option("header", True).csv(f"{base}/times")
+    lines.select("user_id").write.option("header", True).csv(f"{base}/users")
+    times = ordinals.with_ordinals(spark.read.option("header", True).schema("event_id long, t long").csv(f"{base}/times"))
+    users = ordinals.with_ordinals(spark.read.option("header", True).schema("user_id long").csv(f"{base}/users"))
+    lost = e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("t")).alias("t"))
+    found = ordinals.repaired(lost, "t", "event_id", times, "t", F.col("event_id") % 3 == 0)
+    both = ordinals.side_by_side(times.select("ordinal", "event_id"), users)
+    return found.join(both.select("event_id", "user_id"), "event_id").select("event_id", "t", "user_id")

@@ -509,3 +509,135 @@ def test_absorbed_r2_equals_dummies(spark):
     same = statistics.absorbed_r2(docs.withColumn("c", F.lit(1.0)), "source", "quality", ["n_chars", "x", "c"]).first()
     assert np.isclose(same["r2"], r2)
     assert statistics.absorbed_r2(docs.limit(0), "source", "quality", ["x"]).first()["r2"] is None
+
+
+def test_resize_crop_and_pad(spark):
+    from matchbook.functions import patches
+
+    rng = np.random.default_rng(3)
+    images = {i: rng.random((6, 6)) for i in range(3)}
+    images[1][2:4, 1:3] = np.nan
+    images[2][:] = np.nan
+    px = patches.pixels(spark.createDataFrame([(i, m.ravel().tolist()) for i, m in images.items()], "id int, a array<double>"), "id", "a", 6)
+
+    def grid(df, n):
+        out = {i: np.full((n, n), np.inf) for i in images}
+        for r in df.collect():
+            out[r["id"]][r["row"], r["col"]] = np.nan if r["v"] is None else r["v"]
+        return out
+
+    for n in (1, 4, 6, 11):
+        got = grid(patches.resize(px, ["id"], 6, n), n)
+        at = np.linspace(0, 5, n)
+        lo = np.minimum(np.floor(at).astype(int), 5)
+        hi, w = np.minimum(lo + 1, 5), at - lo
+        for i, m in images.items():
+            total, weight = np.zeros((n, n)), np.zeros((n, n))
+            for rows_, wr in ((lo, 1 - w), (hi, w)):
+                for cols, wc in ((lo, 1 - w), (hi, w)):
+                    v = m[np.ix_(rows_, cols)]
+                    k = np.where(np.isnan(v), 0, np.outer(wr, wc))
+                    total += np.where(k > 0, np.nan_to_num(v) * k, 0)
+                    weight += k
+            with np.errstate(invalid="ignore"):
+                assert np.allclose(got[i], np.where(weight > 0, total / weight, np.nan), equal_nan=True)
+    cut = grid(patches.crop(px, 6, 3, 0, 5), 3)
+    assert np.allclose(cut[0], images[0][0:3, 3:6])
+    wide = grid(patches.pad(px, ["id"], 6, 9, -1.0), 9)
+    assert np.allclose(wide[0], np.pad(images[0], (1, 2), constant_values=-1))
+    assert grid(patches.pad(px, ["id"], 6, 6), 6)[0].shape == (6, 6)
+    with pytest.raises(ValueError):
+        patches.crop(px, 6, 7, 0, 0)
+    assert patches.resize(px.limit(0), ["id"], 6, 3).count() == 0
+
+
+def test_json_of_any_shape(spark):
+    from matchbook.functions import json_walk
+
+    texts = ['{"a": {"b": [1, "x", {"Lat": "5.5", "longitude": 7}]}, "e": "", "n": null, "t": true}', "[]", '"alone"', None, "no json {", "{}", '[["deep", [["er"]]]]', '{"plume": {"max_lat": 91, "lat2": -3, "lon": 4}, "Source": [{"lat": 1, "lon": 200}, {"lat": 1, "LON": "z"}]}', '{"a": "x"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string").withColumn("path", F.lit(1))
+    found = json_walk.nodes(df, "id", "j")
+    strings = sorted((r["id"], r["path"], r["text"]) for r in json_walk.all_strings(found, "id").collect())
+    want = []
+
+    def walk(i, path, x):
+        if isinstance(x, str):
+            want.append((i, path, x))
+        elif isinstance(x, dict):
+            for k, v in x.items():
+                want.append((i, f"{path}/{k}", k))
+                walk(i, f"{path}/{k}", v)
+        elif isinstance(x, list):
+            for k, v in enumerate(x):
+                walk(i, f"{path}/{k}", v)
+
+    import json
+
+    for i, t in enumerate(texts):
+        if t and t != "no json {":
+            walk(i, "", json.loads(t))
+    assert strings == sorted(want)
+    pairs = {tuple(r) for r in json_walk.coordinate_pairs(found, "id").collect()}
+    assert pairs == {(0, "/a/b/2/lat/longitude", 5.5, 7.0, 1), (7, "/plume/lat2/lon", -3.0, 4.0, 4)}
+    assert json_walk.nodes(df.limit(0), "id", "j").count() == 0
+
+
+def test_nested_group_folds_equal_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    data = [(None if g == 7 else f"g{g:02d}", y) for g in range(30) for y in rng.integers(0, 2, int(rng.integers(1, 12))).tolist() + [None]]
+    df = spark.createDataFrame(data, "g string, y int")
+    got = {r["g"]: r for r in assignment.nested_group_folds(df.repartition(5), "g", "y", 5, 4).collect()}
+    again = {r["g"]: r for r in assignment.nested_group_folds(df.repartition(2), "g", "y", 5, 4).collect()}
+    assert got == again
+
+    def deal(names, folds):
+        count = {g: [sum(1 for h, y in data if h == g and y == k) for k in (0, 1)] for g in names}
+        total = [sum(c[k] for c in count.values()) for k in (0, 1)]
+        held, out = [[0, 0] for _ in range(folds)], {}
+        for g in sorted(names, key=lambda g: -float(np.std(count[g]))):
+            best = None
+            for f in range(folds):
+                held[f] = [held[f][k] + count[g][k] for k in (0, 1)]
+                score = round(float(np.mean([np.std([h[k] / total[k] for h in held]) for k in (0, 1)])), 12)
+                size = sum(held[f])
+                held[f] = [held[f][k] - count[g][k] for k in (0, 1)]
+                if best is None or (score, size - sum(count[g]), f) < best:
+                    best = (score, size - sum(count[g]), f)
+            out[g] = best[2]
+            held[best[2]] = [held[best[2]][k] + count[g][k] for k in (0, 1)]
+        rate = total[0] / sum(total)
+        nearest = min((abs(h[0] / sum(h) - rate), f) for f, h in enumerate(held) if min(h) > 0)[1]
+        return out, nearest
+
+    names = sorted({g for g, _ in data}, key=lambda g: (g is not None, g or ""))
+    outer, test = deal(names, 5)
+    inner, validation = deal([g for g in names if outer[g] != test], 4)
+    for g in names:
+        assert (got[g]["fold"], got[g]["inner_fold"]) == (outer[g], inner.get(g))
+        assert got[g]["split"] == ("test" if outer[g] == test else "validation" if inner[g] == validation else "train")
+    with pytest.raises(Exception, match="both classes"):
+        assignment.nested_group_folds(df.where("y = 1"), "g", "y").collect()
+
+
+def test_ordinals_do_not_depend_on_partitioning(spark, tmp_path):
+    from matchbook.sources import ordinals
+
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text("a,b\n" + "".join(f"{k}:{i},{'' if i % 4 == 0 else i}\n" for i in range(500)))
+    (tmp_path / "f3.csv").write_text("a,b\n")
+
+    def numbered():
+        return {r["a"]: (r["ordinal"], r["b"]) for r in ordinals.with_ordinals(spark.read.option("header", True).schema("a string, b int").csv(str(tmp_path))).collect()}
+
+    whole = numbered()
+    assert whole == {f"{k}:{i}": (500 * k + i, None if i % 4 == 0 else i) for k in range(3) for i in range(500)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        assert numbered() == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    source = spark.createDataFrame([(0, 10), (1, None), (2, 30)], "ordinal long, v int")
+    rows_ = spark.createDataFrame([("a", 0, None), ("b", 1, 5), ("c", 2, 6), ("d", 9, 7), ("e", None, 8), ("f", -1, 9), ("g", 2, None)], "k string, at int, v long")
+    assert rows(ordinals.repaired(rows_, "v", "at", source, "v", F.col("k") != "c").select("k", "v").where("v IS NOT NULL")) == [("a", 10), ("b", 5), ("c", 6), ("d", 7), ("e", 8), ("f", 9), ("g", 30)]
+    both = ordinals.side_by_side(source, spark.createDataFrame([(1, 7, "x"), (3, 8, "y")], "ordinal long, v int, w string"))
+    assert {tuple(r) for r in both.select("ordinal", "v", "v_right", "w").collect()} == {(0, 10, None, None), (1, None, 7, "x"), (2, 30, None, None), (3, None, 8, "y")}
