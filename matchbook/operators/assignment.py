@@ -2,11 +2,12 @@
 
 Optimal choices are made in the connected components of a block's (a site's, a stratum's)
 allowed pairs, which are matching problems of their own: Spark deals the components, a task
-solves one. MAX_BLOCK guards against a component that no task can hold.
+solves one. A component's pairs are held by one task, whatever its number of slots.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -20,7 +21,8 @@ from matchbook.operators.graph import connected_components
 from matchbook.operators.prefix import ranged, running_sums
 from matchbook.session import stage_table
 
-MAX_BLOCK = 4096
+#: Slots and candidates up to which a component is solved on a grid.
+MAX_BLOCK = 2048
 
 
 def _assign(cost: np.ndarray) -> np.ndarray:
@@ -56,16 +58,76 @@ def _assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _assign_sparse(slots: np.ndarray, candidates: np.ndarray, cost: np.ndarray, unserved: float) -> np.ndarray:
+    """The same over a list of pairs (slot and candidate numbers): the place in the list of each
+    slot's pair, -1 for slots that stay without one, which costs `unserved`. Memory grows with
+    the pairs, not with slots times candidates; a search ends at the first free candidate."""
+    order = np.lexsort((candidates, slots))
+    n, m = int(slots.max()) + 1, int(candidates.max()) + 1
+    first = np.searchsorted(slots[order], np.arange(n + 1)).tolist()
+    to, price, place = candidates[order].tolist(), cost[order].tolist(), order.tolist()
+    slot_price, candidate_price = [0.0] * n, [0.0] * m
+    slot_of, pair_of = [-1] * m, [-1] * n
+    for s in range(n):
+        away: dict[int, float] = {}
+        back: dict[int, tuple[int, int]] = {}
+        done: list[int] = []
+        closed: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        # the cheapest way to leave a slot on the path without a candidate
+        give_up, who, at, base, end = np.inf, -1, s, 0.0, -1
+        while True:
+            start = base - slot_price[at]
+            if start + unserved < give_up:
+                give_up, who = start + unserved, at
+            for e in range(first[at], first[at + 1]):
+                j = to[e]
+                d = start + price[e] - candidate_price[j]
+                if j not in closed and d < away.get(j, np.inf):
+                    away[j], back[j] = d, (at, e)
+                    heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in closed or heap[0][0] > away[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or give_up < heap[0][0]:
+                least = give_up
+                break
+            base, j = heapq.heappop(heap)
+            closed.add(j)
+            if slot_of[j] < 0:
+                least, end = base, j
+                break
+            done.append(j)
+            at = slot_of[j]
+        slot_price[s] += least
+        for j in done:
+            slot_price[slot_of[j]] += least - away[j]
+            candidate_price[j] += away[j] - least
+        if end < 0:
+            # the slot that gives up frees its candidate for the path before it
+            end = to[pair_of[who]] if who != s else -1
+            pair_of[who] = -1
+        while end >= 0:
+            i, e = back[end]
+            freed = to[pair_of[i]] if i != s else -1
+            slot_of[end], pair_of[i] = i, e
+            end = freed
+    return np.array([place[e] if e >= 0 else -1 for e in pair_of])
+
+
 def optimal(costs: DataFrame, block: str) -> DataFrame:
     """block, slot, candidate, cost: of (block, slot, candidate, cost) pairs the cheapest
     choice of distinct candidates for as many slots as can have one. A pair that is absent
-    is not allowed. Ties go to whichever the ordered ids give."""
+    is not allowed. Ties go to whichever the ordered ids give. Components of more
+    than MAX_BLOCK slots or candidates are solved on the list of their pairs, not on a grid."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s, c = np.unique(pdf["slot"], return_inverse=True), np.unique(pdf["candidate"], return_inverse=True)
-        if max(len(s[0]), len(c[0])) > MAX_BLOCK:
-            raise ValueError(f"a component of block {pdf[block].iloc[0]} has more than {MAX_BLOCK} slots or candidates")
         high = (float(pdf["cost"].abs().max()) + 1) * (len(s[0]) + 1) * 4
+        if max(len(s[0]), len(c[0])) > MAX_BLOCK:
+            # of repeated pairs the cheapest
+            best = pdf.assign(__s=s[1], __c=c[1]).sort_values("cost", kind="stable").drop_duplicates(["__s", "__c"])
+            got = _assign_sparse(best["__s"].to_numpy(), best["__c"].to_numpy(), best["cost"].to_numpy(float), high)
+            return best.iloc[got[got >= 0]][[block, "slot", "candidate", "cost"]]
         grid = np.full((len(s[0]), len(c[0]) + len(s[0])), high)  # a spare column a slot
         grid[s[1], c[1]] = pdf["cost"]
         got = _assign(grid)

@@ -641,3 +641,33 @@ def test_ordinals_do_not_depend_on_partitioning(spark, tmp_path):
     assert rows(ordinals.repaired(rows_, "v", "at", source, "v", F.col("k") != "c").select("k", "v").where("v IS NOT NULL")) == [("a", 10), ("b", 5), ("c", 6), ("d", 7), ("e", 8), ("f", 9), ("g", 30)]
     both = ordinals.side_by_side(source, spark.createDataFrame([(1, 7, "x"), (3, 8, "y")], "ordinal long, v int, w string"))
     assert {tuple(r) for r in both.select("ordinal", "v", "v_right", "w").collect()} == {(0, 10, None, None), (1, None, 7, "x"), (2, 30, None, None), (3, None, 8, "y")}
+
+
+def test_sparse_assignment_costs_what_the_grid_does(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    for _ in range(150):
+        n, m = int(rng.integers(1, 12)), int(rng.integers(1, 12))
+        allowed = np.argwhere(rng.random((n, m)) < rng.choice([0.2, 0.5, 1.0]))
+        if not len(allowed):
+            continue
+        s, c = np.unique(allowed[:, 0], return_inverse=True)[1], np.unique(allowed[:, 1], return_inverse=True)[1]
+        cost = rng.integers(-5, 30, len(s)).astype(float)
+        high = (np.abs(cost).max() + 1) * (s.max() + 2) * 4
+        grid = np.full((s.max() + 1, c.max() + 1 + s.max() + 1), high)
+        grid[s, c] = cost
+        dense = assignment._assign(grid)
+        want = grid[np.arange(len(dense)), dense].sum()
+        got = assignment._assign_sparse(s, c, cost, high)
+        chosen = got[got >= 0]
+        assert len(set(c[chosen])) == len(chosen) and all(s[k] == i for i, k in enumerate(got) if k >= 0)
+        assert np.isclose(cost[chosen].sum() + high * (got < 0).sum(), want)
+    # a component with many slots: each has its neighbours
+    slots = np.repeat(np.arange(6000), 3)
+    data = [("x", int(a), int(a + b), float((a * 7 + b * 13) % 101)) for a, b in zip(slots, np.tile([0, 1, 2], 6000), strict=True)]
+    df = spark.createDataFrame(data, "site string, slot int, candidate int, cost double")
+    got = assignment.optimal(df, "site").agg(F.count("*"), F.countDistinct("candidate"), F.sum("cost")).first()
+    assert got[0] == got[1] == 6000
+    few = df.where("slot < 60")
+    want = assignment.optimal(few, "site").agg(F.sum("cost")).first()[0]
+    monkeypatch.setattr(assignment, "MAX_BLOCK", 1)
+    assert assignment.optimal(few, "site").agg(F.sum("cost")).first()[0] == want
