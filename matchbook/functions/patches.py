@@ -39,6 +39,32 @@ def zone(size: int, bounds: Sequence[tuple[str, float, float]]) -> Column:
 CENTRE_RING = (("center", 0.0, 0.18), ("ring", 0.30, 0.48))
 
 
+def normalised_radius(size: int) -> Column:
+    """Distance from the centre in halves of the side: 1 in the middle of an edge."""
+    return radius(size) / max((size - 1) / 2, 0.5)
+
+
+#: Masks by normalised radius; the source lies within the centre.
+SOURCE_CENTRE_OUTER = (("source", 0.0, 0.15), ("center", 0.0, 0.5), ("outer", 0.65, float("inf")))
+
+
+def mask_means(px: DataFrame, by: Sequence[str], size: int, masks: Sequence[tuple[str, float, float]] = SOURCE_CENTRE_OUTER) -> DataFrame:
+    """by and for each mask the mean of its valid pixels and their number; masks may overlap. A
+    mask that holds no pixel of such a size has a null mean."""
+    r = normalised_radius(size)
+    sums = []
+    for name, lo, hi in masks:
+        v = F.when((r >= lo) & (r <= hi), F.col("v"))
+        sums += [F.avg(v).alias(name), F.count(v).alias(f"n_{name}")]
+    return px.groupBy(*by).agg(*sums)
+
+
+def valid_pixels(bands: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, row, col and valid of pixels given a row a band: valid where every band has a finite
+    value and any of them isn't 0."""
+    return bands.groupBy(*by, "row", "col").agg((F.bool_and(F.col("v").isNotNull()) & F.coalesce(F.bool_or(F.col("v") != 0), F.lit(False))).alias("valid"))
+
+
 def masked_stats(px: DataFrame, by: Sequence[str]) -> DataFrame:
     """n, mean, median, population sd, 10th and 90th percentile of the valid pixels."""
     q = [F.expr(f"percentile(v, {p})").alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]

@@ -39,6 +39,20 @@ def moment(c: Column, formats: Sequence[str] = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-M
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
 
 
+def utc_moment(c: Column, zone: str = "UTC") -> Column:
+    """A timestamp from ISO text with or without an offset: `Z`, +hh, +hhmm or +hh:mm is taken
+    at its word, text without one is the local time of the zone. Fractions of a second are
+    kept; null where nothing fits. The session's zone is taken to be UTC."""
+    t = F.regexp_replace(clean_text(c), "^(\\d{4}-\\d{2}-\\d{2}) (?=\\d)", "$1T")
+    offset = F.regexp_extract(t, "T.*?([Zz]|[+-]\\d{2}(?::?\\d{2})?)$", 1)
+    bare = F.when(offset != "", F.substring(t, F.lit(1), F.length(t) - F.length(offset))).otherwise(t)
+    local = F.coalesce(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSS][.SSS]]")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd")))
+    digits = F.regexp_replace(F.substring(offset, 2, 5), ":", "")
+    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.when(F.length(digits) > 2, F.substring(digits, 3, 2).cast("int")).otherwise(0)
+    signed = F.when(F.upper(offset) == "Z", 0).when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
+    return F.when(offset != "", F.timestamp_micros(F.unix_micros(local) - signed.cast("long") * 60_000_000)).otherwise(F.to_utc_timestamp(local, zone))
+
+
 def flag(c: Column, true_words: Sequence[str] = TRUE_WORDS, false_words: Sequence[str] | None = None) -> Column:
     """Two-valued by default (unknown is false); with false_words unknown is null."""
     t = F.lower(F.trim(c.cast("string")))

@@ -9,11 +9,13 @@ match is a grouped minimum of a struct, which Spark combines before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.geo import EARTH_KM, haversine
+from matchbook.operators.graph import connected_components
 
 HOUR = 3_600_000_000
 
@@ -118,6 +120,55 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: Sequen
     return pairs.withColumn("distance", haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"), earth)).where(F.col("distance") <= radius)
 
 
+def near_in_time_and_place(left: DataFrame, right: DataFrame, tolerance: int, radius: float) -> DataFrame:
+    """Pairs within the tolerance (microseconds) and the radius (km), with distance. Time
+    buckets are part of the grid's key, left rows are copied to the three they can reach."""
+    near = left.withColumn("bucket", F.explode(F.expr(f"sequence(floor(l_t / {tolerance}) - 1, floor(l_t / {tolerance}) + 1)")))
+    far = right.withColumn("bucket", F.floor(F.col("r_t") / tolerance))
+    return within_radius(near, far, radius, ["bucket"]).where(F.abs(F.col("r_t") - F.col("l_t")) <= tolerance).drop("bucket")
+
+
+def linked_by_tiers(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: int, radius: float) -> DataFrame:
+    """left with r_id, method and distance of its match in time: by the first of the keys that
+    both sides share (the method is its name, the distance 0), else by place ("place"), else
+    none: being close in time alone links nothing. Within a method the nearest place, then the
+    nearest time, then the smaller r_id. Both sides have id, t, lat, lon (l_, r_) and the keys;
+    null keys and places link nothing. The tiers are one table of candidates with ranks, and the
+    choice among them is one grouped minimum."""
+    sides = [left.select("l_id", "l_t", "l_lat", "l_lon", *keys), right.select("r_id", "r_t", "r_lat", "r_lon", *keys)]
+    tiers = []
+    for rank, key in enumerate(keys):
+        pairs = candidates_in_time(*(s.where(F.col(key).isNotNull()).drop(*[k for k in keys if k != key]) for s in sides), [key], tolerance)
+        tiers.append(pairs.select("l_id", "l_t", "r_id", "r_t", F.lit(rank).alias("rank"), F.lit(key).alias("method"), F.lit(0.0).alias("distance")))
+    placed = near_in_time_and_place(*(s.drop(*keys) for s in sides), tolerance, radius)
+    tiers.append(placed.select("l_id", "l_t", "r_id", "r_t", F.lit(len(keys)).alias("rank"), F.lit("place").alias("method"), "distance"))
+    every = reduce(DataFrame.union, tiers).withColumn("gap", F.abs(F.col("r_t") - F.col("l_t")))
+    best = best_of(every, [F.col("rank"), F.round("distance", 9), F.col("gap"), F.col("r_id")], ["r_id", "method", "distance"])
+    return left.join(best, "l_id", "left")
+
+
+def same_or_close(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: int) -> DataFrame:
+    """l_id, r_id, method of pairs with equal keys ("key"), or else within the tolerance in
+    time ("time"): each pair once, by the better method. A disjunction of joins, each an
+    equi-join, with the pair as the key of a grouped minimum; null keys are not equal."""
+    by_key = left.join(right, list(keys)).select("l_id", "r_id", F.lit(0).alias("rank"))
+    by_time = candidates_in_time(left.drop(*keys), right.drop(*keys), [], tolerance).select("l_id", "r_id", F.lit(1).alias("rank"))
+    best = by_key.union(by_time).groupBy("l_id", "r_id").agg(F.min("rank").alias("rank"))
+    return best.select("l_id", "r_id", F.when(F.col("rank") == 0, "key").otherwise("time").alias("method"))
+
+
+def overlap_clusters(points: DataFrame, scene: str, radius: float) -> DataFrame:
+    """points (id, lat, lon and the scene) with cluster, the smallest id that a chain of overlaps
+    within the scene leads to, n_members, and alone: circles of this radius (km) overlap if their
+    centres lie closer than twice it. Points without a scene or place overlap nothing."""
+    side = lambda s: points.select(scene, F.col("id").alias(f"{s}_id"), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
+    pairs = within_radius(side("l"), side("r"), 2 * radius, [scene]).where((F.col("l_id") < F.col("r_id")) & (F.col("distance") < 2 * radius))
+    found = connected_components(pairs, "l_id", "r_id")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    marked = points.join(found.join(sizes, "component").withColumnRenamed("node", "id"), "id", "left")
+    return marked.select(*points.columns, F.coalesce("component", "id").alias("cluster"), F.coalesce("n", F.lit(1)).alias("n_members"), F.col("n").isNull().alias("alone"))
+
+
 def with_fallback(left: DataFrame, primary: DataFrame, secondary: DataFrame, by: str = "l_id") -> DataFrame:
     """Candidate pairs of the primary method, and of the secondary for those left rows that
     have no primary candidate at all (however far), each marked with its method."""

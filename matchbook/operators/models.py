@@ -36,6 +36,16 @@ def learner(features: Sequence[str], label: str, kind: str = "logistic", seed: i
     return Pipeline(stages=steps)
 
 
+def prior_scores(rows: DataFrame, group: str, id_col: str, label: str) -> DataFrame:
+    """id, group, label, score: the share of positives among the rows of other groups, which any
+    model has to beat; null where there are none. Null labels don't count, a null group is a
+    group. Sums of the groups taken from the whole: no fit, no loop."""
+    sums = rows.groupBy(F.col(group).alias("__g")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label).isin(0, 1)).alias("n"))
+    whole = sums.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    others = sums.join(F.broadcast(whole)).select("__g", ((F.col("all_p") - F.col("p")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0))).alias("score"))
+    return rows.join(others, F.col(group).eqNullSafe(F.col("__g"))).select(id_col, group, label, "score")
+
+
 def leave_one_group_out(rows: DataFrame, group: str, id_col: str, features: Sequence[str], label: str, kind: str = "logistic") -> DataFrame:
     """id, group, label, score of every row, from a model that saw no row of its group.
     The driver loops over the groups: sites of a benchmark, not data."""

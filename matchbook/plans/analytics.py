@@ -359,6 +359,14 @@ def median_midpoint(spark: SparkSession, d: str) -> DataFrame:
     return t.select(r6((F.col("m1") + F.col("m0")) / 2).alias("threshold"), F.when(F.col("m1") >= F.col("m0"), "above").otherwise("below").alias("positive"))
 
 
+@query(_SCORED.replace("SELECT d.doc_id, ", "SELECT d.doc_id AS id, ") + ", g AS (SELECT source, sum(quality) AS p, count(quality) AS n FROM s GROUP BY 1) SELECT s.id AS doc_id, s.source, round(((SELECT sum(p) FROM g) - p) / ((SELECT sum(n) FROM g) - n), 6) AS score FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source")
+def prior_dummy(spark: SparkSession, d: str) -> DataFrame:
+    """What a model that knows only the other sources' share of good documents would say."""
+    from matchbook.operators.models import prior_scores
+
+    return prior_scores(_labelled(spark, d), "source", "doc_id", "quality").select("doc_id", "source", r6("score").alias("score"))
+
+
 @query()
 def logo_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Leave one group out: a balanced logistic model on the rest, scores of the held-out group."""

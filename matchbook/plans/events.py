@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.functions import json_walk
+from matchbook.functions import json_walk, text
 from matchbook.functions.text import tier
 from matchbook.operators import aggregates, joins, quantiles, windows
 from matchbook.operators.joins import HOUR, micros
@@ -105,6 +105,49 @@ def tiered_link_match(spark: SparkSession, d: str) -> DataFrame:
     return left.join(best, "l_id", "left").select("l_id", "r_id", F.coalesce("method", F.lit("none")).alias("method"), r6(F.col("gap") / 3.6e9).alias("hours"))
 
 
+_SPOT = "30 + (event_id * 7919 % 1000) / 1e2 AS la, -120 + (event_id * 104729 % 1000) / 1e2 AS lo"
+
+
+def _spots(spark: SparkSession, d: str, kind: str, side: str) -> DataFrame:
+    k = F.col(f"{side}_id").cast("long")
+    e = _side(spark, d, kind, side, "props")
+    return e.withColumns({f"{side}_lat": 30 + (k * 7919 % 1000) / 1e2, f"{side}_lon": -120 + (k * 104729 % 1000) / 1e2}).withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+
+
+@query(f"""
+WITH l AS (SELECT event_id AS l_id, user_id, props, epoch_us(ts) AS t, {_SPOT} FROM events WHERE event_type = 'purchase'),
+r AS (SELECT event_id AS r_id, user_id, props, epoch_us(ts) AS t, {_SPOT} FROM events WHERE event_type = 'click'),
+p AS (SELECT l_id, r_id, l.props = r.props AS same, l.user_id = r.user_id AND l.user_id % 3 <> 0 AS usr, abs(l.t - r.t) AS gap,
+  2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(r.la) - radians(l.la)) / 2), 2) + cos(radians(l.la)) * cos(radians(r.la)) * pow(sin(radians(r.lo - l.lo) / 2), 2)))) AS km FROM l JOIN r ON abs(l.t - r.t) <= 10800000000),
+k AS (SELECT l_id, r_id, CASE WHEN same THEN 'props' WHEN usr THEN 'user_id' ELSE 'place' END AS method, CASE WHEN same OR usr THEN 0 ELSE km END AS km, gap FROM p WHERE same OR usr OR km <= 150),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY CASE method WHEN 'props' THEN 0 WHEN 'user_id' THEN 1 ELSE 2 END, round(km, 9), gap, r_id) AS n FROM k)
+SELECT l.l_id, r_id, coalesce(method, 'unlinked') AS method, round(km, 6) AS km FROM l LEFT JOIN b ON l.l_id = b.l_id AND n = 1""")
+def three_tier_links(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases linked to clicks within three hours: by equal properties, else by user, else by
+    place within 150 km; closeness in time alone links nothing."""
+    out = joins.linked_by_tiers(_spots(spark, d, "purchase", "l"), _spots(spark, d, "click", "r"), ["props", "user_id"], 3 * HOUR, 150.0)
+    return out.select("l_id", "r_id", F.coalesce("method", F.lit("unlinked")).alias("method"), r6("distance").alias("km"))
+
+
+@query("""
+WITH l AS (SELECT event_id AS l_id, user_id, props, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS r_id, user_id, props, epoch_us(ts) AS t FROM events WHERE event_type = 'click')
+SELECT l_id, r_id, CASE WHEN l.user_id = r.user_id AND l.props = r.props THEN 'key' ELSE 'time' END AS method FROM l JOIN r ON (l.user_id = r.user_id AND l.props = r.props) OR abs(l.t - r.t) <= 900000000""")
+def same_acquisition(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases and clicks of the same user and properties, or within 15 minutes."""
+    return joins.same_or_close(_side(spark, d, "purchase", "l", "props"), _side(spark, d, "click", "r", "props"), ["user_id", "props"], 900_000_000)
+
+
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS t FROM events")
+def offset_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as text with offsets of several forms, or local without one, back to one clock."""
+    e = load(spark, d, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    shifted = lambda minutes, form, end: F.concat(F.date_format(F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES"), form), F.lit(end))
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    kind = F.col("event_id") % 5
+    written = F.when(kind == 0, shifted(0, iso, "Z")).when(kind == 1, shifted(120, iso, "+02:00")).when(kind == 2, shifted(-210, "yyyy-MM-dd HH:mm:ss", "-0330")).when(kind == 3, shifted(540, iso, "+09")).otherwise(shifted(330, iso, ""))
+    return e.select("event_id", F.unix_micros(text.utc_moment(written, "Asia/Kolkata")).alias("t"))
+
+
 @query("""
 WITH s AS (SELECT s_suppkey AS l_id, s_nationkey AS nk, 30 + (s_suppkey * 7919 % 1000) / 1e2 AS la, -120 + (s_suppkey * 104729 % 1000) / 1e2 AS lo FROM supplier),
 c AS (SELECT c_custkey AS r_id, c_nationkey AS nk, 30 + (c_custkey * 7919 % 1000) / 1e2 AS la, -120 + (c_custkey * 104729 % 1000) / 1e2 AS lo FROM customer WHERE c_acctbal > 9000),

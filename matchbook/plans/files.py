@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchbook.operators import gates
 from matchbook.operators.joins import micros
 from matchbook.plans.registry import query, r6
 from matchbook.session import TABLES, load, shared_dir
@@ -39,19 +40,37 @@ def json_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_catalog(spark, path, schema).select("event_id", "user_id", "t")
 
 
-@query("SELECT 'events' AS \"table\", 6e0 AS score, ['key', 'time', 'value'] AS classes UNION ALL SELECT 'orders', 5e0, ['key', 'time']")
+@query("""SELECT 'events' AS "table", count(*) AS n_rows, round(3 * avg(CAST(ts IS NOT NULL AS INT)) + 2 * avg(CAST(event_id IS NOT NULL OR user_id IS NOT NULL AS INT)) + avg(CAST(value IS NOT NULL AS INT)), 6) AS score FROM events
+UNION ALL SELECT 'orders', count(*), round(3 * avg(CAST(o_orderdate IS NOT NULL AS INT)) + 2 * avg(CAST(o_orderkey IS NOT NULL OR o_custkey IS NOT NULL AS INT)), 6) FROM orders""")
 def scored_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Tables whose column names look like observations."""
-    tables = {n: load(spark, d, n).columns for n in TABLES}
-    return readers.score_columns(spark, tables, {"time": (r"^ts$|orderdate", 3), "key": (r"_id$|key$", 2), "value": (r"^value$", 1)}, 5.0)
+    """Tables that hold observations, by how well the columns that look like such are filled."""
+    tables = {n: load(spark, d, n) for n in TABLES}
+    out = readers.score_filled(tables, {"time": (r"^ts$|orderdate", 3), "key": (r"_id$|key$", 2), "value": (r"^value$", 1)}, 4.5)
+    return out.select("table", "n_rows", r6("score").alias("score"))
 
 
-@query()
+@query("""WITH l AS (SELECT s_nationkey AS nation, s_suppkey, s_suppkey || ',' || s_name AS line FROM supplier),
+f AS (SELECT nation, string_agg(line || chr(10), '' ORDER BY s_suppkey) AS content, count(*) AS n_rows FROM l GROUP BY nation)
+SELECT nation, strlen(content)::BIGINT AS length, sha256(content) AS sha256, n_rows FROM f""")
 def release_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of the files of a release."""
+    """A release of a file of suppliers a nation: each file's length, digest and lines, once its
+    counts have passed the gate."""
     path = _folder(spark, "release")
-    load(spark, d, "nation").coalesce(1).write.parquet(path)
-    return sinks.release_manifest(spark, path, "*.parquet").select("length", F.length("sha256").alias("digest_chars"))
+    s = load(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name").alias("line"))
+    s.repartition("nation").sortWithinPartitions("nation", "s_suppkey").select("nation", "line").write.partitionBy("nation").text(path)
+    manifest = sinks.counted_manifest(spark, path, "*.txt").withColumn("nation", F.regexp_extract("part", "(\\d+)$", 1).cast("long"))
+    gates.require(sinks.wrong_file_counts(manifest, s.groupBy("nation").agg(F.count("*").alias("n")), "nation"), "rows of a release")
+    return manifest.select("nation", "length", "sha256", "n_rows")
+
+
+@query("""SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') AND user_id % 11 <> 0 THEN event_type ELSE 'unrouted' END AS route,
+  CASE WHEN user_id % 11 = 0 THEN 'no route' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'unknown route ' || event_type WHEN value > 20 THEN 'large' ELSE 'usual' END AS reason, event_id FROM events""")
+def routed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events written in one pass to a folder a route, each with the reason, and read again."""
+    path = _folder(spark, "routed")
+    e = load(spark, d, "events").select("event_id", "value", F.when(F.col("user_id") % 11 != 0, F.col("event_type")).alias("kind"))
+    sinks.write_routed(e, "kind", ["view", "click", "purchase"], path, F.when(F.col("value") > 20, "large").otherwise("usual"))
+    return spark.read.parquet(path).select("route", "reason", "event_id")
 
 
 @query("""WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
@@ -71,8 +90,8 @@ def stream_buckets(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+@query("SELECT event_id, user_id, epoch_us(ts) AS t FROM events")
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Extension: first of repeated events within a watermark."""
     out = jobs.run_once(jobs.distinct_events(jobs.event_stream(spark, d, load(spark, d, "events").schema)), "append")
-    return out.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return out.select("event_id", "user_id", F.unix_micros("ts").alias("t"))

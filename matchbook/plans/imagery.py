@@ -135,11 +135,33 @@ def background_class(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", name.alias("background"), F.when(F.col("p99") > 0.3, 10000).otherwise(1).alias("scale"))
 
 
-@query("SELECT md5(CAST(embedding AS VARCHAR)) IS NOT NULL AS hashed, count(DISTINCT embedding) AS n_contents, count(*) AS n, count(DISTINCT label) AS n_labels FROM embeddings GROUP BY 1")
+@query("""WITH p AS (SELECT vec_id, label, list_aggregate(list_transform(embedding[1:8], lambda v: CAST(CAST(floor(v::DOUBLE * 8) AS INTEGER) AS VARCHAR)), 'string_agg', ',') AS k FROM embeddings)
+SELECT sha256(k) AS digest, min(vec_id) AS first_id, count(*) AS n, count(DISTINCT label) AS n_labels FROM p GROUP BY k""")
 def pixel_content_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Patches by a digest of their values."""
-    e = load(spark, d, "embeddings").select("label", F.sha2(F.to_json("embedding"), 256).alias("k"))
-    return e.groupBy(F.col("k").isNotNull().alias("hashed")).agg(F.countDistinct("k").alias("n_contents"), F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    """Patches by a digest of their first row's values in steps of an eighth: who comes first, how
+    many there are, and whether they carry different labels."""
+    steps = F.transform(F.slice("embedding", 1, SIZE), lambda v: F.floor(v.cast("double") * 8).cast("int").cast("string"))
+    e = load(spark, d, "embeddings").select("vec_id", "label", F.sha2(F.array_join(steps, ","), 256).alias("digest"))
+    return e.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+
+
+@query(_PIXELS + """, m AS (SELECT vec_id, v, rad / 3.5e0 AS q FROM px)
+SELECT vec_id, round(avg(v) FILTER (WHERE q <= 0.15), 6) AS source, round(avg(v) FILTER (WHERE q <= 0.5), 6) AS center, round(avg(v) FILTER (WHERE q >= 0.65), 6) AS outer, count(v) FILTER (WHERE q <= 0.5) AS n_center FROM m GROUP BY 1""".replace(" AS outer", ' AS "outer"'))
+def mask_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of source, centre and surroundings by normalised radius."""
+    out = patches.mask_means(_px(spark, d), ["vec_id"], SIZE)
+    return out.select("vec_id", *[r6(c).alias(c) for c in ("source", "center", "outer")], "n_center")
+
+
+@query(_PIXELS + """, b AS (SELECT vec_id, i % 16 AS px, CASE WHEN v > 0.4 THEN NULL WHEN abs(v) < 0.05 THEN 0 ELSE v END AS v FROM px),
+g AS (SELECT vec_id, px, count(v) = 4 AND coalesce(bool_or(v <> 0), false) AS valid FROM b GROUP BY 1, 2) SELECT vec_id, count(*) FILTER (WHERE valid) AS n_valid FROM g GROUP BY 1""")
+def valid_pixel_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Patches as four bands of 4 by 4: pixels with all bands finite and any not 0. Values above
+    0.4 stand for missing ones, those within 0.05 of it for 0."""
+    px = _px(spark, d).withColumn("at", (F.col("row") * SIZE + F.col("col")) % 16)
+    v = F.when(F.col("v") > 0.4, None).when(F.abs("v") < 0.05, 0.0).otherwise(F.col("v"))
+    bands = px.select("vec_id", F.floor(F.col("at") / 4).alias("row"), (F.col("at") % 4).alias("col"), v.alias("v"))
+    return patches.valid_pixels(bands, ["vec_id"]).groupBy("vec_id").agg(F.count_if("valid").alias("n_valid"))
 
 
 @query(_PIXELS + """, o AS (SELECT *, CASE WHEN vec_id % 7 <> 0 THEN radians(dir - vec_id % 360 - 180) END AS off FROM px),

@@ -46,6 +46,18 @@ def epsilon_clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "n_members")
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT c_custkey AS id, c_nationkey AS scene, 30 + (c_custkey * 7919 % 1000) / 1e2 AS la, -120 + (c_custkey * 104729 % 1000) / 1e2 AS lo FROM customer),
+p AS (SELECT a.id AS x, b.id AS y FROM c a JOIN c b ON a.scene = b.scene AND a.id <> b.id WHERE 2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(b.la) - radians(a.la)) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) < 30),
+r AS (SELECT id AS x, id AS y FROM c UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT x AS id, min(y) AS cluster, count(*) AS n_members, count(*) = 1 AS alone FROM r GROUP BY x""")
+def scene_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as circles of 15 km: clusters of overlapping ones within a nation; those that
+    overlap none can be used alone."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("scene"), *[x.alias(n) for x, n in zip(place("c_custkey", "x"), ("lat", "lon"), strict=True)])
+    return joins.overlap_clusters(c, "scene", 15.0).select("id", "cluster", "n_members", "alone")
+
+
 @query(_POINTS + ", m AS (SELECT a, min(km) AS km FROM h WHERE b % 10 = 0 GROUP BY a) SELECT s.id, round(km, 6) AS nearest_km FROM s LEFT JOIN m ON s.id = m.a WHERE s.id % 10 <> 0 AND (km IS NULL OR km >= 200)")
 def far_from_positives(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers at least 200 km from every marked one (every tenth), with the distance of the

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,21 @@ def resolve(rows: DataFrame, files: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("__name", name(column)).join(known, "__name", "left").withColumn("found", F.col("found_path").isNotNull()).drop("__name")
 
 
+def score_filled(tables: dict[str, DataFrame], classes: dict[str, tuple[str, float]], least: float) -> DataFrame:
+    """table, n_rows, score: the weights of the field patterns times the share of rows in which a
+    column that fits holds a value, added up; best first, only tables that reach the least
+    score. Each table is read once, and only the columns that fit."""
+    found = []
+    for name, df in tables.items():
+        shares = []
+        for pattern, weight in classes.values():
+            fits = [c for c in df.columns if re.search(pattern, c, re.IGNORECASE)]
+            if fits:
+                shares.append(weight * F.coalesce(F.avg(F.coalesce(*[F.col(c).cast("string") for c in fits]).isNotNull().cast("double")), F.lit(0.0)))
+        found.append(df.agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"), sum(shares, F.lit(0.0)).alias("score")))
+    return reduce(DataFrame.union, found).where(F.col("score") >= least).orderBy(F.desc("score"), "table")
+
+
 def score_columns(spark: SparkSession, tables: dict[str, Sequence[str]], classes: dict[str, tuple[str, float]], least: float) -> DataFrame:
     """table, score, classes: how well column names fit weighted field patterns, best first,
     only tables that reach the least score. Schemas alone are looked at."""

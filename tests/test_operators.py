@@ -671,3 +671,70 @@ def test_sparse_assignment_costs_what_the_grid_does(spark, monkeypatch):
     want = assignment.optimal(few, "site").agg(F.sum("cost")).first()[0]
     monkeypatch.setattr(assignment, "MAX_BLOCK", 1)
     assert assignment.optimal(few, "site").agg(F.sum("cost")).first()[0] == want
+
+
+def test_links_by_tiers_and_by_either(spark):
+    lefts = [(1, 100, 0.0, 0.0, "e1", "s1"), (2, 100, 0.0, 0.0, None, "s1"), (3, 100, 0.0, 0.0, None, None), (4, 100, None, None, None, None), (5, 900, 0.0, 0.0, "e1", "s1")]
+    rights = [(11, 105, 80.0, 0.0, "e1", None), (12, 104, 80.0, 0.0, None, "s1"), (13, 101, 0.0, 0.3, None, None), (14, 100, 50.0, 50.0, None, None), (15, 100, 0.0, 0.3, None, None), (16, 103, 80.0, 0.0, None, "s1")]
+    left = spark.createDataFrame(lefts, "l_id int, l_t long, l_lat double, l_lon double, event string, site string")
+    right = spark.createDataFrame(rights, "r_id int, r_t long, r_lat double, r_lon double, event string, site string")
+    got = {r["l_id"]: (r["r_id"], r["method"]) for r in joins.linked_by_tiers(left, right, ["event", "site"], 10, 50.0).collect()}
+    assert got == {1: (11, "event"), 2: (16, "site"), 3: (15, "place"), 4: (None, None), 5: (None, None)}
+    either = {tuple(r) for r in joins.same_or_close(left.select("l_id", "l_t", "event"), right.select("r_id", "r_t", "event"), ["event"], 1).collect()}
+    close = {(a[0], b[0], "time") for a in lefts for b in rights if abs(a[1] - b[1]) <= 1}
+    assert either == close | {(1, 11, "key"), (5, 11, "key")}
+    assert joins.linked_by_tiers(left, right.limit(0), ["event"], 10, 50.0).where("r_id IS NULL").count() == 5
+
+
+def test_overlap_clusters_within_a_scene(spark):
+    data = [(1, "a", 0.0, 0.0), (2, "a", 0.0, 0.15), (3, "a", 0.0, 0.3), (4, "b", 0.0, 0.0), (5, None, 0.0, 0.0), (6, None, 0.0, 0.0), (7, "a", None, 0.0), (8, "a", 1.0, 1.0)]
+    got = joins.overlap_clusters(spark.createDataFrame(data, "id int, scene string, lat double, lon double"), "scene", 10.0)
+    assert rows(got.select("id", "cluster", "n_members", "alone")) == [(1, 1, 3, False), (2, 1, 3, False), (3, 1, 3, False), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True)]
+
+
+def test_valid_pixels_and_masks(spark):
+    from matchbook.functions import patches
+
+    bands = spark.createDataFrame([(1, 0, 0, 0.0), (1, 0, 0, 2.0), (1, 0, 1, 0.0), (1, 0, 1, 0.0), (1, 1, 0, None), (1, 1, 0, 3.0)], "id int, row int, col int, v double")
+    assert {tuple(r) for r in patches.valid_pixels(bands, ["id"]).collect()} == {(1, 0, 0, True), (1, 0, 1, False), (1, 1, 0, False)}
+    px = patches.pixels(spark.createDataFrame([(1, [float(i) for i in range(25)]), (2, [float("nan")] * 25)], "id int, a array<double>"), "id", "a", 5)
+    got = {r["id"]: r for r in patches.mask_means(px, ["id"], 5).collect()}
+    assert (got[1]["source"], got[1]["n_center"], got[1]["n_outer"]) == (12.0, 5, 20) and got[2]["source"] is None
+
+
+def test_times_with_offsets(spark):
+    cases = {"2024-03-01T10:00:00Z": "10:00:00", "2024-03-01 10:00:00+02:00": "08:00:00", "2024-03-01T10:00:00.250-0330": "13:30:00.25", "2024-03-01T10:00+09": "01:00:00", "2024-03-01T10:00:00": "09:00:00", "nan": None, "soon": None, "2024-03-01": "2024-02-29"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    for r in df.select("want", text.utc_moment(F.col("t"), "Europe/Berlin").cast("string").alias("got")).collect():
+        assert (r["got"] is None) == (r["want"] is None) and (r["want"] is None or r["want"] in r["got"])
+
+
+def test_routes_releases_and_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z"), (5, "a")], "id int, kind string").withColumn("reason", F.lit("old"))
+    sinks.write_routed(df, "kind", ["a", "b"], str(tmp_path / "r"), F.when(F.col("id") > 4, "late"))
+    assert rows(spark.read.parquet(str(tmp_path / "r")).select("id", "route", "reason")) == [(1, "a", None), (2, "b", None), (3, "unrouted", "no route"), (4, "unrouted", "unknown route z"), (5, "a", "late")]
+    for part, n in (("x", 3), ("y", 1)):
+        (tmp_path / "rel" / part).mkdir(parents=True)
+        (tmp_path / "rel" / part / "f.txt").write_text("line\n" * n)
+    m = sinks.counted_manifest(spark, str(tmp_path / "rel"), "*.txt")
+    assert rows(m.select("part", "n_rows", "length")) == [("x", 3, 15), ("y", 1, 5)]
+    wrong = sinks.wrong_file_counts(m, spark.createDataFrame([("x", 3), ("y", 2), ("w", 1)], "part string, n long"))
+    assert rows(wrong) == [("w", 1, None), ("y", 2, 1)]
+    half = spark.createDataFrame([(1, None), (2, 5.0)], "the_id int, value double")
+    got = readers.score_filled({"half": half, "none": half.select(F.lit(1).alias("x")), "empty": half.limit(0)}, {"key": ("_id$", 2), "value": ("^value$", 1)}, 0.0).collect()
+    assert {r["table"]: (r["n_rows"], r["score"]) for r in got} == {"half": (2, 2.5), "none": (2, 0.0), "empty": (0, 0.0)}
+
+
+def test_prior_scores_and_command_line(spark, capsys, tmp_path):
+    from matchbook.__main__ import main
+    from matchbook.operators.models import prior_scores
+
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 1), (4, None, None), (5, "b", 1)], "id int, g string, y int")
+    assert {r["id"]: r["score"] for r in prior_scores(df, "g", "id", "y").collect()} == {1: 1.0, 2: 1.0, 3: 0.5, 4: 0.75, 5: 0.5}
+    assert {r["score"] for r in prior_scores(df.where("g = 'a'"), "g", "id", "y").collect()} == {None}
+    assert main([]) == 0 and "nearest_place - " in capsys.readouterr().out
+    assert main(["value_counts", "--sql"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["value_counts", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--format", "json"]) == 0
+    assert spark.read.json(str(tmp_path / "o")).count() == 5
+    with pytest.raises(SystemExit):
+        main(["no_such_query", "/root"])
