@@ -67,8 +67,9 @@ def valid_pixels(bands: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def masked_stats(px: DataFrame, by: Sequence[str]) -> DataFrame:
     """n, mean, median, population sd, 10th and 90th percentile of the valid pixels."""
-    q = [F.expr(f"percentile(v, {p})").alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]
-    return px.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), *q)
+    # a patch's pixels are few; one array of its values for all three
+    out = px.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.expr("percentile(v, array(0.5, 0.1, 0.9))").alias("__q"))
+    return out.select(*by, "n", "mean", F.col("__q")[0].alias("median"), "sd", F.col("__q")[1].alias("p10"), F.col("__q")[2].alias("p90"))
 
 
 def contrast(px: DataFrame, by: Sequence[str], size: int) -> DataFrame:

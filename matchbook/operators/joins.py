@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchbook.functions.geo import EARTH_KM, haversine
+from matchbook.functions.geo import EARTH_KM, haversine, season_distance
 from matchbook.operators.graph import connected_components
 
 HOUR = 3_600_000_000
@@ -110,6 +110,32 @@ def _cells(lat: Column, lon: Column, step: float, spread: bool) -> Column:
     return F.flatten(F.transform(rows, of_row))
 
 
+def seasonal_reference(rows: DataFrame, key: str, time: str, rank: str, id_col: str) -> DataFrame:
+    """rows with ref and season: for each another row of the key, the least rank first, then the
+    nearest day of the year, then the nearest in time, then the smaller id. Rows alone in their
+    key drop out, and so do rows without a key or time.
+
+    Rows of one key, time and rank have the same choices but for themselves, so they meet as one
+    group with its two smallest ids. Where times are dates a key has as many groups as days,
+    however many rows it holds."""
+    groups = rows.groupBy(key, time, rank).agg(F.min(id_col).alias("__a"), F.count("*").alias("__n"))
+    second = rows.join(groups, [key, time, rank]).where(F.col(id_col) != F.col("__a")).groupBy(key, time, rank).agg(F.min(id_col).alias("__b"))
+    groups = groups.join(second, [key, time, rank], "left")
+    own = groups.select(key, F.col(time).alias("__time"), F.col(rank).alias("__rank"))
+    apart = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    same = (F.col(time) == F.col("__time")) & F.col(rank).eqNullSafe(F.col("__rank"))
+    # of its own group a row needs another id than its own: the first, or for that the second
+    order = [F.col(rank).alias("r"), season_distance(F.col("__time"), F.col(time)).alias("season"), F.abs(apart("__time") - apart(time)).alias("dt")]
+    met = own.join(groups, key).where(~same | F.col("__b").isNotNull())
+    usual = F.struct(*order, F.col("__a").alias("ref"))
+    instead = F.struct(*order, F.when(same, F.col("__b")).otherwise(F.col("__a")).alias("ref"))
+    best = met.groupBy(key, "__time", "__rank").agg(F.min(usual).alias("__usual"), F.min(instead).alias("__instead"))
+    # only the first of a group can meet itself
+    chosen = F.when(F.col("__usual.ref") == F.col(id_col), F.col("__instead")).otherwise(F.col("__usual"))
+    out = rows.join(best.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col(time) == F.col("__time")) & F.col(rank).eqNullSafe(F.col("__rank")))
+    return out.select(*rows.columns, chosen.getField("ref").alias("ref"), chosen.getField("season").alias("season"))
+
+
 def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str] = (), earth: float = EARTH_KM) -> DataFrame:
     """Pairs of left (l_id, l_lat, l_lon) and right (r_id, r_lat, r_lon) within the radius,
     with distance. Cells of a grid join; left rows are copied to the nine cells around."""

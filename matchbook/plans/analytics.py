@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchbook.functions.geo import season_distance
-from matchbook.operators import aggregates, assignment, gates, prefix, quantiles, statistics, windows
+from matchbook.operators import aggregates, assignment, gates, joins, prefix, quantiles, statistics, windows
 from matchbook.plans.registry import query, r6
 from matchbook.session import load
 
@@ -77,14 +76,9 @@ WITH p AS (SELECT a.o_orderkey, b.o_orderkey AS ref, abs(dayofyear(a.o_orderdate
 k AS (SELECT *, least(dd, 366 - dd) AS season, row_number() OVER (PARTITION BY o_orderkey ORDER BY other, least(dd, 366 - dd), dt, ref) AS n FROM p)
 SELECT o_orderkey, ref, season FROM k WHERE n = 1""")
 def seasonal_reference(spark: SparkSession, d: str) -> DataFrame:
-    """For each order another of the customer: finished first, nearest in season, then in time.
-    A customer's orders are few; the pairs stay within a customer."""
-    o = _orders(spark, d)
-    a, b = o.alias("a"), o.alias("b")
-    pairs = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") != F.col("b.o_orderkey")))
-    dt = F.abs(F.unix_micros(F.col("a.o_orderdate").cast("timestamp")) - F.unix_micros(F.col("b.o_orderdate").cast("timestamp")))
-    best = F.min(F.struct((F.col("b.o_orderstatus") != "F").alias("other"), season_distance(F.col("a.o_orderdate"), F.col("b.o_orderdate")).alias("season"), dt.alias("dt"), F.col("b.o_orderkey").alias("ref")))
-    return pairs.groupBy(F.col("a.o_orderkey").alias("o_orderkey")).agg(best.alias("m")).select("o_orderkey", "m.ref", "m.season")
+    """For each order another of the customer: finished first, nearest in season, then in time."""
+    o = _orders(spark, d).select("o_orderkey", "o_custkey", (F.col("o_orderstatus") != "F").alias("other"), F.col("o_orderdate").alias("day"))
+    return joins.seasonal_reference(o, "o_custkey", "day", "other", "o_orderkey").select("o_orderkey", "ref", "season")
 
 
 _SCORED = "WITH s AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"

@@ -83,8 +83,9 @@ def offset_asof_90_360(spark: SparkSession, d: str) -> DataFrame:
     left = o.select("c", F.col("r_id").alias("id"), "r_t", F.explode(frames).alias("f"))
     left = left.select("c", F.struct("id", "f.frame").alias("l_id"), (F.col("r_t") - F.col("f.days").cast("long") * (24 * HOUR)).alias("l_t"))
     pairs = joins.candidates_in_time(left, o, ["c"], 45 * 24 * HOUR)
-    best = joins.best_of(pairs, [F.abs(F.col("r_t") - F.col("l_t")), F.col("r_t"), F.col("r_id")], ["r_id"])
-    wide = best.groupBy(F.col("l_id.id").alias("o_orderkey")).pivot("l_id.frame", ["t90", "t360"]).agg(F.max("r_id"))
+    # both frames in one grouped minimum
+    near = F.struct(F.abs(F.col("r_t") - F.col("l_t")), "r_t", "r_id")
+    wide = pairs.groupBy(F.col("l_id.id").alias("o_orderkey")).agg(*[F.min(F.when(F.col("l_id.frame") == n, near)).getField("r_id").alias(n) for n in ("t90", "t360")])
     return o.select(F.col("r_id").alias("o_orderkey")).join(wide, "o_orderkey", "left")
 
 

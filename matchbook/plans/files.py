@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchbook.operators import gates
+from matchbook.functions import text
+from matchbook.operators import canonical, gates, incremental
 from matchbook.operators.joins import micros
 from matchbook.plans.registry import query, r6
 from matchbook.session import TABLES, load, shared_dir
@@ -95,3 +96,47 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Extension: first of repeated events within a watermark."""
     out = jobs.run_once(jobs.distinct_events(jobs.event_stream(spark, d, load(spark, d, "events").schema)), "append")
     return out.select("event_id", "user_id", F.unix_micros("ts").alias("t"))
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END, 6) AS longitude, round(CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END, 6) AS latitude FROM customer")
+def geojson_features(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as GeoJSON collections, read back a row a feature; every fourth is a line and has
+    no point."""
+    path = _folder(spark, "geojson")
+    c = load(spark, d, "customer")
+    kind = F.when(F.col("c_custkey") % 4 != 0, "Point").otherwise("LineString")
+    at = F.when(F.col("c_custkey") % 4 != 0, F.format_string("[%s, %s]", "c_acctbal", "c_nationkey")).otherwise("[[0, 0], [1, 1]]")
+    feature = F.format_string('{"type": "Feature", "properties": {"c_custkey": %s}, "geometry": {"type": "%s", "coordinates": %s}}', "c_custkey", kind, at)
+    # collections of some hundred features, a file each
+    held = c.groupBy((F.col("c_custkey") % F.lit(8)).alias("k")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("text"))
+    held.repartition("k").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    out = readers.read_geojson(spark, path, T.StructType().add("c_custkey", "long"))
+    return out.select("c_custkey", r6("longitude").alias("longitude"), r6("latitude").alias("latitude"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus AS order_status, epoch_us(o_orderdate) AS placed_us, round(o_totalprice, 6) AS price FROM orders")
+def nested_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as nested JSON, flattened, brought under tidy names, the time taken from the best of
+    the columns that might hold it, and its columns found by words."""
+    path = _folder(spark, "nested")
+    o = load(spark, d, "orders")
+    nested = o.select(F.struct(F.col("o_orderkey").alias("Order Key"), F.struct(F.col("o_custkey").alias("Cust-Key")).alias("who")).alias("ids"), F.struct(F.lit("n/a").alias("Date Note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("UTC date")).alias("at"), F.col("o_orderstatus").alias("Order  Status"), F.col("o_totalprice").cast("double").alias("Total (price)"))
+    sinks.write_json_lines(nested, path)
+    t = canonical.tidy(readers.read_nested(readers.read_json_any(spark, path, nested.schema)))
+    price, status = canonical.find_column(t.columns, ["price"]), canonical.first_column(t.columns, ["state", "order status"])
+    return t.select(F.col("ids_order_key").alias("o_orderkey"), F.col("ids_who_cust_key").alias("o_custkey"), F.col(status).alias("order_status"), F.unix_micros(canonical.best_time_column(t)).alias("placed_us"), r6(price).alias("price"))
+
+
+@query("""SELECT p_partkey, 'part_' || substr(sha1(p_name), 1, 16) AS content_id, CASE WHEN contains(lower(p_name), 'red') THEN 'warm' WHEN contains(lower(p_name), 'blue') THEN 'cold' ELSE p_name END AS tone,
+  CASE WHEN p_size > 25 THEN p_size END AS value, CASE WHEN p_size > 25 THEN NULL ELSE 'too small' END AS error, CASE WHEN p_partkey % 3 <> 0 THEN 'scan/' || p_partkey % 3 || '.txt' END AS named, p_partkey % 3 = 1 AS found FROM part""")
+def identified_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids from contents, synonyms, values kept with the reason why they are missing, and whether
+    the file that a row names is among those there are."""
+    path = _folder(spark, "scan")
+    # one file of the two that rows name
+    load(spark, d, "part").select(F.lit("x").alias("x")).limit(1).write.text(f"{path}/1.txt")
+    files = readers.inventory(spark, path).select(F.regexp_extract("path", "(.*/[0-9]+\\.txt)/", 1).alias("path")).distinct()
+    p = load(spark, d, "part").select("p_partkey", "p_name", "p_size", F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("scan/"), (F.col("p_partkey") % 3).cast("string"), F.lit(".txt"))).alias("named"))
+    got = incremental.with_error(F.when(F.col("p_size") > 25, F.col("p_size")), "value", "too small")
+    out = readers.resolve(p, files, "named")
+    return out.select("p_partkey", text.content_id("part_", F.col("p_name")).alias("content_id"), text.synonym(F.col("p_name"), [("red", "warm"), ("blue", "cold")]).alias("tone"), got.getField("value").alias("value"), got.getField("error").alias("error"), "named", "found")

@@ -13,16 +13,24 @@ from pyspark.sql import types as T
 from matchbook.operators.canonical import flatten_structs
 
 SEPARATORS, ENCODINGS = (",", ";", "\t", "|"), ("UTF-8", "ISO-8859-1")
+#: Lines that are looked at to find separator and encoding.
+SNIFFED = 50
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) of delimited text: the separator that the first line holds most
-    of, the first encoding that reads it without replacement signs."""
-    for encoding in ENCODINGS:
-        line = spark.read.option("encoding", encoding).option("sep", "\u0001").csv(path).limit(1).collect()
-        first = (line[0][0] or "") if line else ""
-        if "�" not in first:
-            return max(SEPARATORS, key=first.count), encoding
+    """(separator, encoding) of delimited text by its first SNIFFED lines: the separator that
+    parts most of them into as many fields as the header, of several fields, and among equals
+    the one that the header holds most of; UTF-16 where its mark leads, else the first encoding
+    that reads them without replacement signs."""
+    # read as UTF-8 the mark of UTF-16 is broken, and every other byte of plain letters is 0
+    mark = spark.read.text(path).limit(1).collect()
+    wide = bool(mark) and mark[0][0].startswith("��") and "\0" in mark[0][0]
+    for encoding in ("UTF-16", *ENCODINGS) if wide else ENCODINGS:
+        lines = [r[0] or "" for r in spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path).limit(SNIFFED).collect()]
+        if not any("�" in x for x in lines):
+            head = lines[0] if lines else ""
+            agree = lambda s: sum(x.count(s) == head.count(s) for x in lines) if s in head else -1
+            return max(SEPARATORS, key=lambda s: (agree(s), head.count(s))), encoding
     return ",", ENCODINGS[-1]
 
 
@@ -31,7 +39,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
     columns are text, for the tolerant casts of canonical(): nothing is inferred."""
     found = (sep, encoding) if sep and encoding else sniff(spark, path)
     r = spark.read.option("header", True).option("sep", sep or found[0]).option("encoding", encoding or found[1]).option("mode", "DROPMALFORMED")
-    return (r.schema(schema) if schema else r).csv(path)
+    df = (r.schema(schema) if schema else r).csv(path)
+    # a mark of the encoding is no part of the first name
+    return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff")) if df.columns else df
 
 
 def header(spark: SparkSession, path: str) -> list[str]:

@@ -738,3 +738,49 @@ def test_prior_scores_and_command_line(spark, capsys, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 5
     with pytest.raises(SystemExit):
         main(["no_such_query", "/root"])
+
+
+def test_seasonal_reference_of_a_hot_key(spark):
+    rng = np.random.default_rng(14)
+    import datetime as dt
+
+    data = [(i, "hot" if i % 3 else f"k{i % 5}", dt.date(2020, 1, 1) + dt.timedelta(days=int(rng.integers(0, 900) // 60 * 60)), bool(rng.integers(2))) for i in range(400)]
+    data += [(1000, "alone", dt.date(2020, 5, 5), True), (1001, None, dt.date(2020, 5, 5), True), (1002, "hot", None, True)]
+    got = {r["id"]: (r["ref"], r["season"]) for r in joins.seasonal_reference(spark.createDataFrame(data, "id int, k string, day date, other boolean"), "k", "day", "other", "id").collect()}
+    for i, k, day, _ in data:
+        ways = []
+        for j, key, at, other in data:
+            if key == k and k is not None and j != i and day and at:
+                apart = abs(day.timetuple().tm_yday - at.timetuple().tm_yday)
+                ways.append((other, min(apart, 366 - apart), abs((day - at).days), j))
+        assert got.get(i) == ((min(ways)[3], min(ways)[1]) if ways else None)
+
+
+def test_models_see_no_row_of_their_group(spark):
+    """In each group the feature says the opposite of what it says elsewhere."""
+    from matchbook.operators.models import leave_one_group_out
+
+    rng = np.random.default_rng(1)
+    data = [(i, f"g{i % 3}", float((1 if i % 2 else -1) * (-1 if i % 3 == 2 else 1) + rng.normal(0, 0.1)), i % 2) for i in range(90)] + [(200, None, 1.0, 1)]
+    df = spark.createDataFrame(data, "id int, g string, x double, y int")
+    scores = {r["id"]: r["score"] for r in leave_one_group_out(df, "g", "id", ["x"], "y").collect()}
+    assert set(scores) == set(range(90))
+    odd = [i for i in range(90) if i % 3 == 2]
+    assert np.mean([scores[i] > 0.5 for i in odd if i % 2]) < 0.1 and np.mean([scores[i] < 0.5 for i in odd if not i % 2]) < 0.1
+    with pytest.raises(ValueError, match="groups"):
+        leave_one_group_out(df, "g", "id", ["x"], "y", most=2)
+
+
+def test_sniffing_looks_at_more_than_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("name, first|x\nJosé, A|1\nB|2\nC|3\n".encode("latin-1"))
+    assert readers.sniff(spark, str(tmp_path / "a.csv"))[0] == "|"
+    (tmp_path / "b.csv").write_text("a;b\n1;é\n", encoding="utf-8")
+    assert readers.sniff(spark, str(tmp_path / "b.csv")) == (";", "UTF-8")
+    (tmp_path / "c.csv").write_bytes(b"a\tb\n1\t\xe9\n")
+    assert readers.sniff(spark, str(tmp_path / "c.csv")) == ("\t", "ISO-8859-1")
+    (tmp_path / "e.csv").write_text("k;v\nä;1\n", encoding="utf-16")
+    assert readers.sniff(spark, str(tmp_path / "e.csv")) == (";", "UTF-16")
+    (tmp_path / "f.csv").write_text("k;v\nä;1\n", encoding="utf-8-sig")
+    assert rows(readers.read_delimited(spark, str(tmp_path / "f.csv")).select("k", "v")) == [("ä", "1")]
+    (tmp_path / "d.csv").write_text("")
+    assert readers.sniff(spark, str(tmp_path / "d.csv"))[1] == "UTF-8"
