@@ -20,12 +20,9 @@ SNIFFED = 50
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
     """(separator, encoding) of delimited text by its first SNIFFED lines: the separator that
     parts most of them into as many fields as the header, of several fields, and among equals
-    the one that the header holds most of; UTF-16 where its mark leads, else the first encoding
-    that reads them without replacement signs."""
-    # read as UTF-8 the mark of UTF-16 is broken, and every other byte of plain letters is 0
-    mark = spark.read.text(path).limit(1).collect()
-    wide = bool(mark) and mark[0][0].startswith("��") and "\0" in mark[0][0]
-    for encoding in ("UTF-16", *ENCODINGS) if wide else ENCODINGS:
+    the one that the header holds most of; the first encoding that reads them without
+    replacement signs."""
+    for encoding in ENCODINGS:
         lines = [r[0] or "" for r in spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path).limit(SNIFFED).collect()]
         if not any("�" in x for x in lines):
             head = lines[0] if lines else ""
