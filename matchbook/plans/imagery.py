@@ -146,7 +146,7 @@ def pixel_content_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_PIXELS + """, m AS (SELECT vec_id, v, rad / 3.5e0 AS q FROM px)
-SELECT vec_id, round(avg(v) FILTER (WHERE q <= 0.15), 6) AS source, round(avg(v) FILTER (WHERE q <= 0.5), 6) AS center, round(avg(v) FILTER (WHERE q >= 0.65), 6) AS outer, count(v) FILTER (WHERE q <= 0.5) AS n_center FROM m GROUP BY 1""".replace(" AS outer", ' AS "outer"'))
+SELECT vec_id, round(avg(v) FILTER (WHERE q <= 0.15), 6) + 0 AS source, round(avg(v) FILTER (WHERE q <= 0.5), 6) + 0 AS center, round(avg(v) FILTER (WHERE q >= 0.65), 6) + 0 AS outer, count(v) FILTER (WHERE q <= 0.5) AS n_center FROM m GROUP BY 1""".replace(" AS outer", ' AS "outer"'))
 def mask_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of source, centre and surroundings by normalised radius."""
     out = patches.mask_means(_px(spark, d), ["vec_id"], SIZE)
@@ -189,7 +189,7 @@ WITH px AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE
 p AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, CASE WHEN v > 0.3 THEN NULL ELSE v END AS v FROM px),
 s AS (SELECT unnest([12, 5]) AS size),
 k AS (SELECT size, t, src, w FROM (SELECT size, t, unnest([lo, lo + 1]) AS src, unnest([1 - (x - lo), x - lo]) AS w FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo FROM (SELECT size, unnest(range(0, size)) AS t, unnest(range(0, size)) * 7e0 / (size - 1) AS x FROM s))) WHERE w > 0)
-SELECT vec_id, a.size::INTEGER AS size, a.t::INTEGER AS row, b.t::INTEGER AS col, round(sum(a.w * b.w * v) / sum(CASE WHEN v IS NOT NULL THEN a.w * b.w END), 6) AS v
+SELECT vec_id, a.size::INTEGER AS size, a.t::INTEGER AS row, b.t::INTEGER AS col, round(sum(a.w * b.w * v) / sum(CASE WHEN v IS NOT NULL THEN a.w * b.w END), 6) + 0 AS v
 FROM p JOIN k a ON a.src = r JOIN k b ON b.src = c AND b.size = a.size GROUP BY ALL""")
 def resized_patches(spark: SparkSession, d: str) -> DataFrame:
     """Patches brought to 12 and to 5 cells a side; values above 0.3 count as no data."""
@@ -202,7 +202,7 @@ def resized_patches(spark: SparkSession, d: str) -> DataFrame:
 WITH px AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 p AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v FROM px), w AS (SELECT *, greatest(0, least(3, vec_id % 8 - 2)) AS top, greatest(0, least(3, vec_id % 5 - 2)) AS lft FROM p),
 cut AS (SELECT vec_id, r - top + 1 AS row, c - lft + 1 AS col, v FROM w WHERE r BETWEEN top AND top + 4 AND c BETWEEN lft AND lft + 4)
-SELECT e.vec_id, g.row::INTEGER AS row, h.col::INTEGER AS col, round(coalesce(v, -1), 6) AS v FROM embeddings e, (SELECT unnest(range(0, 8)) AS row) g, (SELECT unnest(range(0, 8)) AS col) h LEFT JOIN cut ON cut.vec_id = e.vec_id AND cut.row = g.row AND cut.col = h.col""")
+SELECT e.vec_id, g.row::INTEGER AS row, h.col::INTEGER AS col, round(coalesce(v, -1), 6) + 0 AS v FROM embeddings e, (SELECT unnest(range(0, 8)) AS row) g, (SELECT unnest(range(0, 8)) AS col) h LEFT JOIN cut ON cut.vec_id = e.vec_id AND cut.row = g.row AND cut.col = h.col""")
 def cropped_and_padded(spark: SparkSession, d: str) -> DataFrame:
     """A window of five cells around a place that differs by patch, set into a grid of eight."""
     cut = patches.crop(_px(spark, d), SIZE, 5, F.col("vec_id") % 8, F.col("vec_id") % 5)
