@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that mean "no value".
+#: Texts that mean "no value", words for true and false, for positive and negative
+#: labels, and tokens that a key leaves out.
 NA_WORDS = ("", "nan", "none", "<na>", "null", "nat")
 TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "t", "pass", "passed", "usable")
 FALSE_WORDS = ("false", "0", "0.0", "no", "n", "f", "fail", "failed", "unusable")
