@@ -8,15 +8,14 @@ unit in windows that overlap by the longest piece; every piece is looked up by
 binary search, which gives all places where it occurs as one range. The occurrences
 are edges over the text, sorted by position. They are then relaxed in the model's own
 order: again and again the edge with the best score (leftmost on ties) that spans
-exactly two current symbols of its unit joins them: in many units side by side, in a
-unit of more than LONG_UNIT characters (texts without blanks) by a queue over the same
-edges, as there one unit has as many joins as all others together. A shortest path by
+exactly two current symbols of its unit joins them: in many units side by side. A unit of
+more than LONG_UNIT characters (texts without blanks) is cut where no edge crosses, and in
+each stretch all edges are joined at once that no other can forestall. A shortest path by
 score would differ from the model, so that order is kept; the ids equal the library's.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,8 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from matchbook.llm.common import UnitMemory, slices, whole_text
 
 BLANK = "▁"
-#: Characters indexed at once, and of units that are relaxed side by side.
-INDEX, LONG_UNIT = 1 << 17, 64
+#: Characters indexed at once, of units that are relaxed side by side, and of long units relaxed at once.
+INDEX, LONG_UNIT, STRETCH = 1 << 17, 64, 1 << 16
 
 
 @dataclass
@@ -159,7 +158,13 @@ def _merged(codes: np.ndarray, unit: np.ndarray, long: np.ndarray, v: Pieces) ->
         for a, b in long.tolist():
             i, j = np.searchsorted(start, [a, b])
             of_long[i:j] = True
-            _relaxed_alone(start[i:j] - a, end[i:j] - a, rank[i:j], v, nxt[a:b], alive[a:b], symbol[a:b], a)
+            cuts = _stretches(start[i:j] - a, end[i:j] - a, b - a)
+            for c, d in zip(cuts, cuts[1:]):
+                x, y = i + np.searchsorted(start[i:j], [a + c, a + d])
+                # boundaries are counted from the stretch, as are those that its edges name
+                after, there, ids = np.arange(1, d - c + 2), np.ones(d - c + 1, bool), symbol[a + c : a + d]
+                _relaxed_alone(start[x:y] - (a + c), end[x:y] - (a + c), rank[x:y], v, after, there, ids)
+                nxt[a + c : a + d], alive[a + c : a + d] = after[:-1] + (a + c), there[:-1]
         start, end, rank = start[~of_long], end[~of_long], rank[~of_long]
     while len(start):
         middle = nxt[start]
@@ -181,33 +186,92 @@ def _merged(codes: np.ndarray, unit: np.ndarray, long: np.ndarray, v: Pieces) ->
     return left, symbol[left]
 
 
-def _relaxed_alone(start: np.ndarray, end: np.ndarray, rank: np.ndarray, v: Pieces, nxt: np.ndarray, alive: np.ndarray, symbol: np.ndarray, base: int) -> None:
-    """The edges of one long unit, the best first by a queue. Sets its parts of nxt, alive and symbol."""
-    n = len(nxt)
-    edge = dict(zip(zip(start.tolist(), end.tolist(), strict=True), rank.tolist(), strict=True))
-    after, before, there = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    queue: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := edge.get((i, after[j]))) is not None:
-            heapq.heappush(queue, (r, i, j, after[j]))
-
-    for i in range(n):
-        offer(i)
-    while queue:
-        r, i, j, e = heapq.heappop(queue)
-        if there[i] and there[j] and after[i] == j and after[j] == e:
-            there[j] = False
-            after[i] = e
-            if e < n:
-                before[e] = i
-            symbol[i] = v.ids[r]
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-    nxt[:] = np.array(after) + base
-    alive[:] = there
+def _relaxed_alone(start: np.ndarray, end: np.ndarray, rank: np.ndarray, v: Pieces, nxt: np.ndarray, alive: np.ndarray, symbol: np.ndarray) -> None:
+    """Relaxes the edges (by start) of a stretch that no edge leaves, many joins a round. Sets
+    its parts of nxt, alive and symbol; nxt and alive have one entry more than the stretch.
+
+    An edge that spans two current symbols is ready; its key is (rank, start). The model
+    joins the ready edge of the least key. An edge of more symbols is joined no sooner than
+    the least ready edge inside it: its bound is the greater of that key and its own; one
+    without is over. So a ready edge can be joined at once if no edge over one of its ends
+    has a lower bound, and if the same holds for the ends of all larger edges of lower keys
+    around it, which its join may make ready. The least ready edge always can. Ready edges of
+    one piece that overlap in a chain (runs of a character) are joined alternately.
+    """
+    never = np.iinfo(np.int64).max
+    start, end = start.astype(np.int64), end.astype(np.int64)
+    key = rank.astype(np.int64) << 32 | start
+    while len(start):
+        middle = nxt[start]
+        useful = alive[start] & alive[end] & (middle < end)
+        start, end, key, middle = start[useful], end[useful], key[useful], middle[useful]
+        spans_two = nxt[middle] == end
+        ready, wide = np.flatnonzero(spans_two), np.flatnonzero(~spans_two)
+        if not len(ready):
+            break
+        s, m, e, k = start[ready], middle[ready], end[ready], key[ready]
+        ready_end, ready_key, over = (np.full(len(nxt), never) for _ in range(3))
+        ready_end[s], ready_key[s], over[m] = e, k, k
+        # the least and greatest ready edge inside each wider one
+        w_start, w_end, w_key = start[wide], end[wide], key[wide]
+        least, most = np.full(len(wide), never), np.full(len(wide), -1)
+        at, of = w_start, np.arange(len(wide))
+        while len(of):
+            inside = ready_end[at] <= w_end[of]
+            found, held = ready_key[at[inside]], of[inside]
+            least[held] = np.minimum(least[held], found)
+            most[held] = np.maximum(most[held], found)
+            at = nxt[at]
+            more = at < w_end[of]
+            at, of = at[more], of[more]
+        open_ = most >= 0
+        wide, w_start, w_end, w_key, least, most = wide[open_], w_start[open_], w_end[open_], w_key[open_], least[open_], most[open_]
+        bound = np.maximum(w_key, least)
+        wider_over = np.full(len(nxt), never)
+        at, of = nxt[w_start], np.arange(len(wide))
+        while len(of):
+            np.minimum.at(wider_over, at, bound[of])
+            at = nxt[at]
+            more = at < w_end[of]
+            at, of = at[more], of[more]
+        both = np.minimum(wider_over, over)
+        ends_bound = np.minimum(both[w_start], both[w_end])
+        waits = np.zeros(len(nxt), bool)
+        of = np.flatnonzero((w_key < most) & (ends_bound < most))
+        at = w_start[of]
+        while len(of):
+            hit = (ready_end[at] <= w_end[of]) & (ready_key[at] > w_key[of]) & (ready_key[at] > ends_bound[of])
+            waits[at[hit]] = True
+            at = nxt[at]
+            more = at < w_end[of]
+            at, of = at[more], of[more]
+        left, own = over[s] >> 32, k >> 32
+        sound = (k <= wider_over[s]) & (k <= wider_over[e]) & (k <= over[e]) & ~waits[s] & (own <= left)
+        place = np.arange(len(ready))
+        head = np.maximum.accumulate(np.where(left != own, place, 0))
+        even = (place - head) % 2 == 0
+        failed = np.cumsum(even & ~sound)
+        chosen = even & sound & (failed == failed[head])
+        # a chain whose head fails has failed[head] counted already
+        chosen &= sound[head]
+        alive[m[chosen]] = False
+        nxt[s[chosen]] = e[chosen]
+        symbol[s[chosen]] = v.ids[own[chosen]]
+        left_over = np.zeros(len(start), bool)
+        left_over[ready[~chosen]] = True
+        left_over[wide] = True
+        start, end, key = start[left_over], end[left_over], key[left_over]
+
+
+def _stretches(start: np.ndarray, end: np.ndarray, size: int) -> list[int]:
+    """Boundaries that no edge covers, about STRETCH characters apart where there are such."""
+    covered = np.zeros(size + 1, np.int32)
+    np.add.at(covered, start + 1, 1)
+    np.subtract.at(covered, end, 1)
+    free = np.flatnonzero(np.cumsum(covered) == 0)
+    free = free[(free > 0) & (free < size)]
+    picked = np.searchsorted(free, np.arange(STRETCH, size, STRETCH))
+    return [0, *sorted(set(free[picked[picked < len(free)]].tolist())), size]
 
 
 def _encode_units(units: list[str], v: Pieces) -> tuple[np.ndarray, np.ndarray]:

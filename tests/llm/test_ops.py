@@ -156,6 +156,38 @@ def test_pieces_equal_the_library(spark, small, monkeypatch):
     assert encode(df.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [40, 1 << 16])
+def test_long_units_equal_the_library(monkeypatch, stretch):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), Pieces.load(path)
+    monkeypatch.setattr(pieces, "LONG_UNIT", 8)
+    monkeypatch.setattr(pieces, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    letters = ["ab", "aeinst", "abcdefghijklmnopqrstuvwxyz", "aA1=-", "=", "10", " ab", " etaoin"]
+    texts = ["".join(rng.choice(list(letters[k % len(letters)]), rng.integers(1, 300))) for k in range(400)]
+    words = [v.text[i].replace("▁", "") for i in rng.choice(v.ids, 5000)]
+    texts += ["".join(rng.choice(words, 60)) for _ in range(300)] + ["=" * 5000, "ab" * 3000]
+    ids, counts = encode_texts(texts, v)
+    for t, n, e in zip(texts, counts, np.cumsum(counts), strict=True):
+        assert ids[e - n : e].tolist() == sp.encode(t)
+
+
+def test_a_unit_of_millions_takes_bounded_memory(small):
+    import tracemalloc
+
+    v = Pieces.load(tokenizer_file("piece_bpe_32k.model"))
+    prose = "".join("".join((r["text"] or "").split()) for r in small.collect())
+    unit = (prose * (5_000_000 // len(prose) + 1))[:5_000_000]
+    tracemalloc.start()
+    ids, _ = encode_texts([unit], v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    assert decode_ids(ids.tolist(), v) == unit
+
+
 # --- 4: chats
 
 
