@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import small_side, word_count
+from matchbook.operators.prefix import running_sums
 from matchbook.session import stage_table
 
 #: Words of a block (hash buckets, so about that many).
@@ -138,8 +139,11 @@ class Mixture:
         """Which blocks each shard takes in which pass, and the documents taken of a block
         that is taken in part."""
         blocks = self._narrow.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-        in_order = Window.partitionBy("rank").orderBy(draw(self.seed, "order", F.col("rank").cast("string"), F.col("block").cast("string")), "block")
-        blocks = blocks.select("*", (F.row_number().over(in_order) - 1).alias("at"), (F.sum("words").over(in_order) - F.col("words")).alias("before"))
+        drawn = draw(self.seed, "order", F.col("rank").cast("string"), F.col("block").cast("string"))
+        blocks = blocks.withColumns({"place": F.struct(drawn.alias("drawn"), "block"), "one": F.lit(1)})
+        # a large source has many blocks, so they are not numbered in one window
+        blocks = running_sums(blocks, ["rank"], "place", ["one", "words"])
+        blocks = blocks.select("rank", "block", "words", "passes", "rest", F.col("before_one").alias("at"), F.col("before_words").alias("before"))
         blocks = stage_table(blocks.withColumn("partial", F.expr("before < rest AND before + words > rest")), "mix-blocks")
         counts = {r["rank"]: r for r in blocks.groupBy("rank").agg(F.count("*").alias("n"), F.count_if(F.expr("before < rest")).alias("more")).collect()}
         n_blocks = np.array([counts[p.rank]["n"] for p in self.plans], np.int64)
