@@ -26,6 +26,9 @@ class Template:
 
 
 CHATML = Template()
+#: Turns of a conversation whose places are found together, and the first turn of each such group.
+GROUP = 128
+GROUPS = f"sequence(0, size(pieces) - 1, {GROUP})"
 
 
 def escaped(c: Column) -> Column:
@@ -62,11 +65,15 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     machine = f"""aggregate(turns, named_struct('state', 'start', 'n', 0, 'bad', cast(null AS int)),
       (s, x) -> named_struct('state', CASE {moves} ELSE 'refused' END, 'n', s.n + 1,
         'bad', coalesce(s.bad, CASE WHEN (CASE {moves} ELSE 'refused' END) = 'refused' THEN s.n END)))"""
-    segments = """aggregate(pieces, named_struct('p', 0, 'a', cast(array() AS array<struct<start: int, length: int, loss: boolean>>)),
+    # groups of GROUP turns: offsets of groups first, then places within them
+    group = f"slice(pieces, i + 1, {GROUP})"
+    starts = f"""aggregate(transform({GROUPS}, i -> aggregate({group}, 0, (n, x) -> n + length(x.b) + length(x.t) + length(x.a))), named_struct('p', 0, 'a', cast(array() AS array<int>)),
+      (s, n) -> named_struct('p', s.p + n, 'a', concat(s.a, array(s.p))), s -> s.a)"""
+    segments = f"""flatten(zip_with({GROUPS}, starts, (i, o) -> aggregate({group}, named_struct('p', o, 'a', cast(array() AS array<struct<start: int, length: int, loss: boolean>>)),
       (s, x) -> named_struct('p', s.p + length(x.b) + length(x.t) + length(x.a), 'a', concat(s.a, array(named_struct('start', s.p + length(x.b), 'length', length(x.t), 'loss', x.loss)))),
-      s -> s.a)"""
+      s -> s.a)))"""
     ends = ", ".join(map(_quoted, template.ends))
-    return pieces.withColumn("machine", F.expr(machine)).select(
+    return pieces.withColumns({"machine": F.expr(machine), "starts": F.expr(starts)}).select(
         "conv_id",
         F.expr("array_join(transform(pieces, x -> concat(x.b, x.t, x.a)), '')").alias("formatted"),
         F.expr(segments).alias("segments"),
