@@ -554,3 +554,31 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
     before, after = seen["SentencePiece"]
     assert before.count() == after.count()
+
+
+def test_pipeline_run_of_odd_tables(spark, tmp_path):
+    """run() whole: nulls in every column, repeated rows, empty and long texts; then no rows."""
+    import corpus_pipeline as p
+
+    prose = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(60)
+    long = prose.groupBy().agg(F.concat_ws(" ", F.sort_array(F.collect_list("text")))).first()[0]
+    odd = [(10_000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(20_000, long * 3, "en", None, 1)] * 2 + [(None, None, None, None, None)]
+    docs = prose.union(spark.createDataFrame(odd, COLUMNS))
+    for name, rows in (("odd", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = p.run(spark, str(tmp_path / name))
+        assert got.columns == ["doc_id", "lang", "source", "n_pieces", "piece_ids"]
+        found = {r["doc_id"] for r in got.collect()}
+        assert found <= {r["doc_id"] for r in rows.collect()}
+        if name == "none":
+            assert not found
+        else:
+            assert found and 10_000 not in found and 10_001 not in found and None not in found
+
+
+def test_chats_of_many_turns(spark):
+    n = 1000
+    df = spark.range(n).selectExpr("1L conv_id", "id turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END role", "concat('t', id) text", "'x' turns", "0 pieces")
+    r = chat.format_chats(df).first()
+    assert r["valid"] and [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["segments"]] == [f"t{i}" for i in range(n)]
+    assert [s["loss"] for s in r["segments"]] == [i % 2 == 1 for i in range(n)]
