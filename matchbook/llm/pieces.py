@@ -158,6 +158,10 @@ def _merged(codes: np.ndarray, unit: np.ndarray, long: np.ndarray, v: Pieces) ->
         for a, b in long.tolist():
             i, j = np.searchsorted(start, [a, b])
             of_long[i:j] = True
+        if len(codes) <= 4 * STRETCH:  # many units, which no edge leaves, at once
+            _relaxed_alone(start[of_long], end[of_long], rank[of_long], v, nxt, alive, symbol)
+        for a, b in long.tolist() if len(codes) > 4 * STRETCH else ():
+            i, j = np.searchsorted(start, [a, b])
             cuts = _stretches(start[i:j] - a, end[i:j] - a, b - a)
             for c, d in zip(cuts, cuts[1:]):
                 x, y = i + np.searchsorted(start[i:j], [a + c, a + d])
