@@ -1,12 +1,15 @@
-"""Approximate nearest neighbours by additive quantisation.
-
-A vector is coded as a sum of one entry from each of LEVELS codebooks, all of full
-dimension. Codebooks are learned on a bounded sample: k-means of residuals level by
-level, then sweeps that fit each book to what the others leave. Encoding is a beam search
-over the levels. Queries are scored against the codes by table lookup (a table of
-inner products a level), the best are scored again on the original vectors.
-
-All vectors are indexed. Codes are packed into blocks of at most BLOCK vectors, and
+"""Nearest neighbours by additive quantisation, with an exact check.
+
+A vector's direction is coded as a sum of one entry from each of LEVELS codebooks, all of
+full dimension; its length and the length of what the code leaves are kept. Codebooks are
+learned on a bounded sample: k-means of residuals level by level, then sweeps that fit
+each book to what the others leave. Encoding is a beam search over the levels. Queries are
+scored against the codes by table lookup (a table of inner products a level). The best are
+scored again on the original vectors, and so is every vector whose code leaves it room to be
+among the k best: a code is off by no more than the query's length times what it leaves. So
+near copies that no code tells apart, and directions the sample has not seen, lose nothing.
+
+All vectors are indexed. Codes and vectors are packed into blocks of at most BLOCK, and
 query blocks meet code blocks in an equi-join on the query block's number; each
 meeting gives one row a query. These are merged in steps of FAN, so no row or task
 gathers more than FAN lists.
@@ -28,7 +31,9 @@ LEVELS, WORDS, BEAM = 24, 256, 4
 #: Vectors the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 8192
 ROUNDS, SWEEPS = 4, 4
-BLOCK, QUERIES, FAN = 16384, 512, 64
+BLOCK, QUERIES, FAN = 8192, 2048, 64
+#: What single precision may add to the length that a code of a direction leaves.
+ROUNDING = 1e-4
 
 
 @dataclass
@@ -112,39 +117,83 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == n).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and the lengths; by way of the largest component, so that neither
+    very large nor very small ones leave the range of doubles."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / largest
+    length = np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    return unit / length, (largest * length)[:, 0]
+
+
 def _packed(batches: Iterator[pd.DataFrame], quantiser: Quantiser) -> Iterator[pd.DataFrame]:
     for b in batches:
         for a in range(0, len(b), BLOCK):
             part = b.iloc[a : a + BLOCK].sort_values("id")
-            x = np.stack(part["v"].to_numpy()).astype(np.float32)
-            codes = quantiser.encode(x)
-            norms = (quantiser.decode(codes) ** 2).sum(axis=1)
-            yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "norms": [norms.astype(np.float32).tobytes()]})
+            x = np.stack(part["v"].to_numpy()).astype(float)
+            unit, length = _directions(x)
+            codes = quantiser.encode(unit.astype(np.float32))
+            left = length * (np.sqrt(((unit - quantiser.decode(codes)) ** 2).sum(axis=1)) + ROUNDING)
+            packed = {"ids": part["id"].to_numpy(np.int64), "codes": np.ascontiguousarray(codes.T), "lengths": length, "rests": left, "vectors": x}
+            yield pd.DataFrame({name: [v.tobytes()] for name, v in packed.items()})
+
 
+def _exact(x: np.ndarray, q: np.ndarray, measure: str) -> np.ndarray:
+    """The measure of each row, added up in the order of the components."""
+    total = np.zeros(len(x))
+    for j in range(len(q)):
+        total += x[:, j] * q[j] if measure == "ip" else (x[:, j] - q[j]) ** 2
+    return total if measure == "ip" else -total
 
-def _meet(batches: Iterator[pd.DataFrame], quantiser: Quantiser, keep: int, measure: str) -> Iterator[pd.DataFrame]:
-    """For each query block and code block: the `keep` best codes of each query, ties to the smaller id."""
+
+def _meet(batches: Iterator[pd.DataFrame], quantiser: Quantiser, k: int, keep: int, measure: str) -> Iterator[pd.DataFrame]:
+    """For each query block and code block: each query's k best vectors, ties to the smaller id."""
     for b in batches:
         for row in b.itertuples():
-            ids, norms = np.frombuffer(row.ids, np.int64), np.frombuffer(row.norms, np.float32)
+            ids, lengths, rests = np.frombuffer(row.ids, np.int64), np.frombuffer(row.lengths), np.frombuffer(row.rests)
+            vectors = np.frombuffer(row.vectors).reshape(len(ids), -1)
             codes = np.frombuffer(row.codes, np.uint8).reshape(LEVELS, -1)
             asking = np.frombuffer(row.q_ids, np.int64)
-            queries = np.frombuffer(row.q_vectors, np.float32).reshape(len(asking), -1)
+            queries = np.frombuffer(row.q_vectors).reshape(len(asking), -1)
+            units, sizes = _directions(queries)
+
+            def about(some: np.ndarray, q: np.ndarray, size: float, vectors: np.ndarray = vectors, lengths: np.ndarray = lengths) -> tuple[np.ndarray, np.ndarray]:
+                if measure == "ip":
+                    return vectors[some] @ q, 1e-12 * size * lengths[some]
+                found = -((vectors[some] - q) ** 2).sum(axis=1)
+                return found, 1e-12 * np.abs(found)
+
+            def kth(found: np.ndarray, off: np.ndarray) -> float:
+                return np.partition(found - off, -k)[-k] if len(found) > k else -np.inf
+
             near, far = [], []
             for a in range(0, len(asking), 128):
-                tables = quantiser.tables(queries[a : a + 128])
+                tables = quantiser.tables(units[a : a + 128].astype(np.float32))
                 score = np.zeros((tables.shape[1], len(ids)), np.float32)
                 for level in range(LEVELS):
                     score += np.take(tables[level], codes[level], axis=1)
-                if measure == "l2":
-                    score = 2 * score - norms
-                for q, s in zip(asking[a : a + 128], score, strict=True):
-                    s[ids == q] = -np.inf
-                    least = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else -np.inf
-                    some = np.flatnonzero(s >= least) if least > -np.inf else np.flatnonzero(s > -np.inf)
-                    some = some[np.argsort(-s[some], kind="stable")[:keep]]
-                    near.append(ids[some])
-                    far.append(-s[some])
+                for i, coded in enumerate(score, a):
+                    q, size = queries[i], sizes[i]
+                    guess, room = size * lengths * coded, size * rests
+                    if measure == "l2":
+                        guess, room = 2 * guess - lengths**2 - size**2, 2 * room + 1e-12 * (lengths**2 + size**2)
+                    others = ids != asking[i]
+                    guess[~others] = -np.inf
+                    first = np.argpartition(guess, -keep)[-keep:] if len(ids) > keep else np.arange(len(ids))
+                    first = first[others[first]]
+                    if not len(first):
+                        near.append(ids[:0])
+                        far.append(np.zeros(0))
+                        continue
+                    # the k-th best of these must be reached, but for what rounding may take
+                    least = kth(*about(first, q, size))
+                    some = np.flatnonzero(others & ~(guess + room < least)) if least > -np.inf else np.flatnonzero(others)
+                    found, off = about(some, q, size)
+                    some = some[~(found + off < kth(found, off))]
+                    found = -_exact(vectors[some], q, measure)
+                    best = np.lexsort((ids[some], found))[:k]
+                    near.append(ids[some[best]])
+                    far.append(found[best])
             yield pd.DataFrame({"query_id": asking, "part": row.part, "ids": near, "far": far})
 
 
@@ -153,7 +202,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = 500,
     vectors with another id, by inner product ("ip") or negative squared distance ("l2"),
     in double precision on the original vectors, ties to the smaller id.
 
-    `keep` candidates a query are scored exactly. Rows that `usable` refuses take no part.
+    Of each block the `keep` best codes of a query are scored exactly, k at least, then whatever
+    their k-th best doesn't rule out. Rows that `usable` refuses take no part.
     With fewer than k candidates all are returned; no vectors or queries give no rows.
     """
     spark = vectors.sparkSession
@@ -165,31 +215,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, keep: int = 500,
     rate = min(1.0, 1.5 * SAMPLE / n)
     drawn = base.where(F.pmod(F.xxhash64("id", F.lit("ann sample")), F.lit(1 << 30)) <= int(rate * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     drawn = drawn or base.orderBy("id").limit(SAMPLE).collect()
-    quantiser = Quantiser.fit(np.array([r["v"] for r in drawn], np.float32))
+    quantiser = Quantiser.fit(_directions(np.array([r["v"] for r in drawn], float))[0].astype(np.float32))
     parts = -(-n // BLOCK)
-    codes = stage_table(base.repartition(parts, "id").mapInPandas(lambda it: _packed(it, quantiser), "ids binary, codes binary, norms binary").withColumn("part", F.spark_partition_id()), "ann-codes")
+    codes = stage_table(base.repartition(parts, "id").mapInPandas(lambda it: _packed(it, quantiser), "ids binary, codes binary, lengths binary, rests binary, vectors binary").withColumn("part", F.spark_partition_id()), "ann-codes")
 
-    n_blocks = -(-asked.count() // QUERIES)
-    if not n_blocks:
+    n_asked = asked.count()
+    if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+    # blocks of queries for all cores where there are few blocks of codes
+    n_blocks = max(-(-n_asked // QUERIES), min(-(-n_asked // 64), -(-spark.sparkContext.defaultParallelism // parts)))
+
     def pack(block: pd.DataFrame) -> pd.DataFrame:
         part = block.sort_values("id")
-        return pd.DataFrame({"q_block": block["q_block"].iloc[:1].to_numpy(), "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vectors": [np.stack(part["v"].to_numpy()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"q_block": block["q_block"].iloc[:1].to_numpy(), "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vectors": [np.stack(part["v"].to_numpy()).astype(float).tobytes()]})
 
-    # about QUERIES queries a block, by a hash
+    # about QUERIES queries a block at most, by a hash
     numbered = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     blocks = stage_table(numbered.groupBy("q_block").applyInPandas(pack, "q_block long, q_ids binary, q_vectors binary"), "ann-queries")
     meetings = codes.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition("q_block", "part").join(blocks, "q_block")
-    found = meetings.mapInPandas(lambda it: _meet(it, quantiser, keep, measure), "query_id long, part int, ids array<long>, far array<float>")
+    found = meetings.mapInPandas(lambda it: _meet(it, quantiser, k, max(k, keep), measure), "query_id long, part int, ids array<long>, far array<double>")
     lists = found.select("query_id", "part", F.arrays_zip("far", "ids").alias("near"))
-    while True:  # merge FAN lists at a time, the best `keep` of them stay
-        lists = lists.groupBy("query_id", F.floor(F.col("part") / FAN).cast("int").alias("part")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
+    while True:  # merge FAN lists at a time, the best k of them stay
+        lists = lists.groupBy("query_id", F.floor(F.col("part") / FAN).cast("int").alias("part")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
         parts = -(-parts // FAN)
         if parts <= 1:
             break
-    candidates = stage_table(lists.select("query_id", F.explode("near.ids").alias("vec_id")), "ann-candidates")
-    product = "aggregate(zip_with(q, v, (x, y) -> x * y), 0D, (s, x) -> s + x)" if measure == "ip" else "-aggregate(zip_with(q, v, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"
-    scored = candidates.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", F.struct((-F.expr(product)).alias("far"), "vec_id").alias("c"))
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("c")), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "c")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.far")).alias("score"))
+    return lists.select("query_id", F.posexplode("near").alias("at", "c")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.ids").alias("vec_id"), (-F.col("c.far")).alias("score"))

@@ -320,6 +320,20 @@ def test_merging_many_blocks(spark, monkeypatch):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
 
 
+def test_search_among_near_copies(spark):
+    """Groups of more near copies than `keep`, of very different lengths, that no code tells apart."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((4, 16)) * np.array([1e-30, 1.0, 3.0, 1e25])[:, None]
+    x = np.repeat(centres, 300, axis=0) * (1 + 1e-4 * rng.standard_normal((1200, 16)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for measure in ("ip", "l2"):
+        got = {r[0]: r[1] for r in ann.search(df, df.where("vec_id % 100 = 0"), k=20, keep=40, measure=measure).groupBy("query_id").agg(F.collect_set("vec_id")).collect()}
+        for q in range(0, 1200, 100):
+            s = x @ x[q] if measure == "ip" else -((x - x[q]) ** 2).sum(axis=1)
+            s[q] = -np.inf
+            assert set(np.lexsort((np.arange(1200), -s))[:20].tolist()) == set(got[q])
+
+
 # --- 7: language
 
 
