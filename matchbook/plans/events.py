@@ -99,10 +99,9 @@ SELECT l.l_id, r_id, CASE method WHEN 1 THEN 'exact' WHEN 2 THEN 'user' ELSE 'no
 def tiered_link_match(spark: SparkSession, d: str) -> DataFrame:
     """Purchases linked to clicks in time, by equal properties first, then by user."""
     left, right = _side(spark, d, "purchase", "l", "props"), _side(spark, d, "click", "r", "props")
-    exact = joins.candidates_in_time(left.drop("user_id"), right.drop("user_id"), ["props"], 24 * HOUR).select("l_id", "l_t", "r_id", "r_t", F.lit(1).alias("rank"), F.lit("exact").alias("method"))
-    user = joins.candidates_in_time(left.drop("props"), right.drop("props"), ["user_id"], 24 * HOUR).select("l_id", "l_t", "r_id", "r_t", F.lit(2).alias("rank"), F.lit("user").alias("method"))
-    gap = F.abs(F.col("r_t") - F.col("l_t"))
-    best = joins.best_of(exact.union(user).withColumn("gap", gap), [F.col("rank"), F.col("gap"), F.col("r_id")], ["r_id", "method", "gap"])
+    exact = joins.closest_in_time(left, right, ["props"], 24 * HOUR).select("l_id", "r_id", "gap", F.lit(1).alias("rank"), F.lit("exact").alias("method"))
+    user = joins.closest_in_time(left, right, ["user_id"], 24 * HOUR).select("l_id", "r_id", "gap", F.lit(2).alias("rank"), F.lit("user").alias("method"))
+    best = joins.best_of(exact.union(user), [F.col("rank"), F.col("gap"), F.col("r_id")], ["r_id", "method", "gap"])
     return left.join(best, "l_id", "left").select("l_id", "r_id", F.coalesce("method", F.lit("none")).alias("method"), r6(F.col("gap") / 3.6e9).alias("hours"))
 
 
