@@ -166,10 +166,17 @@ def fallback_match(spark: SparkSession, d: str) -> DataFrame:
     from matchbook.functions.geo import haversine
 
     km = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    primary = s.join(c, "nation").select("l_id", "r_id", km.alias("distance"))
-    near = joins.within_radius(s.drop("nation"), c.drop("nation"), 100.0).select("l_id", "r_id", "distance")
-    best = joins.best_of(joins.with_fallback(s, primary, near), [F.round("distance", 6), F.col("r_id")], ["r_id", "method", "distance"])
-    return s.select("l_id").join(best, "l_id", "left").select("l_id", "r_id", "method", r6("distance").alias("km"))
+    # places meet: of a nation's suppliers at one place and customers at one the first ones
+    at = ["nation", "l_lat", "l_lon"]
+    sites = s.groupBy(*at).agg(F.min("l_id").alias("l_id"))
+    spots = c.groupBy("nation", "r_lat", "r_lon").agg(F.min("r_id").alias("r_id"))
+    primary = sites.join(spots, "nation").select("l_id", "r_id", km.alias("distance"))
+    without = sites.join(spots.select("nation").distinct(), "nation", "left_anti")
+    near = joins.within_radius(without.drop("nation"), spots.groupBy("r_lat", "r_lon").agg(F.min("r_id").alias("r_id")), 100.0).select("l_id", "r_id", "distance")
+    best = joins.best_of(joins.with_fallback(sites, primary, near), [F.round("distance", 6), F.col("r_id")], ["r_id", "method", "distance"])
+    found = sites.join(best, "l_id").select(*[F.col(x).alias(f"__{x}") for x in at], "r_id", "method", "distance")
+    same = F.col("nation").eqNullSafe(F.col("__nation")) & (F.col("l_lat") == F.col("__l_lat")) & (F.col("l_lon") == F.col("__l_lon"))
+    return s.join(found, same, "left").select("l_id", "r_id", "method", r6("distance").alias("km"))
 
 
 _SESSION = """
