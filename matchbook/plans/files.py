@@ -107,8 +107,9 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("c_custkey") % 4 != 0, "Point").otherwise("LineString")
     at = F.when(F.col("c_custkey") % 4 != 0, F.format_string("[%s, %s]", "c_acctbal", "c_nationkey")).otherwise("[[0, 0], [1, 1]]")
     feature = F.format_string('{"type": "Feature", "properties": {"c_custkey": %s}, "geometry": {"type": "%s", "coordinates": %s}}', "c_custkey", kind, at)
-    # collections of some hundred features, a file each
-    held = c.groupBy((F.col("c_custkey") % F.lit(8)).alias("k")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("text"))
+    # collections of some two thousand features however many there are, a file each
+    n = max(8, -(-c.count() // 2000))
+    held = c.groupBy(F.pmod(F.xxhash64("c_custkey"), F.lit(n)).alias("k")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("text"))
     held.repartition("k").select("text").write.option("maxRecordsPerFile", 1).text(path)
     out = readers.read_geojson(spark, path, T.StructType().add("c_custkey", "long"))
     return out.select("c_custkey", r6("longitude").alias("longitude"), r6("latitude").alias("latitude"))
