@@ -8,6 +8,7 @@ solves one. A component's pairs are held by one task, whatever its number of slo
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -229,16 +230,41 @@ def _placed_by_spread(counts: np.ndarray, folds: int) -> np.ndarray:
     """A fold for each group (a row of class counts): groups of the most uneven counts first,
     each to the fold that keeps the classes' shares over the folds most even, then to the
     fold of the fewest rows, then to the first."""
-    total = np.maximum(counts.sum(0), 1)
-    held, fold = np.zeros((folds, counts.shape[1])), np.zeros(len(counts), int)
-    for g in np.argsort(-counts.std(1), kind="stable"):
-        ways = []
+    total = np.maximum(counts.sum(0), 1).tolist()
+    held = [[0.0] * folds for _ in total]
+    shares = [[0.0] * folds for _ in total]
+    rows, fold = [0.0] * folds, np.zeros(len(counts), int)
+
+    def spread(share: list[float]) -> float:
+        mean = 0.0
+        for x in share:
+            mean += x
+        mean /= folds
+        off = 0.0
+        for x in share:
+            off += (x - mean) * (x - mean)
+        return math.sqrt(off / folds)
+
+    # plain numbers: a call of numpy costs more than a group's few sums
+    for g in np.argsort(-counts.std(1), kind="stable").tolist():
+        own = counts[g].tolist()
+        n = math.fsum(own)
+        best = None
         for f in range(folds):
-            held[f] += counts[g]
-            ways.append((round(float((held / total).std(0).mean()), 12), held[f].sum(), f))
-            held[f] -= counts[g]
-        fold[g] = min(ways)[2]
-        held[fold[g]] += counts[g]
+            uneven = 0.0
+            for c, x in enumerate(own):
+                share = shares[c]
+                kept, share[f] = share[f], (held[c][f] + x) / total[c]
+                uneven += spread(share)
+                share[f] = kept
+            way = (round(uneven / len(own), 12), rows[f] + n, f)
+            if best is None or way < best:
+                best = way
+        f = fold[g] = best[2]
+        rows[f] += n
+        for c, x in enumerate(own):
+            held[c][f] += x
+            shares[c][f] = held[c][f] / total[c]
     return fold
 
 
