@@ -24,6 +24,8 @@ from matchbook.session import stage_table
 
 #: Slots and candidates up to which a component is solved on a grid.
 MAX_BLOCK = 2048
+#: Pairs up to which a block's components are found in the task that solves them.
+SMALL_BLOCK = 1 << 16
 
 
 def _assign(cost: np.ndarray) -> np.ndarray:
@@ -115,28 +117,92 @@ def _assign_sparse(slots: np.ndarray, candidates: np.ndarray, cost: np.ndarray,
     return np.array([place[e] if e >= 0 else -1 for e in pair_of])
 
 
+def _components(slots: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The component of each pair of slot and candidate numbers, by the first slot's number."""
+    above = list(range(int(slots.max()) + 1))
+    slot_of: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for s, c in zip(slots.tolist(), candidates.tolist(), strict=True):
+        u, v = root(s), root(slot_of.setdefault(c, s))
+        if u != v:
+            above[max(u, v)] = min(u, v)
+    return np.array([root(s) for s in slots.tolist()])
+
+
+def _cheapest(slots: np.ndarray, candidates: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, candidates and costs of the cheapest choice among one component's pairs."""
+    (s, of_s), (c, of_c) = np.unique(slots, return_inverse=True), np.unique(candidates, return_inverse=True)
+    high = (float(np.abs(costs).max()) + 1) * (len(s) + 1) * 4
+    if max(len(s), len(c)) > MAX_BLOCK:
+        # of repeated pairs the cheapest
+        best = pd.DataFrame({"s": of_s, "c": of_c, "cost": costs}).sort_values("cost", kind="stable").drop_duplicates(["s", "c"])
+        got = _assign_sparse(best["s"].to_numpy(), best["c"].to_numpy(), best["cost"].to_numpy(), high)
+        best = best.iloc[got[got >= 0]]
+        return s[best["s"]], c[best["c"]], best["cost"].to_numpy()
+    grid = np.full((len(s), len(c) + len(s)), high)  # a spare column a slot
+    np.minimum.at(grid, (of_s, of_c), costs)
+    got = _assign(grid)
+    taken = np.flatnonzero((got < len(c)) & (grid[np.arange(len(s)), got] < high))
+    return s[taken], c[got[taken]], grid[taken, got[taken]]
+
+
+def _chosen(batches: Iterator[pd.DataFrame], block: str) -> Iterator[pd.DataFrame]:
+    """The cheapest choices of blocks; rows are sorted by block. Holds a batch and a block."""
+    names = [block, "slot", "candidate", "cost"]
+
+    def of_rows(rows: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+        slots, candidates, costs = (rows[n].to_numpy() for n in names[1:])
+        picked, of = [], []
+        for i, j in zip([0, *ends], ends, strict=False):
+            where = slice(i, j)
+            part = _components(np.unique(slots[where], return_inverse=True)[1], np.unique(candidates[where], return_inverse=True)[1])
+            for x in sorted(set(part.tolist())):
+                one = part == x
+                picked.append(_cheapest(slots[where][one], candidates[where][one], costs[where][one]))
+                of.append(np.full(len(picked[-1][0]), i))
+        columns = [np.concatenate(x) for x in zip(*picked, strict=True)]
+        return pd.DataFrame({block: rows[block].iloc[np.concatenate(of)].reset_index(drop=True), **dict(zip(names[1:], columns, strict=True))})
+
+    held = None
+    for b in batches:
+        rows = b if held is None else pd.concat([held, b], ignore_index=True)
+        if not len(rows):
+            continue
+        name, before = rows[block], rows[block].shift()
+        starts = np.flatnonzero((name.ne(before) & ~(name.isna() & before.isna())).to_numpy()[1:]) + 1
+        if len(starts):
+            yield of_rows(rows, starts.tolist())
+        held = rows.iloc[starts[-1] :] if len(starts) else rows
+    if held is not None and len(held):
+        yield of_rows(held, [len(held)])
+
+
 def optimal(costs: DataFrame, block: str) -> DataFrame:
     """block, slot, candidate, cost: of (block, slot, candidate, cost) pairs the cheapest
     choice of distinct candidates for as many slots as can have one. A pair that is absent
-    is not allowed. Ties go to whichever the ordered ids give. Components of more
+    is not allowed. Ties go to whichever the ordered ids give. Blocks of at most SMALL_BLOCK pairs
+    are split into components in the task that solves them, larger ones in Spark. Components of more
     than MAX_BLOCK slots or candidates are solved on the list of their pairs, not on a grid."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, c = np.unique(pdf["slot"], return_inverse=True), np.unique(pdf["candidate"], return_inverse=True)
-        high = (float(pdf["cost"].abs().max()) + 1) * (len(s[0]) + 1) * 4
-        if max(len(s[0]), len(c[0])) > MAX_BLOCK:
-            # of repeated pairs the cheapest
-            best = pdf.assign(__s=s[1], __c=c[1]).sort_values("cost", kind="stable").drop_duplicates(["__s", "__c"])
-            got = _assign_sparse(best["__s"].to_numpy(), best["__c"].to_numpy(), best["cost"].to_numpy(float), high)
-            return best.iloc[got[got >= 0]][[block, "slot", "candidate", "cost"]]
-        grid = np.full((len(s[0]), len(c[0]) + len(s[0])), high)  # a spare column a slot
-        grid[s[1], c[1]] = pdf["cost"]
-        got = _assign(grid)
-        rows = [(pdf[block].iloc[0], s[0][i], c[0][j], grid[i, j]) for i, j in enumerate(got) if j < len(c[0]) and grid[i, j] < high]
-        return pd.DataFrame(rows, columns=[block, "slot", "candidate", "cost"])
+        got = dict(zip(("slot", "candidate", "cost"), _cheapest(*(pdf[n].to_numpy() for n in ("slot", "candidate", "cost"))), strict=True))
+        return pd.DataFrame({block: pdf[block].iloc[np.zeros(len(got["slot"]), int)].reset_index(drop=True), **got})
 
     kinds = dict(costs.dtypes)
+    schema = f"{block} {kinds[block]}, slot {kinds['slot']}, candidate {kinds['candidate']}, cost double"
     pairs = stage_table(costs.select(block, "slot", "candidate", F.col("cost").cast("double").alias("cost")), "optimal-pairs")
+    large = stage_table(pairs.groupBy(F.col(block).alias("__large")).count().where(F.col("count") > SMALL_BLOCK).select("__large"), "optimal-large")
+    same = F.col(block).eqNullSafe(F.col("__large"))
+    small = pairs.join(large, same, "left_anti").repartition(block).sortWithinPartitions(block, "slot", "candidate", "cost").mapInPandas(lambda batches: _chosen(batches, block), schema)
+    if large.isEmpty():
+        return small
+    pairs = stage_table(pairs.join(large, same, "left_semi"), "optimal-pairs")
     # structs with null fields are equal, so null blocks are a block
     sides = {side: F.struct(block, side) for side in ("slot", "candidate")}
     for side, key in sides.items():
@@ -144,7 +210,7 @@ def optimal(costs: DataFrame, block: str) -> DataFrame:
         pairs = pairs.withColumn(f"{side}_key", key).join(nodes, f"{side}_key").drop(f"{side}_key")
     pairs = stage_table(pairs, "optimal-pairs")
     found = connected_components(pairs, "slot_node", "candidate_node").withColumnRenamed("node", "slot_node")
-    return pairs.join(found, "slot_node").select(block, "slot", "candidate", "cost", "component").groupBy("component").applyInPandas(solve, f"{block} {kinds[block]}, slot {kinds['slot']}, candidate {kinds['candidate']}, cost double")
+    return pairs.join(found, "slot_node").select(block, "slot", "candidate", "cost", "component").groupBy("component").applyInPandas(solve, schema).union(small)
 
 
 def _one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
