@@ -44,10 +44,20 @@ def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1,
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def average_rank(by: Sequence[str], value: str) -> Column:
-    """Rank with ties sharing their mean, nulls left out by the caller."""
-    ranked = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(ranked) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def average_rank(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """rows with average_rank of the value in its group, ties sharing their mean, and min_rank
+    from the top, ties sharing the best; nulls are left out by the caller. Rows are not sorted: distinct values are counted, their ranks are running
+    counts over range partitions, and rows look theirs up."""
+    keys = [*by, value]
+    own = [f"__r{i}" for i in range(len(keys))]
+    counts = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(keys, own, strict=True)]).agg(F.count("*").alias("__c"))
+    sizes = counts.groupBy(*[F.col(o).alias(f"_{o}") for o in own[:-1]]).agg(F.sum("__c").alias("__n"))
+    of = reduce(Column.__and__, (F.col(o).eqNullSafe(F.col(f"_{o}")) for o in own[:-1]), F.lit(True))
+    ranks = running_sums(counts, own[:-1], own[-1], ["__c"]).join(sizes, of)
+    above = F.col("__n") - F.col("before___c") - F.col("__c")
+    ranks = ranks.select(*own, (F.col("before___c") + 1 + (F.col("__c") - 1) / 2).alias("average_rank"), (above + 1).alias("min_rank"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(o)) for c, o in zip(keys, own, strict=True)))
+    return rows.join(stage_table(ranks, "ranks").hint("shuffle_hash"), same).drop(*own)
 
 
 def spread_picks(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

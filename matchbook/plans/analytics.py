@@ -44,8 +44,8 @@ def midrank_percentile(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2e0 AS average_rank, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS min_rank FROM lineitem")
 def average_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks whose ties share their mean, and competition ranks from the top."""
-    down = Window.partitionBy("l_suppkey").orderBy(F.desc("l_quantity"))
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", windows.average_rank(["l_suppkey"], "l_quantity").alias("average_rank"), F.rank().over(down).alias("min_rank"))
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return windows.average_rank(lines, ["l_suppkey"], "l_quantity").select("l_orderkey", "l_linenumber", "average_rank", "min_rank")
 
 
 @query("SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) % 2 = 1 THEN 'calibration' ELSE 'model' END AS role, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS demeaned, count(*) OVER (PARTITION BY o_custkey) AS n_group FROM orders")
