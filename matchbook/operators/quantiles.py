@@ -25,11 +25,13 @@ def at_ranks(rows: DataFrame, by: Sequence[str], value: str | Column, wanted: Ca
     wanted ranks (from 0, ascending), null where there is no such rank. wanted gives a few
     ranks from n. Null values and NaN are no values, groups without others have no row; a null
     key is a group, and without `by` all rows are one. weight: how often a row counts, if not
-    once."""
+    once; rows with weights are taken to be counted already and are not counted again."""
     keys = [f"__k{i}" for i in range(len(by))]
     v = F.col(value) if isinstance(value, str) else value
     given = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.nanvl(v.cast("double"), F.lit(None)).alias("__v"), (F.lit(1) if weight is None else weight).cast("long").alias("__w"))
-    counts = given.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.sum("__w").alias("__c"))
+    counts = given.where("__v IS NOT NULL")
+    # equal values lie in one partition either way, so weighted ones may repeat
+    counts = counts.withColumnRenamed("__w", "__c") if weight is not None else counts.groupBy(*keys, "__v").agg(F.sum("__w").alias("__c"))
     placed = ranged(counts, [*keys, "__v"], "ranks")
 
     # a row a group and partition
