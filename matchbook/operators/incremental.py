@@ -21,10 +21,12 @@ def pending(work: DataFrame, log: DataFrame, key: str, done: Column, version: st
 
 def complete_groups(expected: DataFrame, log: DataFrame, group: str, key: str, done: Column) -> DataFrame:
     """group, n, complete: whether exactly the expected keys are present and all are done."""
-    want = expected.select(group, key).distinct().withColumn("wanted", F.lit(1))
-    have = log.groupBy(group, key).agg(F.bool_or(done).alias("ok"))
-    both = want.join(have, [group, key], "full")
-    good = F.col("wanted").isNotNull() & F.coalesce("ok", F.lit(False))
+    want = expected.select(group, key, F.lit(True).alias("wanted"), F.lit(None).cast("boolean").alias("ok"))
+    have = log.select(group, key, F.lit(None).cast("boolean").alias("wanted"), done.alias("ok"))
+    # rows are dealt first: keys are nearly unique, so tables of them before the shuffle save nothing
+    both = want.union(have).repartition(group, key).groupBy(group, key).agg(F.bool_or("wanted").alias("wanted"), F.bool_or("ok").alias("ok"))
+    # null keys are not the same
+    good = F.col("wanted").isNotNull() & F.coalesce("ok", F.lit(False)) & F.col(group).isNotNull() & F.col(key).isNotNull()
     return both.groupBy(group).agg(F.count("wanted").alias("n"), F.bool_and(good).alias("complete"))
 
 
