@@ -13,6 +13,19 @@ from matchbook.operators.quantiles import with_quantiles
 from matchbook.session import stage_table
 
 
+def steady_mean(c: str) -> Column:
+    """Mean of doubles that no order of the rows changes: a plain sum of millions of them is off by
+    what each addition rounds away. Multiples of 2**-36 are added up as two longs (an error, not a
+    wrong mean, if 2**32 rows overflow them), only what is left of each value, and values beyond
+    2**26, NaN and infinity, as doubles."""
+    x = F.col(c).cast("double")
+    units = F.when(F.abs(x) < float(1 << 26), F.floor(x * float(1 << 36))).otherwise(F.when(x.isNotNull(), F.lit(0).cast("long")))
+    rest = x - units / F.lit(float(1 << 36))
+    high, low = F.sum(F.shiftright(units, 31)), F.sum(units.bitwiseAND(F.lit((1 << 31) - 1)))
+    whole = (high.cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + low.cast("decimal(19,0)")).cast("double")
+    return (whole / float(1 << 36) + F.sum(rest)) / F.nullif(F.count(x), F.lit(0))
+
+
 def first_value(c: str, order: Sequence[Column], blank: bool = False) -> Column:
     """The first non-null value in the order (blank: and non-blank); null if all are null."""
     given = F.col(c).isNotNull() if not blank else F.col(c).isNotNull() & (F.trim(c) != "")

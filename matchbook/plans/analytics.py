@@ -227,8 +227,8 @@ r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM
 SELECT l_suppkey, round(least(1, min(p * n / k) OVER (ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r""")
 def bh_qvalues(spark: SparkSession, d: str) -> DataFrame:
     """Corrected p-values of a hundred tests."""
-    means = load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("m"))
-    overall = load(spark, d, "lineitem").agg(F.avg("l_discount").alias("o"))
+    means = load(spark, d, "lineitem").groupBy("l_suppkey").agg(aggregates.steady_mean("l_discount").alias("m"))
+    overall = load(spark, d, "lineitem").agg(aggregates.steady_mean("l_discount").alias("o"))
     tests = means.join(F.broadcast(overall)).select("l_suppkey", F.round(F.least(F.lit(1.0), F.exp(-F.abs(F.col("m") - F.col("o")) * 2000)), 12).alias("p"))
     return windows.benjamini_hochberg(tests, "p").select("l_suppkey", r6("q").alias("q"))
 

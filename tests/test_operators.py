@@ -916,3 +916,27 @@ def test_weighted_values_are_not_counted_again(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 3.0, 1), ("a", 3.0, 2), ("a", 9.0, 1)], "g string, v double, w long")
     got = at_ranks(df, ["g"], "v", lambda n: [F.lit(0), F.lit(2), F.lit(4), F.lit(5)], F.col("w")).collect()
     assert [(r["g"], r["n"], r["at"]) for r in got] == [("a", 6, [1.0, 3.0, 3.0, 9.0])]
+
+
+def test_qvalues_do_not_depend_on_how_a_sum_rounds(spark, tmp_path):
+    """Large discounts that cancel out leave a plain sum of doubles off by more than 1e-6 of p."""
+    import math
+
+    from matchbook.plans import QUERIES
+
+    parts = {k: [6e7] + [0.0003 * k] * 4000 + [-6e7] for k in (1, 2, 3)}
+    made = [(k, v) for k, values in parts.items() for v in values]
+    spark.createDataFrame(made, "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    mean = math.fsum(v for _, v in made) / len(made)
+    ps = sorted((round(min(1.0, math.exp(-abs(math.fsum(v) / len(v) - mean) * 2000)), 12), k) for k, v in parts.items())
+    want = {k: round(min(1.0, *(p * 3 / (j + 1) for j, (p, _) in list(enumerate(ps))[i:])), 6) for i, (_, k) in enumerate(ps)}
+    got = {r[0]: r[1] for r in QUERIES["bh_qvalues"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_steady_mean_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("a", 1e300), ("a", 0.5), ("b", None), ("b", 0.1), ("b", 0.2), ("c", None), ("d", inf), ("d", 1.0), ("e", nan), ("e", -0.25), ("f", -0.3)]
+    got = dict(spark.createDataFrame(data, "k string, x double").groupBy("k").agg(aggregates.steady_mean("x")).collect())
+    assert (got["a"], got["c"], got["d"], got["f"]) == (5e299, None, inf, -0.3)
+    assert np.isclose(got["b"], 0.15) and np.isnan(got["e"])
