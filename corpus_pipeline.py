@@ -23,7 +23,7 @@ from matchbook.llm.mixing import Mixture, dealt
 from matchbook.llm.near_dedup import drop_near_duplicates
 from matchbook.llm.pieces import encode
 from matchbook.llm.queries import held_out, tokenizer_file
-from matchbook.session import load, shared_dir
+from matchbook.session import load, shared_dir, small_batches
 
 #: Documents whose best language has a lower mean probability are rejected.
 LEAST_SCORE = 0.35
@@ -31,6 +31,7 @@ LEAST_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those of no language the model is sure of."""
+    small_batches(spark)
     model = train(sample_windows(docs.where(~held_out()).select("doc_id", "text", "lang")))
     return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -42,18 +43,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return drop_near_duplicates(docs, words=5, percent=80).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at target weights; a document appears once for each time it is taken. Rows
     are dealt by shard and shuffled within it."""
+    small_batches(spark)
     mixture = Mixture(docs)
     return dealt(mixture.rows(), mixture.shards).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and the ids of each text."""
+    small_batches(spark)
     coded = encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from matchbook.llm.common import whole_text
+from matchbook.llm.common import slices, whole_text
 
 HIDDEN, CHUNK, LANES = 12, 128, 2048
 #: Bounds of the training sample: documents a language, windows a document, characters a window.
@@ -180,10 +180,10 @@ def sample_windows(labelled: DataFrame, text: str = "text", id_col: str = "doc_i
     return sorted((r[0], r[1]) for r in picked.collect())
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model, passed: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, column: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     languages = np.array([*model.languages, UNKNOWN], dtype=object)
-    for batch in batches:
-        text = batch.column("__text").cast(pa.large_binary())
+    for batch in (s for b in batches for s in slices(b, column)):
+        text = batch.column(column).cast(pa.large_binary())
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
         lettered = batch.column("__letters").to_numpy(zero_copy_only=False) & bool(model.languages)
@@ -218,7 +218,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[Colu
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")] if carry is None else carry
     rows = docs.select(*kept)
     out = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    passed = rows.columns
-    rows = docs.select(*kept, whole_text(text).alias("__text"), whole_text(text).rlike(r"\p{L}").alias("__letters"))
+    # a text that is carried anyway is sent once; a null one has no letters
+    column = text if any(c == text for c in kept if isinstance(c, str)) and isinstance(docs.schema[text].dataType, T.StringType) else "__text"
+    extra = [] if column == text else [whole_text(text).alias("__text")]
+    rows = docs.select(*kept, *extra, whole_text(text).rlike(r"\p{L}").alias("__letters"))
     schema = to_arrow_schema(out)
-    return rows.mapInArrow(lambda it: _predict(it, model, passed, schema), out)
+    return rows.mapInArrow(lambda it: _predict(it, model, column, schema), out)

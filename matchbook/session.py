@@ -38,6 +38,15 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows go to Python in batches of `size` bytes, if the session has no limit of its own.
+    By default a batch holds 10,000 rows, up to 64 MB, and each task has copies of it in the
+    executor's memory, outside its heap, and in the Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB"):
+        spark.conf.set(name, str(size))
+
+
 _OWN: list[str] = []
 
 

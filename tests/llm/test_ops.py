@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -596,3 +597,31 @@ def test_chats_of_many_turns(spark):
     r = chat.format_chats(df).first()
     assert r["valid"] and [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["segments"]] == [f"t{i}" for i in range(n)]
     assert [s["loss"] for s in r["segments"]] == [i % 2 == 1 for i in range(n)]
+
+
+def test_pipeline_sends_small_batches_to_python(spark):
+    """Batches of 10,000 rows, with the text twice, filled an executor's memory."""
+    import corpus_pipeline as p
+    from matchbook.llm import language_id
+    from matchbook.session import small_batches
+
+    name, limit = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    spark.conf.unset(name)
+    docs = spark.range(8000).selectExpr("id AS doc_id", "repeat(concat('the house of ', id, ' '), 100) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars").coalesce(1)
+    try:
+        plan = p.language(spark, docs, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "__text" not in plan and "MapInArrow" in plan
+        sizes = docs.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long")
+        assert max(r[0] for r in sizes.collect()) < limit + (1 << 16)
+        spark.conf.set(name, "9m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "9m"
+    finally:
+        spark.conf.unset(name)
+    model = language_id.train([("en", "the house of many books"), ("de", "das Haus der alten Buecher")] * 3)
+    text = pa.array(["the house of books " * 50000] * 12 + [None])
+    whole = pa.RecordBatch.from_arrays([text, pa.array([True] * 12 + [False])], names=["text", "__letters"])
+    schema = pa.schema([("text", pa.string()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    parts = list(language_id._predict(iter([whole]), model, "text", schema))
+    assert sum(b.num_rows for b in parts) == 13 and max(b.num_rows for b in parts) <= 5
+    assert parts[-1].column("lang_pred")[-1].as_py() == "und"
