@@ -36,7 +36,7 @@ from matchbook.llm.common import UnitMemory, slices, whole_text
 
 MAGIC = b"IDS2"
 #: Ids of a block, ids after which a segment closes, lanes coded at once.
-BLOCK, SEGMENT, LANES = 2048, 1 << 22, 2048
+BLOCK, SEGMENT, LANES = 2048, 1 << 23, 4096
 _ORDER1, _ORDER2 = 10, 11  # bits of the prediction tables
 #: Symbols: hits of order 2, 1 and 0, then five classes of literals, with their first ids and
 #: binary digits. The last class has as many digits as the segment's largest id needs.
