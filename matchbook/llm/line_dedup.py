@@ -1,13 +1,14 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-1. Every line of every document becomes its sorted set of hashed character shingles; a
-   line shorter than a shingle is one shingle. The MINIMA least hashes are its signature.
-2. ROWS hashes that follow each other in the signature are a band. Two signatures of a
-   similarity of 0.8 have at least ROWS equal ones in a row between two unequal ones (a
-   short line's signature is closed to a ring for that), and of a line's bands about BANDS,
-   chosen by their first hash, become keys. Equal lines are one class from here on.
+1. A line with many long words is the sorted set of their hashes; a line with few, or with a very
+   long word, becomes its sorted set of hashed character shingles, of which the MINIMA least are
+   its signature (a line shorter than a shingle is one shingle). Lines in between have both.
+2. Hashes that follow each other are a band: ROWS of a signature, WORD_ROWS of long words. Two
+   signatures of a similarity of 0.8 have at least ROWS equal ones in a row between two unequal
+   ones (short ones are closed to a ring for that), and of a line's bands about BANDS or
+   WORD_BANDS, chosen by their first hash, become keys. Equal lines are one class from here on.
 3. Classes that share a key with another are the only ones that go on, and pairs that share
-   one key alone do not, unless a line is so short that it has few. Buckets are dealt
+   one key alone do not, unless a line has few or has bands of words. Buckets are dealt
    into small slots by the low bits of one hash, each slot is paired with its first class,
    pairs are confirmed by the exact Jaccard similarity of their shingle sets, links are
    joined to components. At last buckets that still hold several components are cut into
@@ -22,6 +23,9 @@ the tests measure it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,9 @@ from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
 SHINGLE, MINIMA, ROWS, BANDS = 5, 64, 4, 14
+#: Words of WORD_CHARS characters are long. A line with WORDS distinct long ones has about WORD_BANDS bands of
+#: WORD_ROWS of them; one with fewer than BOTH, or with a word of LONG_WORD characters, has bands of shingles.
+WORD_CHARS, WORDS, BOTH, WORD_ROWS, WORD_BANDS, LONG_WORD = 6, 12, 16, 3, 10, 25
 #: A class with fewer bands is compared for one in common, all others for two.
 FEW = 6
 SLOT, ROUNDS = 4, 2
@@ -43,8 +50,10 @@ def raw_lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def normal(raw: str = "raw") -> Column:
-    """Lower case, runs of blanks as one."""
-    return F.trim(F.regexp_replace(F.lower(raw), r"\s{2,}|[\t\x0B\f\r]", " "))
+    """Lower case, runs of blanks as one. Most lines have no such run, which plain scans for bytes tell."""
+    runs = reduce(or_, (F.contains(F.col(raw), F.lit(x)) for x in ("  ", *"\t\x0b\f\r")))
+    low = F.lower(raw)
+    return F.trim(F.when(runs, F.regexp_replace(low, r"\s{2,}|[\t\x0B\f\r]", " ")).otherwise(low))
 
 
 def _shingles(line: str) -> str:
@@ -53,30 +62,44 @@ def _shingles(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-32')), u -> transform(sequence(1, greatest(length(u) - {4 * SHINGLE - 1}, 1), 4), i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]"
 
 
+def _bands(d: str, m: str, rows: int, bands: int) -> str:
+    """SQL of the keys of about `bands` of the m bands in d, which holds sorted distinct hashes, the
+    first rows - 1 of them once more at its end."""
+    chosen = f"filter(sequence(1, size({d}) - {rows - 1}), i -> (get({d}, i - 1) & 1023) * {m} < {1024 * bands})"
+    return f"transform({chosen}, i -> xxhash64(slice({d}, i, {rows})))"
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, s1, s2 (two hashes of the line, its class), keys (of its bands)."""
+    """doc_id, line_no, s1, s2 (two hashes of the line, its class), keys (of its bands), n_keys (0
+    for a line with bands of words, of which one in common is enough)."""
     head = 3 * MINIMA // 2  # nearly always holds MINIMA distinct hashes
+    none = "cast(array() AS array<bigint>)"
     own = ["doc_id", "line_no", "s1", "s2"]
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), F.sort_array(F.expr(_shingles("line"))).alias("h"))
+    words = F.expr(f"filter(split(line, ' '), w -> length(w) >= {WORD_CHARS})")
+    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), "line", words.alias("w"))
+    rows = rows.withColumns({"long": F.expr(f"exists(w, w -> length(w) >= {LONG_WORD})"), "w": F.expr("sort_array(array_distinct(transform(w, w -> xxhash64(w))))")})
+    rows = rows.withColumn("n", F.size("w")).withColumn("w", F.expr(f"CASE WHEN n >= {WORDS} THEN concat(w, slice(w, 1, {WORD_ROWS - 1})) ELSE {none} END"))
+    rows = rows.withColumn("h", F.expr(f"CASE WHEN n < {BOTH} OR long THEN sort_array({_shingles('line')}) ELSE {none} END")).drop("line")
     rows = rows.withColumn("d", F.array_distinct(F.slice("h", 1, head)))
     rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) <= {MINIMA} AND size(h) > {head} THEN array_distinct(h) ELSE d END")).drop("h")
     rows = rows.withColumn("m", F.least(F.size("d"), F.lit(MINIMA)))
     rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) > {MINIMA} THEN slice(d, 1, {MINIMA}) WHEN m >= {ROWS} THEN concat(d, slice(d, 1, {ROWS - 1})) ELSE d END"))
-    chosen = f"filter(sequence(1, size(d) - {ROWS - 1}), i -> (get(d, i - 1) & 1023) * m < {1024 * BANDS})"
-    return rows.select(*own, F.expr(f"CASE WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE transform({chosen}, i -> xxhash64(slice(d, i, {ROWS}))) END").alias("keys"))
+    shingle_keys = f"CASE WHEN m = 0 THEN {none} WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE {_bands('d', 'm', ROWS, BANDS)} END"
+    word_keys = f"CASE WHEN n >= {WORDS} THEN {_bands('w', 'n', WORD_ROWS, WORD_BANDS)} ELSE {none} END"
+    keys = rows.select(*own, "n", F.expr(f"concat({word_keys}, {shingle_keys})").alias("keys"))
+    return keys.select(*own, "keys", F.expr(f"CASE WHEN n >= {WORDS} THEN 0 ELSE size(keys) END").alias("n_keys"))
 
 
 def _similar(p: str, q: str, percent: int) -> str:
     """SQL: whether two shingle sets have a similarity of percent/100; sizes are looked at first."""
-    both = f"size(array_intersect({p}, {q}))"
-    return f"(100 * least(size({p}), size({q})) >= {percent} * greatest(size({p}), size({q})) AND 100 * {both} >= {percent} * (size({p}) + size({q}) - {both}))"
+    return f"(100 * least(size({p}), size({q})) >= {percent} * greatest(size({p}), size({q})) AND {100 + percent} * size(array_intersect({p}, {q})) >= {percent} * (size({p}) + size({q})))"
 
 
 def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, s1, s2, doc_id, line_no: its first place) and open rows (key, id, n_keys: bands
     of the class): the classes that share a band with another class, and those bands."""
     # outer: the filter on the array that a plain explode brings would compute it several times
-    banded = signed.select("s1", "s2", F.size("keys").alias("n_keys"), F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
+    banded = signed.select("s1", "s2", "n_keys", F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
     shared = stage_table(banded.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("key"), "line-shared")
     rows = stage_table(banded.join(small_side(shared, shared.count()), "key").distinct(), "line-banded")
     # the numbers are fixed once the table is written
@@ -99,9 +122,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
         found = raw_lines(docs, text, id_col).join(small_side(needed, needed.count()), ["doc_id", "line_no"])
         return stage_table(found.select("id", normal().alias("line")).distinct(), "line-texts")
 
-    def enough(p: str, q: str) -> str:
-        """SQL: whether two classes share two bands, or one where one of them has few."""
-        return f"size(array_intersect({p}.keys, {q}.keys)) >= CASE WHEN least({p}.n_keys, {q}.n_keys) < {FEW} THEN 1 ELSE 2 END"
+    # SQL: how many bands two classes must share
+    needed_bands = f"CASE WHEN least(p.n_keys, q.n_keys) < {FEW} THEN 1 ELSE 2 END"
 
     links, component, tried = None, None, None
     for turn in range(ROUNDS + 1):
@@ -120,7 +142,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             both = pairs.join(keys.alias("p"), F.col("a") == F.col("p.id")).join(keys.alias("q"), F.col("b") == F.col("q.id"))
-            pairs = stage_table(both.where(enough("p", "q")).select("a", "b"), "line-pairs")
+            pairs = stage_table(both.where(F.expr(f"size(array_intersect(p.keys, q.keys)) >= {needed_bands}")).select("a", "b"), "line-pairs")
             tried = pairs if tried is None else tried.union(pairs)
             texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -132,14 +154,15 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(keys, "id")
             dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
             dealt = stage_table(dealt.select("key", "i", "j", "own", "id", "component", "keys", "n_keys"), "line-blocks")
-            same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-            # a pair counts in the first bucket that it shares
-            meets = "x.id <> y.id AND (x.i = x.j OR x.own <> y.own) AND x.component <> y.component AND array_min(array_intersect(x.keys, y.keys)) = x.key AND " + enough("x", "y")
+            place = ["key", "i", "j"]
+            same = reduce(and_, (F.col(f"p.{c}") == F.col(f"q.{c}") for c in place))
+            # a pair counts in the first bucket that it shares; the shared bands are bound by a lambda, so they are found once
+            meets = f"p.id <> q.id AND (p.i = p.j OR p.own <> q.own) AND p.component <> q.component AND transform(array(array_intersect(p.keys, q.keys)), k -> array_min(k) = p.key AND size(k) >= {needed_bands})[0]"
             # first which classes have a partner at all (each comes back once a meeting), then with sets
-            likely = stage_table(dealt.alias("x").join(dealt.alias("y"), same & F.expr(meets), "left_semi"), "line-likely")
-            sets = texts_of(likely.select("id")).select("id", F.array_distinct(F.expr(_shingles("line"))).alias("h"))
-            full = likely.join(sets, "id")
-            new = full.alias("x").join(full.alias("y"), same & F.expr("x.id < y.id AND " + meets + " AND " + _similar("x.h", "y.h", percent))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            likely = stage_table(dealt.alias("p").join(dealt.alias("q"), same & F.expr(meets), "left_semi"), "line-likely")
+            # lines are dealt out and become sets where they meet: sets are eight times as large
+            full = likely.join(texts_of(likely.select("id")), "id").repartition(*place).withColumn("h", F.array_distinct(F.expr(_shingles("line")))).drop("line")
+            new = full.alias("p").join(full.alias("q"), same & F.expr("p.id < q.id AND " + meets + " AND " + _similar("p.h", "q.h", percent))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
         new = stage_table(new, "line-links")
         links = new if links is None else links.union(new)
         component = connected_components(links)
@@ -156,8 +179,10 @@ def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_c
     have one empty line. Rows without an id take no part. Repeated ids must have the same
     text (repeated rows count as one). No rows give none.
     """
-    lines = raw_lines(docs, text, id_col).where("doc_id IS NOT NULL").select("doc_id", "line_no", normal().alias("line"))
-    signed = stage_table(_signed(lines.where(F.length("line") >= max(least_chars, 1))), "line-signed")
+    # a filter on the normal line would be a second computation of it
+    rows = raw_lines(docs, text, id_col).where(r"doc_id IS NOT NULL AND raw RLIKE '\\S'")
+    lines = rows.select("doc_id", "line_no", normal().alias("line"))
+    signed = stage_table(_signed(lines.where(F.length("line") >= least_chars) if least_chars > 1 else lines), "line-signed")
     nodes, opened = _open(signed)
     component = _linked(docs, nodes, opened, percent, text, id_col)
     leads = signed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("lead"))

@@ -483,6 +483,29 @@ def test_lines_at_the_threshold(spark):
     assert found >= 0.97 * 400
 
 
+def test_prose_lines_have_few_bands(spark):
+    """Lines of many long words are found by about ten bands of words, just at the threshold too."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 11)))
+    shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    texts = []
+    for k in range(100):
+        line = " ".join(word() for _ in range(28 + k % 40))
+        other = list(line)
+        while True:
+            tried = other.copy()
+            tried[rng.integers(len(line))] = "_"
+            x, y = shingles(line), shingles("".join(tried))
+            if 100 * len(x & y) < 80 * len(x | y):
+                break
+            other = tried
+        texts += [line, "".join(other)]
+    docs = documents(spark, texts)
+    assert line_dedup.line_components(docs).where("first_doc <> doc_id").count() >= 97
+    lines = line_dedup.raw_lines(docs, "text", "doc_id").select("doc_id", "line_no", line_dedup.normal().alias("line"))
+    assert line_dedup._signed(lines).selectExpr("avg(size(keys))").first()[0] < 12
+
+
 def test_op8_takes_short_lines(spark, tmp_path):
     documents(spark, ["short\nab", "ab\nother\nshort"]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
