@@ -348,10 +348,33 @@ def word_encoder(path: str) -> UnitMemory:
                 begin[b : b + 1] = True
         return begin
 
-    def learn(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for a in range(0, len(units), 4096) for e in tokenizer.encode_batch_fast([u.decode() for u in units[a : a + 4096]], add_special_tokens=False)]
+    # by id: whether a blank begins it
+    blank = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    blank[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+    joins = tokenizer.encode(" a b", add_special_tokens=False).ids == [i for u in (" a", " b") for i in tokenizer.encode(u, add_special_tokens=False).ids] and not any(t.content.replace(" ", "").isalpha() for t in added)
+
+    def each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for a in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def learn(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of a blank and letters are encoded many at a time, joined: a blank behind a letter
+        always begins a unit, and only there an id begins with a blank."""
+        texts = [u.decode() for u in units]
+        word = np.fromiter((joins and t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+        words, rest = [t for t, w in zip(texts, word, strict=True) if w], [t for t, w in zip(texts, word, strict=True) if not w]
+        joined, _ = each(["".join(words[a : a + 512]) for a in range(0, len(words), 512)])
+        begins = np.flatnonzero(blank[joined])
+        if len(begins) != len(words):  # another vocabulary's split
+            return each(texts)
+        other, sizes = each(rest)
+        counts = np.empty(len(texts), np.int64)
+        counts[word], counts[~word] = np.diff(begins, append=len(joined)), sizes
+        of_word = np.repeat(word, counts)
+        ids = np.empty(len(of_word), np.int32)
+        ids[of_word], ids[~of_word] = joined, other
+        return ids, counts
+
     return UnitMemory(cuts, learn, memory=200 << 20)
 
 

@@ -132,6 +132,37 @@ def test_units_of_random_texts():
         assert ids[e - n : e].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_joined(monkeypatch):
+    """5,000 words not met before are a few texts to the tokenizer, with the library's ids."""
+    from types import SimpleNamespace
+
+    import tokenizers
+
+    path, real, sent = tokenizer_file("byte_bpe_50k.json"), tokenizers.Tokenizer, []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", SimpleNamespace(from_file=lambda p: Counting(real.from_file(p))))
+    encode = token_files.word_encoder.__wrapped__(path)
+    rng = np.random.default_rng(3)
+    odd = ["a\u0301b c", "\u00a0x y\u00a0 z", " \u4e2d\u6587 \u00e9t\u00e9 \u02b0 \u01c5 \u0e01\u0e33 \u0130", "a  b   c", "x <|endoftext|> y<|endoftext|>z", " 12a b3 d'll 'tis", "", " ", "\U00010400\U00010428 \U0001d400 \u2160 \u00b2x"]
+    words = ["".join(rng.choice(list("abcdefghijklm\u00df\u00f1\u044f"), rng.integers(1, 12))) for _ in range(5000)]
+    texts = [*odd, " ".join(words), *odd]
+    ids, counts = encode(pa.array(texts))
+    want = [real.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum(sent) < 200
+
+
 # --- 3: SentencePiece
 
 
