@@ -1,18 +1,20 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-1. A line with many long words is the sorted set of their hashes; a line with few, or with a very
-   long word, becomes its sorted set of hashed character shingles, of which the MINIMA least are
-   its signature (a line shorter than a shingle is one shingle). Lines in between have both.
-2. Hashes that follow each other are a band: ROWS of a signature, WORD_ROWS of long words. Two
-   signatures of a similarity of 0.8 have at least ROWS equal ones in a row between two unequal
-   ones (short ones are closed to a ring for that), and of a line's bands about BANDS or
-   WORD_BANDS, chosen by their first hash, become keys. Equal lines are one class from here on.
-3. Classes that share a key with another are the only ones that go on, and pairs that share
-   one key alone do not, unless a line has few or has bands of words. Buckets are dealt
-   into small slots by the low bits of one hash, each slot is paired with its first class,
-   pairs are confirmed by the exact Jaccard similarity of their shingle sets, links are
-   joined to components. At last buckets that still hold several components are cut into
-   blocks, and blocks meet two by two: first in a semi join that leaves the classes with a
+1. Windows of WINDOW bytes behind two bytes of certain kinds are a sample of a line that does not
+   depend on where they stand. Of a line with many, the SKETCH least of their hashes are its
+   signature; a line with few, or few for its length, becomes its sorted set of hashed character
+   shingles, of which the MINIMA least are its signature (a line shorter than a shingle is one
+   shingle). Lines in between have both.
+2. Hashes that follow each other are a band: two of windows, ROWS of shingles. Two
+   signatures of shingles of a similarity of 0.8 have at least ROWS equal ones in a row between two
+   unequal ones (short ones are closed to a ring for that), and of their bands about BANDS, chosen
+   by their first hash, become keys; of windows the first WINDOW_BANDS do. Equal lines are one class from here on.
+3. Classes that share a key with another are the only ones that go on, and pairs of them do only with
+   ALIKE windows in common, or two bands of shingles (one if a line has few). In buckets of up to SLOT
+   classes all pairs meet. Larger ones are dealt into small slots by the low bits of one hash, each slot
+   is paired with its first class. Pairs are confirmed by the exact Jaccard similarity of their shingle
+   sets, links are joined to components. At last large buckets that still hold several components are cut
+   into blocks, and blocks meet two by two: first in a semi join that leaves the classes with a
    possible partner, then in a join whose condition is the exact similarity, so that only
    links leave it and no bucket is one task's work.
 4. Of each component the first line in the corpus stays.
@@ -34,14 +36,13 @@ from matchbook.operators.graph import connected_components
 from matchbook.session import stage_table
 
 SHINGLE, MINIMA, ROWS, BANDS = 5, 64, 4, 14
-#: Words of WORD_CHARS characters are long. A line with WORDS distinct long ones has about WORD_BANDS bands of
-#: WORD_ROWS of them; one with fewer than BOTH, or with a word of LONG_WORD characters, has bands of shingles.
-WORD_CHARS, WORDS, BOTH, WORD_ROWS, WORD_BANDS, LONG_WORD = 6, 12, 16, 3, 10, 25
-#: A class with fewer bands is compared for one in common, all others for two.
+#: A line with WINDOWS distinct windows has bands of them; one with fewer than BOTH, or less than one in SPARSE bytes, has bands of shingles.
+WINDOW, WINDOWS, BOTH, SPARSE, SKETCH, WINDOW_BANDS, ALIKE = 8, 8, 12, 50, 12, 8, 5
+#: A class with fewer bands of shingles is compared for one in common, all others for two.
 FEW = 6
 SLOT, ROUNDS = 4, 2
-#: Classes of a bucket that meet as many others in one task at the end.
-PAIR_BLOCK = 256
+#: Classes of a bucket that meet as many others in one task at the end; a bucket of more than REFINE is split by what its classes have in common besides.
+PAIR_BLOCK, REFINE = 256, 32
 
 
 def raw_lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -69,25 +70,37 @@ def _bands(d: str, m: str, rows: int, bands: int) -> str:
     return f"transform({chosen}, i -> xxhash64(slice({d}, i, {rows})))"
 
 
+def _windows(line: str) -> Column:
+    """Hashes of the windows. Each UTF-8 byte is taken as a character, so that the kinds of bytes, by
+    their remainder by three, are there in every script."""
+    kind = lambda k: "[" + "".join(f"\\x{x:02x}" for x in range(k, 256, 3)) + "]"
+    found = F.regexp_extract_all(F.decode(F.col(line).cast("binary"), "ISO-8859-1"), F.lit(f"(?s){kind(1)}{kind(2)}(?=(.{{{WINDOW}}}))"), 1)
+    return F.transform(found, lambda w: F.hash(w))
+
+
+#: SQL of band i of the least windows w, two 32-bit hashes as one number; of how many there are; and of all.
+WINDOW_BAND = "(shiftleft(cast(get(w, i) AS bigint), 32) | (cast(get(w, i + 1) AS bigint) & 4294967295L))"
+N_WINDOW_BANDS = f"greatest(least(size(w) - 1, {WINDOW_BANDS}), 0)"
+ALL_WINDOW_BANDS = f"CASE WHEN size(w) < 2 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, {N_WINDOW_BANDS} - 1), i -> {WINDOW_BAND}) END"
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, s1, s2 (two hashes of the line, its class), keys (of its bands), n_keys (0
-    for a line with bands of words, of which one in common is enough)."""
+    """doc_id, line_no, s1, s2 (two hashes of the line, its class), n (its windows), w (the least of them, if
+    it has many), b (its bands of shingles, if it has few windows), keys (of its bands)."""
     head = 3 * MINIMA // 2  # nearly always holds MINIMA distinct hashes
     none = "cast(array() AS array<bigint>)"
     own = ["doc_id", "line_no", "s1", "s2"]
-    words = F.expr(f"filter(split(line, ' '), w -> length(w) >= {WORD_CHARS})")
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), "line", words.alias("w"))
-    rows = rows.withColumns({"long": F.expr(f"exists(w, w -> length(w) >= {LONG_WORD})"), "w": F.expr("sort_array(array_distinct(transform(w, w -> xxhash64(w))))")})
-    rows = rows.withColumn("n", F.size("w")).withColumn("w", F.expr(f"CASE WHEN n >= {WORDS} THEN concat(w, slice(w, 1, {WORD_ROWS - 1})) ELSE {none} END"))
-    rows = rows.withColumn("h", F.expr(f"CASE WHEN n < {BOTH} OR long THEN sort_array({_shingles('line')}) ELSE {none} END")).drop("line")
+    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), "line", _windows("line").alias("w"))
+    rows = rows.withColumn("w", F.sort_array(F.array_distinct("w"))).withColumn("n", F.size("w"))
+    few = f"n < {BOTH} OR n * {SPARSE} < octet_length(line)"
+    rows = rows.withColumn("h", F.expr(f"CASE WHEN {few} THEN sort_array({_shingles('line')}) ELSE {none} END")).drop("line")
     rows = rows.withColumn("d", F.array_distinct(F.slice("h", 1, head)))
     rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) <= {MINIMA} AND size(h) > {head} THEN array_distinct(h) ELSE d END")).drop("h")
     rows = rows.withColumn("m", F.least(F.size("d"), F.lit(MINIMA)))
     rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) > {MINIMA} THEN slice(d, 1, {MINIMA}) WHEN m >= {ROWS} THEN concat(d, slice(d, 1, {ROWS - 1})) ELSE d END"))
-    shingle_keys = f"CASE WHEN m = 0 THEN {none} WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE {_bands('d', 'm', ROWS, BANDS)} END"
-    word_keys = f"CASE WHEN n >= {WORDS} THEN {_bands('w', 'n', WORD_ROWS, WORD_BANDS)} ELSE {none} END"
-    keys = rows.select(*own, "n", F.expr(f"concat({word_keys}, {shingle_keys})").alias("keys"))
-    return keys.select(*own, "keys", F.expr(f"CASE WHEN n >= {WORDS} THEN 0 ELSE size(keys) END").alias("n_keys"))
+    bands = f"CASE WHEN m = 0 THEN {none} WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE {_bands('d', 'm', ROWS, BANDS)} END"
+    signs = rows.select(*own, "n", F.expr(f"CASE WHEN n >= {WINDOWS} THEN slice(w, 1, {SKETCH}) ELSE cast(array() AS array<int>) END").alias("w"), F.expr(bands).alias("b"))
+    return signs.withColumn("keys", F.expr(f"concat({ALL_WINDOW_BANDS}, b)"))
 
 
 def _similar(p: str, q: str, percent: int) -> str:
@@ -95,54 +108,95 @@ def _similar(p: str, q: str, percent: int) -> str:
     return f"(100 * least(size({p}), size({q})) >= {percent} * greatest(size({p}), size({q})) AND {100 + percent} * size(array_intersect({p}, {q})) >= {percent} * (size({p}) + size({q})))"
 
 
-def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, s1, s2, doc_id, line_no: its first place) and open rows (key, id, n_keys: bands
-    of the class): the classes that share a band with another class, and those bands."""
+def _bits(x: str) -> str:
+    """SQL of a set of up to 256 bits, as four numbers, in which each element of x sets one."""
+    return f"transform(sequence(0, 3), k -> aggregate(filter({x}, v -> (shiftright(v, 6) & 3) = k), 0L, (s, v) -> s | shiftleft(1L, cast(v & 63 AS int))))"
+
+
+def _alike() -> str:
+    """SQL: whether the classes p and q have enough windows or bands in common to be compared, and of the
+    windows no numbers that differ by far more than a fifth. Bits are looked at first; of ALIKE windows in
+    common nearly always ALIKE - 1 have bits of their own. The lambda keeps Spark from writing the whole
+    condition into a join's one large method, which the JVM would not compile."""
+    needed = f"CASE WHEN least(size(p.b), size(q.b)) < {FEW} THEN 1 ELSE 2 END"
+    bits = " + ".join(f"bit_count(get(p.bits, {k}) & get(q.bits, {k}))" for k in range(4))
+    least = f"{SKETCH} * size(array_intersect(p.w, q.w)) >= {ALIKE} * least(size(p.w), size(q.w))"
+    windows = f"size(p.w) > 0 AND size(q.w) > 0 AND 5 * abs(p.n - q.n) <= greatest(p.n, q.n) + 7 * sqrt(greatest(p.n, q.n)) AND {SKETCH} * ({bits}) >= {ALIKE - 1} * least(size(p.w), size(q.w)) AND {least}"
+    return f"({windows} OR size(p.b) > 0 AND size(q.b) > 0 AND exists(array(array_intersect(p.b, q.b)), x -> size(x) >= {needed}))"
+
+
+def _refined(placed: DataFrame, signs: DataFrame) -> DataFrame:
+    """(key, id, component, n: classes that have the key). Two classes need more in common than the key of a bucket, so
+    each of a large bucket gets a key for every other window or band that it has; a bucket of shingles
+    in which a class has few bands stays as it is."""
+    of_shingles = F.expr("array_contains(b, key)")
+    rows = placed.join(signs.select("id", "w", "b"), "id").withColumn("band", of_shingles)
+    fewest = F.min(F.when(F.col("band"), F.size("b")).otherwise(FEW)).alias("fewest")
+    large = placed.where(f"n > {REFINE}").select("key", "id").join(signs.select("id", "b"), "id").withColumn("band", of_shingles).groupBy("key").agg(fewest).where(f"fewest >= {FEW}").select("key")
+    large = stage_table(large, "line-large")
+    side = small_side(large, large.count())
+    others = f"CASE WHEN band THEN transform(array_remove(b, key), o -> xxhash64(least(key, o), greatest(key, o))) ELSE transform(array_except(w, slice(w, cast(array_position({ALL_WINDOW_BANDS}, key) AS int), 2)), o -> xxhash64(key, o)) END"
+    split = rows.join(side, "key").select("id", "component", F.explode(F.expr(others)).alias("key"))
+    apart = placed.join(side, "key", "left_anti").select("id", "component", "key").union(split)
+    still = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    return stage_table(apart.join(still, "key").select("key", "id", "component", "n"), "line-refined")
+
+
+def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """classes (id, s1, s2, doc_id, line_no: its first place) that share a key with another class, nodes (id,
+    doc_id, line_no, windows and bands), and open rows (key, id, n: classes that have the key)."""
     # outer: the filter on the array that a plain explode brings would compute it several times
-    banded = signed.select("s1", "s2", "n_keys", F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
+    banded = signed.where("size(w) + size(b) > 0").withColumn("i", F.explode_outer(F.expr(f"sequence(0, {N_WINDOW_BANDS} + size(b) - 1)")))
+    banded = banded.select("s1", "s2", "doc_id", "line_no", F.expr(f"CASE WHEN i < {N_WINDOW_BANDS} THEN {WINDOW_BAND} ELSE get(b, i - {N_WINDOW_BANDS}) END").alias("key"))
     shared = stage_table(banded.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("key"), "line-shared")
-    rows = stage_table(banded.join(small_side(shared, shared.count()), "key").distinct(), "line-banded")
+    found = banded.join(small_side(shared, shared.count()), "key").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.collect_set("key").alias("keys"))
     # the numbers are fixed once the table is written
-    numbered = stage_table(rows.select("s1", "s2").distinct().select(F.monotonically_increasing_id().alias("id"), "s1", "s2"), "line-numbered")
-    n = numbered.count()
-    placed = signed.select("s1", "s2", "doc_id", "line_no").join(small_side(numbered, n), ["s1", "s2"])
-    first = placed.groupBy("id", "s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("id", "s1", "s2", "at.*")
-    return stage_table(first, "line-nodes"), stage_table(rows.join(small_side(numbered, n), ["s1", "s2"]).select("key", "id", "n_keys"), "line-open")
+    classes = stage_table(found.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "at.*", "keys"), "line-classes")
+    signs = signed.select("doc_id", "line_no", "n", "w", "b").join(small_side(classes.select("id", "doc_id", "line_no"), classes.count()), ["doc_id", "line_no"])
+    nodes = stage_table(signs.dropDuplicates(["id"]).withColumn("bits", F.expr(_bits("w"))), "line-nodes")
+    rows = classes.select("id", F.explode("keys").alias("key"))
+    opened = stage_table(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "id", "n"), "line-open")
+    return classes.select("id", "s1", "s2", "doc_id", "line_no"), nodes, opened
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int, text: str, id_col: str) -> DataFrame | None:
     """(node, component) of the classes with a link."""
     if opened.isEmpty():
         return None
-    keys = stage_table(opened.groupBy("id", "n_keys").agg(F.collect_set("key").alias("keys")), "line-keys")
+    signs = nodes.select("id", "n", "w", "b", "bits")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, line) of the classes."""
         needed = stage_table(nodes.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "line_no"), "line-needed")
-        found = raw_lines(docs, text, id_col).join(small_side(needed, needed.count()), ["doc_id", "line_no"])
+        n = needed.count()
+        whole = docs.select(F.col(id_col).cast("long").alias(id_col), text)
+        there = whole.join(small_side(needed.select(F.col("doc_id").alias(id_col)), n), id_col, "left_semi")
+        found = raw_lines(there, text, id_col).join(small_side(needed, n), ["doc_id", "line_no"])
         return stage_table(found.select("id", normal().alias("line")).distinct(), "line-texts")
 
-    # SQL: how many bands two classes must share
-    needed_bands = f"CASE WHEN least(p.n_keys, q.n_keys) < {FEW} THEN 1 ELSE 2 END"
-
     links, component, tried = None, None, None
     for turn in range(ROUNDS + 1):
-        placed = opened.select("key", "id", F.col("id").alias("component"))
-        if component is not None:
-            placed = opened.join(component.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        placed = opened.withColumn("component", F.col("id"))
+        if turn:  # the classes of small buckets have all met
+            opened = opened.where(f"n > {SLOT}")
+            placed = opened.join(component.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
             still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
             placed = stage_table(placed.join(still, "key"), "line-open")
         if placed.isEmpty():
             break
         if turn < ROUNDS:
-            slots = placed.groupBy("key").agg(F.expr(f"shiftleft(1L, cast(floor(log2(greatest(count(*) / {SLOT}, 1))) AS int)) - 1").alias("mask"))
-            dealt = placed.join(slots, "key").withColumn("slot", F.xxhash64("id", F.lit(turn)).bitwiseAND(F.col("mask")))
-            head = dealt.groupBy("key", "slot").agg(F.min(F.struct("id", "component")).alias("c"))
-            pairs = dealt.join(head, ["key", "slot"]).where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            dealt = placed.withColumn("slot", F.xxhash64("id", F.lit(turn)).bitwiseAND(F.expr(f"shiftleft(1L, cast(floor(log2(greatest(n / {SLOT}, 1))) AS int)) - 1")))
+            large = dealt.where(f"n > {SLOT}")
+            head = large.groupBy("key", "slot").agg(F.min(F.struct("id", "component")).alias("c"))
+            pairs = large.join(head, ["key", "slot"]).where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+            if not turn:
+                small = placed.where(f"n <= {SLOT}").select("key", "id")
+                pairs = pairs.union(small.toDF("key", "a").join(small.toDF("key", "b"), "key").where("a < b").select("a", "b"))
+            pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            both = pairs.join(keys.alias("p"), F.col("a") == F.col("p.id")).join(keys.alias("q"), F.col("b") == F.col("q.id"))
-            pairs = stage_table(both.where(F.expr(f"size(array_intersect(p.keys, q.keys)) >= {needed_bands}")).select("a", "b"), "line-pairs")
+            both = pairs.toDF("x", "y").join(signs.alias("p"), F.col("x") == F.col("p.id")).join(signs.alias("q"), F.col("y") == F.col("q.id"))
+            pairs = stage_table(both.where(F.expr(_alike())).select(F.col("x").alias("a"), F.col("y").alias("b")), "line-pairs")
             tried = pairs if tried is None else tried.union(pairs)
             texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -150,14 +204,15 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             # a staged filter: pushed below, it would build the sets again for every use
             new = sets.withColumn("like", F.expr(_similar("p", "q", percent))).select("a", "b", F.explode(F.array("like")).alias("like")).where("like").select("a", "b")
         else:
-            blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
-            dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(keys, "id")
-            dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            dealt = stage_table(dealt.select("key", "i", "j", "own", "id", "component", "keys", "n_keys"), "line-blocks")
+            placed = _refined(placed, signs)
+            shared = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))
+            blocks = placed.withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("n")
+            dealt = blocks.join(signs.join(shared, "id"), "id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            dealt = stage_table(dealt.select("key", "i", "j", "own", "id", "component", "n", "w", "b", "bits", "keys"), "line-blocks")
             place = ["key", "i", "j"]
             same = reduce(and_, (F.col(f"p.{c}") == F.col(f"q.{c}") for c in place))
-            # a pair counts in the first bucket that it shares; the shared bands are bound by a lambda, so they are found once
-            meets = f"p.id <> q.id AND (p.i = p.j OR p.own <> q.own) AND p.component <> q.component AND transform(array(array_intersect(p.keys, q.keys)), k -> array_min(k) = p.key AND size(k) >= {needed_bands})[0]"
+            # a pair counts in the first bucket that it shares
+            meets = f"p.id <> q.id AND (p.i = p.j OR p.own <> q.own) AND p.component <> q.component AND {_alike()} AND array_min(array_intersect(p.keys, q.keys)) = p.key"
             # first which classes have a partner at all (each comes back once a meeting), then with sets
             likely = stage_table(dealt.alias("p").join(dealt.alias("q"), same & F.expr(meets), "left_semi"), "line-likely")
             # lines are dealt out and become sets where they meet: sets are eight times as large
@@ -169,6 +224,23 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
     return component
 
 
+def _led(docs: DataFrame, percent: int, text: str, id_col: str, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The signed lines, and (s1, s2, lead: doc_id, line_no) of the classes with several lines or with links."""
+    # a filter on the normal line would be a second computation of it
+    rows = raw_lines(docs, text, id_col).where(r"doc_id IS NOT NULL AND raw RLIKE '\\S'")
+    lines = rows.select("doc_id", "line_no", normal().alias("line"))
+    signed = stage_table(_signed(lines.where(F.length("line") >= least_chars) if least_chars > 1 else lines).drop("keys"), "line-signed")
+    classes, nodes, opened = _open(signed)
+    component = _linked(docs, nodes, opened, percent, text, id_col)
+    leads = signed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("s1", "s2", "lead")
+    if component is not None:
+        of = classes.join(component.withColumnRenamed("node", "id"), "id").select("s1", "s2", "component", F.struct("doc_id", "line_no").alias("lead"))
+        joined = of.join(of.groupBy("component").agg(F.min("lead").alias("first")), "component").select("s1", "s2", F.col("first").alias("lead"))
+        leads = leads.union(joined).groupBy("s1", "s2").agg(F.min("lead").alias("lead"))
+    leads = stage_table(leads, "line-leads")
+    return signed, small_side(leads, leads.count())
+
+
 def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = 1) -> DataFrame:
     """doc_id, line_no, first_doc, first_line: every line with the place of the first line
     of its component (least document, then line).
@@ -179,19 +251,10 @@ def line_components(docs: DataFrame, percent: int = 80, text: str = "text", id_c
     have one empty line. Rows without an id take no part. Repeated ids must have the same
     text (repeated rows count as one). No rows give none.
     """
-    # a filter on the normal line would be a second computation of it
-    rows = raw_lines(docs, text, id_col).where(r"doc_id IS NOT NULL AND raw RLIKE '\\S'")
-    lines = rows.select("doc_id", "line_no", normal().alias("line"))
-    signed = stage_table(_signed(lines.where(F.length("line") >= least_chars) if least_chars > 1 else lines), "line-signed")
-    nodes, opened = _open(signed)
-    component = _linked(docs, nodes, opened, percent, text, id_col)
-    leads = signed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("lead"))
-    if component is not None:
-        of = nodes.join(component.withColumnRenamed("node", "id"), "id").select("s1", "s2", "component", F.struct("doc_id", "line_no").alias("at"))
-        joined = of.join(of.groupBy("component").agg(F.min("at").alias("first")), "component").select("s1", "s2", "first")
-        leads = leads.join(stage_table(joined, "line-joined"), ["s1", "s2"], "left").select("s1", "s2", F.coalesce("first", "lead").alias("lead"))
-    leads = stage_table(leads, "line-leads")
-    return signed.select("doc_id", "line_no", "s1", "s2").join(leads, ["s1", "s2"]).select("doc_id", "line_no", F.col("lead.doc_id").alias("first_doc"), F.col("lead.line_no").alias("first_line"))
+    signed, leads = _led(docs, percent, text, id_col, least_chars)
+    own = F.struct("doc_id", "line_no")
+    found = signed.select("doc_id", "line_no", "s1", "s2").join(leads, ["s1", "s2"], "left").select("doc_id", "line_no", F.coalesce("lead", own).alias("lead"))
+    return found.select("doc_id", "line_no", F.col("lead.doc_id").alias("first_doc"), F.col("lead.line_no").alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col: str = "doc_id", least_chars: int = 1) -> DataFrame:
@@ -201,10 +264,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, text: str = "text", id_col:
     id or text, and repeated rows, come back as they are but for the same dropped lines.
     Other columns are left out, whatever their names.
     """
-    found = line_components(docs, percent, text, id_col, least_chars)
-    dropped = stage_table(found.where("NOT (doc_id = first_doc AND line_no = first_line)").select("doc_id", "line_no"), "line-dropped")
+    signed, leads = _led(docs, percent, text, id_col, least_chars)
+    found = signed.select("doc_id", "line_no", "s1", "s2").join(leads, ["s1", "s2"])
+    dropped = stage_table(found.where("NOT (doc_id = lead.doc_id AND line_no = lead.line_no)").select("doc_id", "line_no"), "line-dropped")
     gone = dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     rows = rows.join(small_side(gone, dropped.count()), "doc_id", "left")
-    kept = rows.withColumn("lines", F.split("text", "\n")).withColumn("keep", F.expr("filter(lines, (x, i) -> gone IS NULL OR NOT array_contains(gone, i))"))
+    kept = rows.withColumn("lines", F.split("text", "\n")).withColumn("keep", F.expr("CASE WHEN gone IS NULL THEN lines ELSE filter(lines, (x, i) -> NOT array_contains(gone, i)) END"))
     return kept.select(F.col("doc_id").alias(id_col), F.array_join("keep", "\n").alias(text), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("keep")).cast("long").alias("n_dropped"))

@@ -537,6 +537,47 @@ def test_prose_lines_have_few_bands(spark):
     assert line_dedup._signed(lines).selectExpr("avg(size(keys))").first()[0] < 12
 
 
+def test_long_lines_are_found_by_windows_in_every_script(spark):
+    """No shingle of a long line is hashed before a class may have a partner; short words, other scripts
+    and lines without blanks are found all the same, at a similarity of just 0.8."""
+    rng = np.random.default_rng(12)
+    texts, shingles = [], lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    for letters in ("abcdefghijklmnopqrstuvwxyz   ", "абвгдежзиклмнопрстухчшыя    ", "".join(map(chr, range(0x4E00, 0x5E00)))):
+        for k in range(100):
+            line = "x" + "".join(rng.choice(list(letters), 150 + 2 * k)).strip()
+            line = other = " ".join(line.split())
+            while True:
+                at = rng.integers(len(line))
+                tried = other[:at] + "_" + other[at + 1 :]
+                x, y = shingles(line), shingles(tried)
+                if 100 * len(x & y) < 80 * len(x | y):
+                    break
+                other = tried
+            texts += [line, other]
+    docs = documents(spark, texts)
+    lines = line_dedup.raw_lines(docs, "text", "doc_id").select("doc_id", "line_no", line_dedup.normal().alias("line"))
+    got = line_dedup._signed(lines).selectExpr("avg(int(size(b) = 0))", "avg(size(keys))").first()
+    assert got[0] > 0.9 and got[1] < 10
+    assert line_dedup.line_components(docs).where("first_doc <> doc_id").count() >= 0.97 * 300
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_split_buckets_lose_no_link(spark, monkeypatch, rounds):
+    """Large buckets are split by what their classes have in common besides; hot windows and bands."""
+    monkeypatch.setattr(line_dedup, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "REFINE", 2)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
+    hot = " ".join(word() for _ in range(18))
+    long = [hot + " " + " ".join(word() for _ in range(3 + k % 9)) for k in range(40)]
+    short = ["the same start of " + " ".join(word() for _ in range(1 + k % 3)) for k in range(40)]
+    made = long + short
+    texts = ["\n".join(made), "\n".join(x + "!" for x in made), "\n".join(x[:-2] + "-" for x in made)]
+    got, want = every_line(spark, texts)
+    assert got == want and len(set(want.values())) < 120
+
+
 def test_op8_takes_short_lines(spark, tmp_path):
     documents(spark, ["short\nab", "ab\nother\nshort"]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
