@@ -5,7 +5,8 @@
    signature; a line with few, or few for its length, becomes its sorted set of hashed character
    shingles, of which the MINIMA least are its signature (a line shorter than a shingle is one
    shingle). Lines in between have both.
-2. Hashes that follow each other are a band: two of windows, ROWS of shingles. Two
+2. Hashes that follow each other are a band: two of windows, ROWS of shingles. Those of windows also hold
+   a step of the line's extent, so that lines of very different lengths do not meet over a common passage. Two
    signatures of shingles of a similarity of 0.8 have at least ROWS equal ones in a row between two
    unequal ones (short ones are closed to a ring for that), and of their bands about BANDS, chosen
    by their first hash, become keys; of windows the first WINDOW_BANDS do. Equal lines are one class from here on.
@@ -14,9 +15,9 @@
    classes all pairs meet. Larger ones are dealt into small slots by the low bits of one hash, each slot
    is paired with its first class. Pairs are confirmed by the exact Jaccard similarity of their shingle
    sets, links are joined to components. At last large buckets that still hold several components are cut
-   into blocks, and blocks meet two by two: first in a semi join that leaves the classes with a
-   possible partner, then in a join whose condition is the exact similarity, so that only
-   links leave it and no bucket is one task's work.
+   into blocks, and blocks of the classes apart from the bucket's largest component meet blocks of all:
+   first in semi joins that leave the classes with a possible partner, then in a join whose condition is
+   the exact similarity, so that only links leave it and no bucket is one task's work.
 4. Of each component the first line in the corpus stays.
 
 With a similarity of just 0.8 a few links in a hundred are not found, with 0.9 hardly any;
@@ -42,7 +43,7 @@ WINDOW, WINDOWS, BOTH, SPARSE, SKETCH, WINDOW_BANDS, ALIKE = 8, 5, 9, 50, 12, 8,
 FEW = 6
 SLOT, ROUNDS = 4, 2
 #: Classes of a bucket that meet as many others in one task at the end; a bucket of a band of shingles with
-#: more than REFINE classes, or of windows with 8 times as many, is split by what its classes have in common besides.
+#: more than REFINE classes, or of windows with 8 times as many apart from its largest component, is split by what its classes have in common besides.
 PAIR_BLOCK, REFINE = 256, 32
 
 
@@ -79,20 +80,23 @@ def _windows(line: str) -> Column:
     return F.transform(found, lambda w: F.hash(w))
 
 
-#: SQL of band i of the least windows w, two 32-bit hashes as one number; of how many there are; and of all.
-WINDOW_BAND = "(shiftleft(cast(get(w, i) AS bigint), 32) | (cast(get(w, i + 1) AS bigint) & 4294967295L))"
+#: SQL of band i of the least windows w; of how many there are; and of all. A band holds two hashes and a step of
+#: the line's extent (the log2 of its length, less what repeats in it). Each band has steps of its own, a
+#: factor of two wide, so that like lines, whose extents hardly differ, are parted in few of them.
+WINDOW_BAND = "xxhash64(get(w, i), get(w, i + 1), cast(floor(extent + (get(w, i + 1) & 1023) / 1024) AS int))"
 N_WINDOW_BANDS = f"greatest(least(size(w) - 1, {WINDOW_BANDS}), 0)"
 ALL_WINDOW_BANDS = f"CASE WHEN size(w) < 2 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, {N_WINDOW_BANDS} - 1), i -> {WINDOW_BAND}) END"
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, s1, s2 (two hashes of the line, its class), n (its windows), w (the least of them, if
+    """doc_id, line_no, s1, s2 (two hashes of the line, its class), n (its windows), extent, w (the least windows, if
     it has many), b (its bands of shingles, if it has few windows), keys (of its bands)."""
     head = 3 * MINIMA // 2  # nearly always holds MINIMA distinct hashes
     none = "cast(array() AS array<bigint>)"
     own = ["doc_id", "line_no", "s1", "s2"]
     rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), "line", _windows("line").alias("w"))
-    rows = rows.withColumn("w", F.sort_array(F.array_distinct("w"))).withColumn("n", F.size("w"))
+    rows = rows.withColumns({"w": F.sort_array(F.array_distinct("w")), "all": F.size("w")}).withColumn("n", F.size("w"))
+    rows = rows.withColumn("extent", F.expr("cast(log2(length(line) * greatest(n, 1) / greatest(all, 1)) AS float)"))
     few = f"n < {BOTH} OR n * {SPARSE} < octet_length(line)"
     rows = rows.withColumn("h", F.expr(f"CASE WHEN {few} THEN sort_array({_shingles('line')}) ELSE {none} END")).drop("line")
     rows = rows.withColumn("d", F.array_distinct(F.slice("h", 1, head)))
@@ -100,7 +104,7 @@ def _signed(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("m", F.least(F.size("d"), F.lit(MINIMA)))
     rows = rows.withColumn("d", F.expr(f"CASE WHEN size(d) > {MINIMA} THEN slice(d, 1, {MINIMA}) WHEN m >= {ROWS} THEN concat(d, slice(d, 1, {ROWS - 1})) ELSE d END"))
     bands = f"CASE WHEN m = 0 THEN {none} WHEN m < {ROWS} THEN array(xxhash64(d)) ELSE {_bands('d', 'm', ROWS, BANDS)} END"
-    signs = rows.select(*own, "n", F.expr(f"CASE WHEN n >= {WINDOWS} THEN slice(w, 1, {SKETCH}) ELSE cast(array() AS array<int>) END").alias("w"), F.expr(bands).alias("b"))
+    signs = rows.select(*own, "n", "extent", F.expr(f"CASE WHEN n >= {WINDOWS} THEN slice(w, 1, {SKETCH}) ELSE cast(array() AS array<int>) END").alias("w"), F.expr(bands).alias("b"))
     return signs.withColumn("keys", F.expr(f"concat({ALL_WINDOW_BANDS}, b)"))
 
 
@@ -126,21 +130,29 @@ def _alike() -> str:
     return f"({windows} OR size(p.b) > 0 AND size(q.b) > 0 AND exists(array(array_intersect(p.b, q.b)), x -> size(x) >= {needed}))"
 
 
+def _parted(placed: DataFrame) -> DataFrame:
+    """The rows (key, id, component) of buckets that hold several components, with n (classes of the bucket), apart
+    (those not of its largest component) and main (whether the row is of that one)."""
+    of = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    buckets = of.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    buckets = buckets.select("key", "n", (F.col("n") - F.col("most.m")).alias("apart"), F.col("most.component").alias("largest"))
+    return placed.select("key", "id", "component").join(buckets, "key").withColumn("main", F.expr("component = largest")).drop("largest")
+
+
 def _refined(placed: DataFrame, signs: DataFrame) -> DataFrame:
-    """(key, id, component, n: classes that have the key). Two classes need more in common than the key of a bucket, so
+    """The rows of _parted, with large buckets split. Two classes need more in common than the key of a bucket, so
     each of a large bucket gets a key for every other window or band that it has; a bucket of shingles
-    in which a class has few bands stays as it is."""
+    in which a class has few bands stays as it is, and so does one of windows most of which are of one component."""
     of_shingles = F.expr("array_contains(b, key)")
-    rows = placed.join(signs.select("id", "w", "b"), "id").withColumn("band", of_shingles)
+    placed = stage_table(_parted(placed), "line-parted")
+    rows = placed.join(signs.select("id", "extent", "w", "b"), "id").withColumn("band", of_shingles)
     fewest = F.min(F.when(F.col("band"), F.size("b")).otherwise(FEW)).alias("fewest")
-    large = placed.where(f"n > {REFINE}").select("key", "id").join(signs.select("id", "b"), "id").withColumn("band", of_shingles).groupBy("key").agg(fewest, F.max("band").alias("band"), F.count("*").alias("n")).where(f"fewest >= {FEW} AND (band OR n > {8 * REFINE})").select("key")
+    large = placed.where(f"n > {REFINE}").select("key", "id", "apart").join(signs.select("id", "b"), "id").withColumn("band", of_shingles).groupBy("key").agg(fewest, F.max("band").alias("band"), F.first("apart").alias("apart")).where(f"fewest >= {FEW} AND (band OR apart > {8 * REFINE})").select("key")
     large = stage_table(large, "line-large")
     side = small_side(large, large.count())
     others = f"CASE WHEN band THEN transform(array_remove(b, key), o -> xxhash64(least(key, o), greatest(key, o))) ELSE transform(array_except(w, slice(w, cast(array_position({ALL_WINDOW_BANDS}, key) AS int), 2)), o -> xxhash64(key, o)) END"
-    split = rows.join(side, "key").select("id", "component", F.explode(F.expr(others)).alias("key"))
-    apart = placed.join(side, "key", "left_anti").select("id", "component", "key").union(split)
-    still = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-    return stage_table(apart.join(still, "key").select("key", "id", "component", "n"), "line-refined")
+    split = rows.join(side, "key").select("id", "component", F.explode(F.expr(others)).alias("key")).distinct()
+    return placed.join(side, "key", "left_anti").unionByName(_parted(split))
 
 
 def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,7 +165,7 @@ def _open(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = banded.join(small_side(shared, shared.count()), "key").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.collect_set("key").alias("keys"))
     # the numbers are fixed once the table is written
     classes = stage_table(found.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "at.*", "keys"), "line-classes")
-    signs = signed.select("doc_id", "line_no", "n", "w", "b").join(small_side(classes.select("id", "doc_id", "line_no"), classes.count()), ["doc_id", "line_no"])
+    signs = signed.select("doc_id", "line_no", "n", "extent", "w", "b").join(small_side(classes.select("id", "doc_id", "line_no"), classes.count()), ["doc_id", "line_no"])
     nodes = stage_table(signs.dropDuplicates(["id"]).withColumn("bits", F.expr(_bits("w"))), "line-nodes")
     rows = classes.select("id", F.explode("keys").alias("key"))
     opened = stage_table(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "id", "n"), "line-open")
@@ -164,7 +176,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
     """(node, component) of the classes with a link."""
     if opened.isEmpty():
         return None
-    signs = nodes.select("id", "n", "w", "b", "bits")
+    signs = nodes.select("id", "n", "extent", "w", "b", "bits")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, line) of the classes."""
@@ -205,20 +217,27 @@ def _linked(docs: DataFrame, nodes: DataFrame, opened: DataFrame, percent: int,
             # a staged filter: pushed below, it would build the sets again for every use
             new = sets.withColumn("like", F.expr(_similar("p", "q", percent))).select("a", "b", F.explode(F.array("like")).alias("like")).where("like").select("a", "b")
         else:
-            placed = _refined(placed, signs)
+            placed = stage_table(_refined(placed, signs), "line-refined")
             shared = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))
-            blocks = placed.withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("n")
-            dealt = blocks.join(signs.join(shared, "id"), "id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            dealt = stage_table(dealt.select("key", "i", "j", "own", "id", "component", "n", "w", "b", "bits", "keys"), "line-blocks")
+            # two classes of different components are never both of the bucket's largest, so only those
+            # apart from it (p) are held against all (q): a group of near copies does not meet itself again
+            blocks = placed.withColumns({"over": F.ceil(F.col("apart") / PAIR_BLOCK), "down": F.ceil(F.col("n") / PAIR_BLOCK)})
+            met = blocks.drop("n", "apart").join(signs.join(shared, "id"), "id")
+            held = ["key", "i", "j", "id", "component", "main", "n", "w", "b", "bits", "keys"]
+            one = met.where("NOT main").withColumns({"i": F.expr("pmod(xxhash64(id), over)"), "j": F.explode(F.expr("sequence(0L, down - 1)"))}).select(*held)
+            all_ = met.withColumns({"j": F.expr("pmod(xxhash64(id), down)"), "i": F.explode(F.expr("sequence(0L, over - 1)"))}).select(*held)
+            one, all_ = stage_table(one, "line-apart"), stage_table(all_, "line-all")
             place = ["key", "i", "j"]
             same = reduce(and_, (F.col(f"p.{c}") == F.col(f"q.{c}") for c in place))
-            # a pair counts in the first bucket that it shares
-            meets = f"p.id <> q.id AND (p.i = p.j OR p.own <> q.own) AND p.component <> q.component AND {_alike()} AND array_min(array_intersect(p.keys, q.keys)) = p.key"
+            # a pair counts once in the first bucket that it shares
+            meets = f"p.component <> q.component AND (q.main OR p.id < q.id) AND {_alike()} AND array_min(array_intersect(p.keys, q.keys)) = p.key"
             # first which classes have a partner at all (each comes back once a meeting), then with sets
-            likely = stage_table(dealt.alias("p").join(dealt.alias("q"), same & F.expr(meets), "left_semi"), "line-likely")
+            one = stage_table(one.alias("p").join(all_.alias("q"), same & F.expr(meets), "left_semi"), "line-likely")
+            all_ = stage_table(all_.alias("q").join(one.alias("p"), same & F.expr(meets), "left_semi"), "line-likely")
+            texts = texts_of(one.select("id").union(all_.select("id")))
             # lines are dealt out and become sets where they meet: sets are eight times as large
-            full = likely.join(texts_of(likely.select("id")), "id").repartition(*place).withColumn("h", F.array_distinct(F.expr(_shingles("line")))).drop("line")
-            new = full.alias("p").join(full.alias("q"), same & F.expr("p.id < q.id AND " + meets + " AND " + _similar("p.h", "q.h", percent))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+            full = lambda side: side.join(texts, "id").repartition(*place).withColumn("h", F.array_distinct(F.expr(_shingles("line")))).drop("line")
+            new = full(one).alias("p").join(full(all_).alias("q"), same & F.expr(meets + " AND " + _similar("p.h", "q.h", percent))).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
         new = stage_table(new, "line-links")
         links = new if links is None else links.union(new)
         component = connected_components(links)

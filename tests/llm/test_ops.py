@@ -578,6 +578,40 @@ def test_split_buckets_lose_no_link(spark, monkeypatch, rounds):
     assert got == want and len(set(want.values())) < 120
 
 
+def test_lines_of_other_extents_share_no_band(spark):
+    """A passage in lines of very different lengths opens no bucket; what a line repeats does not count as length."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    made = [" ".join(word() for _ in range(45)) for _ in range(40)]
+    signed = lambda texts: line_dedup._signed(line_dedup.raw_lines(documents(spark, texts), "text", "doc_id").select("doc_id", "line_no", line_dedup.normal().alias("line")))
+    longer = [" ".join([x] + [word() for _ in range(100)]) for x in made]
+    assert line_dedup._open(signed([*made, *longer]))[2].isEmpty()
+    twice = [f"{x} {x}" for x in made]
+    assert line_dedup.line_components(documents(spark, [*made, *twice])).where("first_doc <> doc_id").count() >= 39
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_a_group_of_near_copies_does_not_meet_itself_again(spark, monkeypatch, rounds):
+    """Only the classes apart from a bucket's largest component are held against it, in blocks too."""
+    made, stage = {}, line_dedup.stage_table
+
+    def counted(df, name):
+        out = stage(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage_table", counted)
+    monkeypatch.setattr(line_dedup, "PAIR_BLOCK", 500 if rounds else 7)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9))) for _ in range(60)]
+    spoiled = lambda n: " ".join("".join(rng.permutation(list("qxzjkvw"))) if k in at else x for at in [set(rng.choice(60, n, False))] for k, x in enumerate(words))
+    texts = [spoiled(1) for _ in range(80)] + [spoiled(9) for _ in range(6)]
+    got, want = every_line(spark, texts)
+    assert got == want and len(set(want.values())) > 1
+    assert "line-apart" in made and (not rounds or made["line-apart"] <= 8 * 6 < 80 <= made["line-all"])
+
+
 def test_op8_takes_short_lines(spark, tmp_path):
     documents(spark, ["short\nab", "ab\nother\nshort"]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
